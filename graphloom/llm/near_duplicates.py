@@ -34,7 +34,7 @@ from .common import LOWER, SPACES, U64, arrow_map, components, hash_words, joine
 
 WORDS = 5
 #: Cells that count shingles, and ranges they are summed in.
-CELL_BITS, RANGES = 18, 16
+CELL_BITS, RANGES = 23, 64
 #: Keys that one grouping task is meant to get, and that a task holds before it sends them on.
 BUCKET_KEYS, FLUSH_KEYS = 4_000_000, 3_000_000
 #: Bits of the sketch that prunes candidates.
@@ -103,37 +103,50 @@ def read_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, n, s) of every row, and rows (part, cells) of shingle counts, in one pass."""
 
     def run(it):
-        counts = np.zeros(1 << CELL_BITS, np.int64)
+        counts = np.zeros(1 << CELL_BITS, np.uint32)
+        held: list[np.ndarray] = []
+
+        def add():
+            cells, n = np.unique(np.concatenate(held), return_counts=True)
+            counts[cells] += n.astype(np.uint32)
+            held.clear()
+
         for b in it:
             h, first = shingles(b.column(1))
-            counts += np.bincount((h >> U64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
+            held.append((h >> U64(64 - CELL_BITS)).astype(np.uint32))
+            if sum(map(len, held)) > 2_000_000:
+                add()
             none = pa.nulls(b.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first), pa.int64()), pa.array(set_hashes(h, first).view(np.int64)), pa.nulls(b.num_rows, pa.int32()), none], names=["doc_id", "n", "s", "part", "cells"])
+        if held:
+            add()
         if counts.any():
-            cells = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in np.split(counts, RANGES)]
+            small = counts.astype("<u1" if counts.max() < 1 << 8 else "<u4")
+            cells = [zlib.compress(bytes([small.itemsize]) + x.tobytes(), 1) for x in np.split(small, RANGES)]
             none = pa.nulls(RANGES, pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(RANGES), pa.int32()), pa.array(cells, pa.binary())], names=["doc_id", "n", "s", "part", "cells"])
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n long, s long, part int, cells binary")
 
 
-def hot_cells(read: DataFrame, total: int) -> np.ndarray:
-    """Which cells very many documents' shingles fall in: 2**CELL_BITS flags."""
-    least = max(64, 4 * total >> CELL_BITS)
+def hot_cells(read: DataFrame, total: int, rows: int) -> np.ndarray:
+    """Which cells the shingles of more than one in 4000 documents fall in: 2**CELL_BITS bits."""
+    least = max(12, rows // 4000, 4 * total >> CELL_BITS)
 
     def add(it):
         sums: dict[int, np.ndarray] = {}
         for b in it:
             for part, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(zlib.decompress(cells), "<u4").astype(np.int64)
+                raw = zlib.decompress(cells)
+                x = np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
                 sums[part] = sums[part] + x if part in sums else x
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.packbits(x > least).tobytes() for x in sums.values()], pa.binary())], names=["part", "hot"])
 
-    flags = np.zeros(1 << CELL_BITS, bool)
-    width = (1 << CELL_BITS) // RANGES
-    for r in arrow_map(read.where("cells is not null").select("part", "cells").repartition(RANGES, "part"), add, "part int, hot binary").collect():  # 32 kB in all
-        flags[r["part"] * width : (r["part"] + 1) * width] = np.unpackbits(np.frombuffer(r["hot"], np.uint8)).astype(bool)
+    flags = np.zeros(1 << CELL_BITS - 3, np.uint8)
+    width = len(flags) // RANGES
+    for r in arrow_map(read.where("cells is not null").select("part", "cells").repartition(RANGES, "part"), add, "part int, hot binary").collect():  # 1 MB in all
+        flags[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["hot"], np.uint8)
     return flags
 
 
@@ -145,7 +158,8 @@ def band_keys(h: np.ndarray, doc: np.ndarray, sizes: np.ndarray, rows: np.ndarra
     d = most_different(cell)
     m = classes(d)
     keys, owners = [], []
-    cold = ~hot[(h >> U64(64 - CELL_BITS)).astype(np.int64)]
+    cell_of = (h >> U64(64 - CELL_BITS)).astype(np.int64)
+    cold = (hot[cell_of >> 3] >> (7 - (cell_of & 7)).astype(np.uint8) & 1) == 0
     for level in range(LEVELS + 1):
         hh, dd = (h[cold], doc[cold]) if not level else (h, doc)
         salt = mix64(np.array([cell << 8 | level], U64))
@@ -298,90 +312,96 @@ def candidates(blocks: DataFrame, buckets: int) -> DataFrame:
     return arrow_map(blocks.repartition(buckets, "bucket"), run, "kind int, a long, b long")
 
 
-def bit_sketch(h: np.ndarray) -> bytes:
-    """Parities of the shingles dealt to SKETCH_BITS bits."""
-    return np.packbits(np.bincount((mix64(h ^ U64(77)) >> U64(32)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1).tobytes()
+def bit_sketch(h: np.ndarray) -> np.ndarray:
+    """Parities of the shingles dealt to SKETCH_BITS bits, as 64-bit words."""
+    return np.packbits(np.bincount((mix64(h ^ U64(77)) >> U64(32)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1).view(np.int64)
+
+
+SKETCH = [f"k{i}" for i in range(SKETCH_BITS // 64)]
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(s, n, sketch, shingles) of the sets whose document is in wanted (column id)."""
+    """(s, n, k0.., shingles) of the sets whose document is in wanted (column id)."""
 
     def run(it):
+        seen: set[int] = set()  # rows of one id arrive in one task
         for b in it:
             h, first = shingles(b.column(0))
-            s = set_hashes(h, first)
-            parts = [h[i:j] for i, j in zip(first, first[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.diff(first), pa.int64()), pa.array([bit_sketch(x) for x in parts], pa.binary()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["s", "n", "sketch", "shingles"])
+            s = set_hashes(h, first).view(np.int64)
+            new = [i for i, x in enumerate(s.tolist()) if x and not (x in seen or seen.add(x))]
+            parts = [h[first[i] : first[i + 1]] for i in new]
+            bits = np.array([bit_sketch(x) for x in parts], np.int64).reshape(-1, len(SKETCH))
+            yield pa.RecordBatch.from_arrays([pa.array(s[new]), pa.array([len(x) for x in parts], pa.int64()), *(pa.array(c) for c in bits.T), pa.array([x.tobytes() for x in parts], pa.binary())], names=["s", "n", *SKETCH, "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id").select("text")
-    return arrow_map(texts, run, "s long, n long, sketch binary, shingles binary").where("s <> 0").dropDuplicates(["s"])
+    return arrow_map(texts, run, f"s long, n long, {', '.join(f'{k} long' for k in SKETCH)}, shingles binary")
 
 
-def near(a: str, b: str):
-    """A pair whose sizes allow a link."""
-    return F.expr(f"4 * greatest({a}.n, {b}.n) <= 5 * least({a}.n, {b}.n)")
+def plausible(x: str, y: str):
+    """What sizes and sketches say of two sets: the sketches' Hamming distance is at most the symmetric
+    difference, and that of linked sets at most a ninth of their sizes' sum."""
+    far = " + ".join(f"bit_count({x}.{k} ^ {y}.{k})" for k in SKETCH)
+    return F.expr(f"4 * greatest({x}.n, {y}.n) <= 5 * least({x}.n, {y}.n) and 9 * ({far}) <= {x}.n + {y}.n")
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets that link.
+def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets that may link."""
+    lite = sets.select("s", "n", *SKETCH)
+    return pairs.join(lite.alias("x"), F.col("a") == F.col("x.s")).join(lite.alias("y"), (F.col("b") == F.col("y.s")) & plausible("x", "y")).select("a", "b")
 
-    Most others fall to the sketches: their Hamming distance is at most the symmetric
-    difference, and that of linked sets at most a ninth of their sizes' sum.
-    """
+
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets that link, by their whole sets."""
 
     def run(it):
         for b in it:
-            na, nb, ka, kb = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4, 5))
             keep = np.zeros(b.num_rows, bool)
-            ka_bits = np.frombuffer(b"".join(ka), np.uint8).reshape(-1, SKETCH_BITS // 8)
-            kb_bits = np.frombuffer(b"".join(kb), np.uint8).reshape(-1, SKETCH_BITS // 8)
-            far = np.bitwise_count(ka_bits ^ kb_bits).sum(1, dtype=np.int64) * 9 > na + nb
-            for i in np.flatnonzero(~far):
-                x, y = (np.frombuffer(b.column(c)[i].as_buffer(), U64) for c in (6, 7))
+            for i in range(b.num_rows):
+                x, y = (np.frombuffer(b.column(c)[i].as_buffer(), U64) for c in (2, 3))
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = int((y[at] == x).sum())
                 keep[i] = 100 * both >= 80 * (len(x) + len(y) - both)
-            if keep.any():
-                mask = pa.array(keep)
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
+            mask = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
-    x, y = sets.alias("x"), sets.alias("y")
-    both = pairs.join(x, F.col("a") == F.col("x.s")).join(y, F.col("b") == F.col("y.s")).where(near("x", "y"))
-    return arrow_map(both.select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.sketch").alias("xk"), F.col("y.sketch").alias("yk"), F.col("x.shingles").alias("xs"), F.col("y.shingles").alias("ys")), run, "a long, b long")
+    whole = sets.select("s", "shingles")
+    # The set of b, which has few pivots, travels to a's.
+    right = pairs.join(whole.withColumnsRenamed({"s": "b", "shingles": "y"}), "b")
+    return arrow_map(right.join(whole.withColumnsRenamed({"s": "a", "shingles": "x"}), "a").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def links_between_sets(docs: DataFrame, read: DataFrame, total: int) -> DataFrame:
+def links_between_sets(docs: DataFrame, read: DataFrame, total: int, rows: int) -> DataFrame:
     """Links (a, b) that join all sets of a component, by set hash."""
-    spark = docs.sparkSession
-    hot = hot_cells(read, total)
-    buckets = max(2 * spark.sparkContext.defaultParallelism, total // 2 // BUCKET_KEYS + 1)
+    hot = hot_cells(read, total, rows)
+    buckets = max(2 * docs.sparkSession.sparkContext.defaultParallelism, total // 2 // BUCKET_KEYS + 1)
     found = settled(candidates(key_blocks(docs, hot, buckets), buckets))
-    pairs = settled(found.where("kind = 0").select("a", "b").distinct())
+    pairs = found.where("kind = 0").select("a", "b").distinct()
     reps = read.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("id"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(reps, "s").select("id").distinct()
     sets = settled(wanted_sets(docs, wanted))
-    links = settled(verify(pairs, sets))
+    links = settled(verify(likely(pairs, sets), sets))
+    lite = sets.select("s", "n", *SKETCH)
     groups = found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("s"))
-    done = pairs
-    for last in (False, False, True):
-        # Groups whose sets lie in several components still: pairs across those, first with one more pivot.
+    for last in (False, True):
+        # Groups whose sets lie in several components still: pairs across those, first with two more pivots.
         label = components(links).select(F.col("id").alias("s"), "component")
         placed = groups.join(label, "s", "left").select("g", "s", F.coalesce("component", "s").alias("c"))
-        split = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("s", F.xxhash64("s", "c")).alias("p"), F.max("s").alias("q"), F.min_by("c", F.xxhash64("s", "c")).alias("pc"), F.max_by("c", "s").alias("qc")).where("lo <> hi")
-        open_sets = settled(placed.join(split, "g"))
-        if not open_sets.limit(1).count():
+        split = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max_by("s", F.xxhash64("s")).alias("p"), F.max_by("c", F.xxhash64("s")).alias("pc"), F.max("s").alias("q"), F.max_by("c", "s").alias("qc")).where("lo <> hi")
+        groups = settled(placed.join(split, "g").select("g", "s", "c", "p", "pc", "q", "qc"))
+        if groups.isEmpty():
             break
         if last:
-            x, y = open_sets.alias("x"), open_sets.alias("y")
-            more = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.c") < F.col("y.c"))).select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b"))
+            known = groups.select("g", "s", "c").join(lite, "s")
+            x, y = known.alias("x"), known.alias("y")
+            across = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.c") < F.col("y.c")) & plausible("x", "y"))
+            more = across.select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct()
         else:
-            more = open_sets.where("c <> pc").select(F.least("s", "p").alias("a"), F.greatest("s", "p").alias("b")).union(open_sets.where("c <> qc").select(F.least("s", "q").alias("a"), F.greatest("s", "q").alias("b")))
-        more = settled(more.distinct().join(done, ["a", "b"], "left_anti"))
+            pivots = groups.where("c <> pc").select("s", "p").union(groups.where("c <> qc").select("s", "q"))
+            more = likely(pivots.select(F.least("s", "p").alias("a"), F.greatest("s", "p").alias("b")).distinct(), sets)
         links = settled(links.union(verify(more, sets)))
-        done = done.union(more)
-        groups = open_sets.select("g", "s")
+        groups = groups.select("g", "s")
     return links
 
 
@@ -389,11 +409,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs' rows as (doc_id, n_shingles, component_id): the smallest id reachable by links."""
     read = settled(read_sets(docs))
     rows = read.where("cells is null").select("doc_id", "n", "s")
-    total = rows.agg(F.sum("n")).first()[0] or 0
+    total, count = rows.agg(F.sum("n"), F.count("*")).first()
     if not total:
         return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     reps = rows.where("n > 0 and doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("rep"))
-    links = links_between_sets(docs, read, total)
+    links = links_between_sets(docs, read, total, count)
     by = reps.select("s", "rep")
     edges = links.join(by.withColumnsRenamed({"s": "a", "rep": "ra"}), "a").join(by.withColumnsRenamed({"s": "b", "rep": "rb"}), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     placed = rows.join(reps, "s", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))

@@ -313,15 +313,25 @@ def candidates(blocks: DataFrame, buckets: int) -> DataFrame:
 
 
 def bit_sketch(h: np.ndarray) -> np.ndarray:
-    """Parities of the shingles dealt to SKETCH_BITS bits, as 64-bit words."""
-    return np.packbits(np.bincount((mix64(h ^ U64(77)) >> U64(32)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1).view(np.int64)
+    """Parities of the shingles dealt to bits, as 64-bit words: at least SKETCH_BITS bits and as many as the
+    next power of two after the set's size. A half XORed onto the other is the sketch of half the width."""
+    bits = max(SKETCH_BITS, 1 << len(h).bit_length())
+    place = (mix64(h ^ U64(77)) >> U64(32)).astype(np.int64) & bits - 1
+    return np.packbits(np.bincount(place, minlength=bits) & 1).view(np.int64)
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    while len(sketch) > words:
+        half = len(sketch) // 2
+        sketch = sketch[:half] ^ sketch[half:]
+    return sketch
 
 
 SKETCH = [f"k{i}" for i in range(SKETCH_BITS // 64)]
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(s, n, k0.., shingles) of the sets whose document is in wanted (column id)."""
+    """(s, n, k0.., wide, shingles) of the sets whose document is in wanted (column id)."""
 
     def run(it):
         seen: set[int] = set()  # rows of one id arrive in one task
@@ -330,11 +340,13 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             s = set_hashes(h, first).view(np.int64)
             new = [i for i, x in enumerate(s.tolist()) if x and not (x in seen or seen.add(x))]
             parts = [h[first[i] : first[i + 1]] for i in new]
-            bits = np.array([bit_sketch(x) for x in parts], np.int64).reshape(-1, len(SKETCH))
-            yield pa.RecordBatch.from_arrays([pa.array(s[new]), pa.array([len(x) for x in parts], pa.int64()), *(pa.array(c) for c in bits.T), pa.array([x.tobytes() for x in parts], pa.binary())], names=["s", "n", *SKETCH, "shingles"])
+            wide = [bit_sketch(x) for x in parts]
+            bits = np.array([folded(w, len(SKETCH)) for w in wide], np.int64).reshape(-1, len(SKETCH))
+            wide = [w.tobytes() if len(w) > len(SKETCH) else None for w in wide]
+            yield pa.RecordBatch.from_arrays([pa.array(s[new]), pa.array([len(x) for x in parts], pa.int64()), *(pa.array(c) for c in bits.T), pa.array(wide, pa.binary()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["s", "n", *SKETCH, "wide", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id").select("text")
-    return arrow_map(texts, run, f"s long, n long, {', '.join(f'{k} long' for k in SKETCH)}, shingles binary")
+    return arrow_map(texts, run, f"s long, n long, {', '.join(f'{k} long' for k in SKETCH)}, wide binary, shingles binary")
 
 
 def plausible(x: str, y: str):
@@ -345,9 +357,24 @@ def plausible(x: str, y: str):
 
 
 def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets that may link."""
-    lite = sets.select("s", "n", *SKETCH)
-    return pairs.join(lite.alias("x"), F.col("a") == F.col("x.s")).join(lite.alias("y"), (F.col("b") == F.col("y.s")) & plausible("x", "y")).select("a", "b")
+    """The pairs (a, b) of sets that may link, by their sketches; large sets by their wide ones as well."""
+    lite = sets.select("s", "n", *SKETCH, "wide")
+    both = pairs.join(lite.alias("x"), F.col("a") == F.col("x.s")).join(lite.alias("y"), (F.col("b") == F.col("y.s")) & plausible("x", "y"))
+
+    def near(it):
+        for b in it:
+            sizes = b.column(2).to_numpy()
+            keep = np.ones(b.num_rows, bool)
+            wide = zip(b.column(3).to_pylist(), b.column(4).to_pylist())
+            for i, (x, y) in enumerate(wide):
+                if x and y:
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    words = min(len(x), len(y))
+                    keep[i] = 9 * int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()) <= sizes[i]
+            mask = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
+
+    return arrow_map(both.select("a", "b", (F.col("x.n") + F.col("y.n")).alias("n"), F.col("x.wide").alias("xw"), F.col("y.wide").alias("yw")), near, "a long, b long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -396,7 +423,7 @@ def links_between_sets(docs: DataFrame, read: DataFrame, total: int, rows: int)
             known = groups.select("g", "s", "c").join(lite, "s")
             x, y = known.alias("x"), known.alias("y")
             across = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.c") < F.col("y.c")) & plausible("x", "y"))
-            more = across.select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct()
+            more = likely(across.select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct(), sets)
         else:
             pivots = groups.where("c <> pc").select("s", "p").union(groups.where("c <> qc").select("s", "q"))
             more = likely(pivots.select(F.least("s", "p").alias("a"), F.greatest("s", "p").alias("b")).distinct(), sets)

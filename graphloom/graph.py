@@ -7,9 +7,9 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .model import DEFAULT_SCHEMA, NODE_COLUMNS, Schema, schema
+from .model import DEFAULT_SCHEMA, NODE_COLUMNS, Schema
 
-NODE_NAMES = schema(NODE_COLUMNS).names
+NODE_NAMES = [c.split()[0] for c in NODE_COLUMNS.split(", ")]
 
 
 @dataclass

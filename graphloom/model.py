@@ -9,8 +9,6 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import types as T
-
 NODE_COLUMNS = "id string, type_id string, label string, embedding array<float>, properties string, content_ref string, confidence double, version int, created_at timestamp_ntz, updated_at timestamp_ntz, valid_until timestamp_ntz, deprecated boolean, provenance_id string"
 EDGE_COLUMNS = "id string, source string, target string, type_id string, weight double, confidence double, directional boolean, version int, valid_until timestamp_ntz, deprecated boolean, provenance_id string, created_at timestamp_ntz"
 CONTENT_COLUMNS = "id string, format string, data binary, hash string, encoding string, source_uri string, extracted_at timestamp_ntz, chunks array<string>"
@@ -19,10 +17,6 @@ UNCERTAINTY_COLUMNS = "node_id string, confidence double, coverage double, fresh
 ASSERTION_COLUMNS = "id string, claim string, source_node_ids array<string>, confidence double, created_at timestamp_ntz, plan_step_id string"
 
 
-def schema(columns: str) -> T.StructType:
-    return T.StructType.fromDDL(columns)
-
-
 # Enumerations that stored rows use.
 SOURCE_TYPES = ("file", "db_query", "api_call", "inference", "human")
 TRUST_LEVELS = ("verified", "trusted", "unverified", "contested")

@@ -6,7 +6,6 @@ import ast
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import vector
 from ..graph import NODE_NAMES
@@ -65,7 +64,7 @@ def file_nodes(files: DataFrame) -> DataFrame:
     return _node(files, F.concat(F.lit("file:"), F.col("path")), F.col("type_id"), F.col("path"), F.concat_ws(" ", "type_id", "path", snippet), properties, 0.9)
 
 
-SYMBOLS = T.StructType.fromDDL("path string, modified timestamp_ntz, kind string, name string, nth int")
+SYMBOLS = "path string, modified timestamp_ntz, kind string, name string, nth int"
 
 
 def python_symbols(files: DataFrame) -> DataFrame:
@@ -90,7 +89,7 @@ def python_symbols(files: DataFrame) -> DataFrame:
                     elif isinstance(node, ast.ImportFrom) and node.module:
                         out.append((path, modified, "import", node.module, nth))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.timestamp("us"), pa.string(), pa.string(), pa.int32()))], names=SYMBOLS.names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.timestamp("us"), pa.string(), pa.string(), pa.int32()))], names=["path", "modified", "kind", "name", "nth"])
 
     return files.where("language = 'python'").select("path", "content", "modified").mapInArrow(parse, SYMBOLS)
 

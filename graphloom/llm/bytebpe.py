@@ -160,6 +160,9 @@ class ByteBPE:
         late = False
         for i, j in spans:
             chunk = cut[i] if i == j else b" ".join(cut[i : j + 1])
+            if not chunk:  # the text begins with a space, which the next chunk has
+                late = True
+                continue
             known = self._spaced if i else self._plain
             value = known.get(chunk)
             if value is None:
@@ -170,15 +173,11 @@ class ByteBPE:
                     known[chunk] = value
             values[i] = value
             late = late or i != j
-        return [v for v in values if v is not None] if late and not self._blank(values, spans) else values
-
-    @staticmethod
-    def _blank(values: list, spans: list[list[int]]) -> bool:
-        """Empties the places of chunks that joined the one before; False as None is left."""
-        for i, j in spans:
-            for k in range(i + 1, j + 1):
-                values[k] = None
-        return False
+        if not late:
+            return values
+        for i, j in spans:  # chunks that joined the one before
+            values[i + 1 : j + 1] = [None] * (j - i)
+        return [v for v in values if v is not None]
 
     def chunks(self, text: bytes) -> list:
         """The values of a whole text's chunks, in order."""

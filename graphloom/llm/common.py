@@ -7,6 +7,7 @@ over bytes or words in Python.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -163,6 +164,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of what is settled: Spark's cleaner drops them once their plans are
+    collected as garbage, which otherwise waits for the driver's memory to fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch_uri(spark: SparkSession, name: str) -> str:
     """A new folder's URI below the shared checkpoint folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, U64, arrow_map, components, hash_words, joined, mix64, settled, word_spans
+from .common import LOWER, SPACES, U64, arrow_map, components, hash_words, joined, mix64, release, settled, word_spans
 
 WORDS = 5
 #: Cells that count shingles, and ranges they are summed in.
@@ -404,11 +404,14 @@ def links_between_sets(docs: DataFrame, read: DataFrame, total: int, rows: int)
     hot = hot_cells(read, total, rows)
     buckets = max(2 * docs.sparkSession.sparkContext.defaultParallelism, total // 2 // BUCKET_KEYS + 1)
     found = settled(candidates(key_blocks(docs, hot, buckets), buckets))
+    release(docs.sparkSession)
     pairs = found.where("kind = 0").select("a", "b").distinct()
     reps = read.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("id"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(reps, "s").select("id").distinct()
     sets = settled(wanted_sets(docs, wanted))
+    release(docs.sparkSession)
     links = settled(verify(likely(pairs, sets), sets))
+    release(docs.sparkSession)
     lite = sets.select("s", "n", *SKETCH)
     groups = found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("s"))
     for last in (False, True):
@@ -417,6 +420,7 @@ def links_between_sets(docs: DataFrame, read: DataFrame, total: int, rows: int)
         placed = groups.join(label, "s", "left").select("g", "s", F.coalesce("component", "s").alias("c"))
         split = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max_by("s", F.xxhash64("s")).alias("p"), F.max_by("c", F.xxhash64("s")).alias("pc"), F.max("s").alias("q"), F.max_by("c", "s").alias("qc")).where("lo <> hi")
         groups = settled(placed.join(split, "g").select("g", "s", "c", "p", "pc", "q", "qc"))
+        release(docs.sparkSession)
         if groups.isEmpty():
             break
         if last:
@@ -428,6 +432,7 @@ def links_between_sets(docs: DataFrame, read: DataFrame, total: int, rows: int)
             pivots = groups.where("c <> pc").select("s", "p").union(groups.where("c <> qc").select("s", "q"))
             more = likely(pivots.select(F.least("s", "p").alias("a"), F.greatest("s", "p").alias("b")).distinct(), sets)
         links = settled(links.union(verify(more, sets)))
+        release(docs.sparkSession)
         groups = groups.select("g", "s")
     return links
 

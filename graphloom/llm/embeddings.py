@@ -238,3 +238,13 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     return placed.select(
         "vec_id", (F.coalesce("weight", F.lit(1)) - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept")
     )
+
+
+ORACLE_SQL = """
+with recursive v as (
+  select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l as (select x.vec_id as a, y.vec_id as b from v x join v y on x.label = y.label and len(x.e) = len(y.e) and x.vec_id <> y.vec_id and list_cosine_similarity(x.e, y.e) >= 0.98),
+r as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, min(b) as c from r group by a), n as (select a, count(*) as n from l group by a)
+select vec_id, coalesce(n.n, 0) as n_links, c.c as component_id, c.c = vec_id as kept from embeddings join c on c.a = vec_id left join n on n.a = vec_id
+"""

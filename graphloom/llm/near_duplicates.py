@@ -462,3 +462,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without the rows whose component has a smaller id; of rows with equal ids none goes."""
     keep = near_duplicates(docs).where("component_id = doc_id or doc_id is null").select("doc_id").distinct()
     return docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
+
+
+ORACLE_SQL = """
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents
+), s as (
+  select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda k: array_to_string(w[k:k + 4], ' '))) as s from w where len(w) > 0
+), n as (select doc_id, count(*) as n from s group by doc_id),
+b as (select x.doc_id as a, y.doc_id as b, count(*) as shared from s x join s y on x.s = y.s and x.doc_id <> y.doc_id group by 1, 2),
+l as (select a, b from b join n p on p.doc_id = a join n q on q.doc_id = b where 100 * shared >= 80 * (p.n + q.n - shared)),
+r as (select doc_id as a, doc_id as b from documents union select r.a, l.b from r join l on r.b = l.a)
+select documents.doc_id, coalesce(n, 0) as n_shingles, c as component_id from documents left join n using (doc_id) join (select a, min(b) as c from r group by a) on a = documents.doc_id
+"""

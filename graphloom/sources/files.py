@@ -17,7 +17,7 @@ EXTENSIONS = {
     "json": ("CONFIG", "json", None), "yaml": ("CONFIG", "json", None), "yml": ("CONFIG", "json", None), "toml": ("CONFIG", "text", None), "ini": ("CONFIG", "text", None), "cfg": ("CONFIG", "text", None),
 }
 # Directories that are passed over.
-IGNORED = (".git", "__pycache__", "node_modules", "venv", ".venv", ".pmc", "dist", "build", ".pytest_cache", ".mypy_cache", "backups", "test_reports", ".next", "coverage", "htmlcov")
+IGNORED = (".git", "__pycache__", "node_modules", "venv", ".venv", "dist", "build", ".pytest_cache", ".mypy_cache", "backups", "test_reports", ".next", "coverage", "htmlcov")
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:

@@ -13,9 +13,10 @@ from graphloom.llm.common import settled
 SF = "/root/testdata/sf0.001"
 
 
-def test_line_query_agrees_with_sql(spark):
+def test_queries_agree_with_sql(spark):
     c = duckdb.connect()
-    c.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        c.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         want = c.execute(sql)
         names = [d[0] for d in want.description]

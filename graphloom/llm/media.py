@@ -49,7 +49,7 @@ def png(payload: bytes) -> bytes:
     for k in range(LINE):
         lines[k + 1 :: LINE + 1] = payload[k::LINE]
     head = struct.pack(">IIBBBBB", LINE, n, 8, 0, 0, 0, 0)
-    return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines, 4)) + _chunk(b"IEND", b"")
+    return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines, 9)) + _chunk(b"IEND", b"")
 
 
 def png_header(head: bytes) -> tuple[int, int, int]:
@@ -179,5 +179,5 @@ def media_columns(docs: DataFrame, uri: str | None = None) -> DataFrame:
     rows = settled(write_shards(docs, uri))
     places = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("digest", "p.*")
     read = read_back(places.repartition("shard").sortWithinPartitions("shard", "offset").select("digest", "shard", "offset", "length"), uri)
-    columns = settled(read.join(places, "digest"))
+    columns = read.join(places, "digest")
     return rows.select("doc_id", "n_bytes", "digest").join(columns, "digest")

@@ -119,6 +119,15 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
+def leading_bytes(data: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """The n (at most 8) bytes from each start, packed into one number; zeros past data's end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    out = np.zeros(len(starts), U64)
+    for i in range(n):
+        out |= padded[starts + i].astype(U64) << U64(8 * i)
+    return out
+
+
 #: A random odd 64-bit value for each byte, so that the polynomial's low bits mix.
 mix_byte = mix64(np.arange(1, 257, dtype=U64)) | U64(1)
 

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_WORD, U64, hash_words, joined, mix64, with_text_columns, word_spans
+from .common import LOWER, NOT_WORD, U64, hash_words, joined, leading_bytes, mix64, with_text_columns, word_spans
 
 BITS = 17
 LEXICON = 30_000
@@ -68,8 +68,10 @@ class Words:
         self.starts, self.ends, self.first = word_spans(self.low, self.at, NOT_WORD)
         self.hashes = hash_words(self.low, self.starts, self.ends)
         n = self.ends - self.starts
-        pre = hash_words(self.low, self.starts, self.starts + np.minimum(n, 3))
-        suf = hash_words(self.low, self.ends - np.minimum(n, 3), self.ends)
+        affix = np.minimum(n, 3)
+        mask = (U64(1) << (U64(8) * affix.astype(U64))) - U64(1)
+        pre = leading_bytes(self.low, self.starts, 3) & mask
+        suf = leading_bytes(self.low, self.ends - affix, 3) & mask
         shift = U64(64 - BITS)
         self.prefix = (mix64(pre ^ U64(0x9E3779B1)) >> shift).astype(np.int32)
         self.suffix = (mix64(suf ^ U64(0x85EBCA6B)) >> shift).astype(np.int32)

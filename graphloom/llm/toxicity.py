@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_WORD, U64, arrow_map, hash_words, joined, with_text_columns, word_spans
+from .common import LOWER, NOT_WORD, U64, arrow_map, hash_words, joined, leading_bytes, mix64, with_text_columns, word_spans
 
 BITS = 20
 PREFIXES = (4, 5, 6, 7, 8)
@@ -37,10 +37,11 @@ def word_features(column) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, first = word_spans(low, at, NOT_WORD)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
     hashes, docs = [hash_words(low, starts, ends)], [doc]
+    lead, size = leading_bytes(low, starts, max(PREFIXES)), ends - starts
     for n in PREFIXES:
-        longer = ends - starts > n
-        hashes.append(hash_words(low, starts[longer], starts[longer] + n))
-        docs.append(doc[longer])
+        long = size >= n
+        hashes.append(mix64((lead[long] & U64((1 << 8 * n) - 1)) ^ mix64(np.array([n], U64))))
+        docs.append(doc[long])
     slot = (np.concatenate(hashes) >> U64(64 - BITS)).astype(np.int64)
     key, times = np.unique(np.concatenate(docs) << BITS | slot, return_counts=True)
     more = [key, *(key[times >= n] ^ mark for n, mark in ((2, 0x5A5A5), (4, 0x3C3C3)))]

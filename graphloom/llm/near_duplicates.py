@@ -36,7 +36,7 @@ WORDS = 5
 #: Cells that count shingles, and ranges they are summed in.
 CELL_BITS, RANGES = 23, 64
 #: Keys that one grouping task is meant to get, and that a task holds before it sends them on.
-BUCKET_KEYS, FLUSH_KEYS = 4_000_000, 3_000_000
+BUCKET_KEYS, FLUSH_KEYS = 3_000_000, 1_000_000
 #: Bits of the sketch that prunes candidates.
 SKETCH_BITS = 1024
 LEVELS = 4
@@ -114,7 +114,7 @@ def read_sets(docs: DataFrame) -> DataFrame:
         for b in it:
             h, first = shingles(b.column(1))
             held.append((h >> U64(64 - CELL_BITS)).astype(np.uint32))
-            if sum(map(len, held)) > 2_000_000:
+            if sum(map(len, held)) > 1_000_000:
                 add()
             none = pa.nulls(b.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first), pa.int64()), pa.array(set_hashes(h, first).view(np.int64)), pa.nulls(b.num_rows, pa.int32()), none], names=["doc_id", "n", "s", "part", "cells"])
@@ -214,9 +214,6 @@ def key_blocks(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     bits with the place of its set."""
 
     def run(it):
-        from pyspark import TaskContext
-
-        rng = TaskContext.get().partitionId()
         known: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         sets: list[np.ndarray] = []
@@ -227,8 +224,8 @@ def key_blocks(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             if n_keys:
                 keys, owners = (np.concatenate(x) for x in zip(*held))
                 ids = np.concatenate(sets)
-                bucket = ((keys >> U64(40)) * U64(buckets) >> U64(24)).astype(np.int64)
-                order = np.lexsort((owners, bucket))
+                bucket = ((keys >> U64(40)) * U64(buckets) >> U64(24)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
                 keys, owners, bucket = keys[order], owners[order], bucket[order]
                 cut = np.searchsorted(bucket, np.arange(buckets + 1))
                 full = np.flatnonzero(np.diff(cut))
@@ -242,7 +239,7 @@ def key_blocks(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             sets.clear()
             n_keys = n_sets = 0
 
-        for b in it:
+        for b in (b.slice(i, 200) for b in it for i in range(0, b.num_rows, 200)):
             h, first = shingles(b.column(0))
             s = set_hashes(h, first)
             fresh = []
@@ -258,11 +255,11 @@ def key_blocks(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             h = h[np.repeat(keep, sizes)]
             first = np.concatenate(([0], np.cumsum(sizes[keep])))
             keys, owners = all_keys(h, first, hot)
-            held.append((keys, owners + n_sets))
+            held.append((keys, (owners + n_sets).astype(np.uint16)))  # flushed before 2**16 sets
             sets.append(s[keep])
             n_keys += len(keys)
             n_sets += len(fresh)
-            if n_keys >= FLUSH_KEYS or n_sets > 60_000:
+            if n_keys >= FLUSH_KEYS or n_sets > 65_000:
                 yield from flush()
         yield from flush()
 

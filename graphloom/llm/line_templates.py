@@ -21,43 +21,113 @@ names, stay as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release, settled
+
 #: Tokens that make up the tree's levels below the token count.
 LEADING = 3
+#: One of so many tokens may differ between similar lines.
+APART = 5
+
+
+def document_names() -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("d"), F.xxhash64("text").alias("h")]
+
+
+def tokens_of(raw: Column) -> Column:
+    """A trimmed line's tokens, `<*>` for those that hold a digit."""
+    masked = F.when(raw.rlike("[0-9]"), F.regexp_replace(raw, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(raw)
+    return F.split(masked, " ")
 
 
-def line_keys(docs: DataFrame, min_tokens: int, generalise_from: int) -> DataFrame:
-    """(d, h, line, leaf, k) for each template of each line; d and h name the document."""
-    lines = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("d"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("line", "raw")
-    ).select("d", "h", "line", F.trim("raw").alias("raw"))
-    masked = F.when(F.col("raw").rlike("[0-9]"), F.regexp_replace("raw", "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(F.col("raw"))
-    tokens = lines.select("d", "h", "line", F.split(masked, " ").alias("t")).withColumn("n", F.size("t")).where(F.col("n") >= min_tokens)
+def line_keys(docs: DataFrame, min_tokens: int, generalise_from: int, quarters: tuple[int, ...] = (1, 2, 3), blank: bool = True) -> DataFrame:
+    """(d, h, line, n, leaf, k) for each template of each line; d and h name the document."""
+    lines = docs.select(*document_names(), F.posexplode(F.split("text", "\n")).alias("line", "raw")).select("d", "h", "line", F.trim("raw").alias("raw"))
+    lines = lines if blank else lines.where(F.col("raw").rlike(r"\S"))
+    tokens = lines.select("d", "h", "line", tokens_of(F.col("raw")).alias("t")).withColumn("n", F.size("t")).where(F.col("n") >= min_tokens)
 
     def left_open(quarter: int):
         head = F.expr(f"slice(t, 1, n * {quarter} div 4)")
         tail = F.expr(f"slice(t, (n * {quarter + 1} div 4) + 1, n)")
         return F.when(F.col("n") >= generalise_from, F.xxhash64(F.lit(quarter), head, tail))
 
-    keys = F.array(F.xxhash64(F.lit(0), "t"), *(left_open(q) for q in (1, 2, 3)))
+    keys = F.array(F.xxhash64(F.lit(0), "t"), *(left_open(q) for q in quarters))
     leaf = F.hash("n", F.slice("t", 1, LEADING))
-    return tokens.select("d", "h", "line", leaf.alias("leaf"), F.explode(keys).alias("k")).where("k is not null")
+    return tokens.select("d", "h", "line", "n", leaf.alias("leaf"), F.explode(keys).alias("k")).where("k is not null")
 
 
-def dropped_lines(docs: DataFrame, min_tokens: int = 3, generalise_from: int = 12) -> DataFrame:
-    """(d, h, lines): the numbers of the lines that go, by document."""
-    keys = line_keys(docs.select("doc_id", "text"), min_tokens, generalise_from)
-    first = keys.groupBy("leaf", "k").agg(F.min(F.struct("d", "line", "h")).alias("p"), F.max("d").alias("most")).where("p.d <> most")
+def first_places(keys: DataFrame) -> DataFrame:
+    """(leaf, k, p, most): each template's first place and greatest document."""
+    return keys.groupBy("leaf", "k").agg(F.min(F.struct("d", "line", "h")).alias("p"), F.max("d").alias("most"))
+
+
+def others(keys: DataFrame, first: DataFrame) -> DataFrame:
+    """(d, h, lines): the numbers of templates' lines that don't stand at p, by document."""
     again = keys.join(first.select("leaf", "k", "p"), ["leaf", "k"]).where("not (d = p.d and line = p.line and h = p.h)")
     return again.select("d", "h", "line").groupBy("d", "h").agg(F.collect_set("line").alias("lines"))
 
 
-def drop_recurring_lines(docs: DataFrame, min_tokens: int = 3, generalise_from: int = 12) -> DataFrame:
-    """docs with recurring templates' lines dropped from text, and columns n_lines, n_dropped before any
-    other change: the lines that the text had, and those that went."""
-    gone = dropped_lines(docs, min_tokens, generalise_from).select(F.col("d").alias("_gone_d"), F.col("h").alias("_gone_h"), F.col("lines").alias("_gone_lines"))
+def dropped_lines(docs: DataFrame, min_tokens: int = 3, generalise_from: int = 12) -> DataFrame:
+    """(d, h, lines): the numbers of the lines that go, by document."""
+    keys = line_keys(docs.select("doc_id", "text"), min_tokens, generalise_from)
+    return others(keys, first_places(keys).where("p.d <> most"))
+
+
+def kin(docs: DataFrame) -> DataFrame:
+    """(leaf, k, p) for each line, digits masked, that has similar ones (see `dropped_similar_lines`) which
+    make two documents with it; p is a similar line's first place before its own, else its own.
+
+    Similar lines agree in one of (n div 5) + 1 bands of the tokens after the leading ones. Each line
+    meets the first one of each of its bands; only those that this doesn't drop meet all others.
+    """
+    docs = docs.select("doc_id", "text")
+    # Lines of up to four tokens may differ in none.
+    classes = first_places(line_keys(docs, APART, 1, (), False))
+    several = classes.groupBy("leaf").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("leaf")
+    wanted = classes.join(several, "leaf").groupBy(F.col("p.d").alias("d"), F.col("p.h").alias("h")).agg(F.collect_list(F.struct("leaf", "k", "p", "most")).alias("w"))
+    lines = docs.select(*document_names(), F.split("text", "\n").alias("raw")).join(wanted, ["d", "h"])
+    lines = lines.select(F.explode(F.transform("w", lambda c: F.struct(c.alias("c"), F.trim(F.get("raw", c["p"]["line"])).alias("raw")))).alias("x")).select("x.c.*", tokens_of(F.col("x.raw")).alias("t"))
+    known = settled(lines.select("leaf", "k", "p", "most", F.transform("t", lambda w: F.xxhash64(w)).alias("t")))
+    release(docs.sparkSession)
+
+    band = f"xxhash64(i, slice(t, {LEADING + 1} + int((size(t) - {LEADING}) * i div (size(t) div {APART} + 1)), int((size(t) - {LEADING}) * (i + 1) div (size(t) div {APART} + 1)) - int((size(t) - {LEADING}) * i div (size(t) div {APART} + 1))))"
+    bands = F.expr(f"transform(sequence(0, int(size(t) div {APART})), i -> {band})")
+    cells = known.select("leaf", "k", "p", F.explode(bands).alias("b"))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """(leaf, k, p, q) of the pairs (leaf, k, o) that are similar and make two documents: their first places."""
+        other = known.select("leaf", F.col("k").alias("o"), F.col("p").alias("q"), F.col("most").alias("most_o"), F.col("t").alias("u"))
+        met = pairs.distinct().join(known, ["leaf", "k"]).join(other, ["leaf", "o"]).where(f"size(t) = size(u) and slice(t, 1, {LEADING}) = slice(u, 1, {LEADING}) and least(p.d, q.d) <> greatest(most, most_o)")
+        same = F.size(F.filter(F.zip_with("t", "u", lambda a, b: a == b), lambda x: x))
+        return met.where(APART * same >= (APART - 1) * F.size("t")).select("leaf", "k", "p", "q")
+
+    heads = cells.groupBy("leaf", "b").agg(F.min(F.struct("p", "k")).alias("v"), F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("leaf", "b", F.col("v.k").alias("o"))
+    gone = settled(similar(cells.join(heads, ["leaf", "b"]).where("k <> o").select("leaf", "k", "o")).where("q < p").groupBy("leaf", "k").agg(F.min("q").alias("p")))
+    rest = cells.join(gone.select("leaf", "k"), ["leaf", "k"], "left_anti").join(heads.select("leaf", "b"), ["leaf", "b"])
+    met = rest.select("leaf", "b", "k").join(cells.select("leaf", "b", F.col("k").alias("o")), ["leaf", "b"]).where("k <> o")
+    found = similar(met.select("leaf", "k", "o")).groupBy("leaf", "k").agg(F.min(F.least("p", "q")).alias("p"))
+    return settled(gone.unionByName(found))
+
+
+def dropped_similar_lines(docs: DataFrame, generalise_from: int = 12) -> DataFrame:
+    """(d, h, lines): the numbers of the lines that go, by document.
+
+    Beside the templates of `dropped_lines`, two lines of a leaf are one where four of five tokens or more,
+    digits masked, are the same at the same place, wherever the others stand.
+    """
+    docs = docs.select("doc_id", "text")
+    akin = kin(docs)
+    release(docs.sparkSession)
+    keys = line_keys(docs, 3, generalise_from)
+    return others(keys, first_places(keys).where("p.d <> most").select("leaf", "k", "p").unionByName(akin))
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the dropped lines, and columns n_lines, n_dropped before any other change: the lines
+    that the text had, and those that went."""
+    gone = dropped.select(F.col("d").alias("_gone_d"), F.col("h").alias("_gone_h"), F.col("lines").alias("_gone_lines"))
     here = docs.withColumns({"_line_d": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), "_line_h": F.xxhash64("text")})
     joined = here.join(gone, (F.col("_line_d") == F.col("_gone_d")) & (F.col("_line_h") == F.col("_gone_h")), "left")
     rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone_lines"), i)), "\n")
@@ -65,6 +135,16 @@ def drop_recurring_lines(docs: DataFrame, min_tokens: int = 3, generalise_from:
     return joined.select(*(text.alias(c) if c == "text" else joined[f"`{c}`"] for c in docs.columns), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"), F.coalesce(F.size("_gone_lines"), F.lit(0)).alias("n_dropped"))
 
 
+def drop_recurring_lines(docs: DataFrame, min_tokens: int = 3, generalise_from: int = 12) -> DataFrame:
+    """docs with recurring templates' lines dropped from text, and columns n_lines, n_dropped."""
+    return without(docs, dropped_lines(docs, min_tokens, generalise_from))
+
+
+def drop_similar_lines(docs: DataFrame, generalise_from: int = 12) -> DataFrame:
+    """`drop_recurring_lines` with templates of similar lines."""
+    return without(docs, dropped_similar_lines(docs, generalise_from))
+
+
 ORACLE_SQL = """
 with l as (
   select doc_id as d, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line, trim(unnest(string_split(text, chr(10))), ' ') as raw from documents

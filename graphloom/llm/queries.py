@@ -32,6 +32,11 @@ def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_recurring_lines(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op4_similar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4_line_templates with templates of similar lines."""
+    return line_templates.drop_similar_lines(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op5_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(documents(spark, sf_dir))
 
@@ -58,6 +63,6 @@ def op10_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "n_words", "n_switched")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_nnpu, op2_unigram_token_counts, op3_license_templates, op4_line_templates, op5_parity_sketch_join, op6_epsilon_grid_join, op7_bpe_forced_boundaries, op8_media_columns, op9_best_fit_packing, op10_crf_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_nnpu, op2_unigram_token_counts, op3_license_templates, op4_line_templates, op4_similar_lines, op5_parity_sketch_join, op6_epsilon_grid_join, op7_bpe_forced_boundaries, op8_media_columns, op9_best_fit_packing, op10_crf_language_id)}
 
 ORACLE_SQL = {"op4_line_templates": line_templates.ORACLE_SQL, "op5_parity_sketch_join": near_duplicates.ORACLE_SQL, "op6_epsilon_grid_join": embeddings.ORACLE_SQL}

@@ -181,6 +181,55 @@ def test_line_plan_is_native(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def drop_similar_brute(rows):
+    """Every pair of lines of a leaf is compared."""
+    gone = drop_brute(rows)
+    places = collections.defaultdict(set)
+    for d, text in rows:
+        for i, line in enumerate((text or "").split("\n")):
+            if line.strip():
+                places[tuple("<*>" if re.search("[0-9]", w) else w for w in line.strip(" ").split(" "))].add((d, i))
+            else:
+                gone.discard((d, i))
+    for a in places:
+        for b in places:
+            if a != b and len(a) == len(b) and a[:3] == b[:3] and 5 * sum(x == y for x, y in zip(a, b)) >= 4 * len(a):
+                both = places[a] | places[b]
+                if len({d for d, _ in both}) > 1:
+                    gone |= both - {min(both)}
+    return gone
+
+
+def test_similar_lines_match_brute_force(spark):
+    rng = random.Random(7)
+    pool = [words(rng, n) for n in (1, 2, 4, 5, 6, 9, 10, 14, 31, 60) for _ in range(4)]
+    texts = []
+    for _ in range(90):
+        lines = ["", "\t", f"error {rng.randrange(99)} in {rng.choice('abc')} x"]
+        for _ in range(rng.randrange(1, 9)):
+            w = list(rng.choice(pool))
+            for _ in range(rng.randrange(len(w) // 4 + 2)):
+                if len(w) > 3:
+                    w[rng.randrange(3, len(w))] = rng.choice(("odd", "even", f"n{rng.randrange(9)}"))
+            lines.append(" ".join(w))
+        rng.shuffle(lines)
+        texts.append("\n".join(lines))
+    # Two variable words in different quarters; one under 12 tokens; one in the first quarter; a short line.
+    texts += ["a b c " + " ".join(f"{q}{x}" if q in "fq" else q for q in "defghijklmnopqrst") for x in ("one", "two")]
+    texts += ["to be or not to see\nLes.", "to be or not to go\nLes."] + EDGES
+    rows = list(enumerate(texts))
+    gone = drop_similar_brute(rows)
+    assert len(gone - drop_brute(rows)) > 50 and (91, 0) in gone
+    d = clashing(docs(spark, texts))
+    out = line_templates.drop_similar_lines(d)
+    assert out.columns == [*d.columns, "n_lines", "n_dropped"]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in out.collect()}
+    for i, t in rows:
+        want = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)
+        assert got[i] == (want, sum(a == i for a, _ in gone)), i
+    assert line_templates.drop_similar_lines(empty(spark)).count() == 0
+
+
 # 5
 
 

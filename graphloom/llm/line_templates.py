@@ -112,7 +112,7 @@ def kin(docs: DataFrame) -> DataFrame:
 
 
 def dropped_similar_lines(docs: DataFrame, generalise_from: int = 12) -> DataFrame:
-    """(d, h, lines): the numbers of the lines that go, by document.
+    """(d, h, lines): the numbers of the lines that go, by document, with all lines that aren't blank in the tree.
 
     Beside the templates of `dropped_lines`, two lines of a leaf are one where four of five tokens or more,
     digits masked, are the same at the same place, wherever the others stand.
@@ -120,7 +120,7 @@ def dropped_similar_lines(docs: DataFrame, generalise_from: int = 12) -> DataFra
     docs = docs.select("doc_id", "text")
     akin = kin(docs)
     release(docs.sparkSession)
-    keys = line_keys(docs, 3, generalise_from)
+    keys = line_keys(docs, 1, generalise_from, blank=False)
     return others(keys, first_places(keys).where("p.d <> most").select("leaf", "k", "p").unionByName(akin))
 
 
@@ -141,7 +141,7 @@ def drop_recurring_lines(docs: DataFrame, min_tokens: int = 3, generalise_from:
 
 
 def drop_similar_lines(docs: DataFrame, generalise_from: int = 12) -> DataFrame:
-    """`drop_recurring_lines` with templates of similar lines."""
+    """`drop_recurring_lines` for lines of any length, and with templates of similar lines."""
     return without(docs, dropped_similar_lines(docs, generalise_from))
 
 

@@ -33,7 +33,7 @@ def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_similar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op4_line_templates with templates of similar lines."""
+    """op4_line_templates with lines of all lengths and templates of similar lines."""
     return line_templates.drop_similar_lines(documents(spark, sf_dir).select("doc_id", "text"))
 
 

@@ -183,7 +183,7 @@ def test_line_plan_is_native(spark):
 
 def drop_similar_brute(rows):
     """Every pair of lines of a leaf is compared."""
-    gone = drop_brute(rows)
+    gone = drop_brute(rows, 1)
     places = collections.defaultdict(set)
     for d, text in rows:
         for i, line in enumerate((text or "").split("\n")):
@@ -219,7 +219,7 @@ def test_similar_lines_match_brute_force(spark):
     texts += ["to be or not to see\nLes.", "to be or not to go\nLes."] + EDGES
     rows = list(enumerate(texts))
     gone = drop_similar_brute(rows)
-    assert len(gone - drop_brute(rows)) > 50 and (91, 0) in gone
+    assert len(gone - drop_brute(rows)) > 50 and {(91, 0), (93, 1)} <= gone
     d = clashing(docs(spark, texts))
     out = line_templates.drop_similar_lines(d)
     assert out.columns == [*d.columns, "n_lines", "n_dropped"]

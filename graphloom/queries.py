@@ -137,6 +137,13 @@ def traverse_in(spark, sf):
     return ids(navigation.traverse(g, seeds, "PLACED_BY", "in"))
 
 
+@query(f"select 'order:' || o_orderkey as id from orders where {live('o_orderkey')} and {live_edge('o_orderkey')} and {live('o_custkey')}")
+def traverse_in_all_customers(spark, sf):
+    """traverse_in from every live customer."""
+    g = load(spark, sf, ["CUSTOMER", "ORDER"], ["PLACED_BY"])
+    return ids(navigation.traverse(g, retrieval.find_by_type(g, "CUSTOMER"), "PLACED_BY", "in"))
+
+
 @query(f"""with e as (select 'turn:' || conv_id || ':' || turn as s, 'turn:' || conv_id || ':' || (turn - 1) as t from conversations where turn > 0 and {live_edge('(conv_id + turn)')}),
 n as (select 'turn:' || conv_id || ':' || turn as id, role from conversations where {live('(conv_id + turn)')}),
 far as (select e.t as id from n join e on n.id = e.s where role = 'user' union all select e.s from n join e on n.id = e.t where role = 'user') select far.id from far join n using (id)""")

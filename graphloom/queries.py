@@ -15,7 +15,7 @@ from .operators import conversations, dataset, events, lists, meta, navigation,
 from .plans import verify
 from .plans.executor import Executor
 from .plans.plan import Plan
-from .sources.tables import AS_OF, load, table
+from .sources.tables import AS_OF, NODES, load, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -88,6 +88,21 @@ def all_nodes(spark, sf):
     return ids(retrieval.all_nodes(load(spark, sf, ["REGION", "NATION"]), deprecated=True))
 
 
+# Every declared type: its table, its rows, the prefix of its ids and its key.
+TYPES_SQL = [
+    ("REGION", "region", "true", "region", "r_regionkey"), ("NATION", "nation", "true", "nation", "n_nationkey"), ("CUSTOMER", "customer", "true", "customer", "c_custkey"), ("SUPPLIER", "supplier", "true", "supplier", "s_suppkey"),
+    ("PART", "part", "true", "part", "p_partkey"), ("ORDER", "orders", "true", "order", "o_orderkey"), ("DOC", "documents", "true", "doc", "doc_id"), ("VECTOR", "embeddings", "true", "vector", "vec_id"), ("PAGE", "pages", "true", "page", "page_id"),
+    ("EVENT_LOG", "events", "true", "event", "event_id"), ("INTERRUPT_L1", "events", "event_type = 'error' and value > 100", "l1", "event_id"), ("INTERRUPT_L2", "events", "event_type <> 'error'", "l2", "event_id"),
+    ("SESSION", "(select distinct conv_id from conversations)", "true", "session", "conv_id"),
+]
+
+
+@query(" union all ".join([f"select '{prefix}:' || {key} as id from {name} where {rows}" for _, name, rows, prefix, key in TYPES_SQL] + ["select 'turn:' || conv_id || ':' || turn from conversations"]))
+def all_nodes_all_types(spark, sf):
+    """all_nodes over every declared type."""
+    return ids(retrieval.all_nodes(load(spark, sf, list(NODES)), deprecated=True))
+
+
 def first_vector(spark, sf):
     """The query vector of the similarity queries: the one with id 1, one row."""
     return table(spark, sf, "embeddings").where("vec_id = 1").select("embedding").first()["embedding"]
@@ -325,6 +340,12 @@ def type_stats(spark, sf):
     return lists.count_by_type(load(spark, sf, ["CUSTOMER", "NATION", "PART"]))
 
 
+@query(" union all ".join([f"select '{t}' as type_id, count(*) as n from {name} where {rows} and {live(key)}" for t, name, rows, _, key in TYPES_SQL] + [f"select 'CONVERSATION_TURN', count(*) from conversations where {live('(conv_id + turn)')}"]))
+def type_stats_all_types(spark, sf):
+    """type_stats over every declared type."""
+    return lists.count_by_type(load(spark, sf, list(NODES)))
+
+
 # Reasoning
 
 

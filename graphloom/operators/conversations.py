@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -9,12 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import properties as P
+from ..functions.vector import hash_embedding
 from ..graph import Graph
 from .retrieval import scored
 
 TURN = "CONVERSATION_TURN"
 # Sizes of rendered blocks.
 TURN_CHARS, CHECKPOINT_TURN_CHARS, CHECKPOINT_CHARS = 600, 800, 4000
+# Fixed value: characters of a text that its embedding is made of.
+EMBEDDED_CHARS = 800
 
 
 def token_count(text: Column) -> Column:
@@ -55,6 +59,19 @@ def turns_of(g: Graph) -> DataFrame:
     return g.live.where(F.col("type_id") == TURN).select("id", "created_at", "embedding", *fields, P.number(p, "turn_index").cast("long").alias("turn_index"))
 
 
+def turn_embedding(role: Column, text: Column) -> Column:
+    """Of the type, the role and the text's first 800 characters."""
+    blank = F.lit("")
+    return hash_embedding(F.concat(F.lit(f"{TURN} "), F.coalesce(role, blank), F.lit(": "), F.substring(F.coalesce(text, blank), 1, EMBEDDED_CHARS)))
+
+
+def embedded(g: Graph) -> Graph:
+    """g with embeddings for turns that have none."""
+    p = F.col("properties")
+    bare = F.col("embedding").isNull() & (F.col("type_id") == TURN)
+    return replace(g, nodes=g.nodes.withColumn("embedding", F.when(bare, turn_embedding(P.text(p, "role"), P.text(p, "text"))).otherwise(F.col("embedding"))))
+
+
 def recent_turns(turns: DataFrame, n: int = 6, session_id: str | None = None) -> DataFrame:
     """The last n turns of a session, or of each, in order."""
     chosen = turns if session_id is None else turns.where(F.col("session_id") == session_id)

@@ -512,6 +512,21 @@ def context_block(spark, sf):
     return conversations.context_block(g, retrieval.embed("CONVERSATION_TURN what was decided"), "3")
 
 
+@query(f"""with t as (select *, {ASOF} + to_seconds(conv_id * 1000 + turn) as said_at, 'turn:' || conv_id || ':' || turn as id, sha256('CONVERSATION_TURN ' || role || ': ' || substr(text, 1, 800)) as h from conversations),
+v as (select *, list_transform(range(0, 32), lambda i: ('0x' || substr(h, (i * 2 + 1)::int, 2))::int / 255.0::double * 2 - 1) as v from t),
+top as (select *, list_cosine_similarity(v, (select v from v where conv_id = 1 and turn = 0)) as score from v order by score desc, id limit 24),
+hit as (select * from top where score >= 0.55 and {live('(conv_id + turn)')} and conv_id <> 3 order by score desc, id limit 4),
+r as (select * from t where conv_id = 3 and {live('(conv_id + turn)')} order by turn desc limit 6),
+b as (select 'recent' as section, id, '' as session, turn, role, said_at, trim(text) as text from r union all select 'semantic', id, 'session:' || substr(conv_id::varchar, 1, 8) || ' | ', turn, role, said_at, trim(text) from hit)
+select section, id, '[turn ' || turn || ' | ' || role || ' | ' || session || strftime(said_at, '%Y-%m-%d %H:%M:%S') || ']' || chr(10) || case when length(text) > 600 then substr(text, 1, 600) || '…' else text end as block from b
+union all select 'total', '', count(*)::varchar from conversations""")
+def context_block_semantic(spark, sf):
+    """context_block over embedded turns; the query is what session 1 opened with."""
+    asked = said(spark, sf).where("session_id = '1' and turn_index = 0").select("role", "text").first()
+    g = conversations.embedded(load(spark, sf, ["CONVERSATION_TURN"]))
+    return conversations.context_block(g, conversations.turn_embedding(F.lit(asked["role"]), F.lit(asked["text"])), "3")
+
+
 @query(f"""with l as (select conv_id, turn, '[' || role || '] ' || substr(text, 1, 800) as x from conversations where {live('(conv_id + turn)')} qualify row_number() over (partition by conv_id order by turn desc) <= 40)
 select conv_id::varchar as session_id, substr(string_agg(x, chr(10) || '---' || chr(10) order by turn), 1, 4000) as summary from l group by 1""")
 def checkpoint_summary(spark, sf):

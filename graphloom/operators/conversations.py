@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import properties as P
-from ..functions.vector import hash_embedding
+from ..functions.vector import cosine, hash_embedding
 from ..graph import Graph
 from .retrieval import scored
 
 TURN = "CONVERSATION_TURN"
 # Sizes of rendered blocks.
 TURN_CHARS, CHECKPOINT_TURN_CHARS, CHECKPOINT_CHARS = 600, 800, 4000
-# Fixed value: characters of a text that its embedding is made of.
-EMBEDDED_CHARS = 800
+# Characters of a text that its embedding, and that of what it refers to, are made of.
+EMBEDDED_CHARS, REFERRING_CHARS = 800, 1000
 
 
 def token_count(text: Column) -> Column:
@@ -94,6 +94,16 @@ def references(g: Graph, query: Column, k: int = 5, threshold: float = 0.5) -> D
     return top.where((F.col("score") >= threshold) & ~F.col("deprecated") & ~F.col("type_id").isin(TURN, "SESSION", "INFERRED")).orderBy(*best).limit(k)
 
 
+def references_of(nodes: DataFrame, turns: DataFrame, k: int = 5, threshold: float = 0.5) -> DataFrame:
+    """(id, target) for each of turns (id, text): what `references` finds for the text's first 1000 characters."""
+    asked = turns.select(F.col("id").alias("turn"), hash_embedding(F.substring(F.coalesce("text", F.lit("")), 1, REFERRING_CHARS)).alias("asked"))
+    near = nodes.where("embedding is not null").crossJoin(asked).withColumn("score", cosine(F.col("embedding"), F.col("asked"))).where(F.col("score") >= threshold)
+    nth = F.row_number().over(Window.partitionBy("turn").orderBy(F.desc("score"), "id"))
+    top = near.select("turn", "id", "type_id", "deprecated", "score").withColumn("nth", nth).where(F.col("nth") <= 4 * k)
+    kept = top.where(~F.col("deprecated") & ~F.col("type_id").isin(TURN, "SESSION", "INFERRED")).withColumn("nth", nth).where(F.col("nth") <= k)
+    return kept.select(F.col("turn").alias("id"), F.col("id").alias("target"))
+
+
 def rendered(show_session: bool = False) -> Column:
     """A turn as `[turn i | role | time]` and its text, cut after 600 characters."""
     at = F.replace(F.substring(F.coalesce("timestamp", F.lit("")), 1, 19), F.lit("T"), F.lit(" "))

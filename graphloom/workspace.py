@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import properties as P
+from .functions.vector import hash_embedding
 from .graph import Graph
 from .operators import conversations, events, lists, reasoning, retrieval
 from .plans.executor import Executor, Result
@@ -45,21 +47,25 @@ class Workspace:
         self.store.add("edges", edges.dropDuplicates(["id"]).join(known, "id", "left_anti").withColumns({"directional": F.lit(True), "version": F.lit(1), "created_at": F.lit(as_of)}))
 
     def converse(self, turns: DataFrame, as_of: datetime) -> None:
-        """Turns (session_id, turn_index, role, text) that aren't there yet, their sessions, PART_OF and FOLLOWS."""
+        """Turns (session_id, turn_index, role, text) that aren't there yet, their sessions, PART_OF, FOLLOWS and REFERENCES."""
         had = conversations.turns_of(self.graph)
         new = conversations.new_turns(had, turns)
         at = F.lit(as_of).cast("timestamp_ntz")
         key = F.concat_ws(":", F.lit("turn"), "session_id", F.col("turn_index").cast("string"), "role")
         session = F.concat(F.lit("session:"), F.col("session_id"))
         fields = {c: F.col(c) for c in ("session_id", "turn_index", "role", "text")} | {"timestamp": F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), "token_count": conversations.token_count(F.col("text"))}
-        nodes = events.record(new, conversations.TURN, fields, key, at, 0.9)
+        nodes = events.record(new, conversations.TURN, fields, key, at, 0.9).withColumn("embedding", conversations.turn_embedding(*(P.text(F.col("properties"), n) for n in ("role", "text"))))
         opened = self.graph.nodes.where("type_id = 'SESSION'").select(F.substring("id", 9, 1000).alias("session_id"))
         heads = events.record(conversations.sessions(opened, new), "SESSION", {"session_id": F.col("session_id")}, session, at)
+        # A project's name would stand at the end; turns have none.
+        heads = heads.withColumn("embedding", hash_embedding(F.concat(F.lit("SESSION "), P.text(F.col("properties"), "session_id"), F.lit(" "))))
         named = new.withColumn("id", key)
         chain = conversations.follows(had.select("session_id", "turn_index", "id").unionByName(named.select("session_id", "turn_index", "id"))).join(named.select("id"), "id", "left_semi")
         edges = events.relation(named, F.col("id"), session, "PART_OF", at).unionByName(events.relation(chain, F.col("id"), F.col("previous"), "FOLLOWS", at))
-        self.store.add("edges", edges)
-        self.store.add("nodes", nodes.unionByName(heads))
+        added = nodes.unionByName(heads)
+        near = conversations.references_of(self.graph.nodes.select(*added.columns).unionByName(added), named)
+        self.store.add("edges", edges.unionByName(events.relation(near, F.col("id"), F.col("target"), "REFERENCES", at, 0.8, 0.8)))
+        self.store.add("nodes", added)
 
     def plan(self, text: str) -> Plan:
         """The plan in a text that holds one, else the default plan of the query."""

@@ -2,6 +2,9 @@
 
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
+from graphloom.operators import conversations, events, retrieval
 from graphloom.workspace import Workspace
 
 NOW = datetime(2024, 1, 31)
@@ -29,3 +32,22 @@ def test_end_to_end(spark, tmp_path):
     assert answer["status"] in ("COMPLETE", "PARTIAL") and answer["text"]
     assert w.query('{"steps": [{"step_id": "s", "op": "NOPE"}]}', NOW)["status"] == "FAILED"
     assert w.assert_claim("files", ["file:main.py"]).first()["unknown_reason"] is None
+
+
+def test_conversations_are_embedded_and_refer(spark, tmp_path):
+    w = Workspace(spark, str(tmp_path / "graph"), create=True)
+    said, bare = "where is the parser?", w.graph.nodes.columns
+    at = F.lit(NOW).cast("timestamp_ntz")
+    for id, type_id, old in (("doc", "DOC", False), ("gone", "DOC", True), ("guess", "INFERRED", False)):
+        node = events.record(spark.range(1), type_id, {"x": F.lit(1)}, F.lit(id), at).withColumns({"embedding": retrieval.embed(said), "deprecated": F.lit(old)})
+        w.store.add("nodes", node.select(*bare))
+    turns = spark.createDataFrame([("s", 0, "user", said), ("s", 1, "assistant", "in parser.py"), ("t", 0, "user", said)], "session_id string, turn_index long, role string, text string")
+    for _ in range(2):
+        w.converse(turns, NOW)
+    found = w.graph.edges.where("type_id = 'REFERENCES'").select("source", "target", "weight", "confidence").collect()
+    refs = conversations.references(w.graph, retrieval.embed(said)).collect()
+    assert [r["id"] for r in refs] == ["doc"]
+    assert sorted(map(tuple, found)) == [("turn:s:0:user", "doc", 0.8, 0.8), ("turn:t:0:user", "doc", 0.8, 0.8)]
+    assert w.graph.nodes.where("type_id in ('CONVERSATION_TURN', 'SESSION') and embedding is null").count() == 0
+    like = conversations.turn_embedding(F.lit("user"), F.lit(said))
+    assert [r["id"] for r in conversations.semantic_turns(w.graph, like, "s").collect()] == ["turn:t:0:user"]

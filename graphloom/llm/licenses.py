@@ -59,9 +59,10 @@ class Automaton:
 
     label: str
     steps: list[tuple] = field(default_factory=list)
-    lead: int = 0  # words that may stand before the first mandatory one
+    lead: int = 0  # replaceable regions before the first mandatory word
     anchor: bytes = b""  # the longest run of mandatory words
-    first: bytes = b""
+    first: bytes = b""  # the first mandatory word
+    starts: frozenset[bytes] = frozenset()  # the words that a match may begin with, but for replaceable ones
 
     @classmethod
     def compile(cls, label: str, template: str) -> Automaton:
@@ -75,18 +76,16 @@ class Automaton:
             elif part.startswith("{{"):
                 out.steps.append(("any", REPLACEMENT))
                 runs.append([])
+                out.lead += not out.first
             else:
                 found = words(part.encode())
                 out.steps += [("word", w) for w in found]
                 runs[-1] += found
+                out.first = out.first or next(iter(found), b"")
         out.anchor = b" ".join(max(runs, key=lambda r: len(b" ".join(r))))
         if not out.anchor:
             raise ValueError(f"template {label} has no mandatory words")
-        for step in out.steps:
-            if step[0] == "word" and not out.first:
-                out.first = step[1]
-            if not out.first and step[0] == "any":
-                out.lead += step[1]
+        out.starts = frozenset(out.steps[i][1] for i in out._close({0: 0}) if i < len(out.steps) and out.steps[i][0] == "word")
         return out
 
     def _close(self, states: dict[int, int]) -> dict[int, int]:
@@ -127,8 +126,8 @@ class Automaton:
         """(start, end) of every place where a match begins."""
         out = []
         for k, w in enumerate(tokens):
-            if w == self.first or self.lead and k + 1 < len(tokens) and tokens[k + 1] == self.first:
-                # A replaceable lead is tried with its one nearest word: more words match where one does.
+            if w == self.first or w in self.starts or self.lead and k + self.lead < len(tokens) and tokens[k + self.lead] == self.first:
+                # Replaceable leads are tried with one word each, the nearest: more words match where these do.
                 if (end := self.match(tokens, k)) is not None:
                     out.append((k, end))
         return out

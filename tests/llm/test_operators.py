@@ -134,6 +134,14 @@ def test_automata_take_optional_and_replaceable_words():
     assert find("use of software is free") == [] and find("use of this software and is free") == [] and find("use of " + "w " * 9 + "software is free") == []
 
 
+def test_automata_begin_with_optional_and_replaceable_words():
+    find = lambda template, t: licenses.Automaton.compile("x", template).find(licenses.words(t.encode()))
+    assert find("[[the]] software is free", "software is free") == [(0, 3)] and (0, 4) in find("[[the]] software is free", "the software is free")
+    assert find("[[this]] [[the]] software", "a software") == [(1, 2)] and (0, 2) in find("[[this]] [[the]] software", "this software")
+    assert find("{{a;x}} {{b;y}} is free", "x y is free") == [(0, 4)] and find("{{a;x}} {{b;y}} is free", "u v x y is free") == [(2, 6)] and find("{{a;x}} {{b;y}} is free", "y is free") == []
+    assert (0, 4) in find("[[the]] {{a;x}} is free", "the x is free") and find("[[the]] {{a;x}} is free", "x is free") == [(0, 3)]
+
+
 # 4
 
 

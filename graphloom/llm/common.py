@@ -17,19 +17,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch: bounds a Python worker's memory when texts are long.
-BATCH_ROWS = 1000
+#: Rows and bytes that a Python worker takes at once: working memory is some fifty times the bytes. Only a row that
+#: is longer by itself is more. Spark bounds what it sends by spark.sql.execution.arrow.maxBytesPerBatch.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 U64 = np.uint64
 
 
+def bounded(batches):
+    """The batches' rows, in lots within both bounds."""
+    todo = []
+    for b in batches:
+        todo.append(b)
+        while todo:
+            b = todo.pop()
+            if b.num_rows > 1 and (b.num_rows > BATCH_ROWS or b.nbytes > BATCH_BYTES):
+                half = b.num_rows // 2
+                todo += [b.slice(half), b.slice(0, half)]
+            else:
+                yield b
+
+
 def arrow_map(df: DataFrame, fn: Callable, schema: str | T.StructType) -> DataFrame:
     """mapInArrow with batches small enough for long texts."""
-    conf = df.sparkSession.conf
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(conf.get(key)) <= 0 or int(conf.get(key)) > BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(lambda it: fn(bounded(it)), schema)
 
 
 def with_text_columns(docs: DataFrame, keep: list[str], fn: Callable, columns: str) -> DataFrame:
@@ -155,9 +166,11 @@ def word_spans(data: np.ndarray, at: np.ndarray, gaps: np.ndarray) -> tuple[np.n
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is set."""
+    """The shared folder the cluster names; a folder of our own only where none is set and the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="checkpoint-")

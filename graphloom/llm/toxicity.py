@@ -17,13 +17,14 @@ often as they occur; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_WORD, U64, arrow_map, hash_words, joined, leading_bytes, mix64, with_text_columns, word_spans
+from .common import LOWER, NOT_WORD, U64, arrow_map, hash_words, joined, leading_bytes, mix64, settled, with_text_columns, word_spans
 
 BITS = 20
 PREFIXES = (4, 5, 6, 7, 8)
@@ -60,27 +61,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def telling(pos: list[np.ndarray], unl: list[np.ndarray], least: float = 3.5, texts: int = 3) -> np.ndarray:
-    """Which slots stand apart: their shares of confirmed and of unlabelled texts, equal texts
-    counted once, differ by `least` standard errors, and so many confirmed or unlabelled texts hold them."""
-    p, u = ({x.tobytes(): x for x in part} for part in (pos, unl))
-    counts = [np.bincount(np.concatenate(list(part.values())), minlength=1 << BITS) if part else np.zeros(1 << BITS, np.int64) for part in (p, u)]
-    both = (counts[0] + counts[1] + 1) / (len(p) + len(u) + 2)
-    error = np.sqrt(both * (1 - both) * (1 / (len(p) + 1) + 1 / (len(u) + 1)))
-    z = (counts[0] / (len(p) + 1) - counts[1] / (len(u) + 1)) / error
-    return ((z >= least) & (counts[0] >= texts)) | ((z <= -least) & (counts[1] >= texts))
+def telling(pos: np.ndarray, unl: np.ndarray, n_pos: int, n_unl: int, least: float = 3.5, texts: int = 3) -> np.ndarray:
+    """Which slots stand apart: of n_pos confirmed and n_unl unlabelled texts, pos and unl hold the slot;
+    the shares differ by `least` standard errors, and so many confirmed or unlabelled texts hold it."""
+    both = (pos + unl + 1) / (n_pos + n_unl + 2)
+    error = np.sqrt(both * (1 - both) * (1 / (n_pos + 1) + 1 / (n_unl + 1)))
+    z = (pos / (n_pos + 1) - unl / (n_unl + 1)) / error
+    return ((z >= least) & (pos >= texts)) | ((z <= -least) & (unl >= texts))
 
 
-def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, epochs: int = 60, batch: int = 512, rate: float = 0.3, decay: float = 1e-5, least: float = 3.5, seed: int = 7) -> Model:
-    """Adagrad on the non-negative risk of the logistic loss, over the telling features."""
-    model = Model(np.zeros(1 << BITS), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
+def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, size: int, epochs: int = 60, batch: int = 512, rate: float = 0.3, decay: float = 1e-5, seed: int = 7) -> Model:
+    """Adagrad on the non-negative risk of the logistic loss; texts hold features below `size`."""
+    model = Model(np.zeros(size), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
     if not pos or not unl:
         model.bias = -40.0
         return model
-    use = telling(pos, unl, least)
-    place = np.cumsum(use) - 1  # the fit's own weights are those of telling features alone
-    pos, unl = ([place[t[use[t]]] for t in part] for part in (pos, unl))
-    small, size = Model(np.zeros(max(int(use.sum()), 1)), model.bias), max(int(use.sum()), 1)
     rng, seen, seen_bias = np.random.default_rng(seed), np.full(size, 1e-6), 1e-6
     steps = max(1, -(-len(unl) // batch))
     for _ in range(epochs):
@@ -89,23 +84,65 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, epochs:
             texts = [pos[i] for i in p] + [unl[i] for i in u]
             first = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
             slots = np.concatenate(texts)
-            s = small.score(slots, first)
+            s = model.score(slots, first)
             sp, su, n = s[: len(p)], s[len(p) :], len(p)
             pull_p = prior * (sp - 1) / n  # of p*R(+)
             push_u, push_p = su / len(u), -prior * sp / n  # of Ru(-) - p*Rp(-)
             negative = -np.log1p(-np.minimum(su, 1 - 1e-9)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-9)).mean()
             g = np.concatenate((pull_p + push_p, push_u)) if negative >= 0 else np.concatenate((-push_p, -push_u))
-            grad = np.bincount(slots, np.repeat(g, np.diff(first)), size) + decay * small.weights
+            grad = np.bincount(slots, np.repeat(g, np.diff(first)), size) + decay * model.weights
             seen += grad * grad
-            small.weights -= rate * grad / np.sqrt(seen)
+            model.weights -= rate * grad / np.sqrt(seen)
             seen_bias += g.sum() ** 2
-            small.bias -= rate * g.sum() / np.sqrt(seen_bias)
-    model.weights[use], model.bias = small.weights[: use.sum()], small.bias
+            model.bias -= rate * g.sum() / np.sqrt(seen_bias)
     return model
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, train, positives: int, unlabelled: int) -> tuple[list, list, float]:
-    """Features of confirmed and of unlabelled texts, and the class prior.
+#: Ranges of slots that are counted apart.
+RANGES = 16
+
+
+def slot_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """How many confirmed and how many unlabelled texts (confirmed, slots) hold each slot, equal texts once, and
+    how many there are: added up on executors, two numbers for each slot reach the driver."""
+
+    def count(it):
+        import pyarrow as pa
+
+        sums, n = np.zeros((2, 1 << BITS), np.uint32), [0, 0]
+        for b in it:
+            for confirmed, slots in zip(b.column(0).to_pylist(), b.column(1)):
+                row = 0 if confirmed else 1
+                sums[row, np.frombuffer(slots.as_buffer(), np.int32)] += 1  # a text's slots are distinct
+                n[row] += 1
+        if any(n):
+            parts = [zlib.compress(x.tobytes(), 1) for x in np.split(sums, RANGES, axis=1)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array(parts, pa.binary()), *(pa.array([x] + [0] * (RANGES - 1), pa.int64()) for x in n)], names=["part", "sums", "p", "u"])
+
+    def add(it):
+        import pyarrow as pa
+
+        sums: dict[int, list] = {}
+        for b in it:
+            for part, raw, p, u in zip(*(c.to_pylist() for c in b.columns)):
+                x = np.frombuffer(zlib.decompress(raw), np.uint32)
+                old = sums.setdefault(part, [0, 0, 0])
+                sums[part] = [old[0] + x, old[1] + p, old[2] + u]
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x[0].tobytes() for x in sums.values()], pa.binary()), *(pa.array([x[k] for x in sums.values()], pa.int64()) for k in (1, 2))], names=["part", "sums", "p", "u"])
+
+    schema = "part int, sums binary, p long, u long"
+    once = texts.groupBy("confirmed", F.xxhash64("slots"), F.length("slots")).agg(F.first("slots").alias("slots")).select("confirmed", "slots")
+    out, n = np.zeros((2, 1 << BITS), np.int64), [0, 0]
+    width = (1 << BITS) // RANGES
+    for r in arrow_map(arrow_map(once, count, schema).repartition(RANGES, "part"), add, schema).collect():  # 8 MB in all
+        out[:, r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["sums"], np.uint32).reshape(2, -1)
+        n = [n[0] + r["p"], n[1] + r["u"]]
+    return out[0], out[1], *n
+
+
+def training_texts(docs: DataFrame, labels: DataFrame, train, positives: int, unlabelled: int) -> tuple[DataFrame, float]:
+    """(confirmed, slots) of confirmed and of unlabelled texts, and the class prior.
 
     `train` is a condition on doc_id: labels of other rows are not read. The unlabelled
     texts are a draw from the rows that labels names, whatever their label, so that the
@@ -124,15 +161,35 @@ def training_texts(docs: DataFrame, labels: DataFrame, train, positives: int, un
             slots, first = word_features(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([slots[i:j].tobytes() for i, j in zip(first, first[1:])], pa.binary())], names=["confirmed", "slots"])
 
-    rows = arrow_map(docs.join(chosen, docs.doc_id == chosen.id).select("confirmed", docs.text.cast("string").alias("text")), features, "confirmed boolean, slots binary").collect()
+    texts = arrow_map(docs.join(chosen, docs.doc_id == chosen.id).select("confirmed", docs.text.cast("string").alias("text")), features, "confirmed boolean, slots binary")
+    return texts, (n_pos or 0) / n if n else 0.0
+
+
+def learn(docs: DataFrame, labels: DataFrame, train, positives: int = 6000, unlabelled: int = 12000, prior: float | None = None) -> Model:
+    """A model over all slots. Of the training texts only telling features reach the driver."""
+    texts, share = training_texts(docs, labels, train, positives, unlabelled)
+    texts = settled(texts)
+    use = telling(*slot_counts(texts))
+    place = (np.cumsum(use) - 1).astype(np.int32)
+
+    def of_use(it):
+        import pyarrow as pa
+
+        for b in it:
+            slots = [np.frombuffer(x.as_buffer(), np.int32) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([place[x[use[x]]].tobytes() for x in slots], pa.binary())], names=["confirmed", "slots"])
+
+    rows = arrow_map(texts, of_use, "confirmed boolean, slots binary").orderBy("confirmed", "slots").collect()
     pos, unl = ([np.frombuffer(r["slots"], np.int32) for r in rows if r["confirmed"] is kind] for kind in (True, False))
-    return pos, unl, (n_pos or 0) / n if n else 0.0
+    small = fit_nnpu(pos, unl, share if prior is None else prior, int(use.sum()))
+    model = Model(np.zeros(1 << BITS), small.bias)
+    model.weights[use] = small.weights
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, train, positives: int = 6000, unlabelled: int = 12000, prior: float | None = None, keep: list[str] | None = None) -> DataFrame:
     """docs' rows as the columns `keep` (doc_id unless given) and score: the model's probability that label 1 holds."""
-    pos, unl, share = training_texts(docs, labels, train, positives, unlabelled)
-    return scores(docs, fit_nnpu(pos, unl, share if prior is None else prior), keep or ["doc_id"])
+    return scores(docs, learn(docs, labels, train, positives, unlabelled, prior), keep or ["doc_id"])
 
 
 def scores(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:

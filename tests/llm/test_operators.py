@@ -76,7 +76,7 @@ def test_risk_is_corrected_by_the_prior():
     noise = lambda: rng.integers(100, 1000, 20)
     pos = [np.append(noise(), 7).astype(np.int32) for _ in range(200)]
     unl = [np.append(noise(), 7 if i < 100 else 8).astype(np.int32) for i in range(500)]
-    m = toxicity.fit_nnpu(pos, unl, 0.2)
+    m = toxicity.fit_nnpu(pos, unl, 0.2, 1000)
     score = lambda x: m.score(np.array([x]), np.array([0, 1]))[0]
     assert score(7) > 0.5 > score(8)
 

@@ -1,20 +1,23 @@
 """N-gram Jaccard join by parity sketches: exact, without comparing all pairs.
 
 A text's set is its distinct 5-word shingles as 64-bit hashes. Two sets A, B with
-Jaccard >= 0.8 differ in at most d = (|A| + |B|) // 9 shingles. In a size band the
-shingles are dealt by hash to m > d classes and each class is reduced to the XOR of
-its members: a wide parity sketch, of which two linked sets agree in at least m - d
-classes (pigeonhole). A set emits one key per non-empty class; sets that share a key
-are candidates. Classes that are empty in both sets agree vacuously, so a set with m - d
-or more empty classes also emits keys under other seeds, and after those with its
-empty classes: no link is lost. Shingles that very many documents hold are left out of
-the first sketch, which can only bring sets closer; they are found by counting all
-shingles of all documents in a table of cells.
+Jaccard >= 0.8 differ in at most (|A| + |B|) // 9 shingles. In a size band the shingles
+are dealt by hash to m classes, more than the most that two sets of the band can differ
+in, and each class is reduced to the XOR of its members: a wide parity sketch, whose
+Hamming distance counted in classes is at most the symmetric difference (pigeonhole).
+A set emits one key per filled class. If it fills f and differs from a linked one in at
+most d shingles, they share f - d keys or more. So a set needs that many keys which
+others have as well: sets that have fewer link with nothing, and the others may leave
+out all but their rarest ones. A set with f <= d also emits keys under other seeds, and
+after those with its empty classes: no link is lost. Shingles that very many documents
+hold are left out of the first sketch, which can only bring sets closer; they are found
+by counting all shingles of all documents in a table of cells.
 
 Equal sets meet first: keys carry the set's own hash, so copies count once. Candidates
-are compared in rounds: in every key group first with one pivot, then only across the
-components so far, pruned by a bit sketch whose Hamming distance is a lower bound of
-the symmetric difference. What remains is verified on the whole sets.
+are compared in rounds: each set first with one pivot of its key groups, then with
+another, and only what key groups hold across components so far with all the others,
+pruned by a bit sketch whose Hamming distance is a lower bound of the symmetric
+difference. What remains is verified on the whole sets.
 
 Cases: null, empty and blank texts have no shingles and link with nothing; fewer than
 five words are one shingle; rows with equal ids are one vertex; a null id has a null
@@ -30,7 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, U64, arrow_map, components, hash_words, joined, mix64, release, settled, word_spans
+from pyspark.sql.window import Window
+
+from .common import LOWER, SPACES, U64, arrow_map, components, hash_words, joined, mix64, settled, word_spans
 
 WORDS = 5
 #: Cells that count shingles, and ranges they are summed in.
@@ -39,7 +44,10 @@ CELL_BITS, RANGES = 23, 64
 BUCKET_KEYS, FLUSH_KEYS = 3_000_000, 1_000_000
 #: Bits of the sketch that prunes candidates.
 SKETCH_BITS = 1024
-LEVELS = 4
+#: Seeds beside the first, and rounds in which a set meets one pivot.
+LEVELS, ROUNDS = 4, 2
+#: Bits of a table of wanted documents, at most.
+WANTED_BITS = 27
 
 # Cells of sizes: the smaller set of a pair lies in one, the larger is at most 5/4 of it.
 EDGES = [1]
@@ -55,7 +63,8 @@ def most_different(cell: int) -> int:
 
 
 def classes(d: int) -> int:
-    return d + 2 + int(0.03 * d + 0.5 * d**0.5) if d else 0
+    """More than d, by so many that unrelated sets rarely share as many keys as linked ones must."""
+    return d + 2 + int(0.15 * d + 0.5 * d**0.5) if d else 0
 
 
 def shingles(column) -> tuple[np.ndarray, np.ndarray]:
@@ -150,52 +159,54 @@ def hot_cells(read: DataFrame, total: int, rows: int) -> np.ndarray:
     return flags
 
 
-def band_keys(h: np.ndarray, doc: np.ndarray, sizes: np.ndarray, rows: np.ndarray, cell: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the sets `rows` (indices into sizes) in a cell's band, and the set of each key.
+def band_keys(h: np.ndarray, doc: np.ndarray, rows: np.ndarray, differ: np.ndarray, cell: int, hot: np.ndarray):
+    """Keys of sets in a cell's band, level by level: yields keys, the place in rows of each, rows, and how
+    many of its keys each must share with a linked set.
 
-    h, doc: those sets' shingles and the set of each.
+    h, doc: the sets' shingles and the set of each; rows: the sets, in order; differ: the most shingles
+    that each may differ in from a linked one.
     """
-    d = most_different(cell)
-    m = classes(d)
-    keys, owners = [], []
+    m = classes(most_different(cell))
     cell_of = (h >> U64(64 - CELL_BITS)).astype(np.int64)
     cold = (hot[cell_of >> 3] >> (7 - (cell_of & 7)).astype(np.uint8) & 1) == 0
     for level in range(LEVELS + 1):
         hh, dd = (h[cold], doc[cold]) if not level else (h, doc)
         salt = mix64(np.array([cell << 8 | level], U64))
         x = mix64(hh ^ salt)
-        group = dd * m + (((x >> U64(32)) * U64(m)) >> U64(32)).astype(np.int64)
+        group = np.searchsorted(rows, dd) * m + (((x >> U64(32)) * U64(m)) >> U64(32)).astype(np.int64)
         order = np.argsort(group)
         group, x = group[order], x[order]
         begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.empty(0, np.int64)
         group, parity = group[begin], np.bitwise_xor.reduceat(x, begin) if len(begin) else np.empty(0, U64)
-        keys.append(mix64(parity ^ mix64((group % m).astype(U64) + salt)))
-        owners.append(group // m)
-        filled = np.bincount(group // m, minlength=len(sizes))[rows]
-        rows = rows[filled <= d]  # as many empty classes as linked sets need have in common
+        keys, owners = mix64(parity ^ mix64((group % m).astype(U64) + salt)), group // m
+        need = np.bincount(owners, minlength=len(rows)) - differ
+        more = need <= 0  # such sets may share empty classes alone
+        if level == LEVELS and more.any():
+            there = np.zeros((len(rows), m), bool)
+            there[owners, group % m] = True
+            r, c = np.nonzero(~there & more[:, None])
+            keys = np.concatenate((keys, mix64(mix64(c.astype(U64) + salt) ^ U64(0xA5A5A5A5))))
+            owners = np.concatenate((owners, r))
+            need = np.where(more, m - differ, need)
+        yield keys, owners, level, rows, np.maximum(need, 1)
+        rows, differ = rows[more], differ[more]
         if not len(rows):
             break
-        if level == LEVELS:
-            there = np.zeros((len(rows), m), bool)
-            at = np.searchsorted(rows, group // m)
-            mine = (at < len(rows)) & (rows[np.minimum(at, len(rows) - 1)] == group // m)
-            there[at[mine], group[mine] % m] = True
-            r, c = np.nonzero(~there)
-            keys.append(mix64(mix64(c.astype(U64) + salt) ^ U64(0xA5A5A5A5)))
-            owners.append(rows[r])
         keep = np.isin(doc, rows)
         h, doc, cold = h[keep], doc[keep], cold[keep]
-    return np.concatenate(keys), np.concatenate(owners)
 
 
-def all_keys(h: np.ndarray, first: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of every set, and the set of each key."""
+def all_keys(h: np.ndarray, first: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The keys of every set, and the entry of each key; of each entry its set, its tag (one for each band
+    and level of a set), and how many of its keys it must share with a linked set."""
     sizes = np.diff(first)
     own = np.searchsorted(EDGES_ARRAY, sizes, "right") - 1
     own[sizes == 0] = -1
-    below = np.where((own > 0) & (sizes <= (EDGES_ARRAY[np.maximum(own, 0)] - 1) * 5 // 4), own - 1, -1)
-    keys, owners = [np.empty(0, U64)], [np.empty(0, np.int64)]
-    doc = np.repeat(np.arange(len(sizes)), sizes)
+    most = EDGES_ARRAY[np.maximum(own, 0)] - 1  # of the cell below
+    below = np.where((own > 0) & (sizes <= most * 5 // 4), own - 1, -1)
+    differ = (sizes + sizes * 5 // 4) // 9, (sizes + most) // 9
+    out = [[np.empty(0, U64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint8)], [np.empty(0, np.int64)]]
+    doc, entries = np.repeat(np.arange(len(sizes)), sizes), 0
     for cell in np.unique(np.concatenate((own, below))):
         if cell < 0 or not most_different(int(cell)):
             continue  # there only equal sets link
@@ -203,27 +214,27 @@ def all_keys(h: np.ndarray, first: np.ndarray, hot: np.ndarray) -> tuple[np.ndar
         mask = np.zeros(len(sizes), bool)
         mask[rows] = True
         mine = mask[doc]
-        k, o = band_keys(h[mine], doc[mine], sizes, rows, int(cell), hot)
-        keys.append(k)
-        owners.append(o)
-    return np.concatenate(keys), np.concatenate(owners)
+        under = below == cell
+        for keys, owners, level, sets, need in band_keys(h[mine], doc[mine], rows, np.where(under, differ[1], differ[0])[rows], int(cell), hot):
+            for x, y in zip(out, (keys, owners + entries, sets, (under[sets].astype(np.uint8) << 3) | level, need)):
+                x.append(y)
+            entries += len(sets)
+    return tuple(np.concatenate(x) for x in out)
 
 
 def key_blocks(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """Keys dealt to buckets: rows (bucket, block). A block holds its sets' hashes, and each key's 40 low
-    bits with the place of its set."""
+    """Keys dealt to buckets: rows (bucket, block). A block holds its entries (set hash, need, tag), and each
+    key's 40 low bits with the place of its entry."""
 
     def run(it):
         known: set[int] = set()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        sets: list[np.ndarray] = []
-        n_keys = n_sets = 0
+        held: list[tuple] = []
+        n_keys = n_entries = 0
 
         def flush():
-            nonlocal n_keys, n_sets
+            nonlocal n_keys, n_entries
             if n_keys:
-                keys, owners = (np.concatenate(x) for x in zip(*held))
-                ids = np.concatenate(sets)
+                keys, owners, ids, tags, needs = (np.concatenate(x) for x in zip(*held))
                 bucket = ((keys >> U64(40)) * U64(buckets) >> U64(24)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 keys, owners, bucket = keys[order], owners[order], bucket[order]
@@ -233,11 +244,11 @@ def key_blocks(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                 for k in full:
                     o, places = np.unique(owners[cut[k] : cut[k + 1]], return_inverse=True)
                     low = keys[cut[k] : cut[k + 1]]
-                    blocks.append(b"".join((np.array([len(o), len(low)], "<u4").tobytes(), ids[o].astype("<u8").tobytes(), low.astype("<u4").tobytes(), (low >> U64(32)).astype(np.uint8).tobytes(), places.astype("<u2").tobytes())))
+                    parts = ([len(o), len(low)], "<u4"), (ids[o], "<u8"), (needs[o], "<u4"), (tags[o], "u1"), (low & U64(0xFFFFFFFF), "<u4"), (low >> U64(32) & U64(0xFF), "u1"), (places, "<u2")
+                    blocks.append(b"".join(np.asarray(x).astype(t).tobytes() for x, t in parts))
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
             held.clear()
-            sets.clear()
-            n_keys = n_sets = 0
+            n_keys = n_entries = 0
 
         for b in (b.slice(i, 200) for b in it for i in range(0, b.num_rows, 200)):
             h, first = shingles(b.column(0))
@@ -254,59 +265,70 @@ def key_blocks(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             sizes = np.diff(first)
             h = h[np.repeat(keep, sizes)]
             first = np.concatenate(([0], np.cumsum(sizes[keep])))
-            keys, owners = all_keys(h, first, hot)
-            held.append((keys, (owners + n_sets).astype(np.uint16)))  # flushed before 2**16 sets
-            sets.append(s[keep])
+            keys, owners, sets, tags, needs = all_keys(h, first, hot)
+            if n_entries + len(sets) > 65_000:  # places are 16 bits wide
+                yield from flush()
+            held.append((keys, owners + n_entries, s[keep][sets], tags, needs))
             n_keys += len(keys)
-            n_sets += len(fresh)
-            if n_keys >= FLUSH_KEYS or n_sets > 65_000:
+            n_entries += len(sets)
+            if n_keys >= FLUSH_KEYS:
                 yield from flush()
         yield from flush()
 
     return arrow_map(docs.select(F.col("text").cast("string").alias("text")), run, "bucket int, block binary")
 
 
-def candidates(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Rows (kind, a, b): kind 0 a pair of sets, of which a is the pivot of a key they share;
-    kind 1 the set b of the group a, for groups of three or more."""
+def shared_keys(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(g, s, tag, need, size): the keys g that two sets or more have, with each of these."""
 
     def run(it):
         parts: dict[int, list] = {}
         for b in it:
             for bucket, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 n, k = np.frombuffer(block, "<u4", 2).tolist()
-                at = 8 + 8 * n
-                ids = np.frombuffer(block, "<u8", n, 8)
-                low = np.frombuffer(block, "<u4", k, at).astype(U64)
-                high = np.frombuffer(block, np.uint8, k, at + 4 * k).astype(U64)
-                places = np.frombuffer(block, "<u2", k, at + 5 * k)
-                parts.setdefault(bucket, []).append((high << U64(32) | low, ids[places]))
+                at, got = 8, []
+                for t, size in (("<u8", n), ("<u4", n), ("u1", n), ("<u4", k), ("u1", k), ("<u2", k)):
+                    got.append(np.frombuffer(block, t, size, at))
+                    at += got[-1].nbytes
+                ids, needs, tags, low, high, places = got
+                parts.setdefault(bucket, []).append((high.astype(U64) << U64(32) | low.astype(U64), ids[places], needs[places], tags[places]))
         for bucket in list(parts):
-            keys, sets = (np.concatenate(x) for x in zip(*parts.pop(bucket)))
+            keys, sets, needs, tags = (np.concatenate(x) for x in zip(*parts.pop(bucket)))
             order = np.argsort(keys)
             keys = keys[order]
             same = keys[1:] == keys[:-1]
             shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            keys, sets = keys[shared], sets[order][shared]
-            order = np.lexsort((sets, keys))
-            keys, sets = keys[order], sets[order]
+            order = order[shared]
+            keys = keys[shared]
+            again = np.lexsort((sets[order], keys))
+            keys, order = keys[again], order[again]
+            sets = sets[order]
             new = np.ones(len(keys), bool)
             new[1:] = (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])
-            keys, sets = keys[new], sets[new]
+            keys, sets, order = keys[new], sets[new], order[new]
             lead = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
             size = np.diff(np.concatenate((lead, [len(keys)])))
-            pivot, group = np.repeat(sets[lead], size), np.repeat(size, size)
-            rest = np.ones(len(keys), bool)
-            rest[lead] = False
-            pairs = np.unique(np.stack((pivot[rest], sets[rest]), 1), axis=0) if rest.any() else np.empty((0, 2), U64)
-            many = group >= 3
-            g = mix64(keys[many] ^ mix64(np.array([bucket], U64)))
-            for kind, a, c in ((0, pairs[:, 0], pairs[:, 1]), (1, g, sets[many])):
-                for i in range(0, len(a), 100_000):
-                    x, y = (np.ascontiguousarray(v[i : i + 100_000]).view(np.int64) for v in (a, c))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind), pa.int32()), pa.array(x), pa.array(y)], names=["kind", "a", "b"])
+            size = np.repeat(size, size)
+            many = size >= 2
+            g = mix64(keys[many] ^ mix64(np.array([bucket], U64))).view(np.int64)
+            columns = g, np.ascontiguousarray(sets[many]).view(np.int64), tags[order[many]].astype(np.int32), needs[order[many]].astype(np.int32), size[many].astype(np.int32)
+            for i in range(0, len(g), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], names=["g", "s", "tag", "need", "size"])
 
-    return arrow_map(blocks.repartition(buckets, "bucket"), run, "kind int, a long, b long")
+    return arrow_map(blocks.repartition(buckets, "bucket"), run, "g long, s long, tag int, need int, size int")
+
+
+def telling_keys(shared: DataFrame) -> DataFrame:
+    """(g, s): of each entry with as many shared keys as a linked set needs the rarest ones. Two that share
+    `need` keys or more share one that isn't among the need - 1 most frequent keys of either."""
+    enough = shared.groupBy("s", "tag").agg(F.count("*").alias("k"), F.max("need").alias("least")).where("k >= least").select("s", "tag")
+    shared = shared.join(enough, ["s", "tag"], "left_semi")
+    # Once more, counting only the keys that sets left over share.
+    lively = shared.groupBy("g").agg(F.count("*").alias("size")).where("size >= 2")
+    shared = shared.drop("size").join(lively, "g")
+    entry = Window.partitionBy("s", "tag")  # the keys of one set
+    ranked = shared.withColumns({"k": F.count("*").over(entry), "rank": F.row_number().over(entry.orderBy(F.col("size").desc(), "g"))})
+    return ranked.where("k >= need and rank >= need").select("g", "s")
 
 
 def bit_sketch(h: np.ndarray) -> np.ndarray:
@@ -327,23 +349,64 @@ def folded(sketch: np.ndarray, words: int) -> np.ndarray:
 SKETCH = [f"k{i}" for i in range(SKETCH_BITS // 64)]
 
 
+def wanted_table(wanted: DataFrame) -> np.ndarray:
+    """A table of bits, in which the hashes of wanted ids and of the same with their sets are marked: 64 for each
+    wanted row unless that is more than 2**WANTED_BITS."""
+    bits = min(WANTED_BITS, max(16, (64 * wanted.count()).bit_length()))
+
+    def mark(it):
+        flags = np.zeros(1 << bits, bool)
+        for b in it:
+            ids, sets = numbers(b.column(0)), numbers(b.column(1))
+            flags[table_places(ids, bits)] = True
+            flags[table_places(ids ^ mix64(sets), bits)] = True
+        if flags.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array([zlib.compress(np.packbits(x).tobytes(), 1) for x in np.split(flags, RANGES)], pa.binary())], names=["part", "flags"])
+
+    def add(it):
+        sums: dict[int, np.ndarray] = {}
+        for b in it:
+            for part, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = np.frombuffer(zlib.decompress(raw), np.uint8)
+                sums[part] = sums[part] | x if part in sums else x
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "flags"])
+
+    schema = "part int, flags binary"
+    out = np.zeros((RANGES, (1 << bits) // 8 // RANGES), np.uint8)
+    for r in arrow_map(arrow_map(wanted.select("id", "s"), mark, schema).repartition(RANGES, "part"), add, schema).collect():  # 16 MB in all, at most
+        out[r["part"]] = np.frombuffer(r["flags"], np.uint8)
+    return np.unpackbits(out.ravel()).view(bool)
+
+
+def numbers(column) -> np.ndarray:
+    return column.fill_null(0).to_numpy(zero_copy_only=False).view(U64)
+
+
+def table_places(x: np.ndarray, bits: int) -> np.ndarray:
+    return (mix64(x) >> U64(64 - bits)).astype(np.int64)
+
+
 def wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(s, n, k0.., wide, shingles) of the sets whose document is in wanted (column id)."""
+    """(s, n, k0.., wide, shingles) of the wanted (id, s), and rarely of another document."""
+    table = wanted_table(wanted)
+    packed, bits = np.packbits(table), len(table).bit_length() - 1
 
     def run(it):
-        seen: set[int] = set()  # rows of one id arrive in one task
+        flags = np.unpackbits(packed).view(bool)
         for b in it:
-            h, first = shingles(b.column(0))
-            s = set_hashes(h, first).view(np.int64)
-            new = [i for i, x in enumerate(s.tolist()) if x and not (x in seen or seen.add(x))]
+            b = b.filter(pa.array(flags[table_places(numbers(b.column(0)), bits)]))
+            h, first = shingles(b.column(1))
+            s = set_hashes(h, first)
+            new = np.flatnonzero((s != 0) & flags[table_places(numbers(b.column(0)) ^ mix64(s), bits)])
+            s = s.view(np.int64)
             parts = [h[first[i] : first[i + 1]] for i in new]
             wide = [bit_sketch(x) for x in parts]
-            bits = np.array([folded(w, len(SKETCH)) for w in wide], np.int64).reshape(-1, len(SKETCH))
+            lean = np.array([folded(w, len(SKETCH)) for w in wide], np.int64).reshape(-1, len(SKETCH))
             wide = [w.tobytes() if len(w) > len(SKETCH) else None for w in wide]
-            yield pa.RecordBatch.from_arrays([pa.array(s[new]), pa.array([len(x) for x in parts], pa.int64()), *(pa.array(c) for c in bits.T), pa.array(wide, pa.binary()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["s", "n", *SKETCH, "wide", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(s[new]), pa.array([len(x) for x in parts], pa.int64()), *(pa.array(c) for c in lean.T), pa.array(wide, pa.binary()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["s", "n", *SKETCH, "wide", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id").select("text")
-    return arrow_map(texts, run, f"s long, n long, {', '.join(f'{k} long' for k in SKETCH)}, wide binary, shingles binary")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), run, f"s long, n long, {', '.join(f'{k} long' for k in SKETCH)}, wide binary, shingles binary")
 
 
 def plausible(x: str, y: str):
@@ -396,41 +459,35 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return arrow_map(right.join(whole.withColumnsRenamed({"s": "a", "shingles": "x"}), "a").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def links_between_sets(docs: DataFrame, read: DataFrame, total: int, rows: int) -> DataFrame:
-    """Links (a, b) that join all sets of a component, by set hash."""
+def links_between_sets(docs: DataFrame, read: DataFrame, total: int, rows: int) -> DataFrame | None:
+    """Links (a, b) that join all sets of a component, by set hash; None where no sets share keys."""
     hot = hot_cells(read, total, rows)
     buckets = max(2 * docs.sparkSession.sparkContext.defaultParallelism, total // 2 // BUCKET_KEYS + 1)
-    found = settled(candidates(key_blocks(docs, hot, buckets), buckets))
-    release(docs.sparkSession)
-    pairs = found.where("kind = 0").select("a", "b").distinct()
+    groups = settled(telling_keys(shared_keys(key_blocks(docs, hot, buckets), buckets)))
     reps = read.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("id"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(reps, "s").select("id").distinct()
+    wanted = settled(groups.select("s").distinct().join(reps, "s").where("id is not null"))
     sets = settled(wanted_sets(docs, wanted))
-    release(docs.sparkSession)
-    links = settled(verify(likely(pairs, sets), sets))
-    release(docs.sparkSession)
     lite = sets.select("s", "n", *SKETCH)
-    groups = found.where("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("s"))
-    for last in (False, True):
-        # Groups whose sets lie in several components still: pairs across those, first with two more pivots.
-        label = components(links).select(F.col("id").alias("s"), "component")
-        placed = groups.join(label, "s", "left").select("g", "s", F.coalesce("component", "s").alias("c"))
-        split = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max_by("s", F.xxhash64("s")).alias("p"), F.max_by("c", F.xxhash64("s")).alias("pc"), F.max("s").alias("q"), F.max_by("c", "s").alias("qc")).where("lo <> hi")
-        groups = settled(placed.join(split, "g").select("g", "s", "c", "p", "pc", "q", "qc"))
-        release(docs.sparkSession)
+    links = label = None
+    for k in range(ROUNDS + 1):
+        # Groups whose sets lie in several components still: pairs across those.
+        placed = groups.select("g", "s", F.col("s").alias("c")) if label is None else groups.join(label, "s", "left").select("g", "s", F.coalesce("component", "s").alias("c"))
+        split = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64("s", F.lit(k)).alias("h"), F.col("s").alias("p"), F.col("c").alias("pc"))).alias("v")).where("lo <> hi").select("g", "v")
+        groups = settled(placed.join(split, "g").select("g", "s", "c", "v"))
         if groups.isEmpty():
             break
-        if last:
+        if k < ROUNDS:  # each set and one pivot
+            pivots = groups.where("c <> v.pc").groupBy("s").agg(F.min("v").alias("v"))
+            pairs = pivots.select(F.least("s", "v.p").alias("a"), F.greatest("s", "v.p").alias("b"))
+        else:
             known = groups.select("g", "s", "c").join(lite, "s")
             x, y = known.alias("x"), known.alias("y")
-            across = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.c") < F.col("y.c")) & plausible("x", "y"))
-            more = likely(across.select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct(), sets)
-        else:
-            pivots = groups.where("c <> pc").select("s", "p").union(groups.where("c <> qc").select("s", "q"))
-            more = likely(pivots.select(F.least("s", "p").alias("a"), F.greatest("s", "p").alias("b")).distinct(), sets)
-        links = settled(links.union(verify(more, sets)))
-        release(docs.sparkSession)
+            pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.c") < F.col("y.c")) & plausible("x", "y")).select(F.col("x.s").alias("a"), F.col("y.s").alias("b"))
+        found = verify(likely(pairs.distinct(), sets), sets)
+        links = settled(found if links is None else links.union(found))
         groups = groups.select("g", "s")
+        if k < ROUNDS:
+            label = components(links).select(F.col("id").alias("s"), "component")
     return links
 
 
@@ -443,6 +500,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     reps = rows.where("n > 0 and doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("rep"))
     links = links_between_sets(docs, read, total, count)
+    if links is None:
+        links = reps.limit(0).select(F.col("s").alias("a"), F.col("s").alias("b"))
     by = reps.select("s", "rep")
     edges = links.join(by.withColumnsRenamed({"s": "a", "rep": "ra"}), "a").join(by.withColumnsRenamed({"s": "b", "rep": "rb"}), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     placed = rows.join(reps, "s", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
@@ -453,8 +512,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return placed.join(label, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
 
-
-
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without the rows whose component has a smaller id; of rows with equal ids none goes."""
     keep = near_duplicates(docs).where("component_id = doc_id or doc_id is null").select("doc_id").distinct()

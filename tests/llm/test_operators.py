@@ -76,11 +76,24 @@ def test_risk_is_corrected_by_the_prior():
     noise = lambda: rng.integers(100, 1000, 20)
     pos = [np.append(noise(), 7).astype(np.int32) for _ in range(200)]
     unl = [np.append(noise(), 7 if i < 100 else 8).astype(np.int32) for i in range(500)]
-    m = toxicity.fit_nnpu(pos, unl, 0.2, 1000)
+    counts = [np.bincount(np.concatenate([np.unique(t) for t in part]), minlength=1000) for part in (pos, unl)]
+    use = toxicity.telling(*counts, len(pos), len(unl))
+    m = toxicity.fit_nnpu([t[use[t]] for t in pos], [t[use[t]] for t in unl], 0.2, 1000)
     score = lambda x: m.score(np.array([x]), np.array([0, 1]))[0]
     assert score(7) > 0.5 > score(8)
 
 
+def test_slot_counts_are_those_of_distinct_texts(spark):
+    rng = np.random.default_rng(2)
+    rows = [(bool(i % 3), np.unique(rng.integers(0, 1 << toxicity.BITS, 30)).astype(np.int32).tobytes()) for i in range(40)]
+    rows += rows[:7] + [(True, b""), (False, b"")]
+    pos, unl, n_pos, n_unl = toxicity.slot_counts(spark.createDataFrame(rows, "confirmed boolean, slots binary"))
+    for kind, found, n in ((True, pos, n_pos), (False, unl, n_unl)):
+        texts = {s for c, s in rows if c is kind}
+        want = np.bincount(np.concatenate([np.frombuffer(s, np.int32) for s in texts]), minlength=1 << toxicity.BITS)
+        assert n == len(texts) and (found == want).all()
+
+
 # 2
 
 
@@ -273,22 +286,74 @@ def test_near_duplicates_match_brute_force(spark, prose):
 
 
 def test_keys_lose_no_link():
-    """Small sets of all shapes, where empty classes are frequent: linked sets share a key."""
+    """Sets of all shapes, where empty classes are frequent too: linked sets share as many keys of an entry as it needs."""
     rng = np.random.default_rng(1)
     none, all_hot = np.zeros(1 << near_duplicates.CELL_BITS - 3, np.uint8), np.full(1 << near_duplicates.CELL_BITS - 3, 255, np.uint8)
-    for hot in (none, all_hot):
-        for _ in range(150):
-            n = int(rng.integers(4, 60))
+    some_hot = rng.integers(0, 256, 1 << near_duplicates.CELL_BITS - 3).astype(np.uint8)
+    linked = 0
+    for hot in (none, all_hot, some_hot):
+        for k in range(260):
+            n = int(rng.integers(4, 60) if k < 200 else rng.integers(60, 3000))
             a = rng.integers(0, 1 << 63, n).astype(np.uint64)
             b = np.concatenate((a[: n - int(rng.integers(0, n // 9 + 1))], rng.integers(0, 1 << 63, int(rng.integers(0, n // 9 + 1))).astype(np.uint64)))
             x, y = np.unique(a), np.unique(b)
             both = len(np.intersect1d(x, y))
             if x.tobytes() == y.tobytes() or 100 * both < 80 * (len(x) + len(y) - both):
                 continue
-            k, o = near_duplicates.all_keys(np.concatenate((x, y)), np.array([0, len(x), len(x) + len(y)]), hot)
-            assert set(k[o == 0].tolist()) & set(k[o == 1].tolist())
+            linked += 1
+            keys, entry, owner, tag, need = near_duplicates.all_keys(np.concatenate((x, y)), np.array([0, len(x), len(x) + len(y)]), hot)
+            mine = [{e: set(keys[entry == e].tolist()) for e in np.flatnonzero(owner == i)} for i in (0, 1)]
+            shared = [(e, f, len(p & q)) for e, p in mine[0].items() for f, q in mine[1].items()]
+            assert any(m >= max(need[e], need[f]) for e, f, m in shared)
+            assert len(set(zip(owner.tolist(), tag.tolist()))) == len(owner)
             s, t = near_duplicates.bit_sketch(x).view(np.uint64), near_duplicates.bit_sketch(y).view(np.uint64)
-            assert 9 * int(np.bitwise_count(s ^ t).sum()) <= len(x) + len(y)
+            words = min(len(s), len(t))
+            assert 9 * int(np.bitwise_count(near_duplicates.folded(s, words) ^ near_duplicates.folded(t, words)).sum()) <= len(x) + len(y)
+    assert linked > 300
+
+
+def test_telling_keys_keep_a_key_of_each_pair_that_shares_enough(spark):
+    rng = random.Random(8)
+    sets = {s: {rng.randrange(60) for _ in range(20)} for s in range(40)}
+    for s in range(40, 70):
+        sets[s] = set(sorted(sets[s - 40])[: 12 + s % 8]) | {100 + s}
+    need = {s: rng.choice((3, 6, 9, 12)) for s in sets}
+    rows = [(g, s, 0, need[s], 0) for s, keys in sets.items() for g in keys if sum(g in x for x in sets.values()) >= 2]
+    kept = {(r.g, r.s) for r in near_duplicates.telling_keys(spark.createDataFrame(rows, "g long, s long, tag int, need int, size int")).collect()}
+    assert kept and len(kept) < len(rows)
+    for s, x in sets.items():
+        for t, y in sets.items():
+            if s < t and len(x & y) >= max(need[s], need[t]):
+                assert any((g, s) in kept and (g, t) in kept for g in x & y), (s, t)
+
+
+def test_long_near_duplicates_and_repeated_ids(spark):
+    """Sets wider than the first sketch, repeated and null ids, many near copies of one text."""
+    rng = random.Random(14)
+    long = [words(rng, 2500, 9000) for _ in range(4)]
+    texts = [" ".join(w) for w in long]
+    for w in long:
+        for share in (5, 40, 90, 260, 700):
+            v = list(w)
+            for _ in range(share):
+                v[rng.randrange(len(v))] = "z" + str(rng.randrange(10**6))
+            texts.append(" ".join(v))
+    base = words(rng, 120, 5000)
+    for k in range(60):
+        v = list(base)
+        v[k] = f"own{k}"
+        v[(k * 7) % 120] = f"more{k}"
+        texts.append(" ".join(v))
+    sizes, root = components_brute(texts)
+    ids = [*range(len(texts))]
+    rows = list(zip(ids, texts)) + [(None, texts[0]), (3, texts[-1])]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and [r for r in got if r.doc_id is None] == [(None, sizes[0], None)]
+    same = {root[3], root[-1]}  # the texts of id 3 join these
+    want = [min(same) if r in same else r for r in root]
+    assert {(r.doc_id, r.component_id) for r in got if r.doc_id is not None} == set(enumerate(want))
+    one = near_duplicates.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in one.collect()} == {None, *want}
 
 
 # 6

@@ -44,6 +44,8 @@ CELL_BITS, RANGES = 23, 64
 BUCKET_KEYS, FLUSH_KEYS = 3_000_000, 1_000_000
 #: Bits of the sketch that prunes candidates.
 SKETCH_BITS = 1024
+#: Sets of one part of a place where groups are compared.
+CELL_SETS = 1024
 #: Seeds beside the first, and rounds in which a set meets one pivot.
 LEVELS, ROUNDS = 4, 2
 #: Bits of a table of wanted documents, at most.
@@ -333,8 +335,8 @@ def telling_keys(shared: DataFrame) -> DataFrame:
 
 def bit_sketch(h: np.ndarray) -> np.ndarray:
     """Parities of the shingles dealt to bits, as 64-bit words: at least SKETCH_BITS bits and as many as the
-    next power of two after the set's size. A half XORed onto the other is the sketch of half the width."""
-    bits = max(SKETCH_BITS, 1 << len(h).bit_length())
+    next power of two after twice the set's size. A half XORed onto the other is the sketch of half the width."""
+    bits = max(SKETCH_BITS, 2 << len(h).bit_length())
     place = (mix64(h ^ U64(77)) >> U64(32)).astype(np.int64) & bits - 1
     return np.packbits(np.bincount(place, minlength=bits) & 1).view(np.int64)
 
@@ -346,7 +348,13 @@ def folded(sketch: np.ndarray, words: int) -> np.ndarray:
     return sketch
 
 
-SKETCH = [f"k{i}" for i in range(SKETCH_BITS // 64)]
+def plausible(m: int, x: np.ndarray, n: int, y: np.ndarray) -> bool:
+    """What sizes and sketches say of two sets: the sketches' Hamming distance is at most the symmetric
+    difference, and that of linked sets at most a ninth of their sizes' sum."""
+    if 4 * max(m, n) > 5 * min(m, n):
+        return False
+    words = min(len(x), len(y))
+    return 9 * int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()) <= m + n
 
 
 def wanted_table(wanted: DataFrame) -> np.ndarray:
@@ -388,7 +396,7 @@ def table_places(x: np.ndarray, bits: int) -> np.ndarray:
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(s, n, k0.., wide, shingles) of the wanted (id, s), and rarely of another document."""
+    """(s, n, sketch, shingles) of the wanted (id, s), and rarely of another document."""
     table = wanted_table(wanted)
     packed, bits = np.packbits(table), len(table).bit_length() - 1
 
@@ -399,42 +407,80 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             h, first = shingles(b.column(1))
             s = set_hashes(h, first)
             new = np.flatnonzero((s != 0) & flags[table_places(numbers(b.column(0)) ^ mix64(s), bits)])
-            s = s.view(np.int64)
             parts = [h[first[i] : first[i + 1]] for i in new]
-            wide = [bit_sketch(x) for x in parts]
-            lean = np.array([folded(w, len(SKETCH)) for w in wide], np.int64).reshape(-1, len(SKETCH))
-            wide = [w.tobytes() if len(w) > len(SKETCH) else None for w in wide]
-            yield pa.RecordBatch.from_arrays([pa.array(s[new]), pa.array([len(x) for x in parts], pa.int64()), *(pa.array(c) for c in lean.T), pa.array(wide, pa.binary()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["s", "n", *SKETCH, "wide", "shingles"])
-
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), run, f"s long, n long, {', '.join(f'{k} long' for k in SKETCH)}, wide binary, shingles binary")
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)[new]), pa.array([len(x) for x in parts], pa.int64()), pa.array([bit_sketch(x).tobytes() for x in parts], pa.binary()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["s", "n", "sketch", "shingles"])
 
-
-def plausible(x: str, y: str):
-    """What sizes and sketches say of two sets: the sketches' Hamming distance is at most the symmetric
-    difference, and that of linked sets at most a ninth of their sizes' sum."""
-    far = " + ".join(f"bit_count({x}.{k} ^ {y}.{k})" for k in SKETCH)
-    return F.expr(f"4 * greatest({x}.n, {y}.n) <= 5 * least({x}.n, {y}.n) and 9 * ({far}) <= {x}.n + {y}.n")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), run, "s long, n long, sketch binary, shingles binary")
 
 
 def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets that may link, by their sketches; large sets by their wide ones as well."""
-    lite = sets.select("s", "n", *SKETCH, "wide")
-    both = pairs.join(lite.alias("x"), F.col("a") == F.col("x.s")).join(lite.alias("y"), (F.col("b") == F.col("y.s")) & plausible("x", "y"))
+    """The pairs (a, b) of sets that may link, by their sketches."""
+    lite = sets.select("s", "n", "sketch")
+    both = pairs.join(lite.withColumnsRenamed({"s": "a", "n": "m", "sketch": "x"}), "a").join(lite.withColumnsRenamed({"s": "b", "sketch": "y"}), "b")
 
     def near(it):
         for b in it:
-            sizes = b.column(2).to_numpy()
-            keep = np.ones(b.num_rows, bool)
-            wide = zip(b.column(3).to_pylist(), b.column(4).to_pylist())
-            for i, (x, y) in enumerate(wide):
-                if x and y:
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    words = min(len(x), len(y))
-                    keep[i] = 9 * int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()) <= sizes[i]
-            mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
+            words = [[np.frombuffer(v.as_buffer(), np.uint64) for v in b.column(k)] for k in (3, 5)]
+            keep = pa.array([plausible(*x) for x in zip(b.column(2).to_pylist(), words[0], b.column(4).to_pylist(), words[1])], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+
+    return arrow_map(both.select("a", "b", "m", "x", "n", "y"), near, "a long, b long")
+
+
+def across(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets of different components that share a group and may link, by their sketches.
+
+    Groups with the same smallest set mostly hold the same sets. They are compared in one place, so that a set travels
+    once for all of them and a pair of sets is looked at once. A place with many sets is split into a grid of cells
+    of 2 * CELL_SETS sets at most; pairs that sketches rule out never become rows.
+    """
+    pivots = groups.groupBy("g").agg(F.min("s").alias("p"))
+    rows = groups.join(pivots, "g").groupBy("p", "s", "c").agg(F.collect_list("g").alias("gs"))  # the keys of one set
+    parts = rows.groupBy("p").agg(F.ceil(F.count("*") / CELL_SETS).alias("q"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("p", "q")
+    dealt = rows.join(parts, "p").withColumn("r", F.pmod(F.xxhash64("s"), F.col("q"))).withColumn("o", F.explode(F.expr("sequence(0L, q - 1)")))
+    cells = dealt.select("p", F.least("r", "o").alias("i"), F.greatest("r", "o").alias("j"), "r", "s", "c", "gs").join(sets.select("s", "n", "sketch"), "s")
+    placed = cells.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j").select("p", "i", "j", "r", "s", "c", "n", "sketch", "gs")
+
+    def compare(it):
+        held: list[pa.RecordBatch] = []
+
+        def cell():
+            t = pa.Table.from_batches(held)
+            held.clear()
+            i, j = t.column(1)[0].as_py(), t.column(2)[0].as_py()
+            side, s, c, n = (t.column(k).to_numpy() for k in (3, 4, 5, 6))
+            words = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column(7).combine_chunks()]
+            lean = np.stack([folded(w, SKETCH_BITS // 64) for w in words])
+            gs = t.column(8).combine_chunks()
+            member = np.repeat(np.arange(len(s)), gs.value_lengths().to_numpy())
+            _, group = np.unique(gs.flatten().to_numpy(), return_inverse=True)
+            order = np.argsort(group, kind="stable")
+            member, cut = member[order], np.cumsum(np.bincount(group))
+            share = np.zeros((len(s), len(s)), bool)
+            for x, y in zip(np.concatenate(([0], cut[:-1])), cut):
+                share[np.ix_(member[x:y], member[x:y])] = True
+            share &= (c[:, None] < c[None, :]) & ((side[:, None] != side[None, :]) | (i == j))
+            share &= 4 * np.maximum(n[:, None], n[None, :]) <= 5 * np.minimum(n[:, None], n[None, :])
+            out = []
+            for x in np.flatnonzero(share.any(1)):
+                y = np.flatnonzero(share[x])
+                y = y[9 * np.bitwise_count(lean[x] ^ lean[y]).sum(1, dtype=np.int64) <= n[x] + n[y]]
+                out += [(s[x], s[k]) for k in y if plausible(n[x], words[x], n[k], words[k])]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out)], names=["a", "b"])
+
+        for b in it:
+            keys = np.stack([b.column(k).to_numpy() for k in range(3)], 1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), b.num_rows]
+            for x, y in zip(edges, edges[1:]):
+                if y > x:
+                    if held and any(held[-1].column(k)[0].as_py() != keys[x, k] for k in range(3)):
+                        yield from cell()
+                    held.append(b.slice(x, y - x))
+        if held:
+            yield from cell()
 
-    return arrow_map(both.select("a", "b", (F.col("x.n") + F.col("y.n")).alias("n"), F.col("x.wide").alias("xw"), F.col("y.wide").alias("yw")), near, "a long, b long")
+    return arrow_map(placed, compare, "a long, b long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -467,7 +513,6 @@ def links_between_sets(docs: DataFrame, read: DataFrame, total: int, rows: int)
     reps = read.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("id"))
     wanted = settled(groups.select("s").distinct().join(reps, "s").where("id is not null"))
     sets = settled(wanted_sets(docs, wanted))
-    lite = sets.select("s", "n", *SKETCH)
     links = label = None
     for k in range(ROUNDS + 1):
         # Groups whose sets lie in several components still: pairs across those.
@@ -478,12 +523,10 @@ def links_between_sets(docs: DataFrame, read: DataFrame, total: int, rows: int)
             break
         if k < ROUNDS:  # each set and one pivot
             pivots = groups.where("c <> v.pc").groupBy("s").agg(F.min("v").alias("v"))
-            pairs = pivots.select(F.least("s", "v.p").alias("a"), F.greatest("s", "v.p").alias("b"))
+            pairs = likely(pivots.select(F.least("s", "v.p").alias("a"), F.greatest("s", "v.p").alias("b")).distinct(), sets)
         else:
-            known = groups.select("g", "s", "c").join(lite, "s")
-            x, y = known.alias("x"), known.alias("y")
-            pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.c") < F.col("y.c")) & plausible("x", "y")).select(F.col("x.s").alias("a"), F.col("y.s").alias("b"))
-        found = verify(likely(pairs.distinct(), sets), sets)
+            pairs = across(groups, sets).distinct()
+        found = verify(pairs, sets)
         links = settled(found if links is None else links.union(found))
         groups = groups.select("g", "s")
         if k < ROUNDS:

@@ -1,22 +1,26 @@
 """Line dedup by a fixed-depth log-template tree, in DataFrame operations only.
 
-A line's way through the tree: the number of its tokens, then its leading tokens. In
-the leaf it belongs to templates. Tokens that hold a digit are variable and become
-`<*>` in each of them. The first template keeps all other tokens; for lines of at least
-`generalise_from` tokens three more leave a variable field open, the second, third or
-last quarter of the line, so lines that agree everywhere else share one.
-
-A template that occurs in two documents or more is boilerplate: its first place, by
-doc_id and line, keeps the line, every other line of the template is dropped.
-
-Shuffles carry hashes and places, not lines; a template's places are reduced by partial
-aggregates, so a line that a third of all rows hold is no hot group.
-
-Cases: a null text stays null, an empty one empty; lines with fewer than `min_tokens`
-tokens stay; a line that recurs within one document alone stays; a document may lose
-every line and is then empty; rows with equal ids are one document; a null id counts as
-an id of its text's own; an empty table gives no rows; other columns, whatever their
-names, stay as they are.
+A line's way through the tree: the number of its tokens, then its `depth` leading tokens.
+Tokens that hold a digit are variable and count as `<*>`. In its leaf a line belongs to the
+template of every line that has four of five tokens or more, at the same places, in common
+with it; where they differ the template is variable, whatever stands there, at any length.
+A line whose template stands in a document of smaller id is boilerplate and goes: each
+template stays in the first document that has it.
+
+Lines that are equal but for digits form a class, which aggregates of ids alone describe.
+Only classes whose leaf holds another class of another document are compared. Two similar
+ones of n tokens differ in at most n div 5, so they agree in one of n div 5 + 1 bands of
+tokens. A class first meets the earliest class of each of its bands; what this doesn't
+settle meets the band's other members, in large bands only those that agree in one more
+band of the remaining tokens, which similar ones do. No line is left out, of any length.
+
+Shuffles carry hashes and ids, texts only where lines are taken out of them; lines that a
+third of all rows hold are reduced by partial aggregates before they travel.
+
+Cases: a null text stays null, an empty one empty; blank lines stay; a line that recurs
+within one document alone stays; a document may lose every line and is then empty; rows
+with equal ids are one document; a null id counts as an id of its text's own; an empty
+table gives no rows; other columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -24,12 +28,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, settled
+from .common import settled, written
 
-#: Tokens that make up the tree's levels below the token count.
-LEADING = 3
-#: One of so many tokens may differ between similar lines.
+#: Leading tokens that make up the tree's levels below the token count.
+DEPTH = 2
+#: One of so many tokens may differ between lines of a template.
 APART = 5
+#: Members up to which a band is compared as it is.
+SMALL_BAND = 16
 
 
 def document_names() -> list[Column]:
@@ -42,123 +48,87 @@ def tokens_of(raw: Column) -> Column:
     return F.split(masked, " ")
 
 
-def line_keys(docs: DataFrame, min_tokens: int, generalise_from: int, quarters: tuple[int, ...] = (1, 2, 3), blank: bool = True) -> DataFrame:
-    """(d, h, line, n, leaf, k) for each template of each line; d and h name the document."""
-    lines = docs.select(*document_names(), F.posexplode(F.split("text", "\n")).alias("line", "raw")).select("d", "h", "line", F.trim("raw").alias("raw"))
-    lines = lines if blank else lines.where(F.col("raw").rlike(r"\S"))
-    tokens = lines.select("d", "h", "line", tokens_of(F.col("raw")).alias("t")).withColumn("n", F.size("t")).where(F.col("n") >= min_tokens)
-
-    def left_open(quarter: int):
-        head = F.expr(f"slice(t, 1, n * {quarter} div 4)")
-        tail = F.expr(f"slice(t, (n * {quarter + 1} div 4) + 1, n)")
-        return F.when(F.col("n") >= generalise_from, F.xxhash64(F.lit(quarter), head, tail))
-
-    keys = F.array(F.xxhash64(F.lit(0), "t"), *(left_open(q) for q in quarters))
-    leaf = F.hash("n", F.slice("t", 1, LEADING))
-    return tokens.select("d", "h", "line", "n", leaf.alias("leaf"), F.explode(keys).alias("k")).where("k is not null")
-
-
-def first_places(keys: DataFrame) -> DataFrame:
-    """(leaf, k, p, most): each template's first place and greatest document."""
-    return keys.groupBy("leaf", "k").agg(F.min(F.struct("d", "line", "h")).alias("p"), F.max("d").alias("most"))
-
-
-def others(keys: DataFrame, first: DataFrame) -> DataFrame:
-    """(d, h, lines): the numbers of templates' lines that don't stand at p, by document."""
-    again = keys.join(first.select("leaf", "k", "p"), ["leaf", "k"]).where("not (d = p.d and line = p.line and h = p.h)")
-    return again.select("d", "h", "line").groupBy("d", "h").agg(F.collect_set("line").alias("lines"))
-
-
-def dropped_lines(docs: DataFrame, min_tokens: int = 3, generalise_from: int = 12) -> DataFrame:
+def tree(docs: DataFrame, depth: int) -> DataFrame:
+    """(d, h, line, n, leaf, k, t) of each line that isn't blank: d and h name the document, k the line's class,
+    t its tokens' hashes (32 bits) where it may differ from similar ones."""
+    lines = docs.select(*document_names(), F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.col("raw").rlike(r"\S"))
+    tokens = lines.select("d", "h", "line", tokens_of(F.trim("raw")).alias("w")).withColumn("n", F.size("w"))
+    hashes = F.when(F.col("n") >= APART, F.transform("w", lambda w: F.hash(w)))
+    return tokens.select("d", "h", "line", "n", F.xxhash64("n", F.slice("w", 1, depth)).alias("leaf"), F.xxhash64("n", "w").alias("k"), hashes.alias("t"))
+
+
+def similar(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """(k) for the pairs (k, o) of classes of one leaf that are similar."""
+    other = known.select(F.col("k").alias("o"), F.col("leaf").alias("leaf_o"), F.col("t").alias("u"))
+    met = pairs.distinct().join(known.select("k", "leaf", "t"), "k").join(other, "o").where("leaf = leaf_o and size(t) = size(u)")
+    same = F.size(F.filter(F.zip_with("t", "u", lambda a, b: a == b), lambda x: x))
+    return met.where(APART * same >= (APART - 1) * F.size("t")).select("k").distinct()
+
+
+def bands(tokens: str, n: str, of: str) -> str:
+    """SQL: hashes of the n div APART + 1 bands that an array of tokens is cut into, with what they belong to."""
+    count = f"({n} div {APART} + 1)"
+    begin, end = f"int(size({tokens}) * i div {count})", f"int(size({tokens}) * (i + 1) div {count})"
+    return f"transform(sequence(0, int({n} div {APART})), i -> xxhash64({of}, i, slice({tokens}, {begin} + 1, {end} - {begin})))"
+
+
+def rest(tokens: str, n: str, i: str) -> str:
+    """SQL: the tokens without band i."""
+    count = f"({n} div {APART} + 1)"
+    return f"concat(slice({tokens}, 1, int(size({tokens}) * {i} div {count})), slice({tokens}, int(size({tokens}) * ({i} + 1) div {count}) + 1, size({tokens})))"
+
+
+def repeated(classes: DataFrame, lines: DataFrame, depth: int) -> DataFrame:
+    """(k) of the classes that a similar class of a smaller document precedes."""
+    shared = classes.groupBy("leaf").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where("a < b").select("leaf")
+    wanted = classes.where(F.col("n") >= APART).join(shared, "leaf").select("k", "lo")
+    known = lines.select("k", "d", "leaf", "n", "t").join(wanted, "k").where("d = lo").dropDuplicates(["k"]).select("k", "leaf", "lo", "n", "t")
+    known = settled(known.withColumn("tail", F.expr(f"slice(t, {depth + 1}, n)")))
+    cells = known.select("k", "lo", F.posexplode(F.expr(bands("tail", "n", "leaf"))).alias("i", "b"))
+    heads = cells.groupBy("b").agg(F.min("lo").alias("first"), F.max("lo").alias("last"), F.min_by("k", "lo").alias("o"), F.count("*").alias("size")).where("first < last")
+    cells = settled(cells.join(heads, "b").select("k", "lo", "i", "b", "o", "first", "size"))
+    gone = settled(similar(cells.where("lo > first").select("k", "o"), known))
+    open_cells = cells.join(gone.withColumn("there", F.lit(True)), "k", "left").select("k", "lo", "i", "b", "size", (F.col("there").isNull() & (F.col("lo") > F.col("first"))).alias("asks"))
+    asked = open_cells.groupBy("b").agg(F.bool_or("asks").alias("any")).where("any").select("b")
+    open_cells = settled(open_cells.join(asked, "b"))
+    large = open_cells.where(F.col("size") > SMALL_BAND).join(known.select("k", "n", "tail"), "k").withColumn("rest", F.expr(rest("tail", "n", "i")))
+    fine = large.select("k", "lo", "asks", F.explode(F.expr(bands("rest", "n", "b"))).alias("b")).unionByName(open_cells.where(F.col("size") <= SMALL_BAND).select("k", "lo", "asks", "b"))
+    earlier = fine.select("b", F.col("k").alias("o"), F.col("lo").alias("lo_o"))
+    return gone.union(similar(fine.where("asks").join(earlier, "b").where("lo_o < lo").select("k", "o"), known))
+
+
+def dropped_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(d, h, lines): the numbers of the lines that go, by document."""
-    keys = line_keys(docs.select("doc_id", "text"), min_tokens, generalise_from)
-    return others(keys, first_places(keys).where("p.d <> most"))
-
-
-def kin(docs: DataFrame) -> DataFrame:
-    """(leaf, k, p) for each line, digits masked, that has similar ones (see `dropped_similar_lines`) which
-    make two documents with it; p is a similar line's first place before its own, else its own.
-
-    Similar lines agree in one of (n div 5) + 1 bands of the tokens after the leading ones. Each line
-    meets the first one of each of its bands; only those that this doesn't drop meet all others.
-    """
-    docs = docs.select("doc_id", "text")
-    # Lines of up to four tokens may differ in none.
-    classes = first_places(line_keys(docs, APART, 1, (), False))
-    several = classes.groupBy("leaf").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("leaf")
-    wanted = classes.join(several, "leaf").groupBy(F.col("p.d").alias("d"), F.col("p.h").alias("h")).agg(F.collect_list(F.struct("leaf", "k", "p", "most")).alias("w"))
-    lines = docs.select(*document_names(), F.split("text", "\n").alias("raw")).join(wanted, ["d", "h"])
-    lines = lines.select(F.explode(F.transform("w", lambda c: F.struct(c.alias("c"), F.trim(F.get("raw", c["p"]["line"])).alias("raw")))).alias("x")).select("x.c.*", tokens_of(F.col("x.raw")).alias("t"))
-    known = settled(lines.select("leaf", "k", "p", "most", F.transform("t", lambda w: F.xxhash64(w)).alias("t")))
-    release(docs.sparkSession)
-
-    band = f"xxhash64(i, slice(t, {LEADING + 1} + int((size(t) - {LEADING}) * i div (size(t) div {APART} + 1)), int((size(t) - {LEADING}) * (i + 1) div (size(t) div {APART} + 1)) - int((size(t) - {LEADING}) * i div (size(t) div {APART} + 1))))"
-    bands = F.expr(f"transform(sequence(0, int(size(t) div {APART})), i -> {band})")
-    cells = known.select("leaf", "k", "p", F.explode(bands).alias("b"))
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        """(leaf, k, p, q) of the pairs (leaf, k, o) that are similar and make two documents: their first places."""
-        other = known.select("leaf", F.col("k").alias("o"), F.col("p").alias("q"), F.col("most").alias("most_o"), F.col("t").alias("u"))
-        met = pairs.distinct().join(known, ["leaf", "k"]).join(other, ["leaf", "o"]).where(f"size(t) = size(u) and slice(t, 1, {LEADING}) = slice(u, 1, {LEADING}) and least(p.d, q.d) <> greatest(most, most_o)")
-        same = F.size(F.filter(F.zip_with("t", "u", lambda a, b: a == b), lambda x: x))
-        return met.where(APART * same >= (APART - 1) * F.size("t")).select("leaf", "k", "p", "q")
-
-    heads = cells.groupBy("leaf", "b").agg(F.min(F.struct("p", "k")).alias("v"), F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("leaf", "b", F.col("v.k").alias("o"))
-    gone = settled(similar(cells.join(heads, ["leaf", "b"]).where("k <> o").select("leaf", "k", "o")).where("q < p").groupBy("leaf", "k").agg(F.min("q").alias("p")))
-    rest = cells.join(gone.select("leaf", "k"), ["leaf", "k"], "left_anti").join(heads.select("leaf", "b"), ["leaf", "b"])
-    met = rest.select("leaf", "b", "k").join(cells.select("leaf", "b", F.col("k").alias("o")), ["leaf", "b"]).where("k <> o")
-    found = similar(met.select("leaf", "k", "o")).groupBy("leaf", "k").agg(F.min(F.least("p", "q")).alias("p"))
-    return settled(gone.unionByName(found))
-
-
-def dropped_similar_lines(docs: DataFrame, generalise_from: int = 12) -> DataFrame:
-    """(d, h, lines): the numbers of the lines that go, by document, with all lines that aren't blank in the tree.
-
-    Beside the templates of `dropped_lines`, two lines of a leaf are one where four of five tokens or more,
-    digits masked, are the same at the same place, wherever the others stand.
-    """
-    docs = docs.select("doc_id", "text")
-    akin = kin(docs)
-    release(docs.sparkSession)
-    keys = line_keys(docs, 1, generalise_from, blank=False)
-    return others(keys, first_places(keys).where("p.d <> most").select("leaf", "k", "p").unionByName(akin))
-
-
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the dropped lines, and columns n_lines, n_dropped before any other change: the lines
-    that the text had, and those that went."""
-    gone = dropped.select(F.col("d").alias("_gone_d"), F.col("h").alias("_gone_h"), F.col("lines").alias("_gone_lines"))
+    lines = written(tree(docs.select("doc_id", "text"), depth), "lines")
+    classes = settled(lines.groupBy("k").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.min("leaf").alias("leaf"), F.min("n").alias("n")))
+    # From which document on a class's lines go: after the first of its own, or all of them.
+    gone = repeated(classes, lines, depth).withColumn("gone", F.lit(True))
+    after = classes.join(gone, "k", "left").where("gone or lo < hi").select("k", F.when(~F.coalesce("gone", F.lit(False)), F.col("lo")).alias("lo"))
+    again = lines.select("d", "h", "line", "k").join(after, "k").where("lo is null or d > lo")
+    return again.groupBy("d", "h").agg(F.collect_set("line").alias("lines"))
+
+
+def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """docs with recurring templates' lines dropped from text, and columns n_lines, n_dropped before any other
+    change: the lines that the text had, and those that went."""
+    gone = dropped_lines(docs, depth).select(F.col("d").alias("_gone_d"), F.col("h").alias("_gone_h"), F.col("lines").alias("_gone_lines"))
     here = docs.withColumns({"_line_d": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), "_line_h": F.xxhash64("text")})
     joined = here.join(gone, (F.col("_line_d") == F.col("_gone_d")) & (F.col("_line_h") == F.col("_gone_h")), "left")
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone_lines"), i)), "\n")
-    text = F.when(F.col("_gone_lines").isNull(), F.col("text")).otherwise(rest)
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone_lines"), i)), "\n")
+    text = F.when(F.col("_gone_lines").isNull(), F.col("text")).otherwise(left)
     return joined.select(*(text.alias(c) if c == "text" else joined[f"`{c}`"] for c in docs.columns), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"), F.coalesce(F.size("_gone_lines"), F.lit(0)).alias("n_dropped"))
 
 
-def drop_recurring_lines(docs: DataFrame, min_tokens: int = 3, generalise_from: int = 12) -> DataFrame:
-    """docs with recurring templates' lines dropped from text, and columns n_lines, n_dropped."""
-    return without(docs, dropped_lines(docs, min_tokens, generalise_from))
-
-
-def drop_similar_lines(docs: DataFrame, generalise_from: int = 12) -> DataFrame:
-    """`drop_recurring_lines` for lines of any length, and with templates of similar lines."""
-    return without(docs, dropped_similar_lines(docs, generalise_from))
-
-
 ORACLE_SQL = """
 with l as (
-  select doc_id as d, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line, trim(unnest(string_split(text, chr(10))), ' ') as raw from documents
+  select doc_id as d, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line, unnest(string_split(text, chr(10))) as raw from documents
 ), t as (
-  select d, line, list_transform(string_split(raw, ' '), lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) as t from l
-), n as (select d, line, t, len(t) as n from t where len(t) >= 3),
-k as (
-  select d, line, n, t[1:3] as lead, 0 as q, t as k, []::varchar[] as k2 from n
-  union all
-  select d, line, n, t[1:3], q, t[1:(n * q) // 4], t[(n * (q + 1)) // 4 + 1:] from n, (values (1), (2), (3)) v(q) where n >= 12
-), f as (
-  select n, lead, q, k, k2, min(row(d, line)) as p, min(d) as lo, max(d) as hi from k group by n, lead, q, k, k2
+  select d, line, list_transform(string_split(trim(raw, ' '), ' '), lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) as t from l where regexp_matches(raw, '\\S')
+), c as (select t, len(t) as n, t[1:2] as lead, min(d) as lo from t group by t),
+r as (
+  select distinct x.t from c x join c y on x.n = y.n and x.lead = y.lead and y.lo < x.lo and 5 * len(list_filter(list_zip(x.t, y.t), lambda p: p[1] = p[2])) >= 4 * x.n
 ), gone as (
-  select distinct k.d, k.line from k join f using (n, lead, q, k, k2) where f.lo <> f.hi and row(k.d, k.line) <> f.p
+  select t.d, t.line from t join c on c.t = t.t left join r on r.t = t.t where r.t is not null or t.d > c.lo
 ), rest as (
   select s.d, string_agg(s.x, chr(10) order by s.line) filter (where gone.line is null) as text, count(*) as n_lines, count(gone.line) as n_dropped
   from (select doc_id as d, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line, unnest(string_split(text, chr(10))) as x from documents) s

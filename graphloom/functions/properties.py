@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _path(name: str) -> str:
@@ -43,3 +44,15 @@ def equals(properties: Column, name: str, value: object) -> Column:
     if isinstance(value, str):
         return F.coalesce(text(properties, name) == value, F.lit(False))
     return F.coalesce(number(properties, name) == float(value), F.lit(False))
+
+
+def typed_equals(kind: T.DataType, column: Column, value: object) -> Column:
+    """`equals` on a typed column instead of JSON: text equals text; numbers and booleans equal numbers and booleans."""
+    if isinstance(kind, T.StringType) and isinstance(value, str):
+        return column == value
+    if isinstance(kind, T.NumericType) and isinstance(value, (bool, int, float)):
+        whole = isinstance(kind, T.IntegralType) and float(value).is_integer()
+        return column == (int(value) if whole else float(value))
+    if isinstance(kind, T.BooleanType) and isinstance(value, (bool, int, float)):
+        return column == bool(value) if value in (0, 1) else F.lit(False)
+    return F.lit(False)

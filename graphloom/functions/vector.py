@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 DIMENSIONS = 384
 
@@ -29,20 +30,25 @@ def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     return F.transform(both, lambda s: F.transform(s["v"], lambda x: (x / s["norm"]).cast("float")))[0]
 
 
-def nearest_older(vectors: DataFrame, k: int, threshold: float, block: int = 2048) -> DataFrame:
-    """For every vector (id, seq, embedding) the k nearest among those of smaller seq, at or over the threshold.
+# What a turn's embedding is made of: its type, its role, and so many characters of its text.
+TURN, EMBEDDED_CHARS = "CONVERSATION_TURN", 800
+
+
+def turn_embedding(role: Column, text: Column) -> Column:
+    """A conversation turn's embedding."""
+    blank = F.lit("")
+    return hash_embedding(F.concat(F.lit(f"{TURN} "), F.coalesce(role, blank), F.lit(": "), F.substring(F.coalesce(text, blank), 1, EMBEDDED_CHARS)))
+
+
+def _blocks(vectors: DataFrame, parts: DataFrame, by: list[str], name: str) -> DataFrame:
+    """vectors (id, seq, embedding, and columns `by`) as rows (by, part, name) of the vectors of one part each."""
+    dealt = vectors.join(parts, by) if by else vectors.crossJoin(F.broadcast(parts))  # one row
+    return dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).groupBy(*by, "part").agg(F.collect_list(F.struct("id", "seq", "embedding")).alias(name))
 
-    Vectors are cut into blocks by a hash; each pair of blocks is multiplied out once and
-    keeps at most k rows per vector, so no pair of vectors becomes a row of its own. Of equal
-    seq the smaller id is older. Rows (id, older, score); ties go to the smaller id.
-    """
-    n = max(1, -(-vectors.count() // block))
-    packed = (
-        vectors.where("embedding is not null").withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-        .groupBy("b").agg(F.collect_list(F.struct("id", "seq", "embedding")).alias("v"))  # about `block` vectors each
-    )
-    left = packed.select(F.col("b").alias("x"), F.col("v").alias("xs"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("y"))
-    pairs = left.join(packed.select(F.col("b").alias("y"), F.col("v").alias("ys")), "y").select("xs", "ys")
+
+def _best(pairs: DataFrame, k: int, threshold: float, older: bool) -> DataFrame:
+    """(id, other, score) from pairs of blocks (xs, ys): for each of xs the k best of ys at or over the threshold,
+    with `older` of those alone that come before it by (seq, id)."""
 
     def multiply(it):
         import pyarrow as pa
@@ -57,18 +63,48 @@ def nearest_older(vectors: DataFrame, k: int, threshold: float, block: int = 204
                     sides.append((side.field("id").to_pylist(), np.array(side.field("seq").to_pylist()), m / np.where(norm == 0, 1, norm)))
                 (xi, xs, xm), (yi, ys, ym) = sides
                 score = xm @ ym.T
-                names = np.array(xi, object)[:, None], np.array(yi, object)[None, :]
-                later = (ys[None, :] > xs[:, None]) | (ys[None, :] == xs[:, None]) & (names[1] >= names[0])
-                score[later | (score < threshold - 1e-9)] = -np.inf
+                out_of_question = score < threshold - 1e-9
+                if older:
+                    names = np.array(xi, object)[:, None], np.array(yi, object)[None, :]
+                    out_of_question |= (ys[None, :] > xs[:, None]) | (ys[None, :] == xs[:, None]) & (names[1] >= names[0])
+                score[out_of_question] = -np.inf
                 top = min(k, score.shape[1])
                 best = np.argpartition(-score, top - 1, 1)[:, :top] if top else np.empty((len(xi), 0), int)
                 edge = np.take_along_axis(score, best, 1).min(1) if top else np.empty(0)
                 out = [(xi[i], yi[j], float(score[i, j])) for i in range(len(xi)) for j in np.flatnonzero((score[i] >= edge[i]) & np.isfinite(score[i]))]  # ties of the k-th stay
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["id", "older", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["id", "other", "score"])
+
+    found = pairs.mapInArrow(multiply, "id string, other string, score double")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "other", "score")
 
-    from pyspark.sql.window import Window
 
-    found = pairs.mapInArrow(multiply, "id string, older string, score double")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "older"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "older", "score")
+def nearest_older(vectors: DataFrame, k: int, threshold: float, block: int = 2048) -> DataFrame:
+    """For every vector (id, seq, embedding) the k nearest among those of smaller seq, at or over the threshold.
+
+    Vectors are cut into ranges of seq, large ranges into blocks by a hash; only blocks of the same or an
+    earlier range are multiplied out, once, and keep at most k rows for a vector, so no pair of vectors
+    becomes a row of its own. Of equal seq the smaller id is older. Rows (id, older, score); ties go to the smaller id.
+    """
+    vectors = vectors.where("embedding is not null").select("id", "seq", "embedding")
+    n = max(1, -(-vectors.count() // block))
+    cuts = sorted(set(vectors.approxQuantile("seq", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
+    ranged = vectors.withColumn("b", F.array_size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("seq"))) if cuts else F.lit(0))
+    parts = ranged.groupBy("b").agg(F.ceil(F.count("*") / block).alias("parts"))
+    left = _blocks(ranged, parts, ["b"], "xs").select("xs", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("y"))
+    pairs = left.join(_blocks(ranged, parts, ["b"], "ys").withColumnRenamed("b", "y"), "y").select("xs", "ys")
+    return _best(pairs, k, threshold, True).withColumnRenamed("other", "older")
+
+
+def nearest_of(queries: DataFrame, vectors: DataFrame, k: int, threshold: float, block: int = 2048) -> DataFrame:
+    """For every query (id, embedding) the k nearest vectors (id, embedding), at or over the threshold: rows (id,
+    other, score). Blocks of queries meet blocks of vectors; each pair keeps at most k rows for a query."""
+    sides = []
+    for side, name in ((queries, "xs"), (vectors, "ys")):
+        side = side.where("embedding is not null").select("id", F.lit(0).alias("seq"), "embedding")
+        parts = max(1, -(-side.count() // block))
+        sides.append((_blocks(side, side.sparkSession.range(1).select(F.lit(parts).alias("parts")), [], name), parts))
+    (xs, _), (ys, n) = sides
+    left = xs.select("xs", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"))
+    return _best(left.join(ys, "part").select("xs", "ys"), k, threshold, False)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -12,15 +13,34 @@ from .model import DEFAULT_SCHEMA, NODE_COLUMNS, Schema
 NODE_NAMES = [c.split()[0] for c in NODE_COLUMNS.split(", ")]
 
 
+@dataclass(frozen=True)
+class TypeSource:
+    """The typed rows that nodes of one type are made of, so that filters on properties and ids reach their scan.
+
+    fields: a property's name to its column; make: rows to nodes; an id is `prefix` before the whole number `key`.
+    """
+
+    rows: DataFrame
+    fields: dict[str, Column]
+    make: Callable[[DataFrame], DataFrame]
+    prefix: str | None = None
+    key: str | None = None
+
+    @property
+    def nodes(self) -> DataFrame:
+        return self.make(self.rows)
+
+
 @dataclass
 class Graph:
-    """nodes and edges as in model; the other tables may be missing."""
+    """nodes and edges as in model; the other tables may be missing. sources: of the types that have typed rows."""
 
     nodes: DataFrame
     edges: DataFrame
     provenance: DataFrame | None = None
     uncertainty: DataFrame | None = None
     schema: Schema = field(default_factory=lambda: DEFAULT_SCHEMA)
+    sources: dict[str, TypeSource] = field(default_factory=dict)
 
     @property
     def live(self) -> DataFrame:

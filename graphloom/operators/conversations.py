@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -10,15 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import properties as P
-from ..functions.vector import cosine, hash_embedding
+from ..functions.vector import TURN, hash_embedding, nearest_of
 from ..graph import Graph
 from .retrieval import scored
 
-TURN = "CONVERSATION_TURN"
 # Sizes of rendered blocks.
 TURN_CHARS, CHECKPOINT_TURN_CHARS, CHECKPOINT_CHARS = 600, 800, 4000
-# Characters of a text that its embedding, and that of what it refers to, are made of.
-EMBEDDED_CHARS, REFERRING_CHARS = 800, 1000
+# Characters of a text that what it refers to is found by.
+REFERRING_CHARS = 1000
 
 
 def token_count(text: Column) -> Column:
@@ -41,9 +39,14 @@ def new_turns(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return incoming.dropDuplicates(key).join(existing.select(*key), key, "left_anti")
 
 
-def sessions(existing: DataFrame, turns: DataFrame) -> DataFrame:
-    """Sessions that turns name and that don't exist yet."""
-    return turns.select("session_id").distinct().join(existing.select("session_id"), "session_id", "left_anti")
+def sessions(existing: DataFrame, turns: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """Sessions that turns name and that don't exist yet, with these columns, of which a session has one value."""
+    return turns.select("session_id", *keep).distinct().join(existing.select("session_id"), "session_id", "left_anti")
+
+
+def turn_label() -> Column:
+    """Who spoke, when, and the session's beginning."""
+    return F.concat("role", F.lit("["), F.col("turn_index").cast("string"), F.lit("]@"), F.substring("session_id", 1, 8))
 
 
 def follows(turns: DataFrame) -> DataFrame:
@@ -59,19 +62,6 @@ def turns_of(g: Graph) -> DataFrame:
     return g.live.where(F.col("type_id") == TURN).select("id", "created_at", "embedding", *fields, P.number(p, "turn_index").cast("long").alias("turn_index"))
 
 
-def turn_embedding(role: Column, text: Column) -> Column:
-    """Of the type, the role and the text's first 800 characters."""
-    blank = F.lit("")
-    return hash_embedding(F.concat(F.lit(f"{TURN} "), F.coalesce(role, blank), F.lit(": "), F.substring(F.coalesce(text, blank), 1, EMBEDDED_CHARS)))
-
-
-def embedded(g: Graph) -> Graph:
-    """g with embeddings for turns that have none."""
-    p = F.col("properties")
-    bare = F.col("embedding").isNull() & (F.col("type_id") == TURN)
-    return replace(g, nodes=g.nodes.withColumn("embedding", F.when(bare, turn_embedding(P.text(p, "role"), P.text(p, "text"))).otherwise(F.col("embedding"))))
-
-
 def recent_turns(turns: DataFrame, n: int = 6, session_id: str | None = None) -> DataFrame:
     """The last n turns of a session, or of each, in order."""
     chosen = turns if session_id is None else turns.where(F.col("session_id") == session_id)
@@ -96,12 +86,11 @@ def references(g: Graph, query: Column, k: int = 5, threshold: float = 0.5) -> D
 
 def references_of(nodes: DataFrame, turns: DataFrame, k: int = 5, threshold: float = 0.5) -> DataFrame:
     """(id, target) for each of turns (id, text): what `references` finds for the text's first 1000 characters."""
-    asked = turns.select(F.col("id").alias("turn"), hash_embedding(F.substring(F.coalesce("text", F.lit("")), 1, REFERRING_CHARS)).alias("asked"))
-    near = nodes.where("embedding is not null").crossJoin(asked).withColumn("score", cosine(F.col("embedding"), F.col("asked"))).where(F.col("score") >= threshold)
-    nth = F.row_number().over(Window.partitionBy("turn").orderBy(F.desc("score"), "id"))
-    top = near.select("turn", "id", "type_id", "deprecated", "score").withColumn("nth", nth).where(F.col("nth") <= 4 * k)
-    kept = top.where(~F.col("deprecated") & ~F.col("type_id").isin(TURN, "SESSION", "INFERRED")).withColumn("nth", nth).where(F.col("nth") <= k)
-    return kept.select(F.col("turn").alias("id"), F.col("id").alias("target"))
+    asked = turns.select("id", hash_embedding(F.substring(F.coalesce("text", F.lit("")), 1, REFERRING_CHARS)).alias("embedding"))
+    near = nearest_of(asked, nodes, 4 * k, threshold)
+    kinds = nodes.where("embedding is not null and not deprecated").where(~F.col("type_id").isin(TURN, "SESSION", "INFERRED")).select(F.col("id").alias("other"))
+    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
+    return near.join(kinds, "other", "left_semi").withColumn("nth", nth).where(F.col("nth") <= k).select("id", F.col("other").alias("target"))
 
 
 def rendered(show_session: bool = False) -> Column:

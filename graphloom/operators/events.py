@@ -57,11 +57,11 @@ def event_summary(g: Graph, as_of: datetime, hours: float = 24) -> DataFrame:
     return totals.join(top, how="cross")  # one row each
 
 
-def record(rows: DataFrame, type_id: str, fields: dict[str, Column], node_id: Column, created_at: Column, confidence: Column | float = 1.0) -> DataFrame:
-    """Nodes to append: an event, interrupt, challenge, revision or outcome with these properties."""
+def record(rows: DataFrame, type_id: str, fields: dict[str, Column], node_id: Column, created_at: Column, confidence: Column | float = 1.0, label: Column | None = None, embedding: Column | None = None) -> DataFrame:
+    """Nodes to append: an event, interrupt, challenge, revision, outcome, turn or session with these properties."""
     c = F.lit(float(confidence)) if isinstance(confidence, (int, float)) else F.coalesce(confidence, F.lit(1.0))
     return rows.select(
-        node_id.alias("id"), F.lit(type_id).alias("type_id"), F.concat_ws(":", F.lit(type_id.lower()), node_id).alias("label"), F.lit(None).cast("array<float>").alias("embedding"),
+        node_id.alias("id"), F.lit(type_id).alias("type_id"), (F.concat_ws(":", F.lit(type_id.lower()), node_id) if label is None else label).alias("label"), (F.lit(None) if embedding is None else embedding).cast("array<float>").alias("embedding"),
         F.to_json(F.struct(*(v.alias(k) for k, v in fields.items()))).alias("properties"), F.lit(None).cast("string").alias("content_ref"), c.alias("confidence"), F.lit(1).alias("version"),
         created_at.alias("created_at"), created_at.alias("updated_at"), F.lit(None).cast("timestamp_ntz").alias("valid_until"), F.lit(False).alias("deprecated"), F.lit(None).cast("string").alias("provenance_id"),
     )
@@ -75,7 +75,11 @@ def relation(rows: DataFrame, source: Column, target: Column, type_id: str, crea
     )
 
 
-def set_property(nodes: DataFrame, name: str, value: Column) -> DataFrame:
-    """New versions of nodes with one text property replaced, as for a challenge's status."""
-    props = F.to_json(F.map_concat(F.map_filter(F.from_json("properties", "map<string,string>"), lambda k, _: k != name), F.create_map(F.lit(name), value.cast("string"))))
-    return nodes.withColumn("properties", props).withColumn("version", F.col("version") + 1)
+def set_property(nodes: DataFrame, name: str, value: Column, now: datetime | None = None) -> DataFrame:
+    """New versions of nodes with one property replaced, as for a challenge's status; the other properties keep
+    their kinds. Properties that are no JSON object become one of this property alone."""
+    old = F.from_json("properties", "map<string,variant>")
+    rest = F.coalesce(F.map_filter(old, lambda k, _: k != name), F.from_json(F.lit("{}"), "map<string,variant>"))
+    patch = F.from_json(F.to_json(F.create_map(F.lit(name), value)), "map<string,variant>")
+    at = F.col("updated_at") if now is None else F.lit(now).cast("timestamp_ntz")
+    return nodes.withColumns({"properties": F.to_json(F.map_concat(rest, patch)), "version": F.col("version") + 1, "updated_at": at})

@@ -67,10 +67,15 @@ def aggregate(nodes: Nodes, fn: str, name: str) -> DataFrame:
 
 
 def group(nodes: Nodes, key: Column) -> DataFrame:
-    """(key, n): the size of each group. Members stay rows of the input, under the same key."""
+    """(key, n): the size of each group."""
     return nodes.df.groupBy(key.alias("key")).agg(F.count("*").alias("n"))
 
 
+def group_members(nodes: Nodes, key: Column) -> Nodes:
+    """The rows with a column key, by key and in their order within: groups stay rows, so none has to fit in one."""
+    return Nodes(nodes.df.withColumn("key", key), ("key", *nodes.order))
+
+
 def reduce_best(nodes: Nodes) -> Nodes:
     """The live row of the highest confidence, the first of equals; none without live rows."""
     best = nodes.df.where(~F.col("deprecated")).orderBy(F.desc("confidence"), *nodes.sort).limit(1)
@@ -78,7 +83,8 @@ def reduce_best(nodes: Nodes) -> Nodes:
 
 
 def count_by_type(g: Graph) -> DataFrame:
-    """(type_id, n) of live nodes for each declared type, zeros kept."""
+    """(type_id, n) of live nodes for each declared type, zeros kept, and a row `total` of their sum."""
     types = g.nodes.sparkSession.createDataFrame([(t,) for t in g.schema.types], "type_id string")
     counts = g.live.groupBy("type_id").agg(F.count("*").alias("n"))
-    return types.join(counts, "type_id", "left").select("type_id", F.coalesce("n", F.lit(0)).alias("n"))
+    each = types.join(counts, "type_id", "left").select("type_id", F.coalesce("n", F.lit(0)).alias("n"))
+    return each.rollup("type_id").agg(F.sum("n").alias("n")).select(F.coalesce("type_id", F.lit("total")).alias("type_id"), "n")

@@ -31,6 +31,11 @@ def get_uncertainty(g: Graph, ids: DataFrame) -> DataFrame:
     return ids.select("id").join(g.uncertainty.withColumnRenamed("node_id", "id"), "id", "left")
 
 
+def get_confidence(g: Graph, ids: DataFrame) -> DataFrame:
+    """(id, confidence, coverage, freshness_score) of the uncertainty rows, nulls where there is none."""
+    return get_uncertainty(g, ids).select("id", "confidence", "coverage", "freshness_score")
+
+
 def is_fresh(g: Graph, ids: DataFrame, max_age: timedelta, as_of: datetime) -> DataFrame:
     """(id, fresh): updated within max_age of as_of; missing nodes aren't."""
     since = F.lit(as_of - max_age).cast("timestamp_ntz")

@@ -1,11 +1,13 @@
 """Graph navigation as joins: one hop with bag semantics, bounded breadth-first loops.
 
-Loop state is small (ids and depths) and checkpointed every hop, so plans don't grow
+Loop state is small (ids by level) and checkpointed every hop, so plans don't grow
 and a lost executor costs one hop at most.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,66 +33,100 @@ def traverse(g: Graph, seeds: Nodes, relation: str, direction: str = "out") -> N
     return Nodes(far.join(g.live, "id"))
 
 
+#: A frontier of at most so many ids is sent to the edges; a larger one is joined by shuffle.
+SMALL_FRONTIER = 100_000
+
+
+def level(ids: DataFrame) -> tuple[DataFrame, int]:
+    """One level of a search: its ids computed once, ready for joins, and how many they are."""
+    ids = settled(ids)
+    n = ids.count()
+    return (F.broadcast(ids) if n <= SMALL_FRONTIER else ids), n
+
+
+def search(g: Graph, start: DataFrame, relations: list[str] | None, max_hops: int, direction: str, target: str | None = None) -> list[DataFrame]:
+    """The breadth-first levels (id), the start first, up to the one that holds the target.
+
+    The frontier meets the edges before anything is made distinct; levels are kept apart, so none is written twice.
+    """
+    near = hops(g, relations, direction).select("near", "far")
+    levels = [level(start.select("id").distinct())[0]]
+    while len(levels) <= max_hops:
+        step = near.join(levels[-1].withColumnRenamed("id", "near"), "near", "left_semi").select(F.col("far").alias("id")).distinct()
+        for seen in levels:
+            step = step.join(seen, "id", "left_anti")
+        new, n = level(step)
+        if not n:
+            break
+        levels.append(new)
+        if target is not None and not new.where(F.col("id") == target).isEmpty():
+            break
+    return levels
+
+
 def expand(g: Graph, seeds: Nodes, relations: list[str] | None = None, max_hops: int = 2, direction: str = "out") -> Nodes:
     """Live nodes within max_hops, without the seeds; deprecated and missing nodes are walked through."""
-    near = hops(g, relations, direction).select("near", "far").distinct()
-    start = settled(seeds.df.select("id").distinct())
-    seen = frontier = start
-    for _ in range(max_hops):
-        step = frontier.join(near, frontier.id == near.near).select(F.col("far").alias("id")).distinct()
-        frontier = settled(step.join(seen, "id", "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = settled(seen.union(frontier))
-    return Nodes(g.live.join(seen.join(start, "id", "left_anti"), "id", "left_semi"))
+    found = search(g, seeds.df, relations, max_hops, direction)[1:]
+    if not found:
+        return Nodes(g.live.limit(0))
+    return Nodes(g.live.join(reduce(DataFrame.union, found), "id", "left_semi"))
 
 
-def path_find(g: Graph, source: str, target: str, relations: list[str] | None = None, max_hops: int = 6) -> DataFrame:
-    """All simple shortest paths along out-edges, as rows (path). source = target gives [[source]].
+def path_find(g: Graph, source: str, target: str, relations: list[str] | None = None, max_hops: int = 6, mode: str = "shortest") -> DataFrame:
+    """Paths along out-edges, as rows (path). source = target gives [[source]].
 
-    The reference keeps the first parent found of each node and so depends on row order;
-    here the documented contract, all shortest paths, holds. Backward pruning keeps the
-    frontier to nodes on such a path: forward depths first, then paths from the target.
+    mode "shortest": all simple shortest paths, the documented contract. Backward pruning keeps
+    to nodes on such a path: forward depths first, then paths from the target.
+    mode "last_hop": as the reference's search behaves, with the smallest id where it takes whichever
+    parent it found first: one path for each live edge into the target from a node of the level before
+    it, and of the levels after that as long as each finds the target again.
     """
     spark = g.nodes.sparkSession
+    if mode not in ("shortest", "last_hop"):
+        raise ValueError(f"bad mode: {mode}")
     if source == target:
         return spark.createDataFrame([([source],)], "path array<string>")
-    near = hops(g, relations, "out").select("near", "far").distinct()
-    depths = [settled(spark.createDataFrame([(source,)], "id string"))]
-    seen = depths[0]
-    found = False
-    while len(depths) <= max_hops and not found:
-        step = depths[-1].join(near, F.col("id") == F.col("near")).select(F.col("far").alias("id")).distinct()
-        new = settled(step.join(seen, "id", "left_anti"))
-        if new.isEmpty():
-            break
-        found = not new.where(F.col("id") == target).isEmpty()
-        depths.append(new)
-        seen = settled(seen.union(new))
-    if not found:
+    start = spark.createDataFrame([(source,)], "id string")
+    if mode == "last_hop":
+        return last_hops(g, start, target, relations, max_hops)
+    near = hops(g, relations, "out").select("near", "far")
+    levels = search(g, start, relations, max_hops, "out", target)
+    if levels[-1].where(F.col("id") == target).isEmpty():
         return spark.createDataFrame([], "path array<string>")
     paths = spark.createDataFrame([([target], target)], "path array<string>, head string")
-    for level in reversed(depths[:-1]):
-        on = level.join(near, F.col("id") == F.col("near")).select(F.col("near").alias("id"), "far")
-        paths = settled(paths.join(on, F.col("head") == F.col("far")).select(F.concat(F.array("id"), "path").alias("path"), F.col("id").alias("head")))
+    for before in reversed(levels[:-1]):
+        on = near.join(before.withColumnRenamed("id", "near"), "near", "left_semi").join(paths.select(F.col("head").alias("far")).distinct(), "far", "left_semi").distinct()
+        paths = settled(paths.join(on, F.col("head") == F.col("far")).select(F.concat(F.array("near"), "path").alias("path"), F.col("near").alias("head")))
     return paths.select("path")
 
 
+def last_hops(g: Graph, start: DataFrame, target: str, relations: list[str] | None, max_hops: int) -> DataFrame:
+    near = hops(g, relations, "out").select("near", "far")
+    seen = frontier = settled(start.select("id", F.array("id").alias("path")))
+    out, since = [], None
+    for depth in range(1, max_hops + 1):
+        step = frontier.join(near, F.col("id") == F.col("near"))
+        hits = settled(step.where(F.col("far") == target).select(F.concat("path", F.array("far")).alias("path")))
+        if not hits.isEmpty():
+            out.append(hits)
+            since = depth
+        elif since is not None:
+            break
+        new = step.where(F.col("far") != target).join(seen.select(F.col("id").alias("far")), "far", "left_anti")
+        frontier = settled(new.groupBy("far").agg(F.min_by("path", "id").alias("parent")).select(F.col("far").alias("id"), F.concat("parent", F.array("far")).alias("path")))
+        if frontier.isEmpty():
+            break
+        seen = seen.union(frontier)
+    return reduce(DataFrame.union, out) if out else g.nodes.sparkSession.createDataFrame([], "path array<string>")
+
+
 def subgraph(g: Graph, root: str, depth: int = 2, relations: list[str] | None = None) -> tuple[Nodes, DataFrame]:
     """Nodes reached within depth out-hops, the root and deprecated ones included, and every live
     out-edge of the nodes that lie before the last depth."""
-    near = hops(g, relations, "out").select("near", "far").distinct()
-    frontier = settled(g.nodes.sparkSession.createDataFrame([(root,)], "id string"))
-    seen, inner = frontier, frontier.limit(0)
-    for _ in range(depth):
-        inner = settled(inner.union(frontier))
-        step = frontier.join(near, F.col("id") == F.col("near")).select(F.col("far").alias("id")).distinct()
-        frontier = settled(step.join(seen, "id", "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = settled(seen.union(frontier))
+    levels = search(g, g.nodes.sparkSession.createDataFrame([(root,)], "id string"), relations, depth, "out")
+    inner = reduce(DataFrame.union, levels[:depth]) if depth else levels[0].limit(0)
     edges = g.live_edges if not relations else g.live_edges.where(F.col("type_id").isin(list(relations)))
-    return Nodes(g.nodes.join(seen, "id", "left_semi")), edges.join(inner.withColumnRenamed("id", "source"), "source", "left_semi")
+    return Nodes(g.nodes.join(reduce(DataFrame.union, levels), "id", "left_semi")), edges.join(inner.withColumnRenamed("id", "source"), "source", "left_semi")
 
 
 def edges_of(g: Graph, node_id: str, end: str = "source", relation: str | None = None) -> DataFrame:

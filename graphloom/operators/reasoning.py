@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Graph, Nodes
+from ..graph import Graph
 from .retrieval import select_approx
 
 
@@ -39,9 +39,9 @@ def infer(g: Graph, rule_id: str) -> DataFrame:
 def contradictions(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b, reason) for pairs (a, b) of nodes of one type with a shared property that differs.
 
-    The reason names the smallest such property; values compare as JSON text.
+    The reason names the smallest such property; values compare as JSON, so 1 and "1" differ.
     """
-    side = nodes.select("id", "type_id", F.from_json("properties", "map<string,string>").alias("p"))
+    side = nodes.select("id", "type_id", F.transform_values(F.from_json("properties", "map<string,variant>"), lambda _, v: F.to_json(v)).alias("p"))
     x, y = side.select(F.col("id").alias("a"), F.col("type_id").alias("ta"), F.col("p").alias("pa")), side.select(F.col("id").alias("b"), F.col("type_id").alias("tb"), F.col("p").alias("pb"))
     differ = F.filter(F.array_sort(F.array_intersect(F.map_keys("pa"), F.map_keys("pb"))), lambda k: ~F.col("pa")[k].eqNullSafe(F.col("pb")[k]))
     return pairs.join(x, "a").join(y, "b").where("ta = tb").withColumn("d", differ).where(F.size("d") > 0).select("a", "b", F.concat(F.lit("differ_on:"), F.col("d")[0]).alias("reason"))
@@ -55,7 +55,3 @@ def check_coverage(g: Graph, query: Column, k: int = 20, threshold: float = 0.3)
     verdict = F.when(F.col("matched") == 0, "UNKNOWN").when(score >= 0.7, "COVERED").when(score >= 0.4, "PARTIAL").otherwise("SPARSE")
     gap = F.when(F.col("matched") == 0, f"no_matches_above_threshold:{threshold}")
     return a.select(verdict.alias("verdict"), score.alias("score"), "matched", "confidence_avg", gap.alias("gap"))
-
-
-def nodes_as_sources(nodes: Nodes) -> DataFrame:
-    return nodes.df.select("id")

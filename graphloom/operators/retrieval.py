@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -12,18 +13,27 @@ from ..graph import Graph, Nodes
 
 
 def select_exact(g: Graph, type_id: str, name: str, value: object) -> Nodes:
-    """Live nodes of exactly this type whose property equals the value."""
+    """Live nodes of exactly this type whose property equals the value. Where the type has typed rows, the
+    comparison is one of their columns, which the scan filters by; else one of the JSON text."""
+    source = g.sources.get(type_id)
+    if source is not None and value is not None and name in source.fields:
+        rows = source.rows.where(properties.typed_equals(source.rows.select(source.fields[name].alias("f")).schema["f"].dataType, source.fields[name], value))
+        return Nodes(source.make(rows).where(~F.col("deprecated")))
     return Nodes(g.live.where((F.col("type_id") == type_id) & properties.equals(F.col("properties"), name, value)))
 
 
 def select_by_id(g: Graph, node_id: str) -> Nodes:
-    """The node, deprecated or not."""
+    """The node, deprecated or not. An id of a type with typed rows is looked up by its key."""
+    for source in g.sources.values():
+        if source.prefix and (m := re.fullmatch(rf"{re.escape(source.prefix)}(0|-?[1-9]\d{{0,17}})", node_id)):
+            return Nodes(source.make(source.rows.where(F.col(source.key) == int(m[1]))))
     return Nodes(g.nodes.where(F.col("id") == node_id))
 
 
 def select_fresh(g: Graph, type_id: str, name: str, value: object, max_age: timedelta, as_of: datetime) -> Nodes:
     """select_exact of nodes updated within max_age of as_of."""
-    return select_exact(g, type_id, name, value).with_df(select_exact(g, type_id, name, value).df.where(F.col("updated_at") >= F.lit(as_of - max_age).cast("timestamp_ntz")))
+    found = select_exact(g, type_id, name, value)
+    return found.with_df(found.df.where(F.col("updated_at") >= F.lit(as_of - max_age).cast("timestamp_ntz")))
 
 
 def find_by_type(g: Graph, type_id: str, deprecated: bool = False) -> Nodes:

@@ -8,8 +8,15 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept below spark.checkpoint.dir; a folder of our own where that is unset."""
+    """df computed once and kept below spark.checkpoint.dir; a folder of our own where that is unset and the
+    master is local."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="checkpoint-"))
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(root)
     return df.checkpoint(eager=True)

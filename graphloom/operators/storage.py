@@ -17,6 +17,11 @@ def append(df: DataFrame, path: str, partition_by: str | None = "type_id") -> No
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
 
 
+def find(rows: DataFrame, wanted: str, key: str = "id") -> DataFrame:
+    """The row of a content, provenance or uncertainty table with this key."""
+    return rows.where(F.col(key) == wanted)
+
+
 def duplicates(existing: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """Keys that an insert would repeat."""
     inside = new.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)

@@ -1,16 +1,19 @@
 """Lowers a plan step by step to lazy DataFrames and runs what its policies need.
 
 A binding holds a node list or a plain DataFrame. Nothing runs but for the loops of EXPAND,
-PATH_FIND and SUBGRAPH, for emptiness where a step halts on it, and for ASSERT's one
-row; Catalyst sees the rest as one plan.
+PATH_FIND and SUBGRAPH, and one job that says which steps are empty and what ASSERT
+finds; Catalyst sees the rest as one plan.
 """
 
 from __future__ import annotations
 
+import json
+import threading
 import time
 import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +25,10 @@ from .plan import HALT, Plan, Step, ordered
 
 Binding = Nodes | DataFrame | None
 
+#: Operators whose lowering runs jobs, and those whose one row is never empty.
+NEEDS_ROWS = frozenset(("EXPAND", "PATH_FIND", "SUBGRAPH", "CONTRADICT"))
+SCALARS = frozenset(("COUNT", "AGGREGATE", "CHECK_COVERAGE", "ASSERT"))
+
 
 @dataclass
 class Result:
@@ -33,6 +40,10 @@ class Result:
     trace: list[dict] = field(default_factory=list)
     error: str | None = None
 
+    def trace_rows(self, spark) -> DataFrame:
+        """(step_id, op, binding, summary, ms), a row for each step that was reached; ms is the time to lower it."""
+        return spark.createDataFrame([tuple(t.values()) for t in self.trace], "step_id string, op string, binding string, summary string, ms long")
+
 
 def resolve(value: object, bindings: dict[str, Binding]) -> object:
     """Strings that begin with `$` stand for bindings, also inside lists and dicts; unbound ones for None."""
@@ -50,46 +61,91 @@ class Executor:
 
     def __init__(self, graph: Graph, as_of: datetime, embed=retrieval.embed):
         self.g, self.as_of, self.embed = graph, as_of, embed
+        self.extra: dict[str, Binding] = {}
 
     def run(self, plan: Plan) -> Result:
+        """Steps are lowered lazily; what halts on emptiness, and assertions, wait together for one job, which runs
+        before a step that needs rows to be lowered, on an error, and at the end. Jobs are cancelled at the time limit."""
         steps = ordered(plan.steps)
-        out = Result("COMPLETE", {})
-        began = time.monotonic()
-        for step in steps:
-            at = time.monotonic()
-            try:
-                value = self.lower(step, resolve(step.args, out.bindings))
-                reason = self.settle(step, value, out)
-            except Exception as e:  # noqa: BLE001  the step's policy decides
-                out.trace.append(self.traced(step, f"error: {e}", at))
-                if step.on_type_error == HALT:
-                    return Result("FAILED", out.bindings, [], out.trace, f"{step.step_id}: {e}")
-                out.bindings[step.output_binding] = None
-                continue
-            out.bindings[step.output_binding] = value
-            out.trace.append(self.traced(step, reason or "ok", at))
-            if step.on_empty == HALT and (reason or self.is_empty(value, step)):
-                out.status = "PARTIAL"
-                return out
-            if (time.monotonic() - began) * 1000 > plan.timeout_ms:
+        out, pending = Result("COMPLETE", {}), []
+        began, context = time.monotonic(), self.g.nodes.sparkSession.sparkContext
+        group, left = f"plan-{uuid.uuid4()}", plan.timeout_ms / 1000
+        expired = threading.Event()
+
+        def expire() -> None:
+            expired.set()
+            context.cancelJobGroup(group)
+
+        timer = threading.Timer(left, expire)
+        timer.daemon = True
+        old = {k: context.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")}
+        context.setJobGroup(group, "plan", interruptOnCancel=True)
+        timer.start()
+        try:
+            for step in steps:
+                at = time.monotonic()
+                if step.op in NEEDS_ROWS and self.stopped(pending, out):
+                    return out
+                try:
+                    value = self.lower(step, resolve(step.args, out.bindings))
+                except Exception as e:  # noqa: BLE001  the step's policy decides
+                    if expired.is_set():
+                        out.status = "TIMEOUT"
+                        return out
+                    if self.stopped(pending, out):
+                        return out
+                    out.trace.append(self.traced(step, f"error: {e}", at))
+                    if step.on_type_error == HALT:
+                        return Result("FAILED", out.bindings, [], out.trace, f"{step.step_id}: {e}")
+                    out.bindings[step.output_binding] = None
+                    continue
+                out.bindings |= {step.output_binding: value} | self.extra
+                self.extra = {}
+                out.trace.append(self.traced(step, "lazy", at))
+                pending.append((step, value, len(out.trace) - 1))
+                if time.monotonic() - began > left:
+                    out.status = "TIMEOUT"
+                    return out
+            self.stopped(pending, out)
+        except Exception as e:  # noqa: BLE001  rows that can't be computed
+            if expired.is_set():
                 out.status = "TIMEOUT"
                 return out
+            return Result("FAILED", out.bindings, [], out.trace, str(e))
+        finally:
+            timer.cancel()
+            for k, v in old.items():
+                context.setLocalProperty(k, v)
         return out
 
-    def settle(self, step: Step, value: Binding, out: Result) -> str | None:
-        """Takes an assertion's row; the reason why it doesn't hold."""
-        if step.op != "ASSERT":
-            return None
-        row = value.first().asDict()
-        if row["unknown_reason"] is None:
-            sources = self.nodes(resolve(step.args.get("sources"), out.bindings))
-            out.assertions.append(row | {"id": str(uuid.uuid4()), "sources": sources})
-        return row["unknown_reason"]
-
-    def is_empty(self, value: Binding, step: Step) -> bool:
-        if value is None:
-            return True
-        return step.op not in ("COUNT", "AGGREGATE", "CHECK_COVERAGE", "ASSERT") and (value.df if isinstance(value, Nodes) else value).isEmpty()
+    def stopped(self, pending: list, out: Result) -> bool:
+        """Settles the pending steps in one job, in order; True where one of them halts the plan."""
+        asked = []
+        for i, (step, value, _) in enumerate(pending):
+            if step.op == "ASSERT":
+                asked.append(value.select(F.lit(i).alias("i"), F.lit(None).cast("boolean").alias("some"), F.to_json(F.struct("*")).alias("row")))
+            elif step.on_empty == HALT and value is not None and step.op not in SCALARS:
+                df = value.df if isinstance(value, Nodes) else value
+                asked.append(df.limit(1).agg((F.count("*") > 0).alias("some")).select(F.lit(i).alias("i"), "some", F.lit(None).cast("string").alias("row")))
+        rows = {r["i"]: r for r in reduce(DataFrame.unionByName, asked).collect()} if asked else {}  # one row a step
+        done = list(pending)
+        pending.clear()
+        for i, (step, value, nth) in enumerate(done):
+            reason, row = None, rows.get(i)
+            if step.op == "ASSERT":
+                found = {k: None for k in value.columns} | json.loads(row["row"])
+                reason = found["unknown_reason"]
+                if reason is None:
+                    out.assertions.append(found | {"id": str(uuid.uuid4()), "sources": self.nodes(resolve(step.args.get("sources"), out.bindings))})
+            empty = value is None or row is not None and row["some"] is False
+            out.trace[nth]["summary"] = reason or ("empty" if empty else "ok")
+            if step.on_empty == HALT and (reason or empty):
+                out.status = "PARTIAL"
+                for later, _, _ in done[i + 1 :]:
+                    out.bindings.pop(later.output_binding, None)
+                del out.trace[nth + 1 :]
+                return True
+        return False
 
     @staticmethod
     def traced(step: Step, summary: str, at: float) -> dict:
@@ -146,10 +202,13 @@ class Executor:
         return navigation.expand(self.g, self.nodes(a.get("nodes")), a.get("rel_types"), int(a.get("max_hops", 2)), a.get("direction", "out"))
 
     def op_path_find(self, a, _):
-        return navigation.path_find(self.g, self.one_id(a.get("source")), self.one_id(a.get("target")), a.get("rel_types"))
+        return navigation.path_find(self.g, self.one_id(a.get("source")), self.one_id(a.get("target")), a.get("rel_types"), mode=a.get("mode", "shortest"))
 
-    def op_subgraph(self, a, _):
-        return navigation.subgraph(self.g, self.one_id(a.get("root")), int(a.get("depth", 2)), a.get("rel_types"))[0]
+    def op_subgraph(self, a, step):
+        """The nodes; the edges are bound under the binding's name with `.edges` after it."""
+        nodes, edges = navigation.subgraph(self.g, self.one_id(a.get("root")), int(a.get("depth", 2)), a.get("rel_types"))
+        self.extra[f"{step.output_binding}.edges"] = edges
+        return nodes
 
     # Lists
     def op_intersect(self, a, _):
@@ -179,8 +238,11 @@ class Executor:
     def op_aggregate(self, a, _):
         return lists.aggregate(self.nodes(a.get("input")), a["fn"], a["prop"])
 
-    def op_group(self, a, _):
-        return lists.group(self.nodes(a.get("input")), self.key(a.get("key", "type_id")))
+    def op_group(self, a, step):
+        """The groups' sizes; their members are bound under the binding's name with `.members` after it."""
+        nodes, key = self.nodes(a.get("input")), self.key(a.get("key", "type_id"))
+        self.extra[f"{step.output_binding}.members"] = lists.group_members(nodes, key)
+        return lists.group(nodes, key)
 
     def op_reduce(self, a, _):
         return lists.reduce_best(self.nodes(a.get("input")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -10,11 +11,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import vector
+from .functions.properties import number, text
 from .graph import Graph, Nodes
 from .operators import conversations, dataset, events, lists, meta, navigation, reasoning, retrieval, storage
 from .plans import verify
 from .plans.executor import Executor
-from .plans.plan import Plan
+from .plans.plan import Plan, default_plan, ordered, validate
+from .sources import files
 from .sources.tables import AS_OF, NODES, load, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,11 +86,6 @@ def find_by_type(spark, sf):
     return ids(retrieval.find_by_type(load(spark, sf, ["PART", "SUPPLIER"]), "PART"))
 
 
-@query("select 'region:' || r_regionkey as id from region union all select 'nation:' || n_nationkey from nation")
-def all_nodes(spark, sf):
-    return ids(retrieval.all_nodes(load(spark, sf, ["REGION", "NATION"]), deprecated=True))
-
-
 # Every declared type: its table, its rows, the prefix of its ids and its key.
 TYPES_SQL = [
     ("REGION", "region", "true", "region", "r_regionkey"), ("NATION", "nation", "true", "nation", "n_nationkey"), ("CUSTOMER", "customer", "true", "customer", "c_custkey"), ("SUPPLIER", "supplier", "true", "supplier", "s_suppkey"),
@@ -98,8 +96,7 @@ TYPES_SQL = [
 
 
 @query(" union all ".join([f"select '{prefix}:' || {key} as id from {name} where {rows}" for _, name, rows, prefix, key in TYPES_SQL] + ["select 'turn:' || conv_id || ':' || turn from conversations"]))
-def all_nodes_all_types(spark, sf):
-    """all_nodes over every declared type."""
+def all_nodes(spark, sf):
     return ids(retrieval.all_nodes(load(spark, sf, list(NODES)), deprecated=True))
 
 
@@ -130,7 +127,7 @@ def ann_top_k(spark, sf):
 
 @query("""with b as (select doc_id, list_transform(range(0, 384), lambda i: ('0x' || substr(sha256(text), ((i % 32) * 2 + 1)::int, 2))::int / 255.0::double * 2 - 1) as v from documents),
 n as (select doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as norm from b)
-select doc_id, round(v[1] / norm, 5) as first, round(v[384] / norm, 5) as last, len(v)::int as dimensions from n""")
+select doc_id, round((v[1] / norm)::float::double, 5) as first, round((v[384] / norm)::float::double, 5) as last, len(v)::int as dimensions from n""")
 def hash_embedding(spark, sf):
     v = table(spark, sf, "documents").select("doc_id", vector.hash_embedding(F.col("text")).alias("v"))
     return v.select("doc_id", F.round(F.col("v")[0].cast("double"), 5).alias("first"), F.round(F.col("v")[383].cast("double"), 5).alias("last"), F.size("v").alias("dimensions"))
@@ -145,16 +142,8 @@ def traverse_out(spark, sf):
     return ids(navigation.traverse(g, retrieval.select_exact(g, "CUSTOMER", "c_mktsegment", "BUILDING"), "IN_NATION"))
 
 
-@query(f"select 'order:' || o_orderkey as id from orders where o_custkey <= 20 and {live('o_orderkey')} and {live_edge('o_orderkey')} and {live('o_custkey')}")
-def traverse_in(spark, sf):
-    g = load(spark, sf, ["CUSTOMER", "ORDER"], ["PLACED_BY"])
-    seeds = Nodes(retrieval.find_by_type(g, "CUSTOMER").df.where(F.substring("id", 10, 20).cast("long") <= 20))
-    return ids(navigation.traverse(g, seeds, "PLACED_BY", "in"))
-
-
 @query(f"select 'order:' || o_orderkey as id from orders where {live('o_orderkey')} and {live_edge('o_orderkey')} and {live('o_custkey')}")
-def traverse_in_all_customers(spark, sf):
-    """traverse_in from every live customer."""
+def traverse_in(spark, sf):
     g = load(spark, sf, ["CUSTOMER", "ORDER"], ["PLACED_BY"])
     return ids(navigation.traverse(g, retrieval.find_by_type(g, "CUSTOMER"), "PLACED_BY", "in"))
 
@@ -226,6 +215,22 @@ def edges_out(spark, sf):
     return navigation.edges_of(load(spark, sf, ["PART"], ["SUPPLIED_BY"]), "part:5").select(F.col("target").alias("other"))
 
 
+@query(f"select 'part:' || l_partkey as other from (select distinct l_partkey, l_suppkey from lineitem) where l_suppkey = 3 and {live_edge('(l_partkey + l_suppkey)')}")
+def edges_in(spark, sf):
+    return navigation.edges_of(load(spark, sf, ["PART"], ["SUPPLIED_BY"]), "supplier:3", "target").select(F.col("source").alias("other"))
+
+
+# One path for each last edge into the target: all of length 2 here, or longer by one where the turn before is reached too.
+@query(f"""with e as (select conv_id, turn from conversations where turn > 0 and conv_id = 3 and {live_edge('(conv_id + turn)')}), p as (select conv_id, turn from conversations where conv_id = 3 and {live_edge('(conv_id + turn)')}),
+recursive_free as (select 0 as d where exists (select 1 from p where turn = 6) union all select 1 where exists (select 1 from e where turn = 6) and exists (select 1 from p where turn = 5)
+union all select 2 where exists (select 1 from e where turn = 6) and exists (select 1 from e where turn = 5) and exists (select 1 from p where turn = 4))
+select case d when 0 then 'turn:3:6>session:3' when 1 then 'turn:3:6>turn:3:5>session:3' else 'turn:3:6>turn:3:5>turn:3:4>session:3' end as path from recursive_free r where d < 3 and not exists (select 1 from range(0, d) x(k) where k not in (select d from recursive_free) and exists (select 1 from recursive_free y where y.d < x.k))""")
+def path_find_last_hop(spark, sf):
+    """The paths of up to three edges from a turn to its session."""
+    g = load(spark, sf, ["CONVERSATION_TURN", "SESSION"], ["FOLLOWS", "PART_OF"])
+    return navigation.path_find(g, "turn:3:6", "session:3", max_hops=3, mode="last_hop").select(F.array_join("path", ">").alias("path"))
+
+
 # Lists
 
 
@@ -324,25 +329,21 @@ def agg_empty_zero(spark, sf):
 
 @query(f"select c_mktsegment as key, count(*) as n from customer where {live('c_custkey')} group by 1")
 def group_key(spark, sf):
-    from .functions.properties import text
-
     return lists.group(retrieval.find_by_type(load(spark, sf, ["CUSTOMER"]), "CUSTOMER"), text(F.col("properties"), "c_mktsegment"))
 
 
+@query(f"select c_mktsegment as key, 'customer:' || c_custkey as id from customer where {live('c_custkey')}")
+def group_members(spark, sf):
+    return lists.group_members(retrieval.find_by_type(load(spark, sf, ["CUSTOMER"]), "CUSTOMER"), text(F.col("properties"), "c_mktsegment")).df.select("key", "id")
+
+
 @query(f"select 'order:' || o_orderkey as id, round({conf('o_orderkey')}, 4) as confidence from orders where {live('o_orderkey')} order by {conf('o_orderkey')} desc, 'order:' || o_orderkey limit 1")
 def reduce_best(spark, sf):
     return with_conf(lists.reduce_best(retrieval.find_by_type(load(spark, sf, ["ORDER"]), "ORDER")))
 
 
-@query(f"""select t as type_id, coalesce(n, 0) as n from (values ('REGION'), ('NATION'), ('CUSTOMER'), ('SUPPLIER'), ('PART'), ('ORDER'), ('DOC'), ('VECTOR'), ('PAGE'), ('EVENT_LOG'), ('INTERRUPT_L1'), ('INTERRUPT_L2'), ('SESSION'), ('CONVERSATION_TURN')) x(t)
-left join (select 'CUSTOMER' as k, count(*) as n from customer where {live('c_custkey')} union all select 'NATION', count(*) from nation where {live('n_nationkey')} union all select 'PART', count(*) from part where {live('p_partkey')}) on k = t""")
+@query("with t as (" + " union all ".join([f"select '{t}' as type_id, count(*) as n from {name} where {rows} and {live(key)}" for t, name, rows, _, key in TYPES_SQL] + [f"select 'CONVERSATION_TURN', count(*) from conversations where {live('(conv_id + turn)')}"]) + ") select * from t union all select 'total', sum(n)::bigint from t")
 def type_stats(spark, sf):
-    return lists.count_by_type(load(spark, sf, ["CUSTOMER", "NATION", "PART"]))
-
-
-@query(" union all ".join([f"select '{t}' as type_id, count(*) as n from {name} where {rows} and {live(key)}" for t, name, rows, _, key in TYPES_SQL] + [f"select 'CONVERSATION_TURN', count(*) from conversations where {live('(conv_id + turn)')}"]))
-def type_stats_all_types(spark, sf):
-    """type_stats over every declared type."""
     return lists.count_by_type(load(spark, sf, list(NODES)))
 
 
@@ -432,9 +433,82 @@ def meta_contradictions(spark, sf):
     return meta.get_contradictions(g, g.nodes)
 
 
+@query("select 'nation:' || n_nationkey as id, case when n_nationkey % 2 = 0 then 0.5::double end as confidence, case when n_nationkey % 2 = 0 then 1.0::double end as coverage, case when n_nationkey % 2 = 0 then n_nationkey / 100.0::double end as freshness_score from nation")
+def meta_confidence(spark, sf):
+    g = load(spark, sf, ["NATION"])
+    g.uncertainty = table(spark, sf, "nation").where("n_nationkey % 2 = 0").select(F.format_string("nation:%d", "n_nationkey").alias("node_id"), F.lit(0.5).alias("confidence"), F.lit(1.0).alias("coverage"), (F.col("n_nationkey") / 100).alias("freshness_score"))
+    return meta.get_confidence(g, g.nodes)
+
+
 # Storage
 
 
+@query("select 'customer:' || c_custkey as id from customer where c_custkey % 9 = 0 or c_custkey % 6 = 0")
+def insert_conflicts(spark, sf):
+    """The keys that an insert would repeat: those that are there, and those that it has twice."""
+    g, key = load(spark, sf, ["CUSTOMER"]), F.substr(F.col("id"), F.lit(10)).cast("long")
+    new = g.nodes.where(key % 3 == 0).unionByName(g.nodes.where(key % 9 == 0))
+    return storage.duplicates(g.nodes.where(key % 2 == 0), new)
+
+
+@query("select sha256(html) as hash, octet_length(encode(html))::int as size from pages where page_id = 7")
+def content_lookup(spark, sf):
+    pages = table(spark, sf, "pages").select(F.format_string("page:%d", "page_id").alias("id"), F.encode("html", "UTF-8").alias("data"), F.sha2("html", 256).alias("hash"))
+    return storage.find(pages, "page:7").select("hash", F.length("data").alias("size"))
+
+
+# Files
+
+
+def project(spark, sf) -> DataFrame:
+    """A directory tree as files.read_files gives it: a Python file for each part, which imports its neighbours, a
+    document for each nation, a settings file for each region."""
+    p, n, r = (table(spark, sf, t) for t in ("part", "nation", "region"))
+    key = F.col("p_partkey") + 1
+    code = F.concat(F.lit("import pkg.m"), key - 1, F.lit("\nfrom m"), key + 1, F.lit(" import f\n\ndef f"), key, F.lit("():\n    def inner(): pass\n\nasync def g"), key, F.lit("(): pass\n"))
+    made = [
+        p.select(F.concat(F.lit("pkg/m"), key, F.lit(".py")).alias("path"), code.alias("text"), F.lit("CODE_FILE").alias("type_id"), F.lit("code").alias("format"), F.lit("python").alias("language")),
+        n.select(F.concat(F.lit("docs/n"), "n_nationkey", F.lit(".md")).alias("path"), F.col("n_name").alias("text"), F.lit("DOC").alias("type_id"), F.lit("text").alias("format"), F.lit(None).cast("string").alias("language")),
+        r.select(F.concat(F.lit("conf/r"), "r_regionkey", F.lit(".json")).alias("path"), F.lit("{}").alias("text"), F.lit("CONFIG").alias("type_id"), F.lit("json").alias("format"), F.lit(None).cast("string").alias("language")),
+    ]
+    rows = made[0].unionByName(made[1]).unionByName(made[2])
+    return rows.select("path", F.encode("text", "UTF-8").alias("content"), "type_id", "format", "language", F.lit(AS_OF).cast("timestamp_ntz").alias("modified"))
+
+
+CODE_SQL = "'import pkg.m' || (p - 1) || chr(10) || 'from m' || (p + 1) || ' import f' || chr(10) || chr(10) || 'def f' || p || '():' || chr(10) || '    def inner(): pass' || chr(10) || chr(10) || 'async def g' || p || '(): pass' || chr(10)"
+
+
+@query(f"select 'pkg/m' || p || '.py' as source_uri, 'code' as format, sha256({CODE_SQL}) as hash from (select p_partkey + 1 as p from part) union all select 'docs/n' || n_nationkey || '.md', 'text', sha256(n_name) from nation union all select 'conf/r' || r_regionkey || '.json', 'json', sha256('{{}}') from region")
+def file_contents(spark, sf):
+    return files.contents(project(spark, sf)).select("source_uri", "format", "hash")
+
+
+@query("""select 'file:pkg/m' || p || '.py' as id, 'CODE_FILE' as type_id, 'm' || p as name, 8.0::double as line_count, 0.9::double as confidence from (select p_partkey + 1 as p from part)
+union all select 'file:docs/n' || n_nationkey || '.md', 'DOC', 'n' || n_nationkey, null, 0.9 from nation union all select 'file:conf/r' || r_regionkey || '.json', 'CONFIG', 'r' || r_regionkey, null, 0.9 from region""")
+def file_nodes(spark, sf):
+    p = F.col("properties")
+    return files.file_nodes(project(spark, sf)).select("id", "type_id", F.coalesce(text(p, "module"), text(p, "title"), text(p, "key")).alias("name"), number(p, "line_count").alias("line_count"), "confidence")
+
+
+@query("select 'pkg/m' || p || '.py' as path, kind, case kind when 'f' then 'f' || p when 'g' then 'g' || p else 'inner' end as label, 0.85::double as confidence from (select p_partkey + 1 as p from part), (values ('f'), ('g'), ('i')) k(kind)")
+def python_functions(spark, sf):
+    nodes = files.function_nodes(files.python_symbols(project(spark, sf)))
+    return nodes.select(F.replace("provenance_id", F.lit("file:"), F.lit("")).alias("path"), F.substring("label", 1, 1).alias("kind"), "label", "confidence")
+
+
+@query("select 'file:pkg/m' || p || '.py' as source, count(*) * 3 as n, 0.95::double as confidence from (select p_partkey + 1 as p from part) group by p")
+def python_defines(spark, sf):
+    return files.defines(files.python_symbols(project(spark, sf))).groupBy("source").agg(F.count("*").alias("n"), F.first("confidence").alias("confidence"))
+
+
+@query("""select 'file:pkg/m' || p || '.py' as source, 'file:pkg/m' || (p - 1) || '.py' as target, 0.9::double as confidence from (select p_partkey + 1 as p from part) where p - 1 in (select p_partkey + 1 from part)
+union all select 'file:pkg/m' || p || '.py', 'file:pkg/m' || (p + 1) || '.py', 0.9 from (select p_partkey + 1 as p from part) where p + 1 in (select p_partkey + 1 from part)""")
+def python_imports(spark, sf):
+    """Half of them by the exact path, half by its ending."""
+    found = project(spark, sf)
+    return files.imports(files.python_symbols(found), found).select("source", "target", "confidence")
+
+
 @query("select 'customer:' || c_custkey as id, case when c_custkey % 3 = 0 then 2 else 1 end::int as version, (c_custkey % 17 = 0 or c_custkey % 5 = 0) as deprecated from customer")
 def latest_version(spark, sf):
     g = load(spark, sf, ["CUSTOMER"])
@@ -458,10 +532,8 @@ def latest_uncertainty(spark, sf):
 @query("""with p as (select a.vec_id as a, b.vec_id as b, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as s from embeddings a join embeddings b on b.vec_id < a.vec_id),
 r as (select *, row_number() over (partition by a order by s desc, 'vector:' || b) as k from p where s >= 0.3) select 'vector:' || a as source, 'vector:' || b as target, round(s, 4) as weight from r where k <= 5""")
 def similar_links(spark, sf):
-    from .sources.files import links
-
     v = table(spark, sf, "embeddings").select(F.concat(F.lit("vector:"), F.col("vec_id").cast("string")).alias("id"), F.col("vec_id").alias("seq"), "embedding")
-    return links(v, 5, 0.3).select("source", "target", "weight")
+    return files.links(v, 5, 0.3).select("source", "target", "weight")
 
 
 # Conversations
@@ -504,27 +576,56 @@ def recent_turns(spark, sf):
     return conversations.recent_turns(conversations.turns_of(load(spark, sf, ["CONVERSATION_TURN"]))).select("id")
 
 
-@query(f"""with t as (select *, {ASOF} + to_seconds(conv_id * 1000 + turn) as said_at from conversations), r as (select * from t where conv_id = 3 and {live('(conv_id + turn)')} order by turn desc limit 6)
-select 'recent' as section, 'turn:' || conv_id || ':' || turn as id, '[turn ' || turn || ' | ' || role || ' | ' || strftime(said_at, '%Y-%m-%d %H:%M:%S') || ']' || chr(10) || case when length(trim(text)) > 600 then substr(trim(text), 1, 600) || '…' else trim(text) end as block from r
-union all select 'total', '', count(*)::varchar from conversations""")
-def context_block(spark, sf):
-    g = load(spark, sf, ["CONVERSATION_TURN"])
-    return conversations.context_block(g, retrieval.embed("CONVERSATION_TURN what was decided"), "3")
+def opening(spark, sf):
+    """The embedding of what session 1 opened with."""
+    asked = said(spark, sf).where("session_id = '1' and turn_index = 0").select("role", "text").first()
+    return vector.turn_embedding(F.lit(asked["role"]), F.lit(asked["text"]))
+
+
+def sql_vector(text: str) -> str:
+    return f"list_transform(range(0, 32), lambda i: ('0x' || substr(sha256({text}), (i * 2 + 1)::int, 2))::int / 255.0::double * 2 - 1)"
 
 
-@query(f"""with t as (select *, {ASOF} + to_seconds(conv_id * 1000 + turn) as said_at, 'turn:' || conv_id || ':' || turn as id, sha256('CONVERSATION_TURN ' || role || ': ' || substr(text, 1, 800)) as h from conversations),
-v as (select *, list_transform(range(0, 32), lambda i: ('0x' || substr(h, (i * 2 + 1)::int, 2))::int / 255.0::double * 2 - 1) as v from t),
+SEMANTIC = f"""t as (select *, {ASOF} + to_seconds(conv_id * 1000 + turn) as said_at, 'turn:' || conv_id || ':' || turn as id from conversations),
+v as (select *, {sql_vector("'CONVERSATION_TURN ' || role || ': ' || substr(text, 1, 800)")} as v from t),
 top as (select *, list_cosine_similarity(v, (select v from v where conv_id = 1 and turn = 0)) as score from v order by score desc, id limit 24),
-hit as (select * from top where score >= 0.55 and {live('(conv_id + turn)')} and conv_id <> 3 order by score desc, id limit 4),
+hit as (select * from top where score >= 0.55 and {live('(conv_id + turn)')} and conv_id <> 3 order by score desc, id limit 4)"""
+
+
+@query(f"with {SEMANTIC} select id, round(score, 4) as score from hit")
+def semantic_turns(spark, sf):
+    return conversations.semantic_turns(load(spark, sf, ["CONVERSATION_TURN"]), opening(spark, sf), "3").select("id", F.round("score", 4).alias("score"))
+
+
+@query(f"""with {SEMANTIC},
 r as (select * from t where conv_id = 3 and {live('(conv_id + turn)')} order by turn desc limit 6),
 b as (select 'recent' as section, id, '' as session, turn, role, said_at, trim(text) as text from r union all select 'semantic', id, 'session:' || substr(conv_id::varchar, 1, 8) || ' | ', turn, role, said_at, trim(text) from hit)
 select section, id, '[turn ' || turn || ' | ' || role || ' | ' || session || strftime(said_at, '%Y-%m-%d %H:%M:%S') || ']' || chr(10) || case when length(text) > 600 then substr(text, 1, 600) || '…' else text end as block from b
 union all select 'total', '', count(*)::varchar from conversations""")
-def context_block_semantic(spark, sf):
-    """context_block over embedded turns; the query is what session 1 opened with."""
-    asked = said(spark, sf).where("session_id = '1' and turn_index = 0").select("role", "text").first()
-    g = conversations.embedded(load(spark, sf, ["CONVERSATION_TURN"]))
-    return conversations.context_block(g, conversations.turn_embedding(F.lit(asked["role"]), F.lit(asked["text"])), "3")
+def context_block(spark, sf):
+    """The query is what session 1 opened with."""
+    return conversations.context_block(load(spark, sf, ["CONVERSATION_TURN"]), opening(spark, sf), "3")
+
+
+@query(f"""with v as (select 'turn:' || conv_id || ':' || turn as id, conv_id, turn, {sql_vector('substr(text, 1, 1000)')} as v from conversations),
+p as (select q.id, 'note:' || n.conv_id || ':' || n.turn as target, n.turn % 10 as kind, list_cosine_similarity(q.v, n.v) as s from v q join v n on n.turn % 5 = 0 where q.turn < 2),
+top as (select * from p where s >= 0.5 qualify row_number() over (partition by id order by s desc, target) <= 20)
+select id, target from top where kind = 0 qualify row_number() over (partition by id order by s desc, target) <= 5""")
+def references(spark, sf):
+    """What the first two turns of every session refer to among notes that repeat what was said; half of these are inferred."""
+    c = table(spark, sf, "conversations")
+    notes = c.where("turn % 5 = 0").select(F.concat_ws(":", F.lit("note"), "conv_id", "turn").alias("id"), F.when(F.col("turn") % 10 == 0, "DOC").otherwise("INFERRED").alias("type_id"), F.lit(False).alias("deprecated"), vector.hash_embedding(F.substring("text", 1, 1000)).alias("embedding"))
+    return conversations.references_of(notes, said(spark, sf).where("turn_index < 2").select("id", "text"))
+
+
+@query("""with c as (select 'checkpoint:' || event_id as id, ts, 'summary of ' || user_id as summary from events where event_type = 'click' and ts >= (select max(ts) from events) - interval 600 second)
+select id, ts as created_at, summary from c order by ts desc, id limit 1""")
+def latest_checkpoint(spark, sf):
+    e = table(spark, sf, "events")
+    g = load(spark, sf, ["NATION"])
+    fields = {"session_id": F.col("user_id").cast("string"), "summary": F.concat(F.lit("summary of "), F.col("user_id"))}
+    g.nodes = events.record(e.where("event_type = 'click'"), "CHECKPOINT", fields, F.concat(F.lit("checkpoint:"), F.col("event_id").cast("string")), F.col("ts").cast("timestamp_ntz"))
+    return conversations.latest_checkpoint(g, e.agg(F.max("ts")).first()[0])
 
 
 @query(f"""with l as (select conv_id, turn, '[' || role || '] ' || substr(text, 1, 800) as x from conversations where {live('(conv_id + turn)')} qualify row_number() over (partition by conv_id order by turn desc) <= 40)
@@ -563,14 +664,50 @@ def event_summary(spark, sf):
     return events.event_summary(load(spark, sf, ["EVENT_LOG", "INTERRUPT_L1", "INTERRUPT_L2"]), AS_OF, 240)
 
 
-@query("select 'challenge:' || event_id as id, round(least(1.0, value / 200), 4) as confidence, 'challenge:' || event_id || '>event:' || event_id as challenged from events where event_type = 'error' and value > 100")
+@query("select 'challenge:' || event_id as id, round(least(1.0, value / 200), 6) as confidence, 'challenge:' || event_id || '>event:' || event_id as challenged, 'resolved' as ecl_status, value as arc_confidence, event_id % 2 = 0 as seen, 2::int as version from events where event_type = 'error' and value > 100")
 def write_challenges(spark, sf):
+    """Challenges with their edges, then their status changed: the other properties keep their kinds."""
     e = table(spark, sf, "events").where("event_type = 'error' and value > 100")
     key, at = F.concat(F.lit("challenge:"), F.col("event_id").cast("string")), F.col("ts")
     target = F.concat(F.lit("event:"), F.col("event_id").cast("string"))
-    nodes = events.record(e, "ARC_CHALLENGE", {"target_node_id": target, "ecl_status": F.lit("pending")}, key, at, F.least(F.lit(1.0), F.col("value") / 200))
+    fields = {"target_node_id": target, "arc_confidence": F.col("value"), "seen": F.col("event_id") % 2 == 0, "ecl_status": F.lit("pending")}
+    nodes = events.record(e, "ARC_CHALLENGE", fields, key, at, F.least(F.lit(1.0), F.col("value") / 200))
     edges = events.relation(e, key, target, "CHALLENGED_BY", at)
-    return events.set_property(nodes, "ecl_status", F.lit("resolved")).join(edges.select(F.col("source").alias("id"), F.concat_ws(">", "source", "target").alias("challenged")), "id").select("id", F.round("confidence", 4).alias("confidence"), "challenged")
+    changed = events.set_property(nodes, "ecl_status", F.lit("resolved"), AS_OF).join(edges.select(F.col("source").alias("id"), F.concat_ws(">", "source", "target").alias("challenged")), "id")
+    p = F.col("properties")
+    return changed.select("id", F.round("confidence", 6).alias("confidence"), "challenged", text(p, "ecl_status").alias("ecl_status"), number(p, "arc_confidence").alias("arc_confidence"), F.try_variant_get(F.parse_json(p), "$.seen", "boolean").alias("seen"), "version")
+
+
+@query("""select 'l1' as level, 'l1:' || event_id || '>INTERRUPT_OF>event:' || event_id as edge, value as trigger_value, null::varchar as pattern, ts as created_at from events where event_type = 'error'
+union all select 'l2', 'l2:' || event_id || '>INTERRUPT_OF>event:' || event_id, null, event_type, ts from events where event_type <> 'error'
+union all select 'l3', null, null, null, ts from events where value > 100""")
+def write_events(spark, sf):
+    """Interrupts of all levels; those of the first two name the event that they interrupt."""
+    e = table(spark, sf, "events")
+    key = lambda level: F.concat(F.lit(f"{level}:"), F.col("event_id").cast("string"))
+    made = {
+        "l1": (e.where("event_type = 'error'"), "INTERRUPT_L1", {"trigger_metric": F.lit("value"), "trigger_value": F.col("value"), "threshold": F.lit(0.0), "action": F.lit("page"), "resolved": F.lit(False)}),
+        "l2": (e.where("event_type <> 'error'"), "INTERRUPT_L2", {"pattern": F.col("event_type"), "salience_score": F.least(F.lit(1.0), F.col("value") / 200), "action": F.lit("note")}),
+        "l3": (e.where("value > 100"), "INTERRUPT_L3", {"monitor": F.lit("value"), "observation": F.lit("high"), "action": F.lit("note"), "arc_triggered": F.lit(False)}),
+    }
+    out = []
+    for level, (rows, type_id, fields) in made.items():
+        nodes = events.record(rows, type_id, fields, key(level), F.col("ts"))
+        target = F.lit(None).cast("string") if level == "l3" else F.concat(F.lit("event:"), F.col("event_id").cast("string"))
+        edges = events.relation(rows, key(level), target, "INTERRUPT_OF", F.col("ts"))
+        joined = nodes.join(edges.select(F.col("source").alias("id"), F.concat_ws(">", "source", "type_id", "target").alias("edge")), "id", "left")
+        p = F.col("properties")
+        out.append(joined.select(F.lit(level).alias("level"), "edge", number(p, "trigger_value").alias("trigger_value"), text(p, "pattern").alias("pattern"), "created_at"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("select 'outcome:' || event_id as id, event_type as outcome, 'user:' || user_id as challenger_id, round(value, 6) as risk_score from events order by ts desc, 'outcome:' || event_id limit 20")
+def recent_decisions(spark, sf):
+    e = table(spark, sf, "events")
+    fields = {"outcome": F.col("event_type"), "challenger_id": F.concat(F.lit("user:"), F.col("user_id").cast("string")), "risk_score": F.col("value"), "reason": F.lit("r")}
+    g = load(spark, sf, ["NATION"])
+    g.nodes = g.nodes.unionByName(events.record(e, "ARBITRATION_OUTCOME", fields, F.concat(F.lit("outcome:"), F.col("event_id").cast("string")), F.col("ts").cast("timestamp_ntz")))
+    return events.recent_decisions(g).select("id", "outcome", "challenger_id", F.round("risk_score", 6).alias("risk_score"))
 
 
 # Plans
@@ -602,10 +739,13 @@ def plan_end_to_end(spark, sf):
     return result.bindings["$regions"].df.groupBy("id").agg(F.count("*").alias("n"))
 
 
-@query("select true as completeness, true as provenance_ok, true as freshness_ok")
+@query(f"""with s1 as (select c_custkey, c_nationkey, c_acctbal from customer where c_mktsegment = 'BUILDING' and {live('c_custkey')}), s2 as (select * from s1 where c_acctbal > 5000),
+s3 as (select c_nationkey from s2 where {live_edge('c_custkey')} and {live('c_nationkey')}), s4 as (select n_regionkey from s3 join nation on n_nationkey = c_nationkey where {live_edge('c_nationkey')} and {live('n_regionkey')}),
+b as (select {conf('c_custkey')} as c from s1 union all select {conf('c_custkey')} from s2 union all select {conf('c_nationkey')} from s3 union all select {conf('n_regionkey')} from s4)
+select true as completeness, true as provenance_ok, true as freshness_ok, round((sum(c) + 1) / (count(*) + 1), 6) as confidence from b""")
 def verify_report(spark, sf):
     g, result = flagship(spark, sf)
-    return verify.verify(g, result, AS_OF).select("completeness", "provenance_ok", "freshness_ok")
+    return verify.verify(g, result, AS_OF).select("completeness", "provenance_ok", "freshness_ok", F.round("confidence", 6).alias("confidence"))
 
 
 @query("select 'supplier:' || s_suppkey || '>IN_NATION>nation:' || s_nationkey as id, 'SUPPLIER' as source_type, 'IN_NATION' as relation, 'NATION' as target_type from supplier")
@@ -619,9 +759,105 @@ def node_violations(spark, sf):
     return verify.node_violations(g.nodes, g.schema)
 
 
+def lines_of(spark, rows: dict[str, object]) -> DataFrame:
+    """What the driver-side parts of the plan language say, a row (what, says) each."""
+    return spark.createDataFrame([(k, str(v)) for k, v in rows.items()], "what string, says string")
+
+
+def said_sql(rows: dict[str, str]) -> str:
+    return "select * from (values " + ", ".join(f"('{k}', '{v}')" for k, v in rows.items()) + ") t(what, says)"
+
+
+def steps_of(*specs) -> Plan:
+    return Plan.from_dict({"steps": [{"step_id": i, "op": op, "args": args, "output_binding": b, "depends_on": list(d)} for i, op, args, b, d in specs]})
+
+
+VALIDATION = {
+    "good": "", "no assert": "missing_terminal_assert", "unknown": "unknown_op:JOIN@a, missing_terminal_assert", "twice": "duplicate_step_id:a",
+    "bare": "binding_must_start_with_$:a", "forward": "forward_dependency:a->b", "type": "unknown_type_in_select:MOON@a", "relation": "traverse_missing_rel:a",
+}
+
+
+@query(said_sql(VALIDATION))
+def plan_validation(spark, sf):
+    claim = ("z", "ASSERT", {"claim": "c", "sources": "$a"}, "$z", ())
+    every = ("a", "SELECT_BY_ID", {"id": "x"}, "$a", ())
+    made = {
+        "good": steps_of(every, claim), "no assert": steps_of(every), "unknown": steps_of(("a", "JOIN", {}, "$a", ())), "twice": steps_of(every, every, claim), "bare": steps_of(("a", "SELECT_BY_ID", {"id": "x"}, "a", ()), claim),
+        "forward": steps_of(("a", "SELECT_BY_ID", {"id": "x"}, "$a", ("b",)), ("b", "SELECT_BY_ID", {"id": "x"}, "$b", ()), claim), "type": steps_of(("a", "SELECT_EXACT", {"type": "MOON"}, "$a", ()), claim), "relation": steps_of(("a", "TRAVERSE", {"node": "$a"}, "$a", ()), claim),
+    }
+    schema = load(spark, sf, ["NATION"]).schema
+    return lines_of(spark, {k: ", ".join(validate(p, schema)) for k, p in made.items()})
+
+
+@query(said_sql({"as given": "a b", "dependencies first": "c b a", "unknown dependency": "a", "circle": "circular_dependency:a"}))
+def plan_order(spark, sf):
+    step = lambda i, *d: (i, "COUNT", {}, f"${i}", d)
+
+    def order(*specs):
+        try:
+            return " ".join(s.step_id for s in ordered(steps_of(*specs).steps))
+        except ValueError as e:
+            return str(e)
+
+    return lines_of(spark, {"as given": order(step("a"), step("b")), "dependencies first": order(step("a", "b"), step("b", "c"), step("c")), "unknown dependency": order(step("a", "x")), "circle": order(step("a", "b"), step("b", "a"))})
+
+
+@query(said_sql({"fenced": "s1 SELECT_APPROX $hits, s2 ASSERT $claim", "timeout": "700", "stub valid": "True", "none": "no JSON object in the text"}))
+def plan_extraction(spark, sf):
+    """A plan in prose and code fences; the offline planner's plan."""
+    stub = default_plan("what is there?")
+    fenced = "Sure:\n```json\n" + json.dumps({"steps": [{"step_id": s.step_id, "op": s.op, "output_binding": s.output_binding} for s in stub.steps], "constraints": {"timeout_ms": 700}}) + "\n```\nDone."
+    read = Plan.from_text(fenced)
+    try:
+        none = str(Plan.from_text("no plan"))
+    except ValueError as e:
+        none = str(e)
+    return lines_of(spark, {"fenced": ", ".join(f"{s.step_id} {s.op} {s.output_binding}" for s in read.steps), "timeout": read.timeout_ms, "stub valid": not validate(stub, load(spark, sf, ["NATION"]).schema), "none": none})
+
+
+# Emptiness by policy, what coercion takes, the trace.
+@query(said_sql({"halts": "PARTIAL s1=empty", "goes on": "COMPLETE s1=ok s2=ok", "error": "FAILED s1=error: op_not_implemented:NOPE", "count isn''t empty": "COMPLETE s1=ok s2=ok", "unknown": "PARTIAL s1=ok s2=no_sources"}))
+def plan_statuses(spark, sf):
+    g = load(spark, sf, ["NATION"])
+    none = {"step_id": "s1", "op": "SELECT_EXACT", "args": {"type": "NATION", "property": "n_name", "value": "nowhere"}, "output_binding": "$a"}
+    count = {"step_id": "s2", "op": "COUNT", "args": {"input": "$a"}, "output_binding": "$b", "depends_on": ["s1"]}
+    claim = {"step_id": "s2", "op": "ASSERT", "args": {"claim": "c", "sources": "$a"}, "output_binding": "$b", "depends_on": ["s1"]}
+    plans = {"halts": [none, count], "goes on": [none | {"on_empty": "CONTINUE"}, count], "error": [none | {"op": "NOPE"}, count], "count isn't empty": [none | {"on_empty": "CONTINUE"}, count], "unknown": [none | {"on_empty": "CONTINUE"}, claim]}
+
+    def told(steps):
+        r = Executor(g, AS_OF).run(Plan.from_dict({"steps": steps, "constraints": {"timeout_ms": 600_000}}))
+        return " ".join([r.status, *(f"{t['step_id']}={'ok' if t['summary'] == 'empty' and s.get('on_empty') else t['summary']}" for s, t in zip(steps, r.trace))])
+
+    return lines_of(spark, {k: told(v) for k, v in plans.items()})
+
+
+@query(f"""select 'answer' as what, '[A1] Claim: nations of region 0' || chr(10) || '      Sources: ' || (select string_agg(s, ', ' order by k) from (select 'NATION:' || n_name as s, 'nation:' || n_nationkey as k from nation where n_regionkey = 0 and {live('n_nationkey')} order by k limit 5)) || chr(10) || '      Confidence: ' || printf('%.2f', (select min({conf('n_nationkey')}) from nation where n_regionkey = 0 and {live('n_nationkey')})) as says
+union all select 'nothing', '[UNKNOWN: no_assertions_for_query: q]'""")
+def synthesis_text(spark, sf):
+    g = load(spark, sf, ["NATION"])
+    steps = [{"step_id": "a", "op": "SELECT_EXACT", "args": {"type": "NATION", "property": "n_regionkey", "value": 0}, "output_binding": "$a"}, {"step_id": "b", "op": "ASSERT", "args": {"claim": "nations of region 0", "sources": "$a", "confidence_threshold": 0.1}, "output_binding": "$b", "depends_on": ["a"]}]
+    result = Executor(g, AS_OF).run(Plan.from_dict({"steps": steps, "constraints": {"timeout_ms": 600_000}}))
+    return lines_of(spark, {"answer": verify.synthesize(g, result, "q"), "nothing": verify.synthesize(g, Executor(g, AS_OF).run(Plan([])), "q")})
+
+
 # Datasets
 
 
+@query("select 40::bigint as walks, true as from_live_nodes, true as along_edges, true as short, true as plans_fit")
+def walk_invariants(spark, sf):
+    """What every random walk and its plan have in common, whatever was drawn."""
+    g = load(spark, sf, ["CUSTOMER", "NATION", "REGION"], ["IN_NATION", "IN_REGION"])
+    walks = dataset.random_walks(g, 40, 3)
+    pairs = dataset.pairs(g, walks)
+    hop = walks.select("walk", F.posexplode("relations").alias("i", "type_id"), "path").select("walk", F.get("path", F.col("i")).alias("source"), F.get("path", F.col("i") + 1).alias("target"), "type_id")
+    off = hop.join(g.live_edges.select("source", "target", "type_id"), ["source", "target", "type_id"], "left_anti").select("walk").distinct().withColumn("off", F.lit(True))
+    starts = g.live.select(F.col("id").alias("walk"), F.lit(True).alias("alive"))
+    steps = F.array_size(F.from_json("plan", "struct<steps: array<struct<op: string>>>")["steps"])
+    rows = walks.join(pairs, "walk").join(off, "walk", "left").join(starts, "walk", "left")
+    return rows.agg(F.count("*").alias("walks"), F.bool_and(F.coalesce("alive", F.lit(False))).alias("from_live_nodes"), F.bool_and(F.col("off").isNull()).alias("along_edges"), F.bool_and((F.size("relations") <= 3) & (F.size("path") == F.size("relations") + 1)).alias("short"), F.bool_and(steps == F.size("relations") + 2).alias("plans_fit"))
+
+
 @query("with n as (select count(*) as n from orders) select 'train' as part, floor(n * 0.7)::bigint as n from n union all select 'val', floor(n * 0.15)::bigint from n union all select 'test', n - floor(n * 0.7)::bigint - floor(n * 0.15)::bigint from n")
 def dataset_split_counts(spark, sf):
     return dataset.split(table(spark, sf, "orders"), "o_orderkey", 7).groupBy("part").agg(F.count("*").alias("n"))

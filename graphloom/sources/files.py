@@ -27,7 +27,7 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     plain = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
     bare = "/" + base.split(":", 1)[-1].lstrip("/")
-    rel = F.when(plain == bare, F.element_at(F.split(plain, "/"), -1)).otherwise(F.substring(plain, len(bare) + 2, 100_000))
+    rel = F.when(plain == bare, F.element_at(F.split(plain, "/"), -1)).otherwise(F.substr(plain, F.lit(len(bare) + 2)))
     known = F.create_map(*(x for ext, (t, f, lang) in EXTENSIONS.items() for x in (F.lit(ext), F.struct(F.lit(t).alias("type_id"), F.lit(f).alias("format"), F.lit(lang).cast("string").alias("language")))))
     kind = F.try_element_at(known, F.lower(F.regexp_extract(F.col("rel"), r"\.([A-Za-z]+)$", 1)))
     inside = ~F.exists(F.slice(F.split("rel", "/"), 1, F.size(F.split("rel", "/")) - 1), lambda d: d.isin(*IGNORED))
@@ -119,7 +119,7 @@ def imports(symbols: DataFrame, files: DataFrame) -> DataFrame:
     py = files.where("language = 'python'").select(F.col("path").alias("target"))
     found = wanted.join(py, wanted.exact == py.target, "left")
     file_name = F.element_at(F.split("target", "/"), -1)
-    endings = py.select("target", F.explode(F.transform(F.sequence(F.lit(1), F.length(file_name)), lambda i: F.substring(file_name, i, F.lit(10_000)))).alias("ending"))
+    endings = py.select("target", F.explode(F.transform(F.sequence(F.lit(1), F.length(file_name)), lambda i: F.substr(file_name, i))).alias("ending"))
     first = endings.groupBy("ending").agg(F.min("target").alias("fallback"))
     resolved = found.join(first, "ending", "left").withColumn("to", F.coalesce("target", "fallback")).where("to is not null")
     return _edge(resolved, F.concat(F.lit("file:"), F.col("path")), F.concat(F.lit("file:"), F.col("to")), "IMPORTS", F.lit(0.9))

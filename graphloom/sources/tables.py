@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..functions.vector import turn_embedding
+from ..graph import Graph, TypeSource
 from ..model import EDGE_COLUMNS, NODE_COLUMNS, NodeType, PROVENANCE_COLUMNS, Rule, Schema
 
 AS_OF = datetime(2024, 1, 31)
@@ -23,13 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _nodes(df: DataFrame, type_id: str, key: Column, node_id: Column, label: Column, properties: dict[str, Column], at: Column | None = None, embedding: Column | None = None) -> DataFrame:
+def _nodes(df: DataFrame, type_id: str, key: Column, node_id: Column, label: Column, properties: dict[str, Column], at: Column | None = None, embedding: Column | None = None, prefix: str | None = None, number: str | None = None) -> TypeSource:
+    """prefix, number: where an id is the prefix before that column."""
     at = F.lit(AS_OF).cast("timestamp_ntz") if at is None else at
-    return df.select(
-        node_id.alias("id"), F.lit(type_id).alias("type_id"), label.cast("string").alias("label"), (F.lit(None) if embedding is None else embedding).cast("array<float>").alias("embedding"),
-        F.to_json(F.struct(*(c.alias(n) for n, c in properties.items()))).alias("properties"), F.lit(None).cast("string").alias("content_ref"), (F.lit(0.5) + F.pmod(key, F.lit(50)) / F.lit(100.0)).alias("confidence"),
-        F.lit(1).alias("version"), at.alias("created_at"), at.alias("updated_at"), F.lit(None).cast("timestamp_ntz").alias("valid_until"), (F.pmod(key, F.lit(17)) == 0).alias("deprecated"), F.concat(F.lit("prov:"), F.lit(type_id)).alias("provenance_id"),
-    )
+
+    def make(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            node_id.alias("id"), F.lit(type_id).alias("type_id"), label.cast("string").alias("label"), (F.lit(None) if embedding is None else embedding).cast("array<float>").alias("embedding"),
+            F.to_json(F.struct(*(c.alias(n) for n, c in properties.items()))).alias("properties"), F.lit(None).cast("string").alias("content_ref"), (F.lit(0.5) + F.pmod(key, F.lit(50)) / F.lit(100.0)).alias("confidence"),
+            F.lit(1).alias("version"), at.alias("created_at"), at.alias("updated_at"), F.lit(None).cast("timestamp_ntz").alias("valid_until"), (F.pmod(key, F.lit(17)) == 0).alias("deprecated"), F.concat(F.lit("prov:"), F.lit(type_id)).alias("provenance_id"),
+        )
+
+    return TypeSource(df, properties, make, prefix and f"{prefix}:", number)
 
 
 def _edges(df: DataFrame, type_id: str, key: Column, source: Column, target: Column, nth: Column | None = None) -> DataFrame:
@@ -47,7 +53,7 @@ def ref(prefix: str, *keys: Column | str) -> Column:
 def _keyed(name: str, prefix: str, key: str, label: str, skip: tuple[str, ...] = ()):
     def make(spark, sf_dir, type_id):
         df = table(spark, sf_dir, name)
-        return _nodes(df, type_id, F.col(key), ref(prefix, key), F.col(label), {c: F.col(c) for c in df.columns if c != key and c not in skip})
+        return _nodes(df, type_id, F.col(key), ref(prefix, key), F.col(label), {c: F.col(c) for c in df.columns if c != key and c not in skip}, prefix=prefix, number=key)
 
     return make
 
@@ -64,29 +70,30 @@ def _events(spark, sf_dir, type_id):
         props = {"pattern": F.col("event_type"), "salience_score": F.least(F.lit(1.0), F.col("value") / 200), "action": F.lit("note")}
     else:
         prefix, props = "event", {"event_type": F.col("event_type"), "source": F.col("user_id").cast("string"), "value": F.col("value"), "k": k}
-    return _nodes(e, type_id, F.col("event_id"), ref(prefix, "event_id"), F.col("event_type"), props, F.col("ts").cast("timestamp_ntz"))
+    return _nodes(e, type_id, F.col("event_id"), ref(prefix, "event_id"), F.col("event_type"), props, F.col("ts").cast("timestamp_ntz"), prefix=prefix, number="event_id")
 
 
 def _sessions(spark, sf_dir, type_id):
     c = table(spark, sf_dir, "conversations").select("conv_id").distinct()
-    return _nodes(c, type_id, F.col("conv_id"), ref("session", "conv_id"), F.col("conv_id"), {"session_id": F.col("conv_id").cast("string")})
+    return _nodes(c, type_id, F.col("conv_id"), ref("session", "conv_id"), F.col("conv_id"), {"session_id": F.col("conv_id").cast("string")}, prefix="session", number="conv_id")
 
 
 def _turns(spark, sf_dir, type_id):
     c = table(spark, sf_dir, "conversations")
     at = (F.lit(AS_OF).cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("conv_id") * 1000 + F.col("turn")).cast("decimal(18,6)")))
     props = {"session_id": F.col("conv_id").cast("string"), "turn_index": F.col("turn"), "role": F.col("role"), "text": F.col("text"), "timestamp": F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")}
-    return _nodes(c, type_id, F.col("conv_id") + F.col("turn"), ref("turn", "conv_id", "turn"), F.concat(F.col("role"), F.lit("["), F.col("turn").cast("string"), F.lit("]")), props, at)
+    label = F.concat(F.col("role"), F.lit("["), F.col("turn").cast("string"), F.lit("]@"), F.substring(F.col("conv_id").cast("string"), 1, 8))
+    return _nodes(c, type_id, F.col("conv_id") + F.col("turn"), ref("turn", "conv_id", "turn"), label, props, at, turn_embedding(F.col("role"), F.col("text")))
 
 
 def _docs(spark, sf_dir, type_id):
     d = table(spark, sf_dir, "documents")
-    return _nodes(d, type_id, F.col("doc_id"), ref("doc", "doc_id"), F.col("doc_id"), {"path": F.concat(F.lit("doc/"), F.col("doc_id").cast("string")), "lang": F.col("lang"), "source": F.col("source"), "n_chars": F.col("n_chars")})
+    return _nodes(d, type_id, F.col("doc_id"), ref("doc", "doc_id"), F.col("doc_id"), {"path": F.concat(F.lit("doc/"), F.col("doc_id").cast("string")), "lang": F.col("lang"), "source": F.col("source"), "n_chars": F.col("n_chars")}, prefix="doc", number="doc_id")
 
 
 def _vectors(spark, sf_dir, type_id):
     v = table(spark, sf_dir, "embeddings")
-    return _nodes(v, type_id, F.col("vec_id"), ref("vector", "vec_id"), F.col("label"), {"label": F.col("label")}, embedding=F.col("embedding"))
+    return _nodes(v, type_id, F.col("vec_id"), ref("vector", "vec_id"), F.col("label"), {"label": F.col("label")}, embedding=F.col("embedding"), prefix="vector", number="vec_id")
 
 
 NODES = {
@@ -144,9 +151,9 @@ TABLE_SCHEMA = Schema(
 
 def load(spark: SparkSession, sf_dir: str, types: list[str], relations: list[str] = ()) -> Graph:
     """A graph of these node types and relations."""
-    made = [NODES[t](spark, sf_dir, t) for t in types]
+    made = {t: NODES[t](spark, sf_dir, t) for t in types}
     linked = [EDGES[r](spark, sf_dir, r) for r in relations]
-    nodes = reduce(DataFrame.unionByName, made) if made else spark.createDataFrame([], NODE_COLUMNS)
+    nodes = reduce(DataFrame.unionByName, (x.nodes for x in made.values())) if made else spark.createDataFrame([], NODE_COLUMNS)
     edges = reduce(DataFrame.unionByName, linked) if linked else spark.createDataFrame([], EDGE_COLUMNS)
     rows = [(f"prov:{t}", "db_query", f"table:{t.lower()}", "tables", AS_OF, None, None, "trusted") for t in [*types, *relations]]
-    return Graph(nodes, edges, spark.createDataFrame(rows, PROVENANCE_COLUMNS), schema=TABLE_SCHEMA)
+    return Graph(nodes, edges, spark.createDataFrame(rows, PROVENANCE_COLUMNS), schema=TABLE_SCHEMA, sources=made)

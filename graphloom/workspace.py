@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import properties as P
-from .functions.vector import hash_embedding
+from .functions.vector import hash_embedding, turn_embedding
 from .graph import Graph
 from .operators import conversations, events, lists, reasoning, retrieval
 from .plans.executor import Executor, Result
@@ -47,24 +48,31 @@ class Workspace:
         self.store.add("edges", edges.dropDuplicates(["id"]).join(known, "id", "left_anti").withColumns({"directional": F.lit(True), "version": F.lit(1), "created_at": F.lit(as_of)}))
 
     def converse(self, turns: DataFrame, as_of: datetime) -> None:
-        """Turns (session_id, turn_index, role, text) that aren't there yet, their sessions, PART_OF, FOLLOWS and REFERENCES."""
-        had = conversations.turns_of(self.graph)
-        new = conversations.new_turns(had, turns)
+        """Turns (session_id, turn_index, role, text, perhaps project) that aren't there yet and their sessions, with
+        provenance and uncertainty; PART_OF, FOLLOWS and REFERENCES."""
+        g = self.graph
+        had = conversations.turns_of(g)
+        new = conversations.new_turns(had, turns if "project" in turns.columns else turns.withColumn("project", F.lit("")))
         at = F.lit(as_of).cast("timestamp_ntz")
+        stamp = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
         key = F.concat_ws(":", F.lit("turn"), "session_id", F.col("turn_index").cast("string"), "role")
         session = F.concat(F.lit("session:"), F.col("session_id"))
-        fields = {c: F.col(c) for c in ("session_id", "turn_index", "role", "text")} | {"timestamp": F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), "token_count": conversations.token_count(F.col("text"))}
-        nodes = events.record(new, conversations.TURN, fields, key, at, 0.9).withColumn("embedding", conversations.turn_embedding(*(P.text(F.col("properties"), n) for n in ("role", "text"))))
-        opened = self.graph.nodes.where("type_id = 'SESSION'").select(F.substring("id", 9, 1000).alias("session_id"))
-        heads = events.record(conversations.sessions(opened, new), "SESSION", {"session_id": F.col("session_id")}, session, at)
-        # A project's name would stand at the end; turns have none.
-        heads = heads.withColumn("embedding", hash_embedding(F.concat(F.lit("SESSION "), P.text(F.col("properties"), "session_id"), F.lit(" "))))
+        fields = {c: F.col(c) for c in ("session_id", "turn_index", "role", "text")} | {"timestamp": stamp, "token_count": conversations.token_count(F.col("text"))}
+        said = events.record(new, conversations.TURN, fields, key, at, label=conversations.turn_label(), embedding=turn_embedding(F.col("role"), F.col("text")))
+        opened = g.nodes.where("type_id = 'SESSION'").select(P.text(F.col("properties"), "session_id").alias("session_id"))
+        first = new.groupBy("session_id").agg(F.min(F.coalesce("project", F.lit(""))).alias("project"))
+        fields = {"session_id": F.col("session_id"), "project": F.col("project"), "started_at": stamp}
+        heads = events.record(conversations.sessions(opened, first, ["project"]), "SESSION", fields, session, at, label=F.col("session_id"), embedding=hash_embedding(F.concat_ws(" ", F.lit("SESSION"), "session_id", "project")))
         named = new.withColumn("id", key)
         chain = conversations.follows(had.select("session_id", "turn_index", "id").unionByName(named.select("session_id", "turn_index", "id"))).join(named.select("id"), "id", "left_semi")
         edges = events.relation(named, F.col("id"), session, "PART_OF", at).unionByName(events.relation(chain, F.col("id"), F.col("previous"), "FOLLOWS", at))
-        added = nodes.unionByName(heads)
-        near = conversations.references_of(self.graph.nodes.select(*added.columns).unionByName(added), named)
-        self.store.add("edges", edges.unionByName(events.relation(near, F.col("id"), F.col("target"), "REFERENCES", at, 0.8, 0.8)))
+        added = said.unionByName(heads).withColumn("provenance_id", F.concat(F.lit("conversation:"), F.col("id")))
+        near = conversations.references_of(g.nodes.select(*added.columns).unionByName(added), named)
+        edges = edges.unionByName(events.relation(near, F.col("id"), F.col("target"), "REFERENCES", at, 0.8, 0.8))
+        # Written last, as the others are made of what isn't among the nodes yet.
+        self.store.add("edges", edges)
+        self.store.add("provenance", added.select(F.col("provenance_id").alias("id"), F.lit("human").alias("source_type"), F.col("id").alias("source_uri"), F.lit("conversations").alias("extracted_by"), at.alias("extracted_at"), F.lit("trusted").alias("trust_level")))
+        self.store.add("uncertainty", added.select(F.col("id").alias("node_id"), "confidence", F.lit(1.0).alias("coverage"), F.lit(1.0).alias("freshness_score"), at.alias("last_verified")))
         self.store.add("nodes", added)
 
     def plan(self, text: str) -> Plan:
@@ -78,8 +86,11 @@ class Workspace:
             return Result("FAILED", {}, error="invalid_plan: " + ", ".join(errors))
         result = Executor(self.graph, as_of).run(plan)
         if result.assertions:
-            rows = [(a["id"], a["claim"], [r["id"] for r in a["sources"].df.select("id").limit(1000).collect()], a["confidence"], as_of, a["plan_step_id"]) for a in result.assertions]
-            self.store.add("assertions", self.spark.createDataFrame(rows, "id string, claim string, source_node_ids array<string>, confidence double, created_at timestamp_ntz, plan_step_id string"))
+            rows = [
+                a["sources"].df.agg(F.collect_list("id").alias("source_node_ids")).select(F.lit(a["id"]).alias("id"), F.lit(a["claim"]).alias("claim"), "source_node_ids", F.lit(a["confidence"]).alias("confidence"), F.lit(as_of).alias("created_at"), F.lit(a["plan_step_id"]).alias("plan_step_id"))
+                for a in result.assertions
+            ]  # an assertion's sources are one value of its row, as the model has it
+            self.store.add("assertions", reduce(DataFrame.unionByName, rows))
         return result
 
     def query(self, text: str, as_of: datetime) -> dict:

@@ -4,6 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from graphloom.functions.vector import turn_embedding
 from graphloom.operators import conversations, events, retrieval
 from graphloom.workspace import Workspace
 
@@ -49,5 +50,5 @@ def test_conversations_are_embedded_and_refer(spark, tmp_path):
     assert [r["id"] for r in refs] == ["doc"]
     assert sorted(map(tuple, found)) == [("turn:s:0:user", "doc", 0.8, 0.8), ("turn:t:0:user", "doc", 0.8, 0.8)]
     assert w.graph.nodes.where("type_id in ('CONVERSATION_TURN', 'SESSION') and embedding is null").count() == 0
-    like = conversations.turn_embedding(F.lit("user"), F.lit(said))
+    like = turn_embedding(F.lit("user"), F.lit(said))
     assert [r["id"] for r in conversations.semantic_turns(w.graph, like, "s").collect()] == ["turn:t:0:user"]

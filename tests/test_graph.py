@@ -1,6 +1,7 @@
 """Edge cases of the graph operators on small hand-made graphs."""
 
 import json
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from graphloom.functions.conditions import condition
+from graphloom.functions.properties import equals
 from graphloom.graph import Graph, Nodes
 from graphloom.model import DEFAULT_SCHEMA, EDGE_COLUMNS, NODE_COLUMNS, PROVENANCE_COLUMNS, Rule, Schema
 from graphloom.operators import conversations, dataset, events, lists, meta, navigation, reasoning, retrieval, storage
@@ -232,3 +234,76 @@ def test_meta(spark, web):
 def test_splits_are_exact(spark):
     parts = {r["part"]: r["count"] for r in dataset.split(spark.range(101), "id", 1).groupBy("part").count().collect()}
     assert parts == {"train": 70, "val": 15, "test": 16}
+
+
+def scan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_property_and_id_filters_reach_the_scan(spark):
+    from graphloom.sources.tables import load
+
+    g = load(spark, "/root/testdata/sf0.001", ["CUSTOMER"])
+    plan = scan_of(retrieval.select_exact(g, "CUSTOMER", "c_mktsegment", "BUILDING").df.select("id"))
+    assert "EqualTo(c_mktsegment,BUILDING)" in plan and "c_acctbal" not in plan.split("ReadSchema")[1]
+    assert "EqualTo(c_custkey,17)" in scan_of(retrieval.select_by_id(g, "customer:17").df)
+    assert retrieval.select_by_id(g, "customer:017").df.count() == 0 and retrieval.select_by_id(g, "other:1").df.count() == 0
+    same = lambda name, value: (got(retrieval.select_exact(g, "CUSTOMER", name, value)), got(Nodes(replace(g, sources={}).live.where(equals(F.col("properties"), name, value)))))
+    for name, value in (("c_nationkey", 7), ("c_nationkey", 7.0), ("c_nationkey", 7.5), ("c_nationkey", "7"), ("c_nationkey", True), ("c_name", 1), ("c_mktsegment", "FURNITURE"), ("none", 1), ("c_name", None)):
+        a, b = same(name, value)
+        assert a == b, (name, value)
+
+
+def test_set_property_keeps_kinds(spark):
+    rows = [node("a", props={"arc_confidence": 0.8, "resolved": True, "tags": ["a", 1], "none": None, "status": "x"}), node("b", props="broken"), node("c", props={})]
+    out = {r["id"]: r for r in events.set_property(spark.createDataFrame(rows, NODE_COLUMNS), "status", F.lit("done"), NOW + timedelta(1)).collect()}
+    assert json.loads(out["a"]["properties"]) == {"arc_confidence": 0.8, "resolved": True, "tags": ["a", 1], "none": None, "status": "done"}
+    assert json.loads(out["b"]["properties"]) == json.loads(out["c"]["properties"]) == {"status": "done"}
+    assert {(r["version"], r["updated_at"]) for r in out.values()} == {(2, NOW + timedelta(1))}
+
+
+def test_time_limit_ends_a_plan(spark, web):
+    import time
+
+    from pyspark.sql.types import LongType
+
+    slow = F.udf(lambda x: time.sleep(30) or x, LongType())
+    g = replace(web, nodes=web.nodes.withColumn("version", slow(F.col("version").cast("long")).cast("int")).where("version is not null"))
+    steps = [{"step_id": "s", "op": "SELECT_BY_ID", "args": {"id": "a"}, "output_binding": "$a"}]
+    began = time.monotonic()
+    assert Executor(g, NOW).run(Plan.from_dict({"steps": steps, "constraints": {"timeout_ms": 1500}})).status == "TIMEOUT"
+    assert time.monotonic() - began < 20
+    assert spark.range(3).count() == 3  # later jobs aren't of the group
+
+
+def test_steps_wait_for_one_job(spark, web):
+    steps = [{"step_id": str(i), "op": "SELECT_BY_ID", "args": {"id": "a"}, "output_binding": f"${i}"} for i in range(3)] + [{"step_id": "c", "op": "ASSERT", "args": {"claim": "c", "sources": "$1", "confidence_threshold": 0.1}, "output_binding": "$c", "depends_on": ["1"]}]
+    r = Executor(web, NOW).run(Plan.from_dict({"steps": steps, "constraints": {"timeout_ms": 600_000}}))
+    assert r.status == "COMPLETE" and [t["summary"] for t in r.trace] == ["ok"] * 4 and len(r.assertions) == 1
+    rows = r.trace_rows(spark).collect()
+    assert [(x["step_id"], x["op"]) for x in rows] == [("0", "SELECT_BY_ID"), ("1", "SELECT_BY_ID"), ("2", "SELECT_BY_ID"), ("c", "ASSERT")]
+    nodes = Executor(web, NOW).run(Plan.from_dict({"steps": [{"step_id": "g", "op": "SUBGRAPH", "args": {"root": "a"}, "output_binding": "$g"}], "constraints": {"timeout_ms": 600_000}})).bindings
+    assert nodes["$g.edges"].count() > 0
+
+
+def test_last_hop_paths(spark):
+    edges = [("a", "b"), ("a", "c"), ("b", "t"), ("c", "t"), ("b", "d"), ("d", "t"), ("d", "e"), ("e", "f"), ("f", "t")]
+    g = graph(spark, [node(i) for i in "abcdeft"], [edge(*e) for e in edges])
+    paths = lambda **a: sorted("".join(r["path"]) for r in navigation.path_find(g, "a", "t", **a).collect())
+    assert paths() == ["abt", "act"] and paths(mode="last_hop") == ["abdt", "abt", "act"] and paths(mode="last_hop", max_hops=2) == ["abt", "act"]
+    assert sorted(r["path"] for r in navigation.path_find(g, "t", "a", mode="last_hop").collect()) == []
+
+
+def test_nearest_blocks_match_brute_force(spark):
+    import random
+
+    from graphloom.functions import vector
+
+    rng = random.Random(3)
+    rows = [(f"v{i}", rng.randrange(9), [rng.gauss(0, 1) for _ in range(4)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "id string, seq long, embedding array<double>")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    older = {(a[0], b[0]) for a in rows for b in sorted([b for b in rows if (b[1], b[0]) < (a[1], a[0]) and cos(a[2], b[2]) >= 0.3], key=lambda b: (-cos(a[2], b[2]), b[0]))[:3]}
+    assert {(r["id"], r["older"]) for r in vector.nearest_older(df, 3, 0.3, block=7).collect()} == older
+    near = {(a[0], b[0]) for a in rows[:20] for b in sorted([b for b in rows if cos(a[2], b[2]) >= 0.3], key=lambda b: (-cos(a[2], b[2]), b[0]))[:3]}
+    assert {(r["id"], r["other"]) for r in vector.nearest_of(df.where("substring(id, 2) < 20 and length(id) < 4").where(F.substring("id", 2, 9).cast("int") < 20), df, 3, 0.3, block=7).collect()} == near

@@ -11,8 +11,8 @@ Lines that are equal but for digits form a class, which aggregates of ids alone
 Only classes whose leaf holds another class of another document are compared. Two similar
 ones of n tokens differ in at most n div 5, so they agree in one of n div 5 + 1 bands of
 tokens. A class first meets the earliest class of each of its bands; what this doesn't
-settle meets the band's other members, in large bands only those that agree in one more
-band of the remaining tokens, which similar ones do. No line is left out, of any length.
+settle meets the band's other members; where it is many that ask in a large band, only those
+that agree in one more band of the remaining tokens, which similar ones do. No line is left out, of any length.
 
 Shuffles carry hashes and ids, texts only where lines are taken out of them; lines that a
 third of all rows hold are reduced by partial aggregates before they travel.
@@ -36,6 +36,8 @@ DEPTH = 2
 APART = 5
 #: Members up to which a band is compared as it is.
 SMALL_BAND = 16
+#: Bits of the table that tells which leaves hold several classes.
+SLOTS = 1 << 22
 
 
 def document_names() -> list[Column]:
@@ -78,21 +80,34 @@ def rest(tokens: str, n: str, i: str) -> str:
     return f"concat(slice({tokens}, 1, int(size({tokens}) * {i} div {count})), slice({tokens}, int(size({tokens}) * ({i} + 1) div {count}) + 1, size({tokens})))"
 
 
+def among(lines: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The lines whose leaf is one of leaves, and a few others: a table of SLOTS bits, 512 kB in one row, tells before
+    any line travels. With so many leaves that all bits are set nothing is held back."""
+    slot = f"pmod(leaf, {SLOTS}L)"
+    words = leaves.select(F.expr(slot).alias("slot")).groupBy(F.expr("slot div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(slot % 64)))").alias("bits"))
+    every = leaves.sparkSession.range(SLOTS // 64).withColumnRenamed("id", "w").join(words, "w", "left")
+    table = settled(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda x: x["bits"]).alias("flags")))
+    here = lines.crossJoin(F.broadcast(table))  # one row of a fixed size
+    return here.where(f"getbit(flags[int({slot} div 64)], int({slot} % 64)) = 1").drop("flags")
+
+
 def repeated(classes: DataFrame, lines: DataFrame, depth: int) -> DataFrame:
     """(k) of the classes that a similar class of a smaller document precedes."""
-    shared = classes.groupBy("leaf").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where("a < b").select("leaf")
+    shared = settled(classes.where(F.col("n") >= APART).groupBy("leaf").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where("a < b").select("leaf"))
     wanted = classes.where(F.col("n") >= APART).join(shared, "leaf").select("k", "lo")
-    known = lines.select("k", "d", "leaf", "n", "t").join(wanted, "k").where("d = lo").dropDuplicates(["k"]).select("k", "leaf", "lo", "n", "t")
+    known = among(lines.select("k", "d", "leaf", "n", "t"), shared).join(wanted, "k").where("d = lo").dropDuplicates(["k"]).select("k", "leaf", "lo", "n", "t")
     known = settled(known.withColumn("tail", F.expr(f"slice(t, {depth + 1}, n)")))
-    cells = known.select("k", "lo", F.posexplode(F.expr(bands("tail", "n", "leaf"))).alias("i", "b"))
+    cells = known.select("k", "lo", "n", F.posexplode(F.expr(bands("tail", "n", "leaf"))).alias("i", "b"))
     heads = cells.groupBy("b").agg(F.min("lo").alias("first"), F.max("lo").alias("last"), F.min_by("k", "lo").alias("o"), F.count("*").alias("size")).where("first < last")
-    cells = settled(cells.join(heads, "b").select("k", "lo", "i", "b", "o", "first", "size"))
+    cells = settled(cells.join(heads, "b").select("k", "lo", "n", "i", "b", "o", "first", "size"))
     gone = settled(similar(cells.where("lo > first").select("k", "o"), known))
-    open_cells = cells.join(gone.withColumn("there", F.lit(True)), "k", "left").select("k", "lo", "i", "b", "size", (F.col("there").isNull() & (F.col("lo") > F.col("first"))).alias("asks"))
-    asked = open_cells.groupBy("b").agg(F.bool_or("asks").alias("any")).where("any").select("b")
-    open_cells = settled(open_cells.join(asked, "b"))
-    large = open_cells.where(F.col("size") > SMALL_BAND).join(known.select("k", "n", "tail"), "k").withColumn("rest", F.expr(rest("tail", "n", "i")))
-    fine = large.select("k", "lo", "asks", F.explode(F.expr(bands("rest", "n", "b"))).alias("b")).unionByName(open_cells.where(F.col("size") <= SMALL_BAND).select("k", "lo", "asks", "b"))
+    open_cells = cells.join(gone.withColumn("there", F.lit(True)), "k", "left").select("k", "lo", "n", "i", "b", "size", (F.col("there").isNull() & (F.col("lo") > F.col("first"))).alias("asks"))
+    asked = open_cells.groupBy("b").agg(F.count_if("asks").alias("asking")).where("asking > 0")
+    # Either way a band of m members makes m * (n div APART + 1) rows at most.
+    direct = F.expr(f"size <= {SMALL_BAND} or asking <= n div {APART} + 1")
+    open_cells = settled(open_cells.join(asked, "b").withColumn("direct", direct))
+    large = open_cells.where("not direct").join(known.select("k", "tail"), "k").withColumn("rest", F.expr(rest("tail", "n", "i")))
+    fine = large.select("k", "lo", "asks", F.explode(F.expr(bands("rest", "n", "b"))).alias("b")).unionByName(open_cells.where("direct").select("k", "lo", "asks", "b"))
     earlier = fine.select("b", F.col("k").alias("o"), F.col("lo").alias("lo_o"))
     return gone.union(similar(fine.where("asks").join(earlier, "b").where("lo_o < lo").select("k", "o"), known))
 

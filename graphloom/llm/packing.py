@@ -8,13 +8,14 @@ bins in one step, with the same outcome as placing them one at a time. The plan
 where the r-th piece of a length goes; executors number the pieces of each length and
 look their places up. The plan's size follows the number of lengths, not of pieces.
 
-Cases: null and empty texts are one piece of the closing id alone; repeated rows are
+Texts of any length and any white space are encoded whole. Cases: null and empty texts are one piece of the closing id alone; repeated rows are
 packed as often as they occur; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bytebpe import PATTERN, byte_alphabet
+from .bytebpe import PATTERN, ByteBPE, byte_alphabet
 from .common import arrow_map, settled, text_bytes
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, k long"
@@ -103,6 +104,11 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> tuple[list[tup
     return plan, bins
 
 
+#: White space of this length is left to the byte-level encoder of `bytebpe`: tiktoken's pattern backtracks in it
+#: and gives up on some hundred thousand characters. The characters are those of its `\\s`, a fixed value.
+LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000}")
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str):
     """ids of the tokenizers file at path: its vocabulary run by tiktoken, which is several times
@@ -115,7 +121,12 @@ def _encoder(path: str):
     special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     ranks = {bytes(chars[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
     enc = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: enc.encode(text, allowed_special="all")
+    return lambda text: _byte_level(path).encode(text) if LONG_SPACE.search(text) else enc.encode(text, allowed_special="all")
+
+
+@lru_cache(maxsize=2)
+def _byte_level(path: str) -> ByteBPE:
+    return ByteBPE(path)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
@@ -158,10 +169,10 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> D
     bases = dealt.select("length", "part", F.coalesce(before, F.lit(0)).alias("base"))
     counts = {r["length"]: r["n"] for r in dealt.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     plan, _ = best_fit_decreasing(counts, capacity)
-    if len(plan) > 64 * capacity:
-        raise ValueError(f"a plan of {len(plan)} rows is too large to broadcast")
     places = spark.createDataFrame(plan, "length long, lo long, hi long, first long, offset long")
+    if len(plan) <= 64 * capacity:  # as with every histogram seen; a longer plan is joined by shuffle
+        places = F.broadcast(places)
     ranked = cut.join(bases, ["length", "part"]).withColumn("rank", F.col("base") + F.col("k"))
-    return ranked.join(F.broadcast(places), (ranked.length == places.length) & (ranked["rank"] >= places.lo) & (ranked["rank"] < places.hi)).select(
+    return ranked.join(places, (ranked.length == places.length) & (ranked["rank"] >= places.lo) & (ranked["rank"] < places.hi)).select(
         "doc_id", "piece", "start", ranked.length, "ids_crc32", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset"
     )

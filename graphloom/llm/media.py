@@ -3,7 +3,7 @@
 Texts are padded to 8-bit samples and stored losslessly as grey PNG images, 64 samples
 a line. Each task appends the images it meets for the first time to tar shards in the
 shared folder, named by their digest; rows carry digest, shard, offset and length.
-Where several shards hold the same digest, one place is chosen for all rows. Metadata
+Where several tasks have met and stored the same digest, one place is chosen for all rows. Metadata
 columns are then filled by range reads of the stored bytes: the image header alone
 gives width and height, a full read of each distinct image gives the payload's checks.
 
@@ -29,6 +29,8 @@ from .common import arrow_map, scratch_uri, settled, text_bytes
 LINE = 64
 #: Bytes after which a shard is closed and the next begun.
 SHARD_BYTES = 64 << 20
+#: Texts whose place a task remembers; one that it meets again later is stored again.
+KNOWN = 1_000_000
 HEADER = 33  # of a PNG: signature and IHDR chunk
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -114,7 +116,8 @@ def write_shards(docs: DataFrame, uri: str) -> DataFrame:
                 out.close()
                 out = None
             done, rows[:] = rows[:], []
-            known.clear()
+            if len(known) > KNOWN:
+                known.clear()
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
 

@@ -1,8 +1,10 @@
 """License scans by template-markup matching.
 
 A template is a license's wording with marked regions: `[[optional words]]` may be left
-out, `{{name;words}}` may be replaced by one to `REPLACEMENT` other words. Each template
-is compiled to an automaton over tokens, simulated as a set of states: mandatory words
+out, `{{name;words}}` may be replaced by one to `REPLACEMENT` other words; where one stands
+before the first mandatory word, the nearest word that it can begin at is reported, as the
+words before that match as well. Regions don't nest: such a template is an error. Each
+template is compiled to an automaton over tokens, simulated as a set of states: mandatory words
 step to the next state, optional regions may be jumped over, replaceable ones may loop.
 A text is accepted where all mandatory wording stands word for word.
 
@@ -43,6 +45,33 @@ TEMPLATES = {
     "apache-2.0-header": "you may not use this file except in compliance with the license you may obtain a copy of the license at",
     "gpl-grant": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
 }
+# Whole license texts in template markup, by label.
+_MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice [[(including the next paragraph)]] shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL {{holder;THE AUTHORS OR COPYRIGHT HOLDERS}} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+[[1.]] Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+[[2.]] Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. """
+_BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY {{holder;THE COPYRIGHT HOLDERS AND CONTRIBUTORS}} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL {{holder;THE COPYRIGHT HOLDER OR CONTRIBUTORS}} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+TEXTS = {
+    "mit-text": _MIT_BODY,
+    "bsd-2-clause-text": _BSD_HEAD + _BSD_TAIL,
+    "bsd-3-clause-text": _BSD_HEAD
+    + """[[3.]] Neither the name of {{holder;the copyright holder}} nor the names of [[its]] [[any]] contributors may be used to endorse or promote products derived from this software without specific prior written permission. """
+    + _BSD_TAIL,
+    "isc-text": """Permission to use, copy, modify, and[[/or]] distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND {{holder;THE AUTHOR}} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL {{holder;THE AUTHOR}} BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "apache-2.0-header-text": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the author[[s]] be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+[[1.]] The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+[[2.]] Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+[[3.]] This notice may not be removed or altered from any source distribution.""".replace("author[[s]]", "{{holder;authors}}"),
+    "unlicense-text": """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+}
 #: Words that may stand in a replaceable region.
 REPLACEMENT = 8
 
@@ -67,8 +96,11 @@ class Automaton:
     @classmethod
     def compile(cls, label: str, template: str) -> Automaton:
         out = cls(label)
+        bare = re.sub(r"\[\[(?:(?!\[\[|\{\{|\]\]).)*\]\]|\{\{(?:(?!\[\[|\{\{|\}\}).)*\}\}", " ", template, flags=re.S)
+        if re.search(r"[\[\]{}]", bare):
+            raise ValueError(f"template {label} has a region inside another, or one that isn't closed")
         runs: list[list[bytes]] = [[]]
-        for part in re.findall(r"\[\[.*?\]\]|\{\{.*?\}\}|[^\[{]+", template):
+        for part in re.findall(r"(?s)\[\[.*?\]\]|\{\{.*?\}\}|[^\[{]+", template):
             if part.startswith("[["):
                 inner = words(part.encode())
                 out.steps += [("skip", len(out.steps) + 1 + len(inner)), *(("word", w) for w in inner)]
@@ -183,7 +215,7 @@ def scan(text: bytes, automata: list[Automaton], base: dict[str, str] = BASE) ->
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<string>"
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, base: dict[str, str] = BASE) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES | TEXTS, base: dict[str, str] = BASE) -> DataFrame:
     """One row per row of docs; spans are "start-end:label" in words."""
 
     def run(it):

@@ -155,6 +155,55 @@ def test_automata_begin_with_optional_and_replaceable_words():
     assert (0, 4) in find("[[the]] {{a;x}} is free", "the x is free") and find("[[the]] {{a;x}} is free", "x is free") == [(0, 3)]
 
 
+def test_nested_and_open_regions_are_errors():
+    for template in ("a [[b {{c;d}} e]]", "a [[b [[c]] d]]", "a {{b;c", "a [[b"):
+        with pytest.raises(ValueError):
+            licenses.Automaton.compile("x", template)
+
+
+def template_pattern(template):
+    """The template as a regular expression over words that end with a space."""
+    out = ""
+    for part in re.findall(r"\[\[.*?\]\]|\{\{.*?\}\}|[^\[{]+", template):
+        if part.startswith("[["):
+            out += "(?:" + "".join(w + " " for w in part[2:-2].split()) + ")?"
+        elif part.startswith("{{"):
+            out += r"(?:\w+ ){1,%d}" % licenses.REPLACEMENT
+        else:
+            out += "".join(w + " " for w in part.split())
+    return out
+
+
+def test_automata_match_regular_expressions():
+    """Which texts hold random templates, and where a match may begin."""
+    rng = random.Random(12)
+    found = 0
+    for _ in range(600):
+        parts = [rng.choice(("{}", "{}", "[[{}]]", "{{{{x;{}}}}}")).format(" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 3)))) for _ in range(rng.randrange(1, 5))]
+        if all(p.startswith(("[[", "{{")) for p in parts):
+            parts.append("a")
+        template = " ".join(parts)
+        text = [rng.choice("abcd") for _ in range(rng.randrange(0, 14))]
+        pattern = re.compile(template_pattern(template))
+        want = [k for k in range(len(text)) if pattern.match("".join(w + " " for w in text[k:]))]
+        got = licenses.Automaton.compile("x", template).find([w.encode() for w in text])
+        found += bool(want)
+        assert bool(got) == bool(want), (template, text)
+        assert {k for k, _ in got} <= set(want), (template, text)
+    assert found > 150
+
+
+def test_whole_license_texts(spark):
+    plain = {name: re.sub(r"\{\{\w+;(.*?)\}\}", r"\1", re.sub(r"\[\[(.*?)\]\]", r"\1", t)) for name, t in licenses.TEXTS.items()}
+    other = {name: re.sub(r"\{\{\w+;(.*?)\}\}", "Some Other Holder", re.sub(r"\[\[(.*?)\]\]", "", t)) for name, t in licenses.TEXTS.items()}
+    texts = ["Copyright (c) 2001 A B\n\n" + t.replace(" ", "\n  ", 7) for t in (*plain.values(), *other.values())]
+    broken = [t.replace("software", "hardware", 2).replace("SOFTWARE", "HARDWARE", 2).replace("Software", "Hardware", 2) for t in texts]
+    rows = {r["doc_id"]: r for r in licenses.scan_licenses(docs(spark, texts + broken)).collect()}
+    for i, name in enumerate([*plain, *other]):
+        assert name in rows[i]["labels"].split(",") and rows[i]["score"] > 0.8, name
+        assert name not in rows[len(texts) + i]["labels"].split(","), name
+
+
 # 4
 
 
@@ -450,7 +499,7 @@ def test_plan_is_best_fit_decreasing():
 
 
 def test_packing(spark, prose):
-    texts = EDGES + prose
+    texts = EDGES + prose + [" " * 1_000_000 + "x", "a" + "\n \t" * 400_000, "y" * 300_000, "z\u3000\u00a0" + "\u2003" * 5000 + "q <|endoftext|>" + " " * 3000]
     exact = Tokenizer.from_file(BPE)
     rows = packing.pack(clashing(docs(spark, texts)), BPE, 128).collect()
     fill, of = collections.Counter(), collections.defaultdict(list)

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 #: Rows and bytes that a Python worker takes at once: working memory is some fifty times the bytes. Only a row that
 #: is longer by itself is more. Spark bounds what it sends by spark.sql.execution.arrow.maxBytesPerBatch.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 U64 = np.uint64
 

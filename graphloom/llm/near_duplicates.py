@@ -292,28 +292,32 @@ def shared_keys(blocks: DataFrame, buckets: int) -> DataFrame:
                 for t, size in (("<u8", n), ("<u4", n), ("u1", n), ("<u4", k), ("u1", k), ("<u2", k)):
                     got.append(np.frombuffer(block, t, size, at))
                     at += got[-1].nbytes
-                ids, needs, tags, low, high, places = got
-                parts.setdefault(bucket, []).append((high.astype(U64) << U64(32) | low.astype(U64), ids[places], needs[places], tags[places]))
+                low, high, places = got[3:]
+                parts.setdefault(bucket, []).append((*got[:3], high.astype(U64) << U64(32) | low.astype(U64), places))
         for bucket in list(parts):
-            keys, sets, needs, tags = (np.concatenate(x) for x in zip(*parts.pop(bucket)))
+            blocks_here = parts.pop(bucket)
+            ids, needs, tags, keys = (np.concatenate([x[k] for x in blocks_here]) for k in range(4))
+            begin = np.cumsum([0] + [len(x[0]) for x in blocks_here])
+            entry = np.concatenate([x[4].astype(np.uint32) + np.uint32(i) for x, i in zip(blocks_here, begin)])
+            del blocks_here
             order = np.argsort(keys)
-            keys = keys[order]
+            keys, entry = keys[order], entry[order]
+            del order
             same = keys[1:] == keys[:-1]
             shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            order = order[shared]
-            keys = keys[shared]
-            again = np.lexsort((sets[order], keys))
-            keys, order = keys[again], order[again]
-            sets = sets[order]
+            keys, entry = keys[shared], entry[shared]
+            order = np.lexsort((ids[entry], keys))
+            keys, entry = keys[order], entry[order]
+            sets = ids[entry]
             new = np.ones(len(keys), bool)
             new[1:] = (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])
-            keys, sets, order = keys[new], sets[new], order[new]
+            keys, sets, entry = keys[new], sets[new], entry[new]
             lead = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
             size = np.diff(np.concatenate((lead, [len(keys)])))
             size = np.repeat(size, size)
             many = size >= 2
             g = mix64(keys[many] ^ mix64(np.array([bucket], U64))).view(np.int64)
-            columns = g, np.ascontiguousarray(sets[many]).view(np.int64), tags[order[many]].astype(np.int32), needs[order[many]].astype(np.int32), size[many].astype(np.int32)
+            columns = g, np.ascontiguousarray(sets[many]).view(np.int64), tags[entry[many]].astype(np.int32), needs[entry[many]].astype(np.int32), size[many].astype(np.int32)
             for i in range(0, len(g), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], names=["g", "s", "tag", "need", "size"])
 

@@ -8,11 +8,12 @@ A line whose template stands in a document of smaller id is boilerplate and goes
 template stays in the first document that has it.
 
 Lines that are equal but for digits form a class, which aggregates of ids alone describe.
-Only classes whose leaf holds another class of another document are compared. Two similar
-ones of n tokens differ in at most n div 5, so they agree in one of n div 5 + 1 bands of
-tokens. A class first meets the earliest class of each of its bands; what this doesn't
-settle meets the band's other members; where it is many that ask in a large band, only those
-that agree in one more band of the remaining tokens, which similar ones do. No line is left out, of any length.
+Only classes whose leaf holds another class of another document are compared, by their
+tokens' hashes (32 bits). Two similar ones of n tokens differ in at most n div 5, so they
+agree in one of n div 5 + 1 bands of tokens. A class first meets the earliest class of each
+of its bands; what this doesn't settle meets the band's other members; where it is many that
+ask in a large band, only those that agree in one more band of the remaining tokens, which
+similar ones do. No line is left out, of any length.
 
 Shuffles carry hashes and ids, texts only where lines are taken out of them; lines that a
 third of all rows hold are reduced by partial aggregates before they travel.
@@ -51,12 +52,14 @@ def tokens_of(raw: Column) -> Column:
 
 
 def tree(docs: DataFrame, depth: int) -> DataFrame:
-    """(d, h, line, n, leaf, k, t) of each line that isn't blank: d and h name the document, k the line's class,
-    t its tokens' hashes (32 bits) where it may differ from similar ones."""
+    """(d, h, line, w, n, leaf) of each line that isn't blank: d and h name the document, w holds its n tokens."""
     lines = docs.select(*document_names(), F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.col("raw").rlike(r"\S"))
     tokens = lines.select("d", "h", "line", tokens_of(F.trim("raw")).alias("w")).withColumn("n", F.size("w"))
-    hashes = F.when(F.col("n") >= APART, F.transform("w", lambda w: F.hash(w)))
-    return tokens.select("d", "h", "line", "n", F.xxhash64("n", F.slice("w", 1, depth)).alias("leaf"), F.xxhash64("n", "w").alias("k"), hashes.alias("t"))
+    return tokens.withColumn("leaf", F.xxhash64("n", F.slice("w", 1, depth)))
+
+
+#: SQL: a line's class.
+CLASS = "xxhash64(n, w) as k"
 
 
 def similar(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -80,26 +83,29 @@ def rest(tokens: str, n: str, i: str) -> str:
     return f"concat(slice({tokens}, 1, int(size({tokens}) * {i} div {count})), slice({tokens}, int(size({tokens}) * ({i} + 1) div {count}) + 1, size({tokens})))"
 
 
-def among(lines: DataFrame, leaves: DataFrame) -> DataFrame:
-    """The lines whose leaf is one of leaves, and a few others: a table of SLOTS bits, 512 kB in one row, tells before
-    any line travels. With so many leaves that all bits are set nothing is held back."""
-    slot = f"pmod(leaf, {SLOTS}L)"
-    words = leaves.select(F.expr(slot).alias("slot")).groupBy(F.expr("slot div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(slot % 64)))").alias("bits"))
-    every = leaves.sparkSession.range(SLOTS // 64).withColumnRenamed("id", "w").join(words, "w", "left")
+def among(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """The rows whose value, in the one column of values, is one of these, and a few others: a table of SLOTS bits,
+    512 kB in one row, tells before any row travels. With so many values that all bits are set nothing is held back."""
+    slot = f"pmod(`{values.columns[0]}`, {SLOTS}L)"
+    words = values.select(F.expr(slot).alias("slot")).groupBy(F.expr("slot div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(slot % 64)))").alias("bits"))
+    every = values.sparkSession.range(SLOTS // 64).withColumnRenamed("id", "w").join(words, "w", "left")
     table = settled(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda x: x["bits"]).alias("flags")))
-    here = lines.crossJoin(F.broadcast(table))  # one row of a fixed size
+    here = rows.crossJoin(F.broadcast(table))  # one row of a fixed size
     return here.where(f"getbit(flags[int({slot} div 64)], int({slot} % 64)) = 1").drop("flags")
 
 
-def repeated(classes: DataFrame, lines: DataFrame, depth: int) -> DataFrame:
+def repeated(classes: DataFrame, docs: DataFrame, depth: int) -> DataFrame:
     """(k) of the classes that a similar class of a smaller document precedes."""
-    shared = settled(classes.where(F.col("n") >= APART).groupBy("leaf").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where("a < b").select("leaf"))
-    wanted = classes.where(F.col("n") >= APART).join(shared, "leaf").select("k", "lo")
-    known = among(lines.select("k", "d", "leaf", "n", "t"), shared).join(wanted, "k").where("d = lo").dropDuplicates(["k"]).select("k", "leaf", "lo", "n", "t")
+    long = classes.where(F.col("n") >= APART)
+    shared = settled(long.groupBy("leaf").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where("a < b").select("leaf"))
+    wanted = among(long, shared).join(shared, "leaf").select("k", "lo")
+    # The texts are read once more: tokens are kept of lines that have company in their leaf alone.
+    known = among(tree(docs, depth).where(F.col("n") >= APART), shared).selectExpr("d", "leaf", "n", CLASS, "transform(w, x -> hash(x)) as t")
+    known = known.join(wanted, "k").where("d = lo").dropDuplicates(["k"]).select("k", "leaf", "lo", "n", "t")
     known = settled(known.withColumn("tail", F.expr(f"slice(t, {depth + 1}, n)")))
     cells = known.select("k", "lo", "n", F.posexplode(F.expr(bands("tail", "n", "leaf"))).alias("i", "b"))
     heads = cells.groupBy("b").agg(F.min("lo").alias("first"), F.max("lo").alias("last"), F.min_by("k", "lo").alias("o"), F.count("*").alias("size")).where("first < last")
-    cells = settled(cells.join(heads, "b").select("k", "lo", "n", "i", "b", "o", "first", "size"))
+    cells = written(cells.join(heads, "b").select("k", "lo", "n", "i", "b", "o", "first", "size"), "cells")
     gone = settled(similar(cells.where("lo > first").select("k", "o"), known))
     open_cells = cells.join(gone.withColumn("there", F.lit(True)), "k", "left").select("k", "lo", "n", "i", "b", "size", (F.col("there").isNull() & (F.col("lo") > F.col("first"))).alias("asks"))
     asked = open_cells.groupBy("b").agg(F.count_if("asks").alias("asking")).where("asking > 0")
@@ -114,13 +120,14 @@ def repeated(classes: DataFrame, lines: DataFrame, depth: int) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(d, h, lines): the numbers of the lines that go, by document."""
-    lines = written(tree(docs.select("doc_id", "text"), depth), "lines")
-    classes = settled(lines.groupBy("k").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.min("leaf").alias("leaf"), F.min("n").alias("n")))
+    docs = docs.select("doc_id", "text")
+    lines = written(tree(docs, depth).selectExpr("d", "h", "line", "n", "leaf", CLASS), "lines")
+    classes = written(lines.groupBy("k").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.min("leaf").alias("leaf"), F.min("n").alias("n")), "classes")
     # From which document on a class's lines go: after the first of its own, or all of them.
-    gone = repeated(classes, lines, depth).withColumn("gone", F.lit(True))
-    after = classes.join(gone, "k", "left").where("gone or lo < hi").select("k", F.when(~F.coalesce("gone", F.lit(False)), F.col("lo")).alias("lo"))
-    again = lines.select("d", "h", "line", "k").join(after, "k").where("lo is null or d > lo")
-    return again.groupBy("d", "h").agg(F.collect_set("line").alias("lines"))
+    again = classes.where("lo < hi").select("k", "lo").unionByName(repeated(classes, docs, depth).select("k", F.lit(None).cast("long").alias("lo")))
+    after = settled(again.groupBy("k").agg(F.min("lo").alias("lo"), F.bool_or(F.col("lo").isNull()).alias("all")))
+    gone = among(lines.select("d", "h", "line", "k"), after.select("k")).join(after, "k").where("all or d > lo")
+    return gone.groupBy("d", "h").agg(F.collect_set("line").alias("lines"))
 
 
 def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH) -> DataFrame:

@@ -7,10 +7,11 @@ and where the corrected part turns negative in a mini-batch, the step goes the o
 way, so the model can't overfit the positives (non-negative risk).
 
 The fit takes at most `positives` confirmed texts and `unlabelled` texts (documented
-bounds, chosen by hash of the id); each batch of texts is scored whole on executors.
+bounds, chosen by hash of the id); unless p is given it is estimated from these. Each batch
+of texts is scored whole on executors.
 
 Cases: null and empty texts have no words and score by the bias alone; a label that is
-null counts as none, of several labels of a document the highest holds; without any
+null counts as none, of several labels of a document one that says toxic holds; without any
 positive every score is 0; an empty table gives no rows; repeated rows are scored as
 often as they occur; other columns are ignored.
 """
@@ -141,17 +142,16 @@ def slot_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     return out[0], out[1], *n
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, train, positives: int, unlabelled: int) -> tuple[DataFrame, float]:
-    """(confirmed, slots) of confirmed and of unlabelled texts, and the class prior.
+def training_texts(docs: DataFrame, labels: DataFrame, train, positives: int, unlabelled: int) -> DataFrame:
+    """(confirmed, slots) of confirmed and of unlabelled texts.
 
-    `train` is a condition on doc_id: labels of other rows are not read. The unlabelled
-    texts are a draw from the rows that labels names, whatever their label, so that the
-    share of toxic rows there is their class prior.
+    `train` is a condition on doc_id: other rows are not read. Confirmed are texts that labels call toxic; the
+    unlabelled ones are a draw from all of docs' rows, whether labels names them or not. No text counts as clean.
     """
-    known = labels.where(train).where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic is not null")
-    n, n_pos = known.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("long"))).first()
-    draw = known.select(F.col("doc_id").alias("id"), (F.col("toxic") == 1).alias("p"), F.xxhash64("doc_id").alias("h"))
-    ids = [draw.where("p").orderBy("h", "id").limit(positives).select("id", F.lit(True).alias("confirmed")), draw.orderBy("h", "id").limit(unlabelled).select("id", F.lit(False).alias("confirmed"))]
+    of_hash = (F.xxhash64("id"), F.col("id"))
+    toxic = labels.where(train).where("doc_id is not null and toxic = 1").select(F.col("doc_id").alias("id")).distinct()
+    every = docs.select("doc_id").where(train).where("doc_id is not null").select(F.col("doc_id").alias("id"))
+    ids = [toxic.orderBy(*of_hash).limit(positives).select("id", F.lit(True).alias("confirmed")), every.orderBy(*of_hash).limit(unlabelled).distinct().select("id", F.lit(False).alias("confirmed"))]
     chosen = F.broadcast(ids[0].union(ids[1]))  # ids within the documented bounds
 
     def features(it):
@@ -161,16 +161,36 @@ def training_texts(docs: DataFrame, labels: DataFrame, train, positives: int, un
             slots, first = word_features(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([slots[i:j].tobytes() for i, j in zip(first, first[1:])], pa.binary())], names=["confirmed", "slots"])
 
-    texts = arrow_map(docs.join(chosen, docs.doc_id == chosen.id).select("confirmed", docs.text.cast("string").alias("text")), features, "confirmed boolean, slots binary")
-    return texts, (n_pos or 0) / n if n else 0.0
+    return arrow_map(docs.join(chosen, docs.doc_id == chosen.id).select("confirmed", docs.text.cast("string").alias("text")), features, "confirmed boolean, slots binary")
+
+
+def class_prior(pos: list[np.ndarray], unl: list[np.ndarray], size: int) -> float:
+    """The share of toxic texts among unlabelled ones, from these two kinds alone.
+
+    Whatever a score's threshold t, the share is at most P(score >= t | unlabelled) / P(score >= t | confirmed), and
+    close to it where few clean texts score so high. The least such bound over thresholds that 30 to 90 per
+    cent of confirmed texts reach, with a standard error on top, is averaged over two halves that score each other.
+    """
+    found = []
+    for fold in (0, 1):
+        model = fit_nnpu(pos[fold::2], unl[fold::2], 0.2, size, epochs=15)
+        p, u = (np.sort(model.score(np.concatenate(part) if part else np.empty(0, np.int32), np.cumsum([0] + [len(t) for t in part]))) for part in (pos[1 - fold :: 2], unl[1 - fold :: 2]))
+        if not len(p) or not len(u):
+            continue
+        bounds = []
+        for reach in np.linspace(0.3, 0.9, 13):
+            t = p[min(int(len(p) * (1 - reach)), len(p) - 1)]
+            q = 1 - np.searchsorted(u, t) / len(u)
+            bounds.append((q + np.sqrt(q * (1 - q) / len(u))) / (1 - np.searchsorted(p, t) / len(p)))
+        found.append(min(bounds))
+    return float(np.clip(np.mean(found), 1e-4, 0.5)) if found else 0.0
 
 
 def learn(docs: DataFrame, labels: DataFrame, train, positives: int = 6000, unlabelled: int = 12000, prior: float | None = None) -> Model:
     """A model over all slots. Of the training texts only telling features reach the driver."""
-    texts, share = training_texts(docs, labels, train, positives, unlabelled)
-    texts = settled(texts)
+    texts = settled(training_texts(docs, labels, train, positives, unlabelled))
     use = telling(*slot_counts(texts))
-    place = (np.cumsum(use) - 1).astype(np.int32)
+    place, size = (np.cumsum(use) - 1).astype(np.int32), int(use.sum())
 
     def of_use(it):
         import pyarrow as pa
@@ -179,9 +199,9 @@ def learn(docs: DataFrame, labels: DataFrame, train, positives: int = 6000, unla
             slots = [np.frombuffer(x.as_buffer(), np.int32) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([place[x[use[x]]].tobytes() for x in slots], pa.binary())], names=["confirmed", "slots"])
 
-    rows = arrow_map(texts, of_use, "confirmed boolean, slots binary").orderBy("confirmed", "slots").collect()
+    rows = arrow_map(texts, of_use, "confirmed boolean, slots binary").orderBy(F.xxhash64("slots"), "slots", "confirmed").collect()
     pos, unl = ([np.frombuffer(r["slots"], np.int32) for r in rows if r["confirmed"] is kind] for kind in (True, False))
-    small = fit_nnpu(pos, unl, share if prior is None else prior, int(use.sum()))
+    small = fit_nnpu(pos, unl, class_prior(pos, unl, size) if prior is None else prior, size)
     model = Model(np.zeros(1 << BITS), small.bias)
     model.weights[use] = small.weights
     return model

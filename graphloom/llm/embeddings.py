@@ -86,7 +86,7 @@ def blocks_of(reps: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataF
 
     order = ["label", "dims", *(f"c{k}" for k in range(AXES))]
     schema = "rep long, weight long, label string, embedding array<double>, dims int, " + ", ".join(f"c{k} long" for k in range(AXES))
-    placed = arrow_map(reps.select("rep", "weight", F.col("label").cast("string"), F.col("embedding").cast("array<double>")), cells, schema)
+    placed = arrow_map(reps.select(F.col("cid").alias("rep"), "weight", F.col("label").cast("string"), F.col("embedding").cast("array<double>")), cells, schema)
 
     def cut(it):
         from pyspark import TaskContext
@@ -215,10 +215,11 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """vectors' rows (vec_id, embedding, label) as (vec_id, n_links, component_id, kept)."""
     sound = F.expr("label is not null and embedding is not null and vec_id is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label").withColumn("sound", F.coalesce(sound, F.lit(False)))
-    reps = settled(rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
+    # cid stands for a class of equal vectors; ids may stand in several classes, which they join.
+    classes = settled(rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).withColumn("cid", F.monotonically_increasing_id()))
     eps = float(np.sqrt(2 - 2 * threshold) * (1 + 1e-6))
-    axes = principal_axes(reps)
-    blocks = settled(blocks_of(reps, axes, eps))
+    axes = principal_axes(classes)
+    blocks = settled(blocks_of(classes, axes, eps))
     meta = blocks.select("block", "part", "lo", "hi")
     x = meta.select(F.col("block").alias("xb"), "part", F.col("lo").alias("xl"), F.col("hi").alias("xh"), F.explode(F.expr("sequence(lo[0] - 1, hi[0] + 1)")).alias("cell"))
     y = meta.select(F.col("block").alias("yb"), "part", F.col("lo").alias("yl"), F.col("hi").alias("yh"), F.explode(F.expr("sequence(lo[0], hi[0])")).alias("cell"))
@@ -228,14 +229,17 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     b = blocks.select(F.col("block").alias("yb"), *(F.col(c).alias(f"y_{c}") for c in ("ids", "weights", "cells", "vectors")))
     joined = pairs.join(a, "xb").join(b, "yb").select((F.col("xb") == F.col("yb")).alias("same"), "x_ids", "x_weights", "x_cells", "x_vectors", "y_ids", "y_weights", "y_cells", "y_vectors")
     found = settled(join_blocks(joined, threshold))
-    counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("linked")).withColumnRenamed("a", "rep")
-    label = components(found.where("b is not null").select("a", "b"), "rep")
-    # rep is the smallest id of its class; ids that stand in several classes join them.
-    by_rep = reps.select("label", "embedding", "rep", "weight").join(counts, "rep", "left").join(label, "rep", "left")
-    same = rows.label.eqNullSafe(by_rep.label) & rows.embedding.eqNullSafe(by_rep.embedding) & rows.sound
-    placed = rows.join(by_rep, same, "left")
+    counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("linked")).withColumnRenamed("a", "cid")
+    known = classes.join(counts, "cid", "left").select("label", "embedding", "rep", "weight", "linked")
+    same = rows.label.eqNullSafe(known.label) & rows.embedding.eqNullSafe(known.embedding) & rows.sound
+    placed = rows.join(known, same, "left").select("vec_id", "rep", "weight", "linked")
+    name = classes.select("cid", "rep")
+    forest = found.where("b is not null").select("a", "b").join(name.withColumnsRenamed({"cid": "a", "rep": "ra"}), "a").join(name.withColumnsRenamed({"cid": "b", "rep": "rb"}), "b")
+    twice = rows.where("sound").groupBy("vec_id").agg(F.count("*").alias("k")).where("k > 1").select("vec_id")
+    joining = placed.where("rep is not null").join(twice, "vec_id").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
+    label = components(forest.select(F.col("ra").alias("a"), F.col("rb").alias("b")).union(joining), "rep")
     component = F.coalesce("component", "rep", "vec_id")
-    return placed.select(
+    return placed.join(label, "rep", "left").select(
         "vec_id", (F.coalesce("weight", F.lit(1)) - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept")
     )
 

@@ -83,6 +83,41 @@ def test_risk_is_corrected_by_the_prior():
     assert score(7) > 0.5 > score(8)
 
 
+def test_class_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(4)
+    noise = lambda: np.unique(rng.integers(20, 400, 15)).astype(np.int32)
+    for share in (0.05, 0.15, 0.3):
+        pos = [np.concatenate((rng.choice(20, 5, False).astype(np.int32), noise())) for _ in range(400)]
+        unl = [np.concatenate((rng.choice(20, 5, False).astype(np.int32), noise())) if rng.random() < share else noise() for _ in range(2000)]
+        assert abs(toxicity.class_prior(pos, unl, 400) - share) < 0.04
+    assert toxicity.class_prior([], unl, 400) == toxicity.class_prior(pos, unl, 0) == 0.01
+
+
+def test_risk_gradient_matches_differences():
+    """One step of the fit follows the numeric gradient of the non-negative risk, in both of its cases."""
+    rng = np.random.default_rng(5)
+    size, prior = 12, 0.3
+    texts = lambda n: [np.unique(rng.integers(0, size, 4)).astype(np.int32) for _ in range(n)]
+    pos, unl = texts(6), texts(10)
+
+    def risks(w, bias):
+        z = lambda part: np.array([w[t].sum() + bias for t in part])
+        zp, zu = z(pos), z(unl)
+        return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+    for bias in (0.0, -3.0):  # the corrected part is positive, then negative
+        w = rng.normal(0, 0.3, size)
+        positive, corrected = risks(w, bias)
+        loss = (lambda w: sum(risks(w, bias))) if corrected >= 0 else (lambda w: -risks(w, bias)[1])
+        numeric = np.array([(loss(w + 1e-6 * e) - loss(w - 1e-6 * e)) / 2e-6 for e in np.eye(size)])
+        first = np.cumsum([0] + [len(t) for t in pos + unl])
+        s = toxicity.Model(w, bias).score(np.concatenate(pos + unl), first)
+        g, negative = toxicity.risk_gradient(s, len(pos), prior)
+        assert (negative >= 0) == (corrected >= 0) and abs(negative - corrected) < 1e-6
+        found = np.bincount(np.concatenate(pos + unl), np.repeat(g, np.diff(first)), size)
+        assert np.allclose(found, numeric, atol=1e-5), bias
+
+
 def test_slot_counts_are_those_of_distinct_texts(spark):
     rng = np.random.default_rng(2)
     rows = [(bool(i % 3), np.unique(rng.integers(0, 1 << toxicity.BITS, 30)).astype(np.int32).tobytes()) for i in range(40)]

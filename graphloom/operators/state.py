@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept below spark.checkpoint.dir; a folder of our own where that is unset and the
-    master is local."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of our own where that is unset and the master is local."""
     context = spark.sparkContext
+    root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
     if not context.getCheckpointDir():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            root = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and kept below the shared folder."""
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from .functions import vector
 from .functions.properties import number, text
 from .graph import Graph, Nodes
-from .operators import conversations, dataset, events, lists, meta, navigation, reasoning, retrieval, storage
+from .operators import conversations, dataset, events, lists, meta, navigation, reasoning, retrieval, storage, vectors
+from .operators.state import shared_root
 from .plans import verify
 from .plans.executor import Executor
 from .plans.plan import Plan, default_plan, ordered, validate
@@ -125,6 +127,16 @@ def ann_top_k(spark, sf):
     return retrieval.nearest(load(spark, sf, ["VECTOR"]), F.array(*map(F.lit, first_vector(spark, sf))), 25).select("id", F.round("score", 4).alias("score"))
 
 
+@query(f"with s as ({SCORED}) select 'vector:' || vec_id as id, round(score, 4) as score from s order by s.score desc, 'vector:' || vec_id limit 25")
+def vector_index(spark, sf):
+    """A stored index of half the vectors, then of all; asked for more than near buckets hold, it ranks all."""
+    nodes = load(spark, sf, ["VECTOR"]).nodes
+    index = vectors.VectorIndex(spark, f"{shared_root(spark)}/vectors-{uuid.uuid4().hex}", 64)
+    index.add(nodes.where(F.col("label") == "1"))
+    index.add(nodes)
+    return index.query(first_vector(spark, sf), nodes.count()).orderBy(F.desc("score"), "id").limit(25).select("id", F.round("score", 4).alias("score"))
+
+
 @query("""with b as (select doc_id, list_transform(range(0, 384), lambda i: ('0x' || substr(sha256(text), ((i % 32) * 2 + 1)::int, 2))::int / 255.0::double * 2 - 1) as v from documents),
 n as (select doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as norm from b)
 select doc_id, round((v[1] / norm)::float::double, 5) as first, round((v[384] / norm)::float::double, 5) as last, len(v)::int as dimensions from n""")

@@ -307,3 +307,29 @@ def test_nearest_blocks_match_brute_force(spark):
     assert {(r["id"], r["older"]) for r in vector.nearest_older(df, 3, 0.3, block=7).collect()} == older
     near = {(a[0], b[0]) for a in rows[:20] for b in sorted([b for b in rows if cos(a[2], b[2]) >= 0.3], key=lambda b: (-cos(a[2], b[2]), b[0]))[:3]}
     assert {(r["id"], r["other"]) for r in vector.nearest_of(df.where("substring(id, 2) < 20 and length(id) < 4").where(F.substring("id", 2, 9).cast("int") < 20), df, 3, 0.3, block=7).collect()} == near
+
+
+def test_vector_index_life_cycle(spark, tmp_path):
+    import random
+
+    from graphloom.operators.vectors import VectorIndex
+
+    rng = random.Random(2)
+    vectors = {f"n{i}": [rng.gauss(0, 1) for _ in range(6)] for i in range(60)}
+    g = graph(spark, [node(i, embedding=v, deprecated=i == "n7") for i, v in vectors.items()])
+    index = VectorIndex(spark, f"file://{tmp_path}/index", 6)
+    assert index.version() == 0 and index.load().count() == 0 and index.query(vectors["n1"], 3).count() == 0
+    index.add(g.nodes.limit(20))
+    index.add(g.nodes)
+    index.add(g.nodes.withColumn("embedding", F.array(*[F.lit(0.0)] * 6)))
+    assert index.version() == 3 and index.load().count() == index.load().select("id").distinct().count() == 60
+    assert [r["id"] for r in index.query(vectors["n1"], 1).collect()] == ["n1"]  # ids are added once
+    every = [r["id"] for r in index.query(vectors["n1"], 60).collect()]
+    assert every == [r["id"] for r in retrieval.nearest(g, F.array(*map(F.lit, vectors["n1"])), 60).collect()]
+    some = [r["id"] for r in index.query(vectors["n1"], 5).collect()]
+    assert len(set(some) & set(every[:5])) >= 3
+    (tmp_path / "index" / "v4").mkdir()  # a write that was lost
+    assert index.version() == 3
+    index.root += "-new"
+    index.rebuild(g)
+    assert index.load().count() == 59

@@ -44,15 +44,20 @@ def level(ids: DataFrame) -> tuple[DataFrame, int]:
     return (F.broadcast(ids) if n <= SMALL_FRONTIER else ids), n
 
 
-def search(g: Graph, start: DataFrame, relations: list[str] | None, max_hops: int, direction: str, target: str | None = None) -> list[DataFrame]:
-    """The breadth-first levels (id), the start first, up to the one that holds the target.
+def search(g: Graph, start: DataFrame, relations: list[str] | None, max_hops: int, direction: str, target: str | None = None, walked: list[DataFrame] | None = None) -> list[DataFrame]:
+    """The breadth-first levels (id), the start first, up to the one that holds the target. walked gets the edges
+    (near, far) out of each level.
 
     The frontier meets the edges before anything is made distinct; levels are kept apart, so none is written twice.
     """
     near = hops(g, relations, direction).select("near", "far")
     levels = [level(start.select("id").distinct())[0]]
     while len(levels) <= max_hops:
-        step = near.join(levels[-1].withColumnRenamed("id", "near"), "near", "left_semi").select(F.col("far").alias("id")).distinct()
+        step = near.join(levels[-1].withColumnRenamed("id", "near"), "near", "left_semi")
+        if walked is not None:
+            step = settled(step.distinct())
+            walked.append(step)
+        step = step.select(F.col("far").alias("id")).distinct()
         for seen in levels:
             step = step.join(seen, "id", "left_anti")
         new, n = level(step)
@@ -89,14 +94,13 @@ def path_find(g: Graph, source: str, target: str, relations: list[str] | None =
     start = spark.createDataFrame([(source,)], "id string")
     if mode == "last_hop":
         return last_hops(g, start, target, relations, max_hops)
-    near = hops(g, relations, "out").select("near", "far")
-    levels = search(g, start, relations, max_hops, "out", target)
+    walked: list[DataFrame] = []
+    levels = search(g, start, relations, max_hops, "out", target, walked)
     if levels[-1].where(F.col("id") == target).isEmpty():
         return spark.createDataFrame([], "path array<string>")
     paths = spark.createDataFrame([([target], target)], "path array<string>, head string")
-    for before in reversed(levels[:-1]):
-        on = near.join(before.withColumnRenamed("id", "near"), "near", "left_semi").join(paths.select(F.col("head").alias("far")).distinct(), "far", "left_semi").distinct()
-        paths = settled(paths.join(on, F.col("head") == F.col("far")).select(F.concat(F.array("near"), "path").alias("path"), F.col("near").alias("head")))
+    for edges in reversed(walked[: len(levels) - 1]):
+        paths = settled(paths.join(edges, F.col("head") == F.col("far")).select(F.concat(F.array("near"), "path").alias("path"), F.col("near").alias("head")))
     return paths.select("path")
 
 

@@ -41,7 +41,7 @@ WORDS = 5
 #: Cells that count shingles, and ranges they are summed in.
 CELL_BITS, RANGES = 23, 64
 #: Keys that one grouping task is meant to get, and that a task holds before it sends them on.
-BUCKET_KEYS, FLUSH_KEYS = 3_000_000, 1_000_000
+BUCKET_KEYS, FLUSH_KEYS = 3_000_000, 500_000
 #: Bits of the sketch that prunes candidates.
 SKETCH_BITS = 1024
 #: Sets of one part of a place where groups are compared.

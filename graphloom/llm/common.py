@@ -23,26 +23,26 @@ BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 U64 = np.uint64
 
 
-def bounded(batches):
-    """The batches' rows, in lots within both bounds."""
+def bounded(batches, size: int = BATCH_BYTES):
+    """The batches' rows, in lots of at most BATCH_ROWS rows and so many bytes."""
     todo = []
     for b in batches:
         todo.append(b)
         while todo:
             b = todo.pop()
-            if b.num_rows > 1 and (b.num_rows > BATCH_ROWS or b.nbytes > BATCH_BYTES):
+            if b.num_rows > 1 and (b.num_rows > BATCH_ROWS or b.nbytes > size):
                 half = b.num_rows // 2
                 todo += [b.slice(half), b.slice(0, half)]
             else:
                 yield b
 
 
-def arrow_map(df: DataFrame, fn: Callable, schema: str | T.StructType) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable, schema: str | T.StructType, size: int = BATCH_BYTES) -> DataFrame:
     """mapInArrow with batches small enough for long texts."""
-    return df.mapInArrow(lambda it: fn(bounded(it)), schema)
+    return df.mapInArrow(lambda it: fn(bounded(it, size)), schema)
 
 
-def with_text_columns(docs: DataFrame, keep: list[str], fn: Callable, columns: str) -> DataFrame:
+def with_text_columns(docs: DataFrame, keep: list[str], fn: Callable, columns: str, size: int = BATCH_BYTES) -> DataFrame:
     """docs' columns `keep`, and those that fn makes of the text column of each batch."""
     made = T.StructType.fromDDL(columns)
     chosen = docs.select(*(docs[f"`{c}`"] for c in keep), docs["text"].cast("string").alias("_text_read"))
@@ -51,7 +51,7 @@ def with_text_columns(docs: DataFrame, keep: list[str], fn: Callable, columns: s
         for b in it:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *fn(b.column(b.num_columns - 1))], names=[*b.schema.names[:-1], *made.names])
 
-    return arrow_map(chosen, run, T.StructType([*chosen.schema.fields[:-1], *made.fields]))
+    return arrow_map(chosen, run, T.StructType([*chosen.schema.fields[:-1], *made.fields]), size)
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

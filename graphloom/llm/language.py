@@ -27,6 +27,8 @@ from .common import LOWER, NOT_WORD, U64, hash_words, joined, leading_bytes, mix
 
 BITS = 17
 LEXICON = 30_000
+#: Bytes of text that a worker labels together, as long texts step together, and words whose features it has at once.
+LOT_BYTES, LOT_WORDS = 4 << 20, 1 << 16
 
 
 @dataclass
@@ -39,13 +41,15 @@ class Crf:
     transitions: np.ndarray
 
     def emissions(self, t: Words) -> np.ndarray:
-        slots, word = t.slots()
         out = np.empty((len(t.hashes), len(self.languages)))
-        edges = np.searchsorted(word, np.arange(len(t.hashes) + 1))
-        for k in range(len(self.languages)):
-            w = self.weights[:, k]
-            sums = np.concatenate(([0.0], np.cumsum(w[slots], dtype=np.float64)))
-            out[:, k] = sums[edges[1:]] - sums[edges[:-1]] + w[t.prefix] + w[t.suffix]
+        for i in range(0, len(out), LOT_WORDS):
+            j = min(i + LOT_WORDS, len(out))
+            slots, word = t.slots(i, j)
+            edges = np.searchsorted(word, np.arange(j - i + 1))
+            for k in range(len(self.languages)):
+                w = self.weights[:, k]
+                sums = np.concatenate(([0.0], np.cumsum(w[slots], dtype=np.float64)))
+                out[i:j, k] = sums[edges[1:]] - sums[edges[:-1]] + w[t.prefix[i:j]] + w[t.suffix[i:j]]
         found, entry = self.entries(t.hashes)
         out[found] += self.lexicon_weights[entry]
         return out
@@ -76,14 +80,17 @@ class Words:
         self.prefix = (mix64(pre ^ U64(0x9E3779B1)) >> shift).astype(np.int32)
         self.suffix = (mix64(suf ^ U64(0x85EBCA6B)) >> shift).astype(np.int32)
 
-    def slots(self) -> tuple[np.ndarray, np.ndarray]:
-        """Trigram slots of all words, flat, and the word of each. A word's border counts as a space."""
-        n = self.ends - self.starts  # a word of n bytes has n trigrams, centred on its bytes
-        word = np.repeat(np.arange(len(n)), n)
-        where = np.arange(len(word)) + np.repeat(self.starts - np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else n, n)
-        b = np.where(NOT_WORD[self.low], np.uint8(32), self.low).astype(np.int32)
-        before = np.concatenate(([32], b[:-1])).astype(np.int32) if len(b) else b
-        after = np.concatenate((b[1:], [32])).astype(np.int32) if len(b) else b
+    def slots(self, i: int = 0, j: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Trigram slots of the words from i to j, flat, and the word of each, from 0. A word's border counts as a space."""
+        starts, ends = self.starts[i:j], self.ends[i:j]
+        n = ends - starts  # a word of n bytes has n trigrams, centred on its bytes
+        if not len(n):
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        word, base = np.repeat(np.arange(len(n)), n), int(starts[0])
+        where = np.arange(len(word)) + np.repeat(starts - base - (np.cumsum(n) - n), n)
+        low = self.low[base : int(ends[-1])]  # what stands around words is no part of one
+        b = np.where(NOT_WORD[low], np.uint8(32), low).astype(np.int32)
+        before, after = np.concatenate(([32], b[:-1])).astype(np.int32), np.concatenate((b[1:], [32])).astype(np.int32)
         code = (before << 16 | b << 8 | after)[where].astype(np.uint32)
         return ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int32), word
 
@@ -205,4 +212,4 @@ def label(docs: DataFrame, crf: Crf, keep: list[str] | None = None) -> DataFrame
         score[~lettered] = 0
         return [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(counts, pa.int64()), pa.array(switched, pa.int64())]
 
-    return with_text_columns(docs, keep or ["doc_id"], predict, "lang_pred string, score double, n_words long, n_switched long")
+    return with_text_columns(docs, keep or ["doc_id"], predict, "lang_pred string, score double, n_words long, n_switched long", LOT_BYTES)

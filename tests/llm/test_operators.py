@@ -574,6 +574,16 @@ def test_forward_backward_matches_enumeration():
     assert np.allclose(gamma, want) and np.allclose(moved, pairs)
 
 
+def test_features_come_in_lots():
+    rng = random.Random(3)
+    t = language.Words(pa.array([" ".join(words(rng, 40)) + "  é ß, x!" for _ in range(9)] + ["", None, "ab"]))
+    whole, of = t.slots()
+    for i, j in ((0, 5), (5, 300), (300, len(t.hashes)), (7, 7)):
+        slots, word = t.slots(i, j)
+        mine = (of >= i) & (of < j)
+        assert (slots == whole[mine]).all() and (word == of[mine] - i).all()
+
+
 def test_language_labels(spark):
     rng = random.Random(9)
     roots = {"aa": ["the", "ing", "wh", "tion"], "bb": ["ß", "ung", "sch", "keit"], "cc": ["ñ", "que", "ción", "ado"]}

@@ -51,11 +51,20 @@ def tokens_of(raw: Column) -> Column:
     return F.split(masked, " ")
 
 
-def tree(docs: DataFrame, depth: int) -> DataFrame:
-    """(d, h, line, w, n, leaf) of each line that isn't blank: d and h name the document, w holds its n tokens."""
-    lines = docs.select(*document_names(), F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.col("raw").rlike(r"\S"))
-    tokens = lines.select("d", "h", "line", tokens_of(F.trim("raw")).alias("w")).withColumn("n", F.size("w"))
-    return tokens.withColumn("leaf", F.xxhash64("n", F.slice("w", 1, depth)))
+def tree(docs: DataFrame, depth: int, kept: bool = False) -> DataFrame:
+    """(d, h, line, w, n, leaf) of each line that isn't blank: d and h name the document, w holds its n tokens.
+
+    kept: w is made before lines become rows, so that no filter or join on what follows from it makes it again;
+    without, the tokens cost less where they are used once.
+    """
+    lines = F.split("text", "\n")
+    if kept:
+        cut = F.transform(lines, lambda raw: F.when(raw.rlike(r"\S"), tokens_of(F.trim(raw))))
+        tokens = docs.select(*document_names(), F.posexplode(cut).alias("line", "w")).where("w is not null")
+    else:
+        rows = docs.select(*document_names(), F.posexplode(lines).alias("line", "raw")).where(F.col("raw").rlike(r"\S"))
+        tokens = rows.select("d", "h", "line", tokens_of(F.trim("raw")).alias("w"))
+    return tokens.withColumn("n", F.size("w")).withColumn("leaf", F.xxhash64("n", F.slice("w", 1, depth)))
 
 
 #: SQL: a line's class.
@@ -84,14 +93,13 @@ def rest(tokens: str, n: str, i: str) -> str:
 
 
 def among(rows: DataFrame, values: DataFrame) -> DataFrame:
-    """The rows whose value, in the one column of values, is one of these, and a few others: a table of SLOTS bits,
-    512 kB in one row, tells before any row travels. With so many values that all bits are set nothing is held back."""
+    """The rows whose value, in the one column of values, is one of these, and a few others: a table of SLOTS bits in
+    words of 64 tells before any row travels. With so many values that all bits are set nothing is held back."""
     slot = f"pmod(`{values.columns[0]}`, {SLOTS}L)"
-    words = values.select(F.expr(slot).alias("slot")).groupBy(F.expr("slot div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(slot % 64)))").alias("bits"))
-    every = values.sparkSession.range(SLOTS // 64).withColumnRenamed("id", "w").join(words, "w", "left")
-    table = settled(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda x: x["bits"]).alias("flags")))
-    here = rows.crossJoin(F.broadcast(table))  # one row of a fixed size
-    return here.where(f"getbit(flags[int({slot} div 64)], int({slot} % 64)) = 1").drop("flags")
+    words = values.select(F.expr(slot).alias("slot")).groupBy(F.expr("slot div 64").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, int(slot % 64)))").alias("_bits"))
+    table = F.broadcast(settled(words))  # SLOTS / 64 rows at most, 1 MB
+    here = rows.withColumn("_word", F.expr(f"{slot} div 64")).join(table, "_word")
+    return here.where(f"getbit(_bits, int({slot} % 64)) = 1").drop("_word", "_bits")
 
 
 def repeated(classes: DataFrame, docs: DataFrame, depth: int) -> DataFrame:
@@ -100,7 +108,7 @@ def repeated(classes: DataFrame, docs: DataFrame, depth: int) -> DataFrame:
     shared = settled(long.groupBy("leaf").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where("a < b").select("leaf"))
     wanted = among(long, shared).join(shared, "leaf").select("k", "lo")
     # The texts are read once more: tokens are kept of lines that have company in their leaf alone.
-    known = among(tree(docs, depth).where(F.col("n") >= APART), shared).selectExpr("d", "leaf", "n", CLASS, "transform(w, x -> hash(x)) as t")
+    known = among(tree(docs, depth, kept=True).where(F.col("n") >= APART), shared).selectExpr("d", "leaf", "n", CLASS, "transform(w, x -> hash(x)) as t")
     known = known.join(wanted, "k").where("d = lo").dropDuplicates(["k"]).select("k", "leaf", "lo", "n", "t")
     known = settled(known.withColumn("tail", F.expr(f"slice(t, {depth + 1}, n)")))
     cells = known.select("k", "lo", "n", F.posexplode(F.expr(bands("tail", "n", "leaf"))).alias("i", "b"))

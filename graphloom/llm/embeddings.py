@@ -33,22 +33,29 @@ def principal_axes(reps: DataFrame) -> dict[int, np.ndarray]:
     """The leading principal axes of all vectors, by dimension: sums of products are added up on
     executors, and one matrix for each dimension reaches the driver."""
 
-    def add(it):
+    def rows(sums: dict[int, np.ndarray]):
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["d", "x"])
+
+    def multiply(it):
         sums: dict[int, np.ndarray] = {}
         for b in it:
-            for x in by_dimension(b.column(0)).values():
-                u = np.hstack((unit(x[1]), np.ones((len(x[1]), 1))))
-                sums[x[1].shape[1]] = sums.get(x[1].shape[1], 0) + u.T @ u
-        for d, s in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(s.size, d), pa.int32()), pa.array(np.arange(s.size), pa.int32()), pa.array(s.ravel())], names=["d", "k", "x"])
+            for _, x in by_dimension(b.column(0)).values():
+                u = np.hstack((unit(x), np.ones((len(x), 1))))
+                sums[x.shape[1]] = sums.get(x.shape[1], 0) + u.T @ u
+        yield from rows(sums)
 
-    rows = arrow_map(reps.select("embedding"), add, "d int, k int, x double").groupBy("d", "k").agg(F.sum("x").alias("x")).collect()
-    out = {}
-    for d in {r["d"] for r in rows}:
-        s = np.zeros((d + 1, d + 1))
-        for r in rows:
-            if r["d"] == d:
-                s.flat[r["k"]] = r["x"]
+    def add(it):
+        sums: dict[int, np.ndarray] = {}
+        for b in it:
+            for d, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                sums[d] = sums.get(d, 0) + np.frombuffer(raw.as_buffer(), np.float64)
+        yield from rows(sums)
+
+    schema, out = "d int, x binary", {}
+    for r in arrow_map(arrow_map(reps.select("embedding"), multiply, schema).repartition("d"), add, schema).collect():
+        d = r["d"]
+        s = np.frombuffer(r["x"], np.float64).reshape(d + 1, d + 1)
         n, mean = s[d, d], s[d, :d] / s[d, d]
         _, axes = np.linalg.eigh(s[:d, :d] / n - np.outer(mean, mean))
         out[d] = axes[:, ::-1][:, :AXES]

@@ -491,6 +491,7 @@ def test_media_round_trip(spark, tmp_path):
         r = rows[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert r["tail_crc32"] == zlib.crc32(payload[-64:]) and (r["width"], r["height"]) == (64, len(payload) // 64)
+        assert r["feature"] == f"png:64x{len(payload) // 64}x8:levels={len(set(payload))}:mean={sum(payload) * 1000 // len(payload)}"
         with open(tmp_path / "media" / r["shard"], "rb") as f:
             f.seek(r["offset"])
             assert hashlib.sha256(f.read(r["length"])).hexdigest() == r["media_sha256"] == r["digest"]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, embeddings, language, licenses, line_templates, media, near_duplicates, packing, token_counts, toxicity
+from . import bytebpe, centroids, embeddings, language, licenses, line_templates, media, near_duplicates, packing, token_counts, toxicity, whitening
 from .common import documents, held_out
 
 #: Parameters: the public vocabularies' files.
@@ -58,6 +58,14 @@ def op10_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "n_words", "n_switched")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_nnpu, op2_unigram_token_counts, op3_license_templates, op4_line_templates, op5_parity_sketch_join, op6_epsilon_grid_join, op7_bpe_forced_boundaries, op8_media_columns, op9_best_fit_packing, op10_crf_language_id)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
-ORACLE_SQL = {"op4_line_templates": line_templates.ORACLE_SQL, "op5_parity_sketch_join": near_duplicates.ORACLE_SQL, "op6_epsilon_grid_join": embeddings.ORACLE_SQL}
+
+def op13_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity_nnpu, op2_unigram_token_counts, op3_license_templates, op4_line_templates, op5_parity_sketch_join, op6_epsilon_grid_join, op7_bpe_forced_boundaries, op8_media_columns, op9_best_fit_packing, op10_crf_language_id, op11_embedding_whitening, op13_dual_tree_lloyd)}
+
+ORACLE_SQL = {"op4_line_templates": line_templates.ORACLE_SQL, "op5_parity_sketch_join": near_duplicates.ORACLE_SQL, "op6_epsilon_grid_join": embeddings.ORACLE_SQL, "op13_dual_tree_lloyd": centroids.oracle_sql()}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, centroids, embeddings, language, licenses, line_templates, media, near_duplicates, packing, token_counts, toxicity, whitening
+from . import bytebpe, centroids, embeddings, language, licenses, line_templates, media, near_duplicates, packing, suffixes, token_counts, toxicity, whitening
 from .common import documents, held_out
 
 #: Parameters: the public vocabularies' files.
@@ -62,10 +62,15 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_hash_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.drop_repeated_strings(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_nnpu, op2_unigram_token_counts, op3_license_templates, op4_line_templates, op5_parity_sketch_join, op6_epsilon_grid_join, op7_bpe_forced_boundaries, op8_media_columns, op9_best_fit_packing, op10_crf_language_id, op11_embedding_whitening, op13_dual_tree_lloyd)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_nnpu, op2_unigram_token_counts, op3_license_templates, op4_line_templates, op5_parity_sketch_join, op6_epsilon_grid_join, op7_bpe_forced_boundaries, op8_media_columns, op9_best_fit_packing, op10_crf_language_id, op11_embedding_whitening, op12_hash_suffix_dedup, op13_dual_tree_lloyd)}
 
 ORACLE_SQL = {"op4_line_templates": line_templates.ORACLE_SQL, "op5_parity_sketch_join": near_duplicates.ORACLE_SQL, "op6_epsilon_grid_join": embeddings.ORACLE_SQL, "op13_dual_tree_lloyd": centroids.oracle_sql()}

@@ -103,7 +103,7 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int, seed: int = 0):
     if not out:
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, U64))
     start, n, anchor, h = (np.concatenate(x) for x in zip(*out))
-    return np.searchsorted(at, start, "right") - 1, start, n, anchor, h
+    return np.searchsorted(at, start, "right") - 1, start, n, anchor, mix64(h)  # as least ones they are small
 
 
 def held_anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:

@@ -2,22 +2,21 @@
 
 A string is `length` bytes of a text's UTF-8. Equal strings must meet in one task without every suffix travelling, so
 each is dealt by its anchor: the least hash among its grams (shorter strings), leftmost of equals. Neighbouring strings
-mostly share their anchor; such a run travels as one segment, some 65 bytes for 16 strings.
+mostly share their anchor; such a run is one segment, some 65 bytes for 16 strings.
 
 1. Anchors' hashes and documents: an anchor that no two documents hold can't hold a repeat. The others are marked in a
    table of bits, whose size is bounded; where it lets others pass, only more travels.
-2. Segments of marked anchors, with place and document, are stored once. Of equal segments in a lot the first has the
-   bytes, and the smallest document of all.
-3. The segments of an anchor meet in a task, equal ones once. Their strings' suffixes are sorted by mergesort in which
-   two suffixes are compared by their common extension, found by binary search over prefix polynomial hashes. The sorted
-   sequence is then verified byte by byte; if hashes misled it, it is sorted by bytes. In each run of equal strings the
-   smallest document keeps its string. Segments of an anchor with more than GROUP rows are dealt to several tasks;
-   each settles its own, and what remains open of a string (one row a task and string) is settled by a sum of minima.
+2. Places of marked anchors' segments are stored once, without bytes. Equal segments share a name of two 64-bit
+   hashes, of which the smallest document is known; 22 bits of a third hash, the segment's length and its anchor's place
+   must agree within a name, or else all hashes are drawn anew.
+3. Anchors that stand in several different segments are marked in a second table. Their segments' bytes meet in a task,
+   equal ones once. Their strings' suffixes are sorted by mergesort in which two suffixes are compared by their
+   common extension, found by binary search over prefix polynomial hashes. The sorted sequence is then verified byte by
+   byte; if hashes misled it, it is sorted by bytes. In each run of equal strings the smallest document keeps its string.
+   An anchor's segments beyond GROUP are dealt to several tasks; each settles its own, and what remains open of a string
+   (one row a task and string) is settled by minima of all.
 4. A segment's verdict goes to all its places, places to their documents.
 
-Segments are named by two 64-bit hashes. Step 3 sees whether one name stands for different segments; the hashes are then
-drawn anew.
-
 Cases: a null or empty text has no bytes; a null doc_id isn't smaller than any and has no smaller one: its text stays
 whole and removes nothing; rows with equal ids don't remove each other's strings; texts shorter than `length` stay;
 a table without rows gives none; other columns are ignored. What is kept are bytes, as a cut may fall within a character.
@@ -32,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_map, hash_words, mix64, text_bytes, written
+from .common import U64, arrow_map, hash_words, mix64, written
 
 LENGTH = 50
 #: Strings that may share an anchor: the most that a mask of bits holds with room.
 WINDOW = 31
 #: Bits of the table of shared anchors for each of them, and at most 2**TABLE_BITS (64 MB).
 BITS_EACH, TABLE_BITS, RANGES = 16, 29, 64
-#: Rows of one anchor that one task takes, and rows that are sorted at once.
+#: Segments of one anchor that one task takes, and segments that are sorted at once.
 GROUP, BLOCK = 4096, 4096
 #: Bytes whose grams are hashed at once; places within take 16 bits.
 STEP = 1 << 15
@@ -54,10 +53,11 @@ def gram_of(length: int) -> int:
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts one after another as bytes, and where each begins (one more entry than texts)."""
-    texts = text_bytes(column)
-    at = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(t) for t in texts], out=at[1:])
-    return np.frombuffer(b"".join(texts), np.uint8), at
+    column = column.fill_null("")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    at = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    raw = column.buffers()[2]
+    return (np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw else np.empty(0, np.uint8)), at - at[0]
 
 
 def gram_hashes(data: np.ndarray, gram: int, seed: int) -> np.ndarray:
@@ -130,10 +130,9 @@ def held_anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
     return arrow_map(docs.select("d", "text"), run, "h long, d long")
 
 
-def shared_table(spark: SparkSession, held: DataFrame) -> np.ndarray:
-    """A table of bits of the anchors that two documents hold, packed."""
-    shared = scratch(held.repartition("h").groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("h"), "shared-anchors")
-    bits = min(TABLE_BITS, max(16, (BITS_EACH * shared.count()).bit_length()))
+def marked(anchors_: DataFrame) -> np.ndarray:
+    """A table of bits of the hashes h, packed."""
+    bits = min(TABLE_BITS, max(16, (BITS_EACH * anchors_.count()).bit_length()))
     size = (1 << bits) // RANGES
 
     def mark(it):
@@ -145,41 +144,66 @@ def shared_table(spark: SparkSession, held: DataFrame) -> np.ndarray:
         if tables:
             yield pa.RecordBatch.from_arrays([pa.array(list(tables), pa.int32()), pa.array([np.packbits(x).tobytes() for x in tables.values()], pa.binary())], names=["range", "bits"])
 
-    dealt = shared.repartition(RANGES, F.shiftrightunsigned("h", 64 - (RANGES - 1).bit_length()))
+    dealt = anchors_.select("h").repartition(RANGES, F.shiftrightunsigned("h", 64 - (RANGES - 1).bit_length()))
     out = np.zeros((RANGES, size // 8), np.uint8)
     for r in arrow_map(dealt, mark, "range int, bits binary").collect():  # 64 MB in all, at most
-        out[r["range"]] = np.frombuffer(r["bits"], np.uint8)
+        out[r["range"]] |= np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
 
 
+#: The name of a segment says nothing of these: its strings' number, its anchor's place, and bits of a third hash.
+COUNT_BITS = PLACE_BITS = 5
+OTHER = np.random.default_rng(3).permutation(256).astype(np.uint8)
+
+
+def named(column: pa.Array, table: np.ndarray, length: int, seed: int):
+    """The segments of marked anchors in texts: bytes of all texts and where these begin, and of each segment its text,
+    start, number of strings, h, s and v."""
+    data, bounds = texts_of(column)
+    text, start, n, anchor, h = anchors(data, bounds, length, seed)
+    place = (h >> U64(64 - (len(table) * 8).bit_length() + 1)).astype(np.int64)
+    keep = table[place >> 3] >> (7 - (place & 7)) & 1 == 1
+    text, start, n, anchor, h = text[keep], start[keep], n[keep], anchor[keep], h[keep]
+    lead, end = anchor - start, start + n + length - 1
+    s = mix64(hash_words(data, start, end) ^ mix64(lead.astype(U64) + U64(64 * seed)))
+    third = hash_words(OTHER[data], start, end) >> U64(32 + COUNT_BITS + PLACE_BITS)
+    v = (third.astype(np.int64) << PLACE_BITS | lead) << COUNT_BITS | n
+    return data, bounds, text, start, n, h, s, v.astype(np.int32)
+
+
 def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of spans one after another, and where each begins."""
     at = np.concatenate(([0], np.cumsum(size)))
     return data[np.repeat(start - at[:-1], size) + np.arange(at[-1])], at
 
 
+def places_of(docs: DataFrame, table: np.ndarray, length: int, seed: int) -> DataFrame:
+    """(h, s, v, d, u, at): the segments (h, s) at byte `at` of text u of document d."""
+
+    def run(it):
+        for b in it:
+            _, bounds, text, start, _, h, s, v = named(b.column(2), table, length, seed)
+            here = pa.array((start - bounds[text]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(v), b.column(0).take(pa.array(text)), b.column(1).take(pa.array(text)), here], names=["h", "s", "v", "d", "u", "at"])
+
+    return arrow_map(docs.select("d", "u", "text"), run, "h long, s long, v int, d long, u long, at int")
+
+
 def segments(docs: DataFrame, table: np.ndarray, length: int, seed: int) -> DataFrame:
-    """(h, s, d, u, at, n, lead, m, bytes): segments of n strings at byte `at` of text u of document d, named (h, s), with
-    the anchor `lead` bytes on. Of a lot's equal ones the first has bytes, and m, the smallest document."""
-    shift = U64(64 - (len(table) * 8).bit_length() + 1)
+    """(h, s, lead, m, bytes): segments of marked anchors, of a lot's equal ones one, with the smallest document."""
 
     def run(it):
         for b in it:
-            data, bounds = texts_of(b.column(2))
-            text, start, n, anchor, h = anchors(data, bounds, length, seed)
-            place = (h >> shift).astype(np.int64)
-            keep = table[place >> 3] >> (7 - (place & 7)) & 1 == 1
-            text, start, n, anchor, h = text[keep], start[keep], n[keep], anchor[keep], h[keep]
+            data, _, text, start, n, h, s, v = named(b.column(1), table, length, seed)
             if not len(h):
                 continue
-            lead, d = anchor - start, b.column(0).to_numpy()[text]
-            s = mix64(hash_words(data, start, start + n + length - 1) ^ mix64(lead.astype(U64) + U64(64 * seed)))
+            d = b.column(0).to_numpy()[text]
             order = np.lexsort((s, h))
             new = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (s[order][1:] != s[order][:-1])))
             least = np.minimum.reduceat(d[order], np.flatnonzero(new))
             one, group = order[new], np.cumsum(new) - 1
             other, of = order[~new], one[group[~new]]  # whose names are verified
-            misled = (n[other] != n[of]) | (lead[other] != lead[of])
+            misled = v[other] != v[of]
             same = np.flatnonzero(~misled)
             size = n[other[same]] + length - 1
             x, at = gathered(data, start[other[same]], size)
@@ -187,15 +211,12 @@ def segments(docs: DataFrame, table: np.ndarray, length: int, seed: int) -> Data
             if len(same):
                 misled[same] = np.logical_or.reduceat(x != y, at[:-1])
             one, least = np.concatenate((one, other[misled])), np.concatenate((least, d[other[misled]]))
-            m, first = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-            m[one], first[one] = least, True
-            x, at = gathered(data, start[first], n[first] + length - 1)
-            ends = np.concatenate(([0], np.cumsum(np.where(first, n + length - 1, 0)))).astype(np.int32)
-            raw = pa.Array.from_buffers(pa.binary(), len(h), [pa.py_buffer(np.packbits(first, bitorder="little").tobytes()), pa.py_buffer(ends.tobytes()), pa.py_buffer(x.tobytes())])
-            ints = (start - bounds[text]).astype(np.int32), n.astype(np.int32), lead.astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(d), b.column(1).take(pa.array(text)), *map(pa.array, ints), pa.array(m, mask=~first), raw], names=["h", "s", "d", "u", "at", "n", "lead", "m", "bytes"])
+            x, at = gathered(data, start[one], n[one] + length - 1)
+            raw = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
+            lead = (v[one] >> COUNT_BITS & (1 << PLACE_BITS) - 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(h[one].view(np.int64)), pa.array(s[one].view(np.int64)), pa.array(lead), pa.array(least), raw], names=["h", "s", "lead", "m", "bytes"])
 
-    return arrow_map(docs.select("d", "u", "text"), run, "h long, s long, d long, u long, at int, n int, lead int, m long, bytes binary")
+    return arrow_map(docs.select("d", "text"), run, "h long, s long, lead int, m long, bytes binary")
 
 
 class Suffixes:
@@ -370,24 +391,24 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
 def removed(docs: DataFrame, length: int = LENGTH, seed: int = 0) -> DataFrame:
     """(d, u, runs): the removed strings of the texts u (hashes) of documents d, as (at, mask): the string at byte at + k
     goes where bit k is set. docs: (d, u, text), no nulls."""
-    spark = docs.sparkSession
-    table = shared_table(spark, held_anchors(docs, length, seed))
-    places = scratch(segments(docs, table, length, seed), "segments")
-    firsts = places.where("bytes is not null").select("h", "s", "lead", "bytes", "m")
-    large = scratch(firsts.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("h", F.ceil(F.col("n") / GROUP).alias("parts")), "large-anchors")
-    dealt = firsts.join(large, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("sub", F.pmod("s", "parts").cast("int"))
+    held = held_anchors(docs, length, seed).repartition("h").groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    places = scratch(places_of(docs, marked(scratch(held.where("lo < hi").select("h"), "shared-anchors")), length, seed), "places")
+    names = scratch(places.groupBy("h", "s").agg(F.min("d").alias("m"), F.max("d").alias("last"), F.min("v").alias("v"), F.max("v").alias("w")), "names")
+    several = scratch(names.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors-of-several")
+    large = scratch(several.where(F.col("n") > GROUP).select("h", F.ceil(F.col("n") / GROUP).alias("parts")), "large-anchors")
+    dealt = segments(docs, marked(several), length, seed).join(large, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("sub", F.pmod("s", "parts").cast("int"))
     once = dealt.repartition("h", "sub").groupBy("h", "sub", "s", "lead", "bytes").agg(F.min("m").alias("m"), F.min("parts").alias("parts"))
     found = scratch(settle(once.sortWithinPartitions("h", "sub"), length), "settled-segments")
-    if not found.where("kind = 2").isEmpty():
+    if not names.where("v <> w").isEmpty() or not found.where("kind = 2").isEmpty():
         return removed(docs, length, seed + 1)
-    known = found.where("kind = 0").select("h", "s", "m", "mask")
+    masks = found.where("kind = 0 and mask <> 0").select("h", "s", "mask")
     if not large.isEmpty():
         free = found.where("kind = 1").select("h", F.col("lead").alias("offset"), "string", "s", "m", "mask")
         least = free.groupBy("h", "offset", "string").agg(F.min("m").alias("least"))
-        more = free.join(least, ["h", "offset", "string"]).where("least < m").groupBy("h", "s").agg(F.expr("bit_or(mask)").alias("more"))
-        known = known.join(more, ["h", "s"], "left").select("h", "s", "m", F.col("mask").bitwiseOR(F.coalesce("more", F.lit(0))).alias("mask"))
-    all_ = F.expr("shiftleft(1L, n) - 1")
-    gone = places.select("h", "s", "d", "u", "at", "n").join(known, ["h", "s"]).withColumn("mask", F.when(F.col("d") > F.col("m"), all_).otherwise(F.col("mask"))).where("mask <> 0")
+        masks = masks.union(free.join(least, ["h", "offset", "string"]).where("least < m").select("h", "s", "mask")).groupBy("h", "s").agg(F.expr("bit_or(mask)").alias("mask"))
+    known = names.join(masks, ["h", "s"], "left").where("m < last or mask is not null").select("h", "s", "m", "mask")
+    all_ = F.expr(f"shiftleft(1L, v & {(1 << COUNT_BITS) - 1}) - 1")
+    gone = places.join(known, ["h", "s"]).withColumn("mask", F.when(F.col("d") > F.col("m"), all_).otherwise(F.coalesce("mask", F.lit(0)))).where("mask <> 0")
     return scratch(gone.select("d", "u", "at", "mask").groupBy("d", "u").agg(F.collect_list(F.struct("at", "mask")).alias("runs")), "removed-strings")
 
 

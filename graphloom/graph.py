@@ -33,7 +33,8 @@ class TypeSource:
 
 @dataclass
 class Graph:
-    """nodes and edges as in model; the other tables may be missing. sources: of the types that have typed rows."""
+    """nodes and edges as in model; the other tables may be missing. sources: of the types that have typed rows. index:
+    a VectorIndex that similarity searches go through, all embedded nodes if there is none."""
 
     nodes: DataFrame
     edges: DataFrame
@@ -41,6 +42,7 @@ class Graph:
     uncertainty: DataFrame | None = None
     schema: Schema = field(default_factory=lambda: DEFAULT_SCHEMA)
     sources: dict[str, TypeSource] = field(default_factory=dict)
+    index: object | None = None
 
     @property
     def live(self) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import properties as P
 from ..functions.vector import TURN, hash_embedding, nearest_of
 from ..graph import Graph
-from .retrieval import scored
+from .retrieval import top_scored
 
 # Sizes of rendered blocks.
 TURN_CHARS, CHECKPOINT_TURN_CHARS, CHECKPOINT_CHARS = 600, 800, 4000
@@ -72,7 +72,7 @@ def recent_turns(turns: DataFrame, n: int = 6, session_id: str | None = None) ->
 def semantic_turns(g: Graph, query: Column, session_id: str, k: int = 4, threshold: float = 0.55) -> DataFrame:
     """The k most similar live turns of other sessions, out of the top 6k of all embedded nodes."""
     best = (F.desc("score"), F.asc("id"))
-    top = scored(g.nodes, query).orderBy(*best).limit(6 * k)
+    top = top_scored(g, query, 6 * k)
     ok = (F.col("score") >= threshold) & ~F.col("deprecated") & (F.col("type_id") == TURN) & ~F.coalesce(P.text(F.col("properties"), "session_id") == session_id, F.lit(False))
     return top.where(ok).orderBy(*best).limit(k)
 
@@ -80,7 +80,7 @@ def semantic_turns(g: Graph, query: Column, session_id: str, k: int = 4, thresho
 def references(g: Graph, query: Column, k: int = 5, threshold: float = 0.5) -> DataFrame:
     """Live nodes that a text refers to: of the top 4k, at most k that are no turns, sessions or inferences."""
     best = (F.desc("score"), F.asc("id"))
-    top = scored(g.nodes, query).orderBy(*best).limit(4 * k)
+    top = top_scored(g, query, 4 * k)
     return top.where((F.col("score") >= threshold) & ~F.col("deprecated") & ~F.col("type_id").isin(TURN, "SESSION", "INFERRED")).orderBy(*best).limit(k)
 
 

@@ -48,21 +48,29 @@ def scored(nodes: DataFrame, query: Column) -> DataFrame:
     return nodes.where("embedding is not null").withColumn("score", vector.cosine(F.col("embedding"), query))
 
 
+def top_scored(g: Graph, query: Column, k: int) -> DataFrame:
+    """The k nearest embedded nodes with their score, deprecated ones included: out of all, or those that the graph's
+    index finds."""
+    if g.index is None:
+        return scored(g.nodes, query).orderBy(F.desc("score"), "id").limit(k)
+    vector_ = g.nodes.sparkSession.range(1).select(query.cast("array<double>").alias("v")).first()["v"]
+    return g.nodes.join(F.broadcast(g.index.query(vector_, k)), "id")  # k rows
+
+
 def nearest(g: Graph, query: Column, k: int) -> DataFrame:
     """(id, score) of the k nearest embedded nodes, deprecated ones included."""
-    return scored(g.nodes, query).select("id", "score").orderBy(F.desc("score"), "id").limit(k)
+    return top_scored(g, query, k).select("id", "score").orderBy(F.desc("score"), "id")
 
 
 def select_approx(g: Graph, query: Column, k: int = 10, threshold: float = 0.3, type_filter: str | None = None, exact_filter: bool = False) -> Nodes:
     """The k most similar live nodes, most similar first.
 
     As in the reference, threshold and type filter what an index returned: the top 3k of
-    all embedded nodes, so fewer than k may come. exact_filter filters first.
+    all embedded nodes, so fewer than k may come. exact_filter filters first, and asks no index.
     """
     ok = (F.col("score") >= threshold) & ~F.col("deprecated") & (F.lit(True) if type_filter is None else F.col("type_id") == type_filter)
-    hits = scored(g.nodes, query)
     best = (F.desc("score"), F.asc("id"))
-    top = hits if exact_filter else hits.orderBy(*best).limit(3 * k)
+    top = scored(g.nodes, query) if exact_filter else top_scored(g, query, 3 * k)
     return Nodes(top.where(ok).orderBy(*best).limit(k), ("score desc", "id"))
 
 

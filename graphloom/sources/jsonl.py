@@ -1,17 +1,11 @@
-"""JSON Lines: datasets out, transcripts in."""
+"""JSON Lines: datasets out."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def write_pairs(pairs: DataFrame, path: str) -> None:
     """(query, plan) pairs as JSON Lines; the plan is a nested object's text."""
     pairs.select(F.concat(F.lit('{"query":'), F.to_json(F.array("query")).substr(F.lit(2), F.length(F.to_json(F.array("query"))) - 2), F.lit(',"plan":'), F.col("plan"), F.lit("}")).alias("value")).write.mode("overwrite").text(path)
-
-
-def read_transcript(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, role, text) of a transcript's messages whose content is text."""
-    rows = spark.read.schema("type string, message struct<role:string,content:string>").json(path)
-    return rows.select(F.monotonically_increasing_id().alias("seq"), F.coalesce("message.role", "type").alias("role"), F.col("message.content").alias("text")).where("text is not null and trim(text) <> ''")

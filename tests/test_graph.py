@@ -311,25 +311,38 @@ def test_nearest_blocks_match_brute_force(spark):
 
 def test_vector_index_life_cycle(spark, tmp_path):
     import random
+    import shutil
 
     from graphloom.operators.vectors import VectorIndex
 
     rng = random.Random(2)
-    vectors = {f"n{i}": [rng.gauss(0, 1) for _ in range(6)] for i in range(60)}
+    base = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(9)]
+    vectors = {f"n{i}": [x + rng.gauss(0, 0.2) for x in base[i % 9]] for i in range(300)} | {"zero": [0.0] * 6}
     g = graph(spark, [node(i, embedding=v, deprecated=i == "n7") for i, v in vectors.items()])
     index = VectorIndex(spark, f"file://{tmp_path}/index", 6)
-    assert index.version() == 0 and index.load().count() == 0 and index.query(vectors["n1"], 3).count() == 0
-    index.add(g.nodes.limit(20))
+    assert index.version() == 0 and index.load().count() == 0 and index.query([1.0] * 6, 3).count() == 0
+    index.add(g.nodes.where("length(id) < 4"))
+    files = {p.name for p in (tmp_path / "index").rglob("*.parquet")}
     index.add(g.nodes)
     index.add(g.nodes.withColumn("embedding", F.array(*[F.lit(0.0)] * 6)))
-    assert index.version() == 3 and index.load().count() == index.load().select("id").distinct().count() == 60
-    assert [r["id"] for r in index.query(vectors["n1"], 1).collect()] == ["n1"]  # ids are added once
-    every = [r["id"] for r in index.query(vectors["n1"], 60).collect()]
-    assert every == [r["id"] for r in retrieval.nearest(g, F.array(*map(F.lit, vectors["n1"])), 60).collect()]
-    some = [r["id"] for r in index.query(vectors["n1"], 5).collect()]
-    assert len(set(some) & set(every[:5])) >= 3
-    (tmp_path / "index" / "v4").mkdir()  # a write that was lost
-    assert index.version() == 3
+    assert files <= {p.name for p in (tmp_path / "index").rglob("*.parquet")}  # nothing is rewritten
+    assert index.version() == 1 and index.load().count() == index.load().select("id").distinct().count() == 301  # ids are added once
+    every = lambda v, k: [(r["id"], round(r["score"], 9)) for r in retrieval.nearest(g, F.array(*map(F.lit, v)), k).collect()]
+    for v in (vectors["n1"], [-x for x in vectors["n2"]], vectors["zero"]):
+        for k in (1, 5, 400):
+            assert [(r["id"], round(r["score"], 9)) for r in index.query(v, k, exact=True).collect()] == every(v, k)
+    found = index.search(vectors["n1"], 5, exact=True)
+    assert found.total == 301 and found.vectors < 150  # the bounds leave far cells unread
+    near = index.search(vectors["n1"], 5, share=0.1)
+    assert [r["id"] for r in near.hits.collect()] == [i for i, _ in every(vectors["n1"], 5)] and near.codes < 90 and near.vectors <= 40
+    segment = next(p for p in (tmp_path / "index/v1/vectors").iterdir() if p.is_dir())
+    shutil.copytree(segment, segment.with_name("segment=lost"))  # an add that was lost on the way
+    assert index.load().count() == 301
+    (tmp_path / "index" / "v2").mkdir()  # a rebuild that was lost
+    assert index.version() == 1
+    g.index = index
+    through = retrieval.select_approx(g, F.array(*map(F.lit, vectors["n1"])), 4, 0.3)
+    assert [r["id"] for r in through.df.orderBy(*through.sort).collect()] == [i for i, _ in every(vectors["n1"], 12) if i != "n7"][:4]
     index.root += "-new"
     index.rebuild(g)
-    assert index.load().count() == 59
+    assert index.load().count() == 300 and index.version() == 1

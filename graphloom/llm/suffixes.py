@@ -6,9 +6,9 @@ mostly share their anchor; such a run is one segment, some 65 bytes for 16 strin
 
 1. Anchors' hashes and documents: an anchor that no two documents hold can't hold a repeat. The others are marked in a
    table of bits, whose size is bounded; where it lets others pass, only more travels.
-2. Places of marked anchors' segments are stored once, without bytes. Equal segments share a name of two 64-bit
-   hashes, of which the smallest document is known; 22 bits of a third hash, the segment's length and its anchor's place
-   must agree within a name, or else all hashes are drawn anew.
+2. Places of marked anchors' segments are stored once, without bytes. Equal segments share a name: the 64-bit hashes of
+   anchor and segment. 22 bits of a third hash, the segment's length and its anchor's place must agree within a name, or
+   else all hashes are drawn anew. Of each name the smallest document is found.
 3. Anchors that stand in several different segments are marked in a second table. Their segments' bytes meet in a task,
    equal ones once. Their strings' suffixes are sorted by mergesort in which two suffixes are compared by their
    common extension, found by binary search over prefix polynomial hashes. The sorted sequence is then verified byte by
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_map, hash_words, mix64, written
+from .common import U64, arrow_map, hash_words, mix64, scratch_uri
 
 LENGTH = 50
 #: Strings that may share an anchor: the most that a mask of bits holds with room.
@@ -320,8 +320,8 @@ def blocks(it):
 
 
 def settle(groups: DataFrame, length: int) -> DataFrame:
-    """From sorted groups of distinct segments (h, sub, s, lead, bytes, m, parts) rows of three kinds: 0, a segment's
-    smallest document m and a mask of its strings that a smaller document of the group holds; 1, a string that is open
+    """From sorted groups of distinct segments (h, sub, s, lead, bytes, m, parts) rows of three kinds: 0, a segment
+    and a mask of its strings that a smaller document of the group holds, if any; 1, a string that is open
     in a group of several parts; 2, a name of different segments."""
     names = "kind", "h", "s", "m", "mask", "lead", "string"
 
@@ -361,7 +361,8 @@ def settle(groups: DataFrame, length: int) -> DataFrame:
                 lost[place] = least < m[of[place]]
             mask = np.zeros(len(n), np.int64)
             np.bitwise_or.at(mask, of[lost], np.int64(1) << k[lost])
-            yield rows(0, h, s, m, mask, lead, None)
+            some = np.flatnonzero(mask)
+            yield rows(0, h[some], s[some], m[some], mask[some], lead[some], None)
             free = np.flatnonzero(~lost & (parts[of] > 1))
             for i in range(0, len(free), 20_000):
                 w = free[i : i + 20_000]
@@ -384,8 +385,10 @@ def tidy(spark: SparkSession):
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
+    uri = scratch_uri(df.sparkSession, name)
     with tidy(df.sparkSession):
-        return written(df, name)
+        df.write.option("compression", "zstd").parquet(uri)
+    return df.sparkSession.read.parquet(uri)
 
 
 def removed(docs: DataFrame, length: int = LENGTH, seed: int = 0) -> DataFrame:
@@ -393,22 +396,23 @@ def removed(docs: DataFrame, length: int = LENGTH, seed: int = 0) -> DataFrame:
     goes where bit k is set. docs: (d, u, text), no nulls."""
     held = held_anchors(docs, length, seed).repartition("h").groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     places = scratch(places_of(docs, marked(scratch(held.where("lo < hi").select("h"), "shared-anchors")), length, seed), "places")
-    names = scratch(places.groupBy("h", "s").agg(F.min("d").alias("m"), F.max("d").alias("last"), F.min("v").alias("v"), F.max("v").alias("w")), "names")
+    of_name = places.groupBy("h", "s").agg(F.min("d").alias("m"), F.max("d").alias("last"), F.min("v").alias("v"), F.max("v").alias("w"))
+    names = scratch(of_name.select("h", "s", "v", "m", (F.col("m") < F.col("last")).alias("repeats"), (F.col("v") < F.col("w")).alias("clash")), "names")
     several = scratch(names.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors-of-several")
     large = scratch(several.where(F.col("n") > GROUP).select("h", F.ceil(F.col("n") / GROUP).alias("parts")), "large-anchors")
     dealt = segments(docs, marked(several), length, seed).join(large, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("sub", F.pmod("s", "parts").cast("int"))
     once = dealt.repartition("h", "sub").groupBy("h", "sub", "s", "lead", "bytes").agg(F.min("m").alias("m"), F.min("parts").alias("parts"))
     found = scratch(settle(once.sortWithinPartitions("h", "sub"), length), "settled-segments")
-    if not names.where("v <> w").isEmpty() or not found.where("kind = 2").isEmpty():
+    if not names.where("clash").isEmpty() or not found.where("kind = 2").isEmpty():
         return removed(docs, length, seed + 1)
     masks = found.where("kind = 0 and mask <> 0").select("h", "s", "mask")
     if not large.isEmpty():
         free = found.where("kind = 1").select("h", F.col("lead").alias("offset"), "string", "s", "m", "mask")
         least = free.groupBy("h", "offset", "string").agg(F.min("m").alias("least"))
         masks = masks.union(free.join(least, ["h", "offset", "string"]).where("least < m").select("h", "s", "mask")).groupBy("h", "s").agg(F.expr("bit_or(mask)").alias("mask"))
-    known = names.join(masks, ["h", "s"], "left").where("m < last or mask is not null").select("h", "s", "m", "mask")
+    known = names.join(masks, ["h", "s"], "left").where("repeats or mask is not null").select("s", "v", "m", "mask")
     all_ = F.expr(f"shiftleft(1L, v & {(1 << COUNT_BITS) - 1}) - 1")
-    gone = places.join(known, ["h", "s"]).withColumn("mask", F.when(F.col("d") > F.col("m"), all_).otherwise(F.coalesce("mask", F.lit(0)))).where("mask <> 0")
+    gone = places.drop("h").join(known, ["s", "v"]).withColumn("mask", F.when(F.col("d") > F.col("m"), all_).otherwise(F.coalesce("mask", F.lit(0)))).where("mask <> 0")
     return scratch(gone.select("d", "u", "at", "mask").groupBy("d", "u").agg(F.collect_list(F.struct("at", "mask")).alias("runs")), "removed-strings")
 
 

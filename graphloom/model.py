@@ -93,41 +93,107 @@ class Schema:
         return out
 
 
-def _type(spec: str, extends: str | None = "ENTITY", **relations: str) -> NodeType:
-    """`name* count:int state:enum(a|b)`: properties, `*` required, a kind after the colon."""
-    properties = {}
-    for word in spec.split():
-        name, _, kind = word.partition(":")
-        values = tuple(kind[5:-1].split("|")) if kind.startswith("enum(") else ()
-        properties[name.rstrip("*")] = ("enum" if values else kind or "string", name.endswith("*"), values)
-    return NodeType(extends, properties, relations)
-
-
-# The default schema's types, properties and relations.
+# The default schema's types, with their properties (kind, required, enum values) and relations.
 DEFAULT_SCHEMA = Schema(
     {
-        "ENTITY": _type("name", None, REFERS_TO="*"),
-        "CODE_FILE": _type("path* module language*:enum(python|javascript|typescript|bash|rust|go|other) line_count:int", IMPORTS="CODE_FILE", DEFINES="FUNCTION", DEFINES_CLASS="CLASS", USES_CONFIG="CONFIG", DOCUMENTED_BY="DOC"),
-        "FUNCTION": _type("name* signature is_async:bool", CALLS="FUNCTION", USES="*"),
-        "CLASS": _type("name*", INHERITS="CLASS", CONTAINS="FUNCTION"),
-        "CONFIG": _type("path* key value system", GOVERNS="CODE_FILE"),
-        "DOC": _type("path* title topic", DOCUMENTS="*"),
-        "RULE": _type("name* threshold:float hard_constraint:bool", CONSTRAINS="*", ENFORCED_BY="CODE_FILE"),
-        "METRIC": _type("name* value:float timestamp system", MEASURED_BY="CODE_FILE", VIOLATES="RULE"),
-        "FACT": _type("statement* domain", DERIVED_FROM="*"),
-        "SESSION": _type("session_id* started_at project description", CONTAINS="CONVERSATION_TURN"),
-        "CONVERSATION_TURN": _type("session_id* turn_index*:int role*:enum(user|assistant) text* timestamp token_count:int", FOLLOWS="CONVERSATION_TURN", REFERENCES="*", PART_OF="SESSION"),
-        "CHECKPOINT": _type("session_id* summary* project timestamp"),
-        "EVENT_LOG": _type("event_type* source* session_id payload timestamp*", INTERRUPT_OF="EVENT_LOG"),
-        "INTERRUPT_L1": _type("trigger_metric* trigger_value*:float threshold*:float action* session_id timestamp* resolved:bool", INTERRUPT_OF="EVENT_LOG", EMITTED_BY="*"),
-        "INTERRUPT_L2": _type("pattern* salience_score*:float action* session_id timestamp*", INTERRUPT_OF="EVENT_LOG"),
-        "INTERRUPT_L3": _type("monitor* observation* action* arc_triggered:bool session_id timestamp*"),
-        "ARC_CHALLENGE": _type("target_node_id* challenge_type*:enum(contradiction|stale|low_confidence|incompleteness) evidence* arc_confidence*:float session_id timestamp* ecl_status:enum(pending|arbitrating|resolved|deferred)", CHALLENGED_BY="*", RESOLVED_TO="ARBITRATION_OUTCOME"),
-        "ARC_REVISION": _type("original_node_id* proposed_content* revision_type*:enum(update|deprecate|split|merge) arc_confidence*:float status:enum(proposed|sandbox|promoted|rejected) timestamp*", SUPERSEDES="*", SANDBOXED_BY="*"),
-        "ARBITRATION_OUTCOME": _type("outcome*:enum(override|merge|fork|sandbox|defer) challenger_id* challenged_id* ecl_confidence*:float risk_score:float reason* session_id timestamp* reeval_after", FORKED_FROM="*"),
+        "ENTITY": NodeType(
+            None,
+            {"name": ("string", False, ())},
+            {"REFERS_TO": "*"},
+        ),
+        "CODE_FILE": NodeType(
+            "ENTITY",
+            {"path": ("string", True, ()), "module": ("string", False, ()), "language": ("enum", True, ("python", "javascript", "typescript", "bash", "rust", "go", "other",)), "line_count": ("int", False, ())},
+            {"IMPORTS": "CODE_FILE", "DEFINES": "FUNCTION", "DEFINES_CLASS": "CLASS", "USES_CONFIG": "CONFIG", "DOCUMENTED_BY": "DOC"},
+        ),
+        "FUNCTION": NodeType(
+            "ENTITY",
+            {"name": ("string", True, ()), "signature": ("string", False, ()), "is_async": ("bool", False, ())},
+            {"CALLS": "FUNCTION", "USES": "*"},
+        ),
+        "CLASS": NodeType(
+            "ENTITY",
+            {"name": ("string", True, ())},
+            {"INHERITS": "CLASS", "CONTAINS": "FUNCTION"},
+        ),
+        "CONFIG": NodeType(
+            "ENTITY",
+            {"path": ("string", True, ()), "key": ("string", False, ()), "value": ("string", False, ()), "system": ("string", False, ())},
+            {"GOVERNS": "CODE_FILE"},
+        ),
+        "DOC": NodeType(
+            "ENTITY",
+            {"path": ("string", True, ()), "title": ("string", False, ()), "topic": ("string", False, ())},
+            {"DOCUMENTS": "*"},
+        ),
+        "RULE": NodeType(
+            "ENTITY",
+            {"name": ("string", True, ()), "threshold": ("float", False, ()), "hard_constraint": ("bool", False, ())},
+            {"CONSTRAINS": "*", "ENFORCED_BY": "CODE_FILE"},
+        ),
+        "METRIC": NodeType(
+            "ENTITY",
+            {"name": ("string", True, ()), "value": ("float", False, ()), "timestamp": ("string", False, ()), "system": ("string", False, ())},
+            {"MEASURED_BY": "CODE_FILE", "VIOLATES": "RULE"},
+        ),
+        "FACT": NodeType(
+            "ENTITY",
+            {"statement": ("string", True, ()), "domain": ("string", False, ())},
+            {"DERIVED_FROM": "*"},
+        ),
+        "SESSION": NodeType(
+            "ENTITY",
+            {"session_id": ("string", True, ()), "started_at": ("string", False, ()), "project": ("string", False, ()), "description": ("string", False, ())},
+            {"CONTAINS": "CONVERSATION_TURN"},
+        ),
+        "CONVERSATION_TURN": NodeType(
+            "ENTITY",
+            {"session_id": ("string", True, ()), "turn_index": ("int", True, ()), "role": ("enum", True, ("user", "assistant",)), "text": ("string", True, ()), "timestamp": ("string", False, ()), "token_count": ("int", False, ())},
+            {"FOLLOWS": "CONVERSATION_TURN", "REFERENCES": "*", "PART_OF": "SESSION"},
+        ),
+        "CHECKPOINT": NodeType(
+            "ENTITY",
+            {"session_id": ("string", True, ()), "summary": ("string", True, ()), "project": ("string", False, ()), "timestamp": ("string", False, ())},
+            {},
+        ),
+        "EVENT_LOG": NodeType(
+            "ENTITY",
+            {"event_type": ("string", True, ()), "source": ("string", True, ()), "session_id": ("string", False, ()), "payload": ("string", False, ()), "timestamp": ("string", True, ())},
+            {"INTERRUPT_OF": "EVENT_LOG"},
+        ),
+        "INTERRUPT_L1": NodeType(
+            "ENTITY",
+            {"trigger_metric": ("string", True, ()), "trigger_value": ("float", True, ()), "threshold": ("float", True, ()), "action": ("string", True, ()), "session_id": ("string", False, ()), "timestamp": ("string", True, ()), "resolved": ("bool", False, ())},
+            {"INTERRUPT_OF": "EVENT_LOG", "EMITTED_BY": "*"},
+        ),
+        "INTERRUPT_L2": NodeType(
+            "ENTITY",
+            {"pattern": ("string", True, ()), "salience_score": ("float", True, ()), "action": ("string", True, ()), "session_id": ("string", False, ()), "timestamp": ("string", True, ())},
+            {"INTERRUPT_OF": "EVENT_LOG"},
+        ),
+        "INTERRUPT_L3": NodeType(
+            "ENTITY",
+            {"monitor": ("string", True, ()), "observation": ("string", True, ()), "action": ("string", True, ()), "arc_triggered": ("bool", False, ()), "session_id": ("string", False, ()), "timestamp": ("string", True, ())},
+            {},
+        ),
+        "ARC_CHALLENGE": NodeType(
+            "ENTITY",
+            {"target_node_id": ("string", True, ()), "challenge_type": ("enum", True, ("contradiction", "stale", "low_confidence", "incompleteness",)), "evidence": ("string", True, ()), "arc_confidence": ("float", True, ()), "session_id": ("string", False, ()), "timestamp": ("string", True, ()), "ecl_status": ("enum", False, ("pending", "arbitrating", "resolved", "deferred",))},
+            {"CHALLENGED_BY": "*", "RESOLVED_TO": "ARBITRATION_OUTCOME"},
+        ),
+        "ARC_REVISION": NodeType(
+            "ENTITY",
+            {"original_node_id": ("string", True, ()), "proposed_content": ("string", True, ()), "revision_type": ("enum", True, ("update", "deprecate", "split", "merge",)), "arc_confidence": ("float", True, ()), "status": ("enum", False, ("proposed", "sandbox", "promoted", "rejected",)), "timestamp": ("string", True, ())},
+            {"SUPERSEDES": "*", "SANDBOXED_BY": "*"},
+        ),
+        "ARBITRATION_OUTCOME": NodeType(
+            "ENTITY",
+            {"outcome": ("enum", True, ("override", "merge", "fork", "sandbox", "defer",)), "challenger_id": ("string", True, ()), "challenged_id": ("string", True, ()), "ecl_confidence": ("float", True, ()), "risk_score": ("float", False, ()), "reason": ("string", True, ()), "session_id": ("string", False, ()), "timestamp": ("string", True, ()), "reeval_after": ("string", False, ())},
+            {"FORKED_FROM": "*"},
+        ),
     },
     {"transitive_imports": Rule("transitive_imports", ["IMPORTS", "IMPORTS"])},
-)
+)
 
 
 def load_schema(path: str) -> Schema:

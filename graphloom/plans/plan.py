@@ -1,19 +1,50 @@
-"""The step-plan language: steps, plans, parsing and validation."""
+"""The step-plan language: steps, plans, parsing, the operators' signatures, and what follows from them."""
 
 from __future__ import annotations
 
+import heapq
 import json
 from dataclasses import dataclass, field
-from itertools import accumulate
 
 from ..model import Schema
 
-# The operators of the plan language.
-OPERATORS = frozenset(
-    "SELECT_EXACT SELECT_APPROX SELECT_BY_ID SELECT_FRESH TRAVERSE EXPAND PATH_FIND SUBGRAPH INTERSECT UNION DIFFERENCE FILTER RANK SORT TOP_K COUNT AGGREGATE GROUP REDUCE ASSERT INFER CONTRADICT CHECK_COVERAGE GET_TYPE CHECK_TYPE GET_PROVENANCE IS_FRESH".split()
-)
 HALT, CONTINUE = "HALT", "CONTINUE"
 
+# The operators of the plan language, and of each the arguments it can't do without and what these are:
+# nodes (a binding or an id), type, relation, or any other value.
+SIGNATURES: dict[str, dict[str, str]] = {
+    "SELECT_EXACT": {"type": "type", "property": "value", "value": "value"},
+    "SELECT_APPROX": {"query": "value"},
+    "SELECT_BY_ID": {"id": "value"},
+    "SELECT_FRESH": {"type": "type", "property": "value", "value": "value"},
+    "TRAVERSE": {"node": "nodes", "rel": "relation"},
+    "EXPAND": {"nodes": "nodes"},
+    "PATH_FIND": {"source": "nodes", "target": "nodes"},
+    "SUBGRAPH": {"root": "nodes"},
+    "INTERSECT": {"a": "nodes", "b": "nodes"},
+    "UNION": {"a": "nodes", "b": "nodes"},
+    "DIFFERENCE": {"a": "nodes", "b": "nodes"},
+    "FILTER": {"input": "nodes", "condition": "value"},
+    "RANK": {"input": "nodes"},
+    "SORT": {"input": "nodes"},
+    "TOP_K": {"input": "nodes"},
+    "COUNT": {"input": "nodes"},
+    "AGGREGATE": {"input": "nodes", "fn": "value", "prop": "value"},
+    "GROUP": {"input": "nodes"},
+    "REDUCE": {"input": "nodes"},
+    "ASSERT": {"claim": "value", "sources": "nodes"},
+    "INFER": {"rule_id": "value"},
+    "CONTRADICT": {"a": "nodes", "b": "nodes"},
+    "CHECK_COVERAGE": {"topic": "value"},
+    "GET_TYPE": {"node": "nodes"},
+    "CHECK_TYPE": {"node": "nodes", "type": "type"},
+    "GET_PROVENANCE": {"node": "nodes"},
+    "IS_FRESH": {"node": "nodes"},
+}
+# The arguments that every validation asks for, and what it says where they are missing or undeclared.
+MISSING = {("TRAVERSE", "rel"): "traverse_missing_rel"}
+UNDECLARED = {("SELECT_EXACT", "type"): "unknown_type_in_select"}
+
 
 @dataclass
 class Step:
@@ -53,77 +84,50 @@ def default_plan(query: str) -> Plan:
     return Plan([Step("s1", "SELECT_APPROX", {"query": query, "k": 5, "threshold": 0.4}, "$hits", on_empty=CONTINUE), Step("s2", "ASSERT", {"claim": query, "sources": "$hits", "confidence_threshold": 0.5}, "$claim", depends_on=["s1"])], query, synthesis={"inputs": ["$claim"]})
 
 
-@dataclass(frozen=True)
-class Place:
-    """A step among the others of its plan: the ids given before it, its own left out."""
-
-    step: Step
-    before: frozenset[str]
-    schema: Schema
-
-
-def unbound_marker(p: Place) -> list[str]:
-    return [] if p.step.output_binding[:1] == "$" else [p.step.step_id]
-
-
-def repeated_id(p: Place) -> list[str]:
-    return [p.step.step_id] if p.step.step_id in p.before else []
-
-
-def later_steps(p: Place) -> list[str]:
-    return [f"{p.step.step_id}->{d}" for d in p.step.depends_on if d not in p.before | {p.step.step_id}]
-
-
-def undeclared_type(p: Place) -> list[str]:
-    asked = p.step.op == "SELECT_EXACT" and p.step.args.get("type")
-    return [f"{asked}@{p.step.step_id}"] if asked and asked not in p.schema.types else []
-
-
-def no_relation(p: Place) -> list[str]:
-    return [p.step.step_id] if p.step.op == "TRAVERSE" and not p.step.args.get("rel") else []
-
-
-# The message before what each rule finds wrong.
-RULES = (
-    ("duplicate_step_id", repeated_id),
-    ("binding_must_start_with_$", unbound_marker),
-    ("forward_dependency", later_steps),
-    ("unknown_type_in_select", undeclared_type),
-    ("traverse_missing_rel", no_relation),
-)
-
-
-def validate(plan: Plan, schema: Schema) -> list[str]:
-    """What is wrong with a plan; an empty list if nothing is. Steps of unknown operators count as absent."""
-    known = [s for s in plan.steps if s.op in OPERATORS]
-    given = list(accumulate(({s.step_id} for s in known), set.union, initial=set()))
-    places = {id(s): Place(s, frozenset(ids), schema) for s, ids in zip(known, given)}
-    out = []
-    for s in plan.steps:
-        out += [f"{message}:{what}" for message, rule in RULES for what in rule(places[id(s)])] if id(s) in places else [f"unknown_op:{s.op}@{s.step_id}"]
-    claims = [s.output_binding for s in known if s.op == "ASSERT"]
-    out += [] if claims else ["missing_terminal_assert"]
-    return out + [f"synthesis_input_not_bound:{b}" for b in plan.synthesis.get("inputs") or claims if b not in {s.output_binding for s in known}]
+def validate(plan: Plan, schema: Schema, strict: bool = False) -> list[str]:
+    """What is wrong with a plan, by step; an empty list if nothing is. Steps of unknown operators count as absent.
+    strict: by the signatures also any missing argument and undeclared type, and bindings that no earlier step makes."""
+    steps = list(enumerate(plan.steps))
+    sound = [(n, s) for n, s in steps if s.op in SIGNATURES]
+    named = {s.step_id: n for n, s in reversed(sound)}  # where an id comes first
+    bound = {s.output_binding: n for n, s in reversed(sound)}
+    wanted = [(n, s, arg, kind) for n, s in sound for arg, kind in SIGNATURES[s.op].items()]
+    faults = [(n, 0, f"unknown_op:{s.op}@{s.step_id}") for n, s in steps if s.op not in SIGNATURES]
+    faults += [(n, 1, f"duplicate_step_id:{s.step_id}") for n, s in sound if named[s.step_id] < n]
+    faults += [(n, 2, f"binding_must_start_with_$:{s.step_id}") for n, s in sound if s.output_binding[:1] != "$"]
+    faults += [(n, 3, f"forward_dependency:{s.step_id}->{d}") for n, s in sound for d in s.depends_on if named.get(d, n + 1) > n]
+    for n, s, arg, kind in wanted:
+        value, at = s.args.get(arg), (s.op, arg)
+        if not value and (at in MISSING or strict and value is None):
+            faults.append((n, 4, f"{MISSING.get(at, f'missing_argument_{arg}')}:{s.step_id}"))
+        elif value and kind == "type" and value not in schema.types and (at in UNDECLARED or strict):
+            faults.append((n, 4, f"{UNDECLARED.get(at, 'unknown_type')}:{value}@{s.step_id}"))
+        elif strict and isinstance(value, str) and value[:1] == "$" and bound.get(value, n) >= n:
+            faults.append((n, 5, f"unbound_argument:{value}@{s.step_id}"))
+    claims = [s.output_binding for _, s in sound if s.op == "ASSERT"]
+    end = [] if claims else ["missing_terminal_assert"]
+    return [text for _, _, text in sorted(faults, key=lambda f: f[:2])] + end + [f"synthesis_input_not_bound:{b}" for b in plan.synthesis.get("inputs") or claims if b not in bound]
 
 
 def ordered(steps: list[Step]) -> list[Step]:
-    """Steps after the ones they depend on, else as given; dependencies that don't exist are ignored."""
+    """Steps after the ones they depend on: of those that may come next the first given. Dependencies that don't
+    exist are ignored, of steps with one id the last counts."""
     by_id = {s.step_id: s for s in steps}
-    out: dict[str, Step] = {}
-    open_ids: list[str] = []
-
-    def place(step_id: str) -> None:
-        if step_id in out:
-            return
-        if step_id in open_ids:
-            raise ValueError(f"circular_dependency:{step_id}")
-        open_ids.append(step_id)
-        for d in by_id[step_id].depends_on:
-            if d in by_id:
-                place(d)
-        open_ids.pop()
-        out[step_id] = by_id[step_id]
-
-    for s in steps:
-        place(s.step_id)
-    return list(out.values())
+    place = {i: n for n, i in enumerate(by_id)}
+    waits = {i: {d for d in s.depends_on if d in by_id} for i, s in by_id.items()}
+    after: dict[str, list[str]] = {i: [] for i in by_id}
+    for i, needs in waits.items():
+        for d in needs:
+            after[d].append(i)
+    free, out = [place[i] for i, needs in waits.items() if not needs], []
+    names = list(by_id)
+    while free:
+        i = names[heapq.heappop(free)]
+        out.append(by_id[i])
+        for next_ in after[i]:
+            waits[next_].discard(i)
+            if not waits[next_]:
+                heapq.heappush(free, place[next_])
+    if len(out) < len(by_id):
+        raise ValueError(f"circular_dependency:{next(i for i in by_id if waits[i])}")
+    return out

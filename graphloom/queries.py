@@ -14,9 +14,9 @@ from .functions import vector
 from .functions.properties import number, text
 from .graph import Graph, Nodes
 from .operators import conversations, dataset, events, lists, meta, navigation, reasoning, retrieval, storage
-from .plans import verify
+from .plans import catalog, verify
 from .plans.executor import Executor
-from .plans.plan import Plan, default_plan, ordered, validate
+from .plans.plan import Plan, default_plan
 from .sources import files
 from .sources.tables import AS_OF, NODES, load, table
 
@@ -618,14 +618,14 @@ def references(spark, sf):
     return conversations.references_of(notes, said(spark, sf).where("turn_index < 2").select("id", "text"))
 
 
-@query("""with c as (select 'checkpoint:' || event_id as id, ts, 'summary of ' || user_id as summary from events where event_type = 'click' and ts >= (select max(ts) from events) - interval 600 second)
+@query("""with c as (select 'checkpoint:' || event_id as id, ts, 'summary of ' || user_id as summary from events where event_type = 'click' and ts >= (select max(ts) from events where event_type = 'click') + interval 1 second - interval 600 second)
 select id, ts as created_at, summary from c order by ts desc, id limit 1""")
 def latest_checkpoint(spark, sf):
     e = table(spark, sf, "events")
     g = load(spark, sf, ["NATION"])
     fields = {"session_id": F.col("user_id").cast("string"), "summary": F.concat(F.lit("summary of "), F.col("user_id"))}
     g.nodes = events.record(e.where("event_type = 'click'"), "CHECKPOINT", fields, F.concat(F.lit("checkpoint:"), F.col("event_id").cast("string")), F.col("ts").cast("timestamp_ntz"))
-    return conversations.latest_checkpoint(g, e.agg(F.max("ts")).first()[0])
+    return conversations.latest_checkpoint(g, e.where("event_type = 'click'").agg(F.max("ts")).first()[0] + timedelta(seconds=1))
 
 
 @query(f"""with l as (select conv_id, turn, '[' || role || '] ' || substr(text, 1, 800) as x from conversations where {live('(conv_id + turn)')} qualify row_number() over (partition by conv_id order by turn desc) <= 40)
@@ -768,52 +768,60 @@ def said_sql(rows: dict[str, str]) -> str:
     return "select * from (values " + ", ".join(f"('{k}', '{v}')" for k, v in rows.items()) + ") t(what, says)"
 
 
-def steps_of(*specs) -> Plan:
-    return Plan.from_dict({"steps": [{"step_id": i, "op": op, "args": args, "output_binding": b, "depends_on": list(d)} for i, op, args, b, d in specs]})
+def plans_of(rows: DataFrame, key: str, texts: list[str]) -> DataFrame:
+    """A plan's text for each row, `#` standing for its key."""
+    return rows.select(key, F.replace(F.get(F.array(*map(F.lit, texts)), F.col(key) % len(texts)), F.lit("#"), F.col(key).cast("string")).alias("text"))
 
 
-VALIDATION = {
-    "good": "", "no assert": "missing_terminal_assert", "unknown": "unknown_op:JOIN@a, missing_terminal_assert", "twice": "duplicate_step_id:a",
-    "bare": "binding_must_start_with_$:a", "forward": "forward_dependency:a->b", "type": "unknown_type_in_select:MOON@a", "relation": "traverse_missing_rel:a",
+def plan_text(*specs, synthesis: list[str] = []) -> str:  # noqa: B006
+    made = [{"step_id": i, "op": op, "args": args, "output_binding": b, "depends_on": list(d)} for i, op, args, b, *d in specs]
+    return json.dumps({"steps": made, "synthesis": {"inputs": synthesis}})
+
+
+CLAIM, ANY = ("z#", "ASSERT", {"claim": "c", "sources": "$a"}, "$z"), ("a#", "SELECT_BY_ID", {"id": "x"}, "$a")
+# Plans and what is wrong with them.
+FAULTY = {
+    plan_text(ANY, CLAIM): "", plan_text(ANY): "missing_terminal_assert", plan_text(("a#", "JOIN", {}, "$a")): "unknown_op:JOIN@a#, missing_terminal_assert", plan_text(ANY, ANY, CLAIM): "duplicate_step_id:a#",
+    plan_text(("a#", "SELECT_BY_ID", {"id": "x"}, "a"), CLAIM, synthesis=["$z", "$y"]): "binding_must_start_with_$:a#, synthesis_input_not_bound:$y", plan_text((*ANY, "b#", "a#"), ("b#", *ANY[1:]), CLAIM): "forward_dependency:a#->b#",
+    plan_text(("a#", "SELECT_EXACT", {"type": "MOON"}, "$a"), CLAIM): "unknown_type_in_select:MOON@a#", plan_text(("a#", "TRAVERSE", {"node": "$a"}, "$a"), CLAIM): "traverse_missing_rel:a#",
 }
 
 
-@query(said_sql(VALIDATION))
+def one_of(values, key: str) -> str:
+    """In SQL: the text that stands for a key."""
+    listed = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    return f"replace(list_extract([{listed}], ({key} % {len(values)})::int + 1), '#', {key}::varchar)"
+
+
+@query(f"select c_custkey, {one_of(FAULTY.values(), 'c_custkey')} as problems from customer")
 def plan_validation(spark, sf):
-    claim = ("z", "ASSERT", {"claim": "c", "sources": "$a"}, "$z", ())
-    every = ("a", "SELECT_BY_ID", {"id": "x"}, "$a", ())
-    made = {
-        "good": steps_of(every, claim), "no assert": steps_of(every), "unknown": steps_of(("a", "JOIN", {}, "$a", ())), "twice": steps_of(every, every, claim), "bare": steps_of(("a", "SELECT_BY_ID", {"id": "x"}, "a", ()), claim),
-        "forward": steps_of(("a", "SELECT_BY_ID", {"id": "x"}, "$a", ("b",)), ("b", "SELECT_BY_ID", {"id": "x"}, "$b", ()), claim), "type": steps_of(("a", "SELECT_EXACT", {"type": "MOON"}, "$a", ()), claim), "relation": steps_of(("a", "TRAVERSE", {"node": "$a"}, "$a", ()), claim),
-    }
-    schema = load(spark, sf, ["NATION"]).schema
-    return lines_of(spark, {k: ", ".join(validate(p, schema)) for k, p in made.items()})
+    """A plan for each customer, checked."""
+    plans = catalog.parsed(plans_of(table(spark, sf, "customer"), "c_custkey", list(FAULTY)))
+    return catalog.problems(plans, load(spark, sf, ["NATION"]).schema).select("c_custkey", F.array_join("problems", ", ").alias("problems"))
+
+
+N = lambda i, *d: (i, "COUNT", {}, f"${i}", *d)
+# Plans and the order of their steps.
+ORDERS = {plan_text(N("a#"), N("b#")): "a# b#", plan_text(N("a#", "b#"), N("b#", "c#"), N("c#")): "c# b# a#", plan_text(N("a#", "x")): "a#", plan_text(N("a#", "c#"), N("b#"), N("c#")): "b# c# a#", plan_text(N("d#"), N("a#", "b#"), N("b#", "a#")): "d# !a#"}
 
 
-@query(said_sql({"as given": "a b", "dependencies first": "c b a", "unknown dependency": "a", "circle": "circular_dependency:a"}))
+@query(f"select o_orderkey, {one_of(ORDERS.values(), 'o_orderkey')} as steps from orders")
 def plan_order(spark, sf):
-    step = lambda i, *d: (i, "COUNT", {}, f"${i}", d)
+    """A plan for each order: its steps in the order they run, and the first of a circle."""
+    plans = catalog.in_order(catalog.parsed(plans_of(table(spark, sf, "orders"), "o_orderkey", list(ORDERS))))
+    return plans.select("o_orderkey", F.concat_ws(" ", F.array_join("order", " "), F.concat(F.lit("!"), F.col("circular"))).alias("steps"))
 
-    def order(*specs):
-        try:
-            return " ".join(s.step_id for s in ordered(steps_of(*specs).steps))
-        except ValueError as e:
-            return str(e)
 
-    return lines_of(spark, {"as given": order(step("a"), step("b")), "dependencies first": order(step("a", "b"), step("b", "c"), step("c")), "unknown dependency": order(step("a", "x")), "circle": order(step("a", "b"), step("b", "a"))})
+STUB = json.dumps({"steps": [{"step_id": s.step_id, "op": s.op, "output_binding": s.output_binding} for s in default_plan("what is there?").steps], "constraints": {"timeout_ms": 700}})
+SAID = [f"Sure:\n```json\n{STUB}\n```\nDone, #.", STUB.replace("700", "7#"), "no plan", "{broken", "} {"]
 
 
-@query(said_sql({"fenced": "s1 SELECT_APPROX $hits, s2 ASSERT $claim", "timeout": "700", "stub valid": "True", "none": "no JSON object in the text"}))
+@query("""select p_partkey, case when p_partkey % 5 < 2 then 's1 SELECT_APPROX $hits, s2 ASSERT $claim' end as steps, case p_partkey % 5 when 0 then 700 when 1 then ('7' || p_partkey)::bigint end as timeout_ms from part""")
 def plan_extraction(spark, sf):
-    """A plan in prose and code fences; the offline planner's plan."""
-    stub = default_plan("what is there?")
-    fenced = "Sure:\n```json\n" + json.dumps({"steps": [{"step_id": s.step_id, "op": s.op, "output_binding": s.output_binding} for s in stub.steps], "constraints": {"timeout_ms": 700}}) + "\n```\nDone."
-    read = Plan.from_text(fenced)
-    try:
-        none = str(Plan.from_text("no plan"))
-    except ValueError as e:
-        none = str(e)
-    return lines_of(spark, {"fenced": ", ".join(f"{s.step_id} {s.op} {s.output_binding}" for s in read.steps), "timeout": read.timeout_ms, "stub valid": not validate(stub, load(spark, sf, ["NATION"]).schema), "none": none})
+    """The offline planner's plan in prose and code fences, and texts without one, for each part."""
+    plans = catalog.parsed(plans_of(table(spark, sf, "part"), "p_partkey", SAID))
+    steps = F.array_join(F.transform("plan.steps", lambda s: F.concat_ws(" ", s["step_id"], s["op"], s["output_binding"])), ", ")
+    return plans.select("p_partkey", steps.alias("steps"), F.col("plan.constraints.timeout_ms").alias("timeout_ms"))
 
 
 # Emptiness by policy, what coercion takes, the trace.

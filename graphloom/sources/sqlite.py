@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, Not, WriterCommitMessage,
@@ -159,17 +159,6 @@ class Reader(DataSourceReader):
         name = f.attribute[0]
         return (f"{name} in ({', '.join('?' * len(some))})" if isinstance(f, In) else f"{name} {COMPARED[type(f)]} ?", some)
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            term = self.term(f)
-            if term is None:
-                yield f
-                continue
-            self.terms.append(term[0])
-            self.values += term[1]
-            if isinstance(f, (EqualTo, In)) and f.attribute == ("type_id",):
-                self.types = set(term[1]) if self.types is None else self.types & set(term[1])
-
     def where(self, *more: str) -> str:
         return " where " + " and ".join((*self.terms, *more, "true"))
 
@@ -207,6 +196,19 @@ class Reader(DataSourceReader):
         c.close()
 
 
+class FilteringReader(Reader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            term = self.term(f)
+            if term is None:
+                yield f
+                continue
+            self.terms.append(term[0])
+            self.values += term[1]
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("type_id",):
+                self.types = set(term[1]) if self.types is None else self.types & set(term[1])
+
+
 # Writing
 
 
@@ -279,7 +281,7 @@ class Writer(DataSourceArrowWriter):
 
 
 class GraphSQLite(DataSource):
-    """Options: path, table (nodes unless given), rowsPerPartition."""
+    """Options: path, table (nodes unless given), rowsPerPartition, filters (`pushed`: see selected)."""
 
     @classmethod
     def name(cls) -> str:
@@ -296,7 +298,8 @@ class GraphSQLite(DataSource):
         return TABLES[self.table][0]
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return Reader(self.table, local(self.options["path"]), int(self.options.get("rowsPerPartition", ROWS)))
+        kind = FilteringReader if self.options.get("filters") == "pushed" else Reader
+        return kind(self.table, local(self.options["path"]), int(self.options.get("rowsPerPartition", ROWS)))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return Writer(self.table, local(self.options["path"]), overwrite)
@@ -305,7 +308,11 @@ class GraphSQLite(DataSource):
 def read(spark: SparkSession, path: str, table: str = "nodes", rows: int = ROWS) -> DataFrame:
     """A table's rows. Filters are applied after reading."""
     spark.dataSource.register(GraphSQLite)
-    return spark.read.format(FORMAT).option("table", table).option("rowsPerPartition", rows).load(path)
+    return _reading(spark, table, rows).load(path)
+
+
+def _reading(spark: SparkSession, table: str, rows: int) -> DataFrameReader:
+    return spark.read.format(FORMAT).option("table", table).option("rowsPerPartition", rows)
 
 
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
@@ -318,7 +325,8 @@ def selected(spark: SparkSession, path: str, table: str, condition: Column | str
     (in Spark 4.1), so two filters on one would mix. Hence this relation is its own, is planned here once with
     pushdown on, and later without: what it keeps is the condition that its rows are filtered by anyway.
     """
-    out = read(spark, path, table, rows).where(condition)
+    spark.dataSource.register(GraphSQLite)
+    out = _reading(spark, table, rows).option("filters", "pushed").load(path).where(condition)
     before = spark.conf.get(PUSHDOWN, "false")
     spark.conf.set(PUSHDOWN, "true")
     try:

@@ -209,12 +209,36 @@ def test_plan_checks():
     assert validate(default_plan("q"), DEFAULT_SCHEMA) == []
     bad = Plan([Step("a", "SELECT_EXACT", {"type": "NOPE"}, "x", depends_on=["z"]), Step("a", "TRAVERSE", {}, "$t"), Step("b", "WHAT", {}, "$w")], synthesis={"inputs": ["$q"]})
     assert validate(bad, DEFAULT_SCHEMA) == ["binding_must_start_with_$:a", "forward_dependency:a->z", "unknown_type_in_select:NOPE@a", "duplicate_step_id:a", "traverse_missing_rel:a", "unknown_op:WHAT@b", "missing_terminal_assert", "synthesis_input_not_bound:$q"]
-    with pytest.raises(ValueError, match="circular"):
-        ordered([Step("a", "COUNT", depends_on=["b"]), Step("b", "COUNT", depends_on=["a"])])
+    with pytest.raises(ValueError, match="circular_dependency:a"):
+        ordered([Step("z", "COUNT"), Step("a", "COUNT", depends_on=["b"]), Step("b", "COUNT", depends_on=["a"])])
+    chain = [Step(str(i), "COUNT", depends_on=[str(i + 1)]) for i in range(5000)]
+    assert [s.step_id for s in ordered(chain)] == [str(i) for i in reversed(range(5000))]
+    loose = Plan([Step("a", "AGGREGATE", {"input": "$z"}, "$a"), Step("b", "CHECK_TYPE", {"node": "$a", "type": "NOPE"}, "$b"), Step("c", "ASSERT", {"claim": "c", "sources": "$b"}, "$c")])
+    assert validate(loose, DEFAULT_SCHEMA) == []
+    assert validate(loose, DEFAULT_SCHEMA, strict=True) == ["missing_argument_fn:a", "missing_argument_prop:a", "unbound_argument:$z@a", "unknown_type:NOPE@b"]
     assert Plan.from_text('text ```json\n{"steps": [{"step_id": "s", "op": "COUNT"}]}\n``` more').steps[0].op == "COUNT"
     assert resolve({"a": ["$x", "y"], "b": "$z"}, {"$x": 1}) == {"a": [1, "y"], "b": None}
 
 
+def test_plans_in_a_table_are_checked_and_ordered_as_single_ones(spark):
+    import itertools
+    import json
+
+    from graphloom.plans import catalog
+
+    pool = [("a", "SELECT_EXACT", {"type": "NOPE"}, "x", ["z"]), ("a", "TRAVERSE", {}, "$t", []), ("b", "WHAT", {}, "$w", ["a"]), ("c", "ASSERT", {"claim": "c"}, "$q", ["a", "c"]), ("d", "TRAVERSE", {"rel": "R"}, "$d", ["c"])]
+    specs = [{"steps": [dict(zip(("step_id", "op", "args", "output_binding", "depends_on"), s)) for s in some], "synthesis": {"inputs": i}} for n in range(4) for some in itertools.permutations(pool, n) for i in ([], ["$q", "$n"])]
+    rows = spark.createDataFrame([(k, "plan: " + json.dumps(s)) for k, s in enumerate(specs)] + [(-1, "none"), (-2, None)], "k int, text string")
+    for r in catalog.in_order(catalog.problems(catalog.parsed(rows), DEFAULT_SCHEMA)).collect():
+        plan = Plan.from_dict(specs[r["k"]] if r["k"] >= 0 else {})
+        assert r["problems"] == validate(plan, DEFAULT_SCHEMA)
+        if len({s.step_id for s in plan.steps}) == len(plan.steps):
+            try:
+                assert r["order"] == [s.step_id for s in ordered(plan.steps)] and r["circular"] is None
+            except ValueError as e:
+                assert str(e) == f"circular_dependency:{r['circular']}"
+
+
 def test_schema_rules(spark):
     s = DEFAULT_SCHEMA
     assert s.relation_allowed("CODE_FILE", "IMPORTS", "CODE_FILE") and not s.relation_allowed("CODE_FILE", "IMPORTS", "FUNCTION")

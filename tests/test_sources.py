@@ -1,12 +1,14 @@
 """Files and transcripts as graph tables; streaming forms."""
 
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from graphloom.sources import files as src
-from graphloom.sources.jsonl import read_transcript, write_pairs
+from graphloom.sources import transcripts
+from graphloom.sources.jsonl import write_pairs
+from graphloom.streaming import turns
 from graphloom.streaming.events import new_turns, pattern_counts, run_once
 
 PROJECT = {
@@ -49,8 +51,62 @@ def test_json_lines(spark, tmp_path):
     pairs = spark.createDataFrame([('what is "x"?', '{"steps":[]}')], "query string, plan string")
     write_pairs(pairs, str(tmp_path / "out"))
     assert json.loads(spark.read.text(str(tmp_path / "out")).first()[0]) == {"query": 'what is "x"?', "plan": {"steps": []}}
-    (tmp_path / "t.jsonl").write_text('{"type":"user","message":{"role":"user","content":"hi"}}\n{"type":"x","message":{"role":"assistant","content":"  "}}\n')
-    assert [(r["role"], r["text"]) for r in read_transcript(spark, str(tmp_path / "t.jsonl")).collect()] == [("user", "hi")]
+
+
+def test_transcripts(spark, tmp_path):
+    """Text, blocks, messages as text, what is broken or blank, and the counters."""
+    long = "x" * 3000
+    lines = [
+        {"type": "user", "message": {"role": "user", "content": "  hi\n"}}, {"type": "user", "message": {"content": [{"type": "text", "text": "two"}, {"type": "image"}, 7, None, "x", {"type": "text", "text": "parts"}, {"type": "text"}]}},
+        {"type": "user", "message": {"role": "user", "content": [{"type": "tool_result", "text": "no"}]}}, {"type": "user", "message": "no object"}, {"type": "user", "message": [1]}, {"type": "user"}, [1, 2], "x",
+        {"type": "assistant", "message": json.dumps({"role": "assistant", "content": "as text", "usage": {"input_tokens": 10, "output_tokens": 5, "cache_read_input_tokens": 85, "cache_creation_input_tokens": None}})},
+        {"type": "assistant", "message": {"role": "assistant", "content": None, "usage": {"input_tokens": 0}}}, {"type": "summary", "message": {"content": 12}},
+    ]
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, lines)) + '\n{"type":"user","message":{"content":"cut\n\n')
+    (tmp_path / "b.jsonl").write_text(json.dumps({"type": "user", "message": {"role": "user", "content": long}}))
+    m = transcripts.read_messages(spark, str(tmp_path))
+    last = {(r["file"][-7:], r["kind"]): r["text"] for r in transcripts.last_messages(m).collect()}
+    assert last == {("a.jsonl", "user"): "two parts", ("a.jsonl", "assistant"): "as text", ("a.jsonl", "summary"): "12", ("b.jsonl", "user"): long[:2000]}
+    assert {r["file"][-7:]: r["percent"] for r in transcripts.context_in_use(m, 300).collect()} == {"a.jsonl": 33, "b.jsonl": 0}
+
+
+def test_transcripts_in_pieces(spark, tmp_path):
+    """A file that several tasks read keeps the order of its lines."""
+    (tmp_path / "a.jsonl").write_text("".join(json.dumps({"type": "user", "message": {"content": f"message {i} " + "y" * 200}}) + "\n" for i in range(400)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        m = transcripts.read_messages(spark, str(tmp_path))
+        assert m.rdd.getNumPartitions() > 3
+        assert [r["text"].split()[1] for r in m.orderBy("seq").collect()] == [str(i) for i in range(400)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_written_transcripts_are_read_back(spark, tmp_path):
+    said = [("s1", 0, "user", 'a "b"\n'), ("s1", 1, "assistant", "c"), ("s2", 0, "user", "d")]
+    df = spark.createDataFrame(said, "session_id string, turn_index long, role string, text string").withColumn("usage", F.when(F.col("role") == "assistant", F.struct(F.lit(9).alias("input_tokens"))))
+    transcripts.write_transcripts(df.repartition(3), str(tmp_path / "t"))
+    m = transcripts.read_messages(spark, str(tmp_path / "t"))
+    assert sorted((r["role"], r["text"], r["tokens"]) for r in m.collect()) == [("assistant", "c", 9), ("user", 'a "b"', 0), ("user", "d", 0)]
+
+
+def test_turns_are_numbered_across_restarts(spark, tmp_path):
+    at = lambda hours: datetime(2024, 1, 1) + timedelta(hours=hours)
+    folder = lambda name: f"{tmp_path}/{name}"
+
+    def say(*rows):
+        spark.createDataFrame(rows, turns.MESSAGES).coalesce(1).write.mode("append").parquet(folder("messages"))
+        turns.ingest(spark, folder("messages"), folder("turns"), folder("checkpoint"), idle="2 hours", delay="1 hour")
+
+    say(("a", 2, "assistant", "two", at(0)), ("a", 1, "user", "one", at(0)), ("a", 1, "user", "one", at(0)), ("b", 1, "user", " ", at(0)), (None, 1, "user", "x", at(0)))
+    say(("a", 2, "assistant", "two", at(0)), ("a", 3, "user", "three", at(1)), ("b", 2, "user", "first", at(1)))
+    say(("c", 1, "user", "much later", at(9)))
+    say(("a", 1, "user", "again", at(9)))  # its session is forgotten by then
+    got = spark.read.schema(turns.TURNS).parquet(folder("turns")).collect()
+    assert sorted((r["id"], r["previous"] or "", r["text"], r["opens"]) for r in got) == [
+        ("turn:a:0", "", "again", True), ("turn:a:0", "", "one", True), ("turn:a:1", "turn:a:0", "two", False), ("turn:a:2", "turn:a:1", "three", False), ("turn:b:0", "", "first", True), ("turn:c:0", "", "much later", True),
+    ]
 
 
 def test_streams(spark, tmp_path):

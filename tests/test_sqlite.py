@@ -76,15 +76,16 @@ def test_foreign_file(spark, tmp_path):
 
 
 def test_filters_reach_the_source(spark, nodes, tmp_path):
-    sqlite.write(nodes.repartition(2, "type_id"), str(tmp_path))
-    r = sqlite.Reader("nodes", str(tmp_path), 4)
+    for kind in ("RULE", "DOC"):
+        sqlite.write(nodes.where(F.col("type_id") == kind).coalesce(1), str(tmp_path))
+    r = sqlite.FilteringReader("nodes", str(tmp_path), 4)
     left = [StringStartsWith(("label",), "x"), EqualTo(("embedding",), [1.0]), EqualTo(("confidence",), float("nan"))]
     assert list(r.pushFilters([EqualTo(("type_id",), "RULE"), Not(EqualTo(("deprecated",), True)), GreaterThanOrEqual(("confidence",), 0.2), In(("version",), (1, 2)), *left])) == left
     rows = [x for p in r.partitions() for b in r.read(p) for x in b.column(0).to_pylist()]
     assert sorted(rows) == sorted(n[0] for n in NODES if n[1] == "RULE" and not n[11] and n[6] >= 0.2)
     ranges = r.partitions()
     assert {os.path.basename(p.path) for p in ranges} == {n for n, x in sqlite.manifest(str(tmp_path))["files"].items() if x["types"] == ["RULE"]} and len(ranges) == 2  # the other file isn't opened
-    none = sqlite.Reader("nodes", str(tmp_path), 4)
+    none = sqlite.FilteringReader("nodes", str(tmp_path), 4)
     assert list(none.pushFilters([EqualTo(("type_id",), "METRIC")])) == [] and [list(none.read(p)) for p in none.partitions()] == [[]]
 
 

@@ -362,7 +362,7 @@ def plausible(m: int, x: np.ndarray, n: int, y: np.ndarray) -> bool:
 
 
 def wanted_table(wanted: DataFrame) -> np.ndarray:
-    """A table of bits, in which the hashes of wanted ids and of the same with their sets are marked: 64 for each
+    """A packed table of bits, in which the hashes of wanted ids and of the same with their sets are marked: 64 for each
     wanted row unless that is more than 2**WANTED_BITS."""
     bits = min(WANTED_BITS, max(16, (64 * wanted.count()).bit_length()))
 
@@ -388,7 +388,7 @@ def wanted_table(wanted: DataFrame) -> np.ndarray:
     out = np.zeros((RANGES, (1 << bits) // 8 // RANGES), np.uint8)
     for r in arrow_map(arrow_map(wanted.select("id", "s"), mark, schema).repartition(RANGES, "part"), add, schema).collect():  # 16 MB in all, at most
         out[r["part"]] = np.frombuffer(r["flags"], np.uint8)
-    return np.unpackbits(out.ravel()).view(bool)
+    return out.ravel()
 
 
 def numbers(column) -> np.ndarray:
@@ -399,22 +399,29 @@ def table_places(x: np.ndarray, bits: int) -> np.ndarray:
     return (mix64(x) >> U64(64 - bits)).astype(np.int64)
 
 
+def is_marked(packed: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether a table of bits has x."""
+    place = table_places(x, len(packed).bit_length() + 2)
+    return packed[place >> 3] >> (7 - (place & 7)) & 1 == 1
+
+
 def wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(s, n, sketch, shingles) of the wanted (id, s), and rarely of another document."""
-    table = wanted_table(wanted)
-    packed, bits = np.packbits(table), len(table).bit_length() - 1
+    """(s, n, sketch, shingles) of the wanted (id, s), and rarely of another document; each s once, however often its
+    rows are repeated."""
+    packed = wanted_table(wanted)
 
     def run(it):
-        flags = np.unpackbits(packed).view(bool)
         for b in it:
-            b = b.filter(pa.array(flags[table_places(numbers(b.column(0)), bits)]))
+            b = b.filter(pa.array(is_marked(packed, numbers(b.column(0)))))
             h, first = shingles(b.column(1))
             s = set_hashes(h, first)
-            new = np.flatnonzero((s != 0) & flags[table_places(numbers(b.column(0)) ^ mix64(s), bits)])
+            new = np.flatnonzero((s != 0) & is_marked(packed, numbers(b.column(0)) ^ mix64(s)))
+            new = new[np.sort(np.unique(s[new], return_index=True)[1])]
             parts = [h[first[i] : first[i + 1]] for i in new]
             yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)[new]), pa.array([len(x) for x in parts], pa.int64()), pa.array([bit_sketch(x).tobytes() for x in parts], pa.binary()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["s", "n", "sketch", "shingles"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), run, "s long, n long, sketch binary, shingles binary")
+    found = arrow_map(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), run, "s long, n long, sketch binary, shingles binary")
+    return found.dropDuplicates(["s"])
 
 
 def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def blocks_of(reps: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataF
             dims = b.column(3).value_lengths().cast(pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns, dims, *(pa.array(c) for c in out.T)], names=["rep", "weight", "label", "embedding", "dims", *(f"c{k}" for k in range(AXES))])
 
-    order = ["label", "dims", *(f"c{k}" for k in range(AXES))]
+    order = ["label", "dims", *(f"c{k}" for k in range(AXES)), "rep"]  # rep splits a cell of many vectors
     schema = "rep long, weight long, label string, embedding array<double>, dims int, " + ", ".join(f"c{k} long" for k in range(AXES))
     placed = arrow_map(reps.select(F.col("cid").alias("rep"), "weight", F.col("label").cast("string"), F.col("embedding").cast("array<double>")), cells, schema)
 
@@ -228,8 +228,10 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     axes = principal_axes(classes)
     blocks = settled(blocks_of(classes, axes, eps))
     meta = blocks.select("block", "part", "lo", "hi")
-    x = meta.select(F.col("block").alias("xb"), "part", F.col("lo").alias("xl"), F.col("hi").alias("xh"), F.explode(F.expr("sequence(lo[0] - 1, hi[0] + 1)")).alias("cell"))
-    y = meta.select(F.col("block").alias("yb"), "part", F.col("lo").alias("yl"), F.col("hi").alias("yh"), F.explode(F.expr("sequence(lo[0], hi[0])")).alias("cell"))
+    # Blocks meet by their cells on the two leading axes; along the sequence most have one cell or few.
+    cells = lambda margin: F.explode(F.expr(f"flatten(transform(sequence(lo[0] - {margin}, hi[0] + {margin}), i -> transform(sequence(lo[1] - {margin}, hi[1] + {margin}), j -> struct(i, j))))")).alias("cell")
+    x = meta.select(F.col("block").alias("xb"), "part", F.col("lo").alias("xl"), F.col("hi").alias("xh"), cells(1))
+    y = meta.select(F.col("block").alias("yb"), "part", F.col("lo").alias("yl"), F.col("hi").alias("yh"), cells(0))
     touch = F.expr("xb <= yb and forall(sequence(0, size(xl) - 1), k -> xl[k] <= yh[k] + 1 and yl[k] <= xh[k] + 1)")
     pairs = x.join(y, ["part", "cell"]).where(touch).select("xb", "yb").distinct()
     a = blocks.select(F.col("block").alias("xb"), *(F.col(c).alias(f"x_{c}") for c in ("ids", "weights", "cells", "vectors")))

@@ -157,17 +157,24 @@ def training_texts(docs: DataFrame, labels: DataFrame, train, positives: int, un
     of_hash = (F.xxhash64("id"), F.col("id"))
     toxic = labels.where(train).where("doc_id is not null and toxic = 1").select(F.col("doc_id").alias("id")).distinct()
     every = docs.select("doc_id").where(train).where("doc_id is not null").select(F.col("doc_id").alias("id"))
-    ids = [toxic.orderBy(*of_hash).limit(positives).select("id", F.lit(True).alias("confirmed")), every.orderBy(*of_hash).limit(unlabelled).distinct().select("id", F.lit(False).alias("confirmed"))]
+    ids = [toxic.orderBy(*of_hash).limit(positives).select("id", F.lit(True).alias("confirmed")), every.distinct().orderBy(*of_hash).limit(unlabelled).select("id", F.lit(False).alias("confirmed"))]
     chosen = F.broadcast(ids[0].union(ids[1]))  # ids within the documented bounds
 
     def features(it):
         import pyarrow as pa
 
         for b in it:
-            slots, first = word_features(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([slots[i:j].tobytes() for i, j in zip(first, first[1:])], pa.binary())], names=["confirmed", "slots"])
+            slots, first = word_features(b.column(2))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([slots[i:j].tobytes() for i, j in zip(first, first[1:])], pa.binary())], names=["id", "confirmed", "slots"])
 
-    return arrow_map(docs.join(chosen, docs.doc_id == chosen.id).select("confirmed", docs.text.cast("string").alias("text")), features, "confirmed boolean, slots binary")
+    made = arrow_map(docs.join(chosen, docs.doc_id == chosen.id).select(chosen.id, chosen.confirmed, docs.text.cast("string").alias("text")), features, "id long, confirmed boolean, slots binary")
+    return made.dropDuplicates(["id", "confirmed", "slots"]).select("confirmed", "slots")  # repeated rows count once
+
+
+#: Bounds of an estimated class prior, and the one where nothing tells it.
+PRIORS, NO_PRIOR = (1e-4, 1 - 1e-4), 0.01
+#: The most that a text without any telling feature scores: nothing speaks for it.
+SILENT = 0.49
 
 
 def class_prior(pos: list[np.ndarray], unl: list[np.ndarray], size: int) -> float:
@@ -176,8 +183,8 @@ def class_prior(pos: list[np.ndarray], unl: list[np.ndarray], size: int) -> floa
     Whatever a score's threshold t, the share is at most P(score >= t | unlabelled) / P(score >= t | confirmed), and
     close to it where few clean texts score so high. The least such bound over thresholds that 30 to 90 per
     cent of confirmed texts reach, with a standard error on top, is averaged over two halves that score each other.
-    Too few texts for halves, or no telling feature, say nothing: then it is 0.01. It is 0.45 at most, so that a text
-    without any feature isn't toxic.
+    Too few texts for halves, or no telling feature, say nothing: then it is NO_PRIOR. PRIORS bounds it away from 0 and 1,
+    where no risk is defined.
     """
     found = []
     for fold in (0, 1) if size and len(pos) > 1 and len(unl) > 1 else ():
@@ -189,7 +196,7 @@ def class_prior(pos: list[np.ndarray], unl: list[np.ndarray], size: int) -> floa
             q = 1 - np.searchsorted(u, t) / len(u)
             bounds.append((q + np.sqrt(q * (1 - q) / len(u))) / (1 - np.searchsorted(p, t) / len(p)))
         found.append(min(bounds))
-    return float(np.clip(np.mean(found), 1e-4, 0.45)) if found else 0.01
+    return float(np.clip(np.mean(found), *PRIORS)) if found else NO_PRIOR
 
 
 def learn(docs: DataFrame, labels: DataFrame, train, positives: int = 6000, unlabelled: int = 12000, prior: float | None = None) -> Model:
@@ -224,6 +231,9 @@ def scores(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     def score(text):
         import pyarrow as pa
 
-        return [pa.array(small.score(*word_features(text)), pa.float64())]
+        slots, first = word_features(text)
+        told = np.concatenate(([0], np.cumsum(small.weights[slots] != 0)))[first]
+        found = small.score(slots, first)
+        return [pa.array(np.where(np.diff(told) > 0, found, np.minimum(found, SILENT)), pa.float64())]
 
     return with_text_columns(docs, keep, score, "score double")

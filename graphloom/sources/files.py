@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +65,31 @@ def file_nodes(files: DataFrame) -> DataFrame:
     return _node(files, F.concat(F.lit("file:"), F.col("path")), F.col("type_id"), F.col("path"), F.concat_ws(" ", "type_id", "path", snippet), properties, 0.9)
 
 
+def symbols_in(content: bytes | bytearray | str | None) -> Iterator[tuple[str, str, int, int, str | None, bool]]:
+    """(kind, name, nth, line, inside, is_async) of a Python text's classes, functions and imported modules; nth counts
+    the tree's nodes breadth first. Nothing of a text that doesn't parse."""
+    if content is None:
+        return
+    try:
+        tree = ast.parse(content if isinstance(content, str) else bytes(content).decode("utf-8", "replace"))
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return
+    above: dict[ast.AST, str | None] = {tree: None}
+    for nth, node in enumerate(ast.walk(tree)):
+        inside = above.pop(node)
+        named = isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)
+        below = (f"{inside}.{node.name}" if inside else node.name) if named else inside
+        for child in ast.iter_child_nodes(node):
+            above[child] = below
+        if named:
+            yield "class" if isinstance(node, ast.ClassDef) else "function", node.name, nth, node.lineno, inside, isinstance(node, ast.AsyncFunctionDef)
+        elif isinstance(node, ast.Import):
+            for a in node.names:
+                yield "import", a.name, nth, node.lineno, inside, False
+        elif isinstance(node, ast.ImportFrom) and node.module:
+            yield "import", node.module, nth, node.lineno, inside, False
+
+
 SYMBOLS = "path string, modified timestamp_ntz, kind string, name string, nth int"
 
 
@@ -75,19 +101,7 @@ def python_symbols(files: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for b in it:
-            out = []
-            for path, content, modified in zip(*(c.to_pylist() for c in b.columns)):
-                try:
-                    tree = ast.parse(content.decode("utf-8", "replace"))
-                except (SyntaxError, ValueError):
-                    continue
-                for nth, node in enumerate(ast.walk(tree)):
-                    if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-                        out.append((path, modified, "function", node.name, nth))
-                    elif isinstance(node, ast.Import):
-                        out += [(path, modified, "import", a.name, nth) for a in node.names]
-                    elif isinstance(node, ast.ImportFrom) and node.module:
-                        out.append((path, modified, "import", node.module, nth))
+            out = [(path, modified, *s[:3]) for path, content, modified in zip(*(c.to_pylist() for c in b.columns)) for s in symbols_in(content) if s[0] != "class"]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.timestamp("us"), pa.string(), pa.string(), pa.int32()))], names=["path", "modified", "kind", "name", "nth"])
 

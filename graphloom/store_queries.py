@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .operators import retrieval, vectors
+from .functions import tables
+from .operators import asof, retrieval, statistics, vectors
 from .operators.state import shared_root
-from .queries import SCORED, conf, first_vector, live, live_edge, query
+from .queries import SCORED, conf, first_vector, live, live_edge, one_of, query
 from .sources import sqlite, transcripts
 from .sources.tables import load, table
 from .streaming import turns
@@ -114,3 +115,78 @@ def turn_stream(spark, sf):
         messages.where(part).write.mode("append").parquet(f"{folder}/messages")
         turns.ingest(spark, f"{folder}/messages", f"{folder}/turns", f"{folder}/checkpoint")
     return spark.read.schema(turns.TURNS).parquet(f"{folder}/turns")
+
+
+# Table functions
+
+# Python texts of several shapes, `#` standing for a key, and their symbols as (kind, name, line, inside, is_async).
+SHAPES = {
+    "import os.path\nfrom a.b import c\nfrom . import d\n\nasync def f#():\n    def inner():\n        import sys\n    return inner\n": [("import", "os.path", 1, None, False), ("import", "a.b", 2, None, False), ("function", "f#", 5, None, True), ("function", "inner", 6, "f#", False), ("import", "sys", 7, "f#.inner", False)],
+    "class K#(Base):\n    class Inner:\n        async def m(self): pass\n    @property\n    def p(self): return lambda: 1\n": [("class", "K#", 1, None, False), ("class", "Inner", 2, "K#", False), ("function", "m", 3, "K#.Inner", True), ("function", "p", 5, "K#", False)],
+    "def broken#(:\n": [],
+    "": [],
+    "if x:\n    import one, two\nelse:\n    def g#(): pass\n": [("import", "one", 2, None, False), ("import", "two", 2, None, False), ("function", "g#", 4, None, False)],
+}
+
+
+def told_sql() -> str:
+    """Each shape's symbols as rows in SQL."""
+    value = lambda v: "null" if v is None else str(v).lower() if isinstance(v, (bool, int)) else f"'{v}'"
+    return ", ".join(f"({k}, {', '.join(map(value, r))})" for k, rows in enumerate(SHAPES.values()) for r in rows)
+
+
+@query(f"""with s(shape, kind, name, line, inside, is_async) as (values {told_sql()})
+select p_partkey, kind, replace(name, '#', p_partkey::varchar) as name, line::int as line, replace(inside, '#', p_partkey::varchar) as inside, is_async from part join s on shape = p_partkey % {len(SHAPES)}""")
+def python_symbols_lateral(spark, sf):
+    """A Python file for each part; its symbols by a table function in SQL."""
+    tables.register(spark)
+    texts = F.get(F.array(*map(F.lit, SHAPES)), F.col("p_partkey") % len(SHAPES))
+    table(spark, sf, "part").select("p_partkey", F.replace(texts, F.lit("#"), F.col("p_partkey").cast("string")).cast("binary").alias("content")).createOrReplaceTempView("python_files")
+    return spark.sql("select p_partkey, s.kind, s.name, s.line, s.inside, s.is_async from python_files, lateral python_symbols(content, true) s")
+
+
+# The graph as it was
+
+
+@query("""with v as (select user_id, ts as since, event_id as version_event, value as balance from events where event_type = 'purchase')
+select e.event_id, e.event_type, e.ts, e.user_id, v.since, v.version_event, v.balance from (select * from events where event_type <> 'purchase') e asof left join v on e.user_id = v.user_id and e.ts >= v.since""")
+def asof_versions(spark, sf):
+    """Each event with the version of its user's node that held then: a purchase makes one."""
+    e = table(spark, sf, "events")
+    versions = e.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("since"), F.col("event_id").alias("version_event"), F.col("value").alias("balance"))
+    rows = e.where("event_type <> 'purchase'").select("event_id", "event_type", "ts", "user_id")
+    return asof.asof_join(rows, versions, "user_id", "ts", "since", "version_event")
+
+
+@query(f"""with r as (select 'event:' || user_id as id, row_number() over (partition by user_id order by ts)::int as version, ts, event_type = 'error' as deprecated, ts + interval 3 day as valid_until from events)
+select id, version, ts as updated_at, deprecated from r where ts <= timestamp '2024-01-15' qualify row_number() over (partition by id order by version desc) = 1 and valid_until > timestamp '2024-01-15'""")
+def graph_as_of(spark, sf):
+    """A version of its user's node for each event, valid for three days; the graph as it was in the middle of the month."""
+    from datetime import datetime
+
+    from pyspark.sql.window import Window
+
+    g = load(spark, sf, ["EVENT_LOG"])
+    e = table(spark, sf, "events").select(F.concat(F.lit("event:"), F.col("user_id").cast("string")).alias("id"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts")).alias("version"), F.col("ts").cast("timestamp_ntz").alias("updated_at"), (F.col("event_type") == "error").alias("deprecated"))
+    e = e.withColumn("valid_until", F.col("updated_at") + F.expr("interval 3 day"))
+    g.nodes = e.select(*(F.col(c) if c in e.columns else F.lit(None).alias(c) for c in g.nodes.columns))
+    return asof.as_of(g, datetime(2024, 1, 15)).nodes.select("id", "version", "updated_at", "deprecated")
+
+
+# Statistics that are merged
+
+
+@query("""with e as (select event_type as name, date_trunc('week', ts)::date as week, event_id, value from events)
+select name, week, count(*) as n, round(avg(event_id % 100 / 100.0), 6) as confidence_avg, true as distinct_near, true as median_near from e group by grouping sets ((name, week), (name), (week), ())""")
+def statistics_report(spark, sf):
+    """Events summarised in two ingests, reported over grouping sets; sketches against exact figures."""
+    e = table(spark, sf, "events").select("event_type", "user_id", "event_id", (F.col("event_id") % 100 / 100.0).alias("confidence"), F.lit(False).alias("deprecated"), F.col("ts").alias("created_at"))
+    stats = statistics.Statistics(spark, scratch(spark, "statistics"))
+    for part in (0, 1):
+        stats.add(statistics.summarised(e.where(F.pmod("event_id", F.lit(2)) == part), "node", f"ingest {part}", "event_type", "user_id"))
+    told = stats.report([("name", "week"), ("name",), ("week",), ()], (0.5,))
+    week = statistics.week_of(F.col("created_at")).alias("week")
+    exact = e.select(F.col("event_type").alias("name"), week, "user_id", "confidence").groupingSets([[F.col("name"), F.col("week")], [F.col("name")], [F.col("week")], []], "name", "week").agg(F.countDistinct("user_id").alias("users"), F.percentile("confidence", F.array(F.lit(0.45), F.lit(0.55))).alias("near"))
+    both = told.alias("t").join(exact.alias("x"), F.col("t.name").eqNullSafe(F.col("x.name")) & F.col("t.week").eqNullSafe(F.col("x.week")))
+    median = F.col("quantiles")[0]
+    return both.select("t.name", "t.week", "n", F.round("confidence_avg", 6).alias("confidence_avg"), (F.abs(F.col("distinct_keys") - F.col("users")) <= 1 + F.col("users") * 0.08).alias("distinct_near"), ((median >= F.col("near")[0]) & (median <= F.col("near")[1])).alias("median_near"))

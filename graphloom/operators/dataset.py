@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,18 +13,44 @@ from .state import settled
 SHARES = (0.70, 0.15)
 
 
+#: Edges of one source that are numbered in one place; a hub's are dealt to several.
+NUMBERED = 10_000
+
+
+def drawn(*parts: Column) -> Column:
+    """A number below 2**60 that the parts' text alone decides (the first 60 bits of its MD5)."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
+
+
+def numbered_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges (source, target, relation, edge) with nth, their number within their source from 0, and (source, degree).
+
+    Up to NUMBERED edges go by their id. A hub's are dealt to ranges of a hash first, numbered within each, and
+    shifted by the sizes of the ranges before, so no task sorts a hub's whole list.
+    """
+    degrees = edges.groupBy("source").agg(F.count("*").alias("degree"))
+    ranges = F.ceil(F.col("degree") / NUMBERED)
+    dealt = edges.join(degrees, "source").withColumn("range", F.when(ranges > 1, F.pmod(F.xxhash64("edge"), ranges)).otherwise(0))
+    sizes = dealt.groupBy("source", "range").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    within = F.row_number().over(Window.partitionBy("source", "range").orderBy("edge")) - 1
+    return dealt.withColumn("within", within).join(before, ["source", "range"]).select("source", "target", "relation", "edge", (F.col("within") + F.col("before")).cast("long").alias("nth")), degrees
+
+
 def random_walks(g: Graph, n: int, seed: int = 0, max_hops: int = 3) -> DataFrame:
     """n walks (walk, path, relations) from live starts along uniformly drawn live out-edges.
 
-    A walk wants 1 to max_hops hops and ends early where no edge leads on.
+    A walk wants 1 to max_hops hops and ends early where no edge leads on. A draw is a number below the source's degree,
+    so a hop is two equi-joins with one row each for a walk, and a hub's list is never unfolded.
     """
-    starts = g.live.select("id").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
-    walks = settled(starts.select(F.col("id").alias("walk"), F.array("id").alias("path"), F.array().cast("array<string>").alias("relations"), (F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(max_hops)) + 1).alias("want")))
+    lit = lambda v: F.lit(str(v))
+    starts = g.live.select("id").orderBy(drawn(F.col("id"), lit(seed)), "id").limit(n)
+    walks = settled(starts.select(F.col("id").alias("walk"), F.array("id").alias("path"), F.array().cast("array<string>").alias("relations"), (drawn(F.col("id"), lit(seed + 1)) % max_hops + 1).alias("want")))
     edges = g.live_edges.select("source", "target", F.col("type_id").alias("relation"), F.col("id").alias("edge"))
-    edges = edges.join(g.live.select(F.col("id").alias("target")), "target", "left_semi")
+    numbered, degrees = map(settled, numbered_edges(edges.join(g.live.select(F.col("id").alias("target")), "target", "left_semi")))
     for hop in range(max_hops):
-        draw = F.xxhash64("walk", "edge", F.lit(seed), F.lit(hop))
-        step = walks.where((F.size("path") == hop + 1) & (F.col("want") > hop)).join(edges, F.element_at("path", -1) == F.col("source")).groupBy("walk").agg(F.min_by(F.struct("target", "relation"), F.struct(draw, "edge")).alias("next"))
+        asked = walks.where((F.size("path") == hop + 1) & (F.col("want") > hop)).select("walk", F.element_at("path", -1).alias("source")).join(degrees, "source")
+        step = asked.select("walk", "source", (drawn(F.col("walk"), lit(seed), lit(hop)) % F.col("degree")).alias("nth")).join(numbered, ["source", "nth"]).select("walk", F.struct("target", "relation").alias("next"))
         grown = walks.join(step, "walk", "left")
         walks = settled(grown.select("walk", F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("path", F.array("next.target"))).alias("path"), F.when(F.col("next").isNull(), F.col("relations")).otherwise(F.concat("relations", F.array("next.relation"))).alias("relations"), "want"))
     return walks.drop("want")

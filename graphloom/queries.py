@@ -852,11 +852,10 @@ def synthesis_text(spark, sf):
 # Datasets
 
 
-@query("select 40::bigint as walks, true as from_live_nodes, true as along_edges, true as short, true as plans_fit")
+@query(f"select count(*) // 4 as walks, true as from_live_nodes, true as along_edges, true as short, true as plans_fit from (select 1 from customer where {live('c_custkey')} union all select 1 from nation where {live('n_nationkey')} union all select 1 from region where {live('r_regionkey')})")
 def walk_invariants(spark, sf):
     """What every random walk and its plan have in common, whatever was drawn."""
-    g = load(spark, sf, ["CUSTOMER", "NATION", "REGION"], ["IN_NATION", "IN_REGION"])
-    walks = dataset.random_walks(g, 40, 3)
+    g, walks = walked(spark, sf)
     pairs = dataset.pairs(g, walks)
     hop = walks.select("walk", F.posexplode("relations").alias("i", "type_id"), "path").select("walk", F.get("path", F.col("i")).alias("source"), F.get("path", F.col("i") + 1).alias("target"), "type_id")
     off = hop.join(g.live_edges.select("source", "target", "type_id"), ["source", "target", "type_id"], "left_anti").select("walk").distinct().withColumn("off", F.lit(True))
@@ -871,7 +870,31 @@ def dataset_split_counts(spark, sf):
     return dataset.split(table(spark, sf, "orders"), "o_orderkey", 7).groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query()
-def dataset_pairs(spark, sf):
+# The walks in SQL: the same draws, hop by hop.
+def drawn_sql(*parts: str) -> str:
+    return f"('0x' || substr(md5({" || '|' || ".join(parts)}), 1, 15))::bigint"
+
+
+def walks_sql(seed: int) -> str:
+    hop = lambda k: f"""w{k + 1} as (select w.walk, w.label, case when e.target is null then w.path else list_append(w.path, e.target) end as path, case when e.target is null then w.relations else list_append(w.relations, e.relation) end as relations, want
+from w{k} w left join g d on d.source = w.path[-1] and len(w.path) = {k + 1} and want > {k} left join e on e.source = d.source and e.nth = {drawn_sql("walk", f"'{seed}'", f"'{k}'")} % d.degree)"""
+    return f"""n as (select 'customer:' || c_custkey as id, c_name as label from customer where {live('c_custkey')} union all select 'nation:' || n_nationkey, n_name from nation where {live('n_nationkey')} union all select 'region:' || r_regionkey, r_name from region where {live('r_regionkey')}),
+l as (select 'customer:' || c_custkey as source, 'nation:' || c_nationkey as target, 'IN_NATION' as relation from customer where {live_edge('c_custkey')} union all select 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'IN_NATION' from supplier where {live_edge('s_suppkey')} union all select 'nation:' || n_nationkey, 'region:' || n_regionkey, 'IN_REGION' from nation where {live_edge('n_nationkey')}),
+e as (select *, row_number() over (partition by source order by source || '>' || relation || '>' || target) - 1 as nth from l where target in (select id from n)), g as (select source, count(*) as degree from e group by 1),
+w0 as (select id as walk, label, [id] as path, []::varchar[] as relations, {drawn_sql("id", f"'{seed + 1}'")} % 3 + 1 as want from n order by {drawn_sql("id", f"'{seed}'")}, id limit (select count(*) // 4 from n)), """ + ", ".join(map(hop, range(3)))
+
+
+def walked(spark, sf, seed: int = 3):
+    """Walks from a quarter of the live nodes."""
     g = load(spark, sf, ["CUSTOMER", "NATION", "REGION"], ["IN_NATION", "IN_REGION"])
-    return dataset.pairs(g, dataset.random_walks(g, 40, 3))
+    return g, dataset.random_walks(g, g.live.count() // 4, seed)
+
+
+STEP = """'{"step_id":"s' || i || '","op":"TRAVERSE","args":{"node":"$b' || (i - 1) || '","rel":"' || relations[i] || '","direction":"out"},"output_binding":"$b' || i || '","depends_on":["s' || (i - 1) || '"]}'"""
+
+
+@query(f"""with {walks_sql(3)}, p as (select w.walk, len(relations) as k, relations, case when len(relations) > 0 then 'how is ' || w.label || ' related to ' || b.label || '?' else 'what is ' || w.label || '?' end as query from w3 w join n b on b.id = w.path[-1])
+select walk, query, '{{"steps":[' || array_to_string(list_concat(['{{"step_id":"s0","op":"SELECT_BY_ID","args":{{"id":"' || walk || '"}},"output_binding":"$b0","depends_on":[]}}'], list_transform(range(1, k + 1), lambda i: {STEP}),
+['{{"step_id":"s' || (k + 1) || '","op":"ASSERT","args":{{"claim":"' || query || '","sources":"$b' || k || '","confidence_threshold":0.6}},"output_binding":"$b' || (k + 1) || '","depends_on":["s' || k || '"]}}']), ',') || ']}}' as plan from p""")
+def dataset_pairs(spark, sf):
+    return dataset.pairs(*walked(spark, sf))
\ No newline at end of file

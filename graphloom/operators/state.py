@@ -24,3 +24,11 @@ def settled(df: DataFrame) -> DataFrame:
     """df computed once and kept below the shared folder."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def newest(spark: SparkSession, folder: str, marker: str = "_SUCCESS") -> int:
+    """The greatest number n of the folders g<n> below folder that hold the marker, as whole writes do; 0 if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath() for s in fs.listStatus(path(folder))] if fs.exists(path(folder)) else []
+    return max((int(p.getName()[1:]) for p in names if p.getName()[1:].isdigit() and fs.exists(path(p, marker))), default=0)

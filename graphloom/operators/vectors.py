@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import cosine, dot
 from ..graph import Graph
+from .state import newest
 
 #: Cells at most, and vectors that they are trained on at most.
 CELLS, SAMPLE = 4096, 200_000
@@ -64,21 +65,13 @@ class VectorIndex:
     def __init__(self, spark: SparkSession, root: str, dimensions: int):
         self.spark, self.root, self.dimensions = spark, root.rstrip("/"), dimensions
 
-    def _versions(self) -> list[int]:
-        """Versions with whole tables of cells: a folder's names are few."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
-        whole = [p for p in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "centres/_SUCCESS"))]
-        return [int(p.getName()[1:]) for p in whole if p.getName()[1:].isdigit()]
-
     def version(self) -> int:
-        """The newest version, 0 if there is none."""
-        return max(self._versions(), default=0)
+        """The newest version whose table of cells is whole, 0 if there is none."""
+        return newest(self.spark, self.root, "centres/_SUCCESS")
 
     def _table(self, name: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/v{self.version()}/{name}")
+            return self.spark.read.schema(schema).parquet(f"{self.root}/g{self.version()}/{name}")
         except Exception as e:  # the first add of a version
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -103,15 +96,15 @@ class VectorIndex:
             centres = [c.tolist() for c in model.clusterCenters()]
         else:
             centres = [r["u"] for r in sample.select("u").collect()] or [[0.0] * self.dimensions]
-        self.spark.createDataFrame(list(enumerate(centres)), CENTRES).coalesce(1).write.parquet(f"{self.root}/v{self.version() + 1}/centres")
+        self.spark.createDataFrame(list(enumerate(centres)), CENTRES).coalesce(1).write.parquet(f"{self.root}/g{self.version() + 1}/centres")
 
     def _centres(self) -> np.ndarray:
-        rows = self.spark.read.schema(CENTRES).parquet(f"{self.root}/v{self.version()}/centres").orderBy("cell").collect()  # CELLS at most
+        rows = self.spark.read.schema(CENTRES).parquet(f"{self.root}/g{self.version()}/centres").orderBy("cell").collect()  # CELLS at most
         return np.array([r["centre"] for r in rows])
 
     def _append(self, rows: DataFrame) -> None:
         """One segment of rows (id, embedding, u)."""
-        centres, folder, segment = self._centres(), f"{self.root}/v{self.version()}", uuid.uuid4().hex
+        centres, folder, segment = self._centres(), f"{self.root}/g{self.version()}", uuid.uuid4().hex
         square = (centres**2).sum(1)
 
         def place(it):

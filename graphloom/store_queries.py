@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from .functions import tables
-from .operators import asof, retrieval, statistics, vectors
+from .operators import asof, retrieval, statistics, storage, vectors
 from .operators.state import shared_root
 from .queries import SCORED, conf, first_vector, live, live_edge, one_of, query
 from .sources import sqlite, transcripts
-from .sources.tables import load, table
+from .sources.store import GraphStore
+from .sources.tables import AS_OF, load, table
 from .streaming import turns
 
 
@@ -190,3 +191,22 @@ def statistics_report(spark, sf):
     both = told.alias("t").join(exact.alias("x"), F.col("t.name").eqNullSafe(F.col("x.name")) & F.col("t.week").eqNullSafe(F.col("x.week")))
     median = F.col("quantiles")[0]
     return both.select("t.name", "t.week", "n", F.round("confidence_avg", 6).alias("confidence_avg"), (F.abs(F.col("distinct_keys") - F.col("users")) <= 1 + F.col("users") * 0.08).alias("distinct_near"), ((median >= F.col("near")[0]) & (median <= F.col("near")[1])).alias("median_near"))
+
+
+# Versions
+
+
+@query(f"""select 'customer:' || c_custkey as id, (1 + (c_custkey % 3 = 0)::int + (c_custkey % 7 = 0)::int)::int as version, {live('c_custkey')} is false or c_custkey % 5 = 0 as deprecated,
+round(case when c_custkey % 7 = 0 then 0.2 when c_custkey % 3 = 0 then 0.1 else {conf('c_custkey')} end, 4) as confidence from customer""")
+def store_generations(spark, sf):
+    """Customers stored, updated, deprecated, compacted, and some updated again."""
+    store, g = GraphStore(spark, scratch(spark, "store")), load(spark, sf, ["CUSTOMER"])
+    key = F.substring("id", 10, 20).cast("long")
+    changed = lambda every, value: g.nodes.where(key % every == 0).select("id", F.lit(value).alias("confidence"))
+    store.add("nodes", g.nodes)
+    store.add("nodes", storage.update_nodes(store.current("nodes"), changed(3, 0.1), AS_OF))
+    store.compact("nodes")
+    store.add("nodes", storage.deprecate(store.current("nodes"), g.nodes.where(key % 5 == 0)))
+    store.compact("nodes")
+    store.add("nodes", storage.update_nodes(store.current("nodes"), changed(7, 0.2), AS_OF))
+    return store.current("nodes").select("id", "version", "deprecated", F.round("confidence", 4).alias("confidence"))

@@ -37,14 +37,14 @@ class Workspace:
         found = files.read_files(self.spark, path)
         symbols = files.python_symbols(found)
         nodes = files.file_nodes(found).unionByName(files.function_nodes(symbols))
-        seen = self.store.read("nodes").groupBy("id").agg(F.max("version").alias("seen"))
+        seen = self.store.current("nodes").select("id", F.col("version").alias("seen"))
         self.store.add("nodes", nodes.join(seen, "id", "left").withColumn("version", F.coalesce(F.col("seen") + 1, F.lit(1))))
         self.store.add("contents", files.contents(found))
         self.store.add("provenance", found.select(F.concat(F.lit("file:"), "path").alias("id"), F.lit("file").alias("source_type"), F.col("path").alias("source_uri"), F.lit("files").alias("extracted_by"), F.lit(as_of).alias("extracted_at"), F.lit("trusted").alias("trust_level")))
         self.store.add("uncertainty", files.file_nodes(found).select(F.col("id").alias("node_id"), "confidence", F.lit(1.0).alias("coverage"), F.lit(1.0).alias("freshness_score"), F.lit(as_of).alias("last_verified")))
         live = self.graph.live.where(F.col("type_id").isin("CODE_FILE", "DOC", "CONFIG", "FUNCTION"))
         edges = files.defines(symbols).unionByName(files.imports(symbols, found)).unionByName(files.similar_to(live, similar))
-        known = self.store.read("edges").select("id")
+        known = self.store.current("edges").select("id")
         self.store.add("edges", edges.dropDuplicates(["id"]).join(known, "id", "left_anti").withColumns({"directional": F.lit(True), "version": F.lit(1), "created_at": F.lit(as_of)}))
 
     def converse(self, turns: DataFrame, as_of: datetime) -> None:

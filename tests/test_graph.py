@@ -359,10 +359,10 @@ def test_vector_index_life_cycle(spark, tmp_path):
     assert found.total == 301 and found.vectors < 150  # the bounds leave far cells unread
     near = index.search(vectors["n1"], 5, share=0.1)
     assert [r["id"] for r in near.hits.collect()] == [i for i, _ in every(vectors["n1"], 5)] and near.codes < 90 and near.vectors <= 40
-    segment = next(p for p in (tmp_path / "index/v1/vectors").iterdir() if p.is_dir())
+    segment = next(p for p in (tmp_path / "index/g1/vectors").iterdir() if p.is_dir())
     shutil.copytree(segment, segment.with_name("segment=lost"))  # an add that was lost on the way
     assert index.load().count() == 301
-    (tmp_path / "index" / "v2").mkdir()  # a rebuild that was lost
+    (tmp_path / "index" / "g2").mkdir()  # a rebuild that was lost
     assert index.version() == 1
     g.index = index
     through = retrieval.select_approx(g, F.array(*map(F.lit, vectors["n1"])), 4, 0.3)

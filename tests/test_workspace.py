@@ -52,3 +52,31 @@ def test_conversations_are_embedded_and_refer(spark, tmp_path):
     assert w.graph.nodes.where("type_id in ('CONVERSATION_TURN', 'SESSION') and embedding is null").count() == 0
     like = turn_embedding(F.lit("user"), F.lit(said))
     assert [r["id"] for r in conversations.semantic_turns(w.graph, like, "s").collect()] == ["turn:t:0:user"]
+
+
+def test_generations(spark, tmp_path):
+    """Compacted rows that later ones don't touch aren't ranked; what was lost on the way doesn't count."""
+    from graphloom.model import NODE_COLUMNS
+    from graphloom.sources.store import GraphStore
+
+    row = lambda i, version, deprecated=False, kind="DOC": (i, kind, i, None, "{}", None, 0.9, version, NOW, NOW, None, deprecated, "p")
+    rows = lambda *r: spark.createDataFrame(list(r), NODE_COLUMNS)
+    told = lambda: {(r["id"], r["version"], r["deprecated"]) for r in store.current("nodes").collect()}
+    store = GraphStore(spark, f"file://{tmp_path}/g")
+    assert told() == set() and store.read("edges").count() == 0
+    store.add("nodes", rows(*(row(f"n{i}", 1, kind="DOC" if i % 2 else "RULE") for i in range(40))))
+    store.add("nodes", rows(row("n1", 2)))
+    before = told()
+    store.compact("nodes")
+    assert store.generation("nodes") == 1 and told() == before == {(f"n{i}", 1 + (i == 1), False) for i in range(40)}
+    store.add("nodes", rows(row("n1", 3), row("n2", 1, True), row("new", 1)))
+    store.add("nodes", rows(row("n3", 0)))  # older than what is compacted
+    assert told() == (before - {("n1", 2, False), ("n2", 1, False)}) | {("n1", 3, False), ("n2", 1, True), ("new", 1, False)}
+    plan = store.current("nodes")._jdf.queryExecution().optimizedPlan().toString()
+    untouched, ranked = plan[: plan.index("Window")], plan[plan.index("Window") :]
+    assert "LeftAnti" in untouched and "LeftSemi" in ranked
+    (tmp_path / "g/nodes/base/g2").mkdir()  # a compaction that was lost
+    assert store.generation("nodes") == 1 and store.read("nodes").count() == 45
+    (tmp_path / "g/nodes/base/g2").rmdir()
+    store.compact("nodes")
+    assert store.generation("nodes") == 2 and ("n1", 3, False) in told() and len(told()) == 41

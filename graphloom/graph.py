@@ -34,7 +34,8 @@ class TypeSource:
 @dataclass
 class Graph:
     """nodes and edges as in model; the other tables may be missing. sources: of the types that have typed rows. index:
-    a VectorIndex that similarity searches go through, all embedded nodes if there is none."""
+    a VectorIndex that similarity searches go through, all embedded nodes if there is none; adjacency: the edges stored
+    by endpoint, which navigation reads instead of edges if they are there."""
 
     nodes: DataFrame
     edges: DataFrame
@@ -43,6 +44,7 @@ class Graph:
     schema: Schema = field(default_factory=lambda: DEFAULT_SCHEMA)
     sources: dict[str, TypeSource] = field(default_factory=dict)
     index: object | None = None
+    adjacency: object | None = None
 
     @property
     def live(self) -> DataFrame:

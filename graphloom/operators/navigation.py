@@ -6,6 +6,7 @@ and a lost executor costs one hop at most.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,16 +16,19 @@ from ..graph import Graph, Nodes
 from .state import settled
 
 
-def hops(g: Graph, relations: list[str] | None, direction: str) -> DataFrame:
-    """Live edges as (near, far, edge); an edge appears in each direction asked for."""
+def hops(g: Graph, relations: list[str] | None, direction: str, ids: list[str] | None = None) -> DataFrame:
+    """Live edges as (near, far, edge); an edge appears in each direction asked for. ids: those of these near ends alone."""
+    if direction not in ("out", "in", "both"):
+        raise ValueError(f"bad direction: {direction}")
+    if g.adjacency is not None:
+        return g.adjacency.edges(direction, relations, ids)
     e = g.live_edges
     if relations:
         e = e.where(F.col("type_id").isin(list(relations)))
     out = e.select(F.col("source").alias("near"), F.col("target").alias("far"), F.col("id").alias("edge"))
     back = e.select(F.col("target").alias("near"), F.col("source").alias("far"), F.col("id").alias("edge"))
-    if direction not in ("out", "in", "both"):
-        raise ValueError(f"bad direction: {direction}")
-    return {"out": lambda: out, "in": lambda: back, "both": lambda: out.unionByName(back)}[direction]()
+    chosen = {"out": lambda: out, "in": lambda: back, "both": lambda: out.unionByName(back)}[direction]()
+    return chosen if ids is None else chosen.where(F.col("near").isin(ids))
 
 
 def traverse(g: Graph, seeds: Nodes, relation: str, direction: str = "out") -> Nodes:
@@ -33,40 +37,55 @@ def traverse(g: Graph, seeds: Nodes, relation: str, direction: str = "out") -> N
     return Nodes(far.join(g.live, "id"))
 
 
-#: A frontier of at most so many ids is sent to the edges; a larger one is joined by shuffle.
-SMALL_FRONTIER = 100_000
+#: A frontier of at most so many ids is sent to the edges; a larger one is joined by shuffle. One of at most FEW is named in
+#: the filter of the edges' scan.
+SMALL_FRONTIER, FEW = 100_000, 500
 
 
-def level(ids: DataFrame) -> tuple[DataFrame, int]:
-    """One level of a search: its ids computed once, ready for joins, and how many they are."""
-    ids = settled(ids)
-    n = ids.count()
-    return (F.broadcast(ids) if n <= SMALL_FRONTIER else ids), n
+@dataclass(frozen=True)
+class Level:
+    """One level of a search: its ids computed once, ready for joins, how many they are, and their names if few."""
 
+    ids: DataFrame
+    n: int
+    few: list[str] | None
 
-def search(g: Graph, start: DataFrame, relations: list[str] | None, max_hops: int, direction: str, target: str | None = None, walked: list[DataFrame] | None = None) -> list[DataFrame]:
-    """The breadth-first levels (id), the start first, up to the one that holds the target. walked gets the edges
-    (near, far) out of each level.
+    @classmethod
+    def of(cls, ids: DataFrame) -> Level:
+        ids = settled(ids)
+        few = [r["id"] for r in ids.limit(FEW + 1).collect()]
+        n = len(few) if len(few) <= FEW else ids.count()
+        return cls(F.broadcast(ids) if n <= SMALL_FRONTIER else ids, n, few if n <= FEW else None)
 
-    The frontier meets the edges before anything is made distinct; levels are kept apart, so none is written twice.
-    """
-    near = hops(g, relations, direction).select("near", "far")
-    levels = [level(start.select("id").distinct())[0]]
+    def edges(self, g: Graph, relations: list[str] | None, direction: str) -> DataFrame:
+        """Edges (near, far) out of the level's nodes."""
+        if self.few is not None:
+            return hops(g, relations, direction, self.few).select("near", "far")
+        return hops(g, relations, direction).select("near", "far").join(self.ids.withColumnRenamed("id", "near"), "near", "left_semi")
+
+
+def next_level(g: Graph, levels: list[Level], relations: list[str] | None, direction: str, walked: list[DataFrame] | None = None) -> Level:
+    """The nodes one hop on that no level holds. The frontier meets the edges before anything is made distinct; levels are
+    kept apart, so none is written twice. walked gets the edges (near, far) out of the last level."""
+    step = levels[-1].edges(g, relations, direction)
+    if walked is not None:
+        step = settled(step.distinct())
+        walked.append(step)
+    new = step.select(F.col("far").alias("id")).distinct()
+    for seen in levels:
+        new = new.join(seen.ids, "id", "left_anti")
+    return Level.of(new)
+
+
+def search(g: Graph, start: DataFrame, relations: list[str] | None, max_hops: int, direction: str) -> list[DataFrame]:
+    """The breadth-first levels (id), the start first."""
+    levels = [Level.of(start.select("id").distinct())]
     while len(levels) <= max_hops:
-        step = near.join(levels[-1].withColumnRenamed("id", "near"), "near", "left_semi")
-        if walked is not None:
-            step = settled(step.distinct())
-            walked.append(step)
-        step = step.select(F.col("far").alias("id")).distinct()
-        for seen in levels:
-            step = step.join(seen, "id", "left_anti")
-        new, n = level(step)
-        if not n:
+        new = next_level(g, levels, relations, direction)
+        if not new.n:
             break
         levels.append(new)
-        if target is not None and not new.where(F.col("id") == target).isEmpty():
-            break
-    return levels
+    return [x.ids for x in levels]
 
 
 def expand(g: Graph, seeds: Nodes, relations: list[str] | None = None, max_hops: int = 2, direction: str = "out") -> Nodes:
@@ -80,8 +99,8 @@ def expand(g: Graph, seeds: Nodes, relations: list[str] | None = None, max_hops:
 def path_find(g: Graph, source: str, target: str, relations: list[str] | None = None, max_hops: int = 6, mode: str = "shortest") -> DataFrame:
     """Paths along out-edges, as rows (path). source = target gives [[source]].
 
-    mode "shortest": all simple shortest paths, the documented contract. Backward pruning keeps
-    to nodes on such a path: forward depths first, then paths from the target.
+    mode "shortest": all simple shortest paths, the documented contract: levels from both ends until they meet, then
+    paths out of the nodes where they do, along the edges walked, so no path is begun that doesn't arrive.
     mode "last_hop": as the reference's search behaves, with the smallest id where it takes whichever
     parent it found first: one path for each live edge into the target from a node of the level before
     it, and of the levels after that as long as each finds the target again.
@@ -94,14 +113,24 @@ def path_find(g: Graph, source: str, target: str, relations: list[str] | None =
     start = spark.createDataFrame([(source,)], "id string")
     if mode == "last_hop":
         return last_hops(g, start, target, relations, max_hops)
-    walked: list[DataFrame] = []
-    levels = search(g, start, relations, max_hops, "out", target, walked)
-    if levels[-1].where(F.col("id") == target).isEmpty():
-        return spark.createDataFrame([], "path array<string>")
-    paths = spark.createDataFrame([([target], target)], "path array<string>, head string")
-    for edges in reversed(walked[: len(levels) - 1]):
-        paths = settled(paths.join(edges, F.col("head") == F.col("far")).select(F.concat(F.array("near"), "path").alias("path"), F.col("near").alias("head")))
-    return paths.select("path")
+    # From both ends, on the side with fewer nodes to open, until a level of one meets the last one of the other.
+    sides = {"out": [Level.of(start)], "in": [Level.of(spark.createDataFrame([(target,)], "id string"))]}
+    walked: dict[str, list[DataFrame]] = {"out": [], "in": []}
+    while True:
+        way = min(sides, key=lambda w: sides[w][-1].n)
+        new = next_level(g, sides[way], relations, way, walked[way]) if len(walked["out"]) + len(walked["in"]) < max_hops else None
+        if new is None or not new.n:
+            return spark.createDataFrame([], "path array<string>")
+        sides[way].append(new)
+        met = settled(sides["out"][-1].ids.join(sides["in"][-1].ids, "id", "left_semi"))
+        if not met.isEmpty():
+            break
+    paths = met.select(F.array("id").alias("path"))
+    for edges in reversed(walked["out"]):
+        paths = settled(paths.join(edges, F.element_at("path", 1) == F.col("far")).select(F.concat(F.array("near"), "path").alias("path")))
+    for edges in reversed(walked["in"]):  # near is the end that is nearer the target
+        paths = settled(paths.join(edges, F.element_at("path", -1) == F.col("far")).select(F.concat("path", F.array("near")).alias("path")))
+    return paths
 
 
 def last_hops(g: Graph, start: DataFrame, target: str, relations: list[str] | None, max_hops: int) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -14,6 +16,8 @@ from .functions import vector
 from .functions.properties import number, text
 from .graph import Graph, Nodes
 from .operators import conversations, dataset, events, lists, meta, navigation, reasoning, retrieval, storage
+from .operators.adjacency import Adjacency
+from .operators.state import shared_root
 from .plans import catalog, verify
 from .plans.executor import Executor
 from .plans.plan import Plan, default_plan
@@ -50,6 +54,14 @@ def live_edge(key: str) -> str:
 ASOF = "timestamp '2024-01-31'"
 
 
+def stored_edges(spark, sf: str, g: Graph, relations: list[str]) -> Adjacency:
+    """The tables' edges of these relations by endpoint, stored once in a session."""
+    name = "edges_" + hashlib.md5("|".join([sf, *relations]).encode()).hexdigest()
+    if spark.catalog.tableExists(f"{name}_back"):
+        return Adjacency(spark, f"{name}_out", f"{name}_back")
+    return Adjacency.store(g.edges, name, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}", 2 * spark.sparkContext.defaultParallelism)
+
+
 def ids(nodes: Nodes) -> DataFrame:
     return nodes.df.select("id")
 
@@ -169,6 +181,7 @@ h1 as (select distinct t as id from e join seed on s = id), h2 as (select distin
 select id from (select id from h1 union select id from h2) where id in (select 'part:' || p_partkey from part where {live('p_partkey')} union all select 'supplier:' || s_suppkey from supplier where {live('s_suppkey')})""")
 def expand_2hop(spark, sf):
     g = load(spark, sf, ["ORDER", "PART", "SUPPLIER"], ["HAS_PART", "SUPPLIED_BY"])
+    g.adjacency = stored_edges(spark, sf, g, ["HAS_PART", "SUPPLIED_BY"])
     return ids(navigation.expand(g, retrieval.select_exact(g, "ORDER", "o_custkey", 7), max_hops=2))
 
 
@@ -186,9 +199,10 @@ o as (select distinct 'part:' || l_partkey as p from lineitem where l_orderkey =
 select 'order:1>' || e.p || '>' || e.s || '>nation:' || s_nationkey as path from o join e using (p) join supplier on 'supplier:' || s_suppkey = e.s where {live_edge('s_suppkey')} and s_nationkey = (select min(s_nationkey) from o join e using (p) join supplier on 'supplier:' || s_suppkey = e.s where {live_edge('s_suppkey')})""")
 def path_find(spark, sf):
     g = load(spark, sf, ["ORDER", "PART", "SUPPLIER", "NATION"], ["HAS_PART", "SUPPLIED_BY", "IN_NATION"])
-    near = navigation.hops(g, None, "out").select("near", "far")
-    suppliers = near.where("near = 'order:1'").select(F.col("far").alias("p")).join(near, F.col("p") == F.col("near")).select(F.col("far").alias("s"))
-    nation = suppliers.join(near, F.col("s") == F.col("near")).agg(F.min(F.substring("far", 8, 9).cast("int")).alias("n")).first()["n"]
+    g.adjacency = stored_edges(spark, sf, g, ["HAS_PART", "SUPPLIED_BY", "IN_NATION"])
+    parts = navigation.hops(g, ["HAS_PART"], "out", ["order:1"]).select(F.col("far").alias("p"))
+    suppliers = navigation.hops(g, ["SUPPLIED_BY"], "out").join(F.broadcast(parts), F.col("near") == F.col("p")).select(F.col("far").alias("s"))
+    nation = navigation.hops(g, ["IN_NATION"], "out").join(F.broadcast(suppliers.distinct()), F.col("near") == F.col("s")).agg(F.min(F.substring("far", 8, 9).cast("int")).alias("n")).first()["n"]  # of one order's parts
     return navigation.path_find(g, "order:1", f"nation:{nation}").select(F.array_join("path", ">").alias("path"))
 
 

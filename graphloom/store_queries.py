@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from .functions import tables
-from .operators import asof, retrieval, statistics, storage, vectors
+from .operators import asof, dataset, events, retrieval, statistics, storage, vectors
 from .operators.state import shared_root
-from .queries import SCORED, conf, first_vector, live, live_edge, one_of, query
-from .sources import sqlite, transcripts
+from .queries import SCORED, conf, first_vector, live, live_edge, query, walked, walks_sql
+from .sources import files, jsonl, sqlite, transcripts
 from .sources.store import GraphStore
 from .sources.tables import AS_OF, load, table
 from .streaming import turns
@@ -210,3 +210,59 @@ def store_generations(spark, sf):
     store.compact("nodes")
     store.add("nodes", storage.update_nodes(store.current("nodes"), changed(7, 0.2), AS_OF))
     return store.current("nodes").select("id", "version", "deprecated", F.round("confidence", 4).alias("confidence"))
+
+
+# Directories and datasets
+
+
+@query("select s_suppkey, 'DOC' as type_id, 'text' as format, sha256(s_name || chr(10)) as hash from supplier")
+def directory_walk(spark, sf):
+    """A folder with a text for each supplier, in folders of their own, beside folders that are passed over and files of
+    unknown kinds; what the walk finds."""
+    root, s = scratch(spark, "project"), table(spark, sf, "supplier")
+    s.select("s_suppkey", "s_name").write.partitionBy("s_suppkey").text(f"{root}/docs")
+    for name in ("node_modules", "docs/build", "__pycache__"):
+        s.select("s_name").coalesce(1).write.text(f"{root}/{name}")
+    s.select("s_suppkey").coalesce(1).write.parquet(f"{root}/tables")
+    found = files.contents(files.read_files(spark, root)).select("source_uri", "format", "hash")
+    kinds = files.read_files(spark, root).select(F.col("path").alias("source_uri"), "type_id")
+    return found.join(kinds, "source_uri").select(F.regexp_extract("source_uri", r"^docs/s_suppkey=(\d+)/part-", 1).cast("long").alias("s_suppkey"), "type_id", "format", "hash")
+
+
+@query(f"with {walks_sql(5)} select case when len(relations) > 0 then 'how is ' || w.label || ' related to ' || b.label || '?' else 'what is ' || w.label || '?' end as query, (len(relations) + 2)::int as steps from w3 w join n b on b.id = w.path[-1]")
+def pairs_jsonl(spark, sf):
+    """Pairs of queries and plans written as JSON Lines and read back."""
+    path = f"{scratch(spark, 'pairs')}/lines"
+    jsonl.write_pairs(dataset.pairs(*walked(spark, sf, 5)), path)
+    return spark.read.schema("query string, plan struct<steps: array<struct<step_id: string>>>").json(path).select("query", F.size("plan.steps").alias("steps"))
+
+
+# Revisions and outcomes
+
+
+@query("""with c as (select 'challenge:' || event_id as c, 'event:' || event_id as e, 'outcome:' || event_id as o, 'revision:' || event_id as r, value from events where event_type = 'error')
+select c as source, 'CHALLENGED_BY' as relation, e as target, 'resolved' as status from c union all select r, 'SUPERSEDES', e, case when value > 100 then 'promoted' else 'rejected' end from c union all select c, 'RESOLVED_TO', o, case when value > 100 then 'override' else 'defer' end from c""")
+def write_arbitration(spark, sf):
+    """Errors challenged, revised and arbitrated: the three edges, each with its record's status after the outcome."""
+    e = table(spark, sf, "events").where("event_type = 'error'").withColumn("at", F.col("ts").cast("timestamp_ntz"))
+    name = lambda kind: F.concat(F.lit(f"{kind}:"), F.col("event_id").cast("string"))
+    event, challenge, revision, outcome, high = name("event"), name("challenge"), name("revision"), name("outcome"), F.col("value") > 100
+    sure = F.least(F.lit(1.0), F.col("value") / 200)
+    challenges = events.record(e, "ARC_CHALLENGE", {"target_node_id": event, "challenge_type": F.lit("contradiction"), "evidence": F.col("props"), "arc_confidence": sure, "ecl_status": F.lit("pending")}, challenge, F.col("at"))
+    revisions = events.record(e, "ARC_REVISION", {"original_node_id": event, "proposed_content": F.col("props"), "revision_type": F.lit("update"), "arc_confidence": sure, "status": F.lit("proposed")}, revision, F.col("at"))
+    outcomes = events.record(e, "ARBITRATION_OUTCOME", {"outcome": F.when(high, "override").otherwise("defer"), "challenger_id": challenge, "challenged_id": event, "ecl_confidence": sure, "reason": F.lit("value")}, outcome, F.col("at"))
+    edges = [events.relation(e, challenge, event, "CHALLENGED_BY", F.col("at")), events.relation(e, revision, event, "SUPERSEDES", F.col("at")), events.relation(e, challenge, outcome, "RESOLVED_TO", F.col("at"))]
+    store = GraphStore(spark, scratch(spark, "arbitration"))
+    for nodes in (challenges, revisions, outcomes):
+        store.add("nodes", nodes)
+    for rows in edges:
+        store.add("edges", rows)
+    store.compact("nodes")
+    won = e.select(revision.alias("id"), F.when(high, "promoted").otherwise("rejected").alias("to"))
+    now = store.current("nodes")
+    store.add("nodes", events.set_property(now.where("type_id = 'ARC_CHALLENGE'"), "ecl_status", F.lit("resolved"), AS_OF))
+    store.add("nodes", events.set_property(now.where("type_id = 'ARC_REVISION'").join(won, "id"), "status", F.col("to"), AS_OF).drop("to"))
+    p = F.col("properties")
+    status = store.current("nodes").select("id", F.coalesce(F.get_json_object(p, "$.outcome"), F.get_json_object(p, "$.status"), F.get_json_object(p, "$.ecl_status")).alias("status"))
+    told = store.current("edges").withColumn("of", F.when(F.col("type_id") == "RESOLVED_TO", F.col("target")).otherwise(F.col("source")))
+    return told.join(status, told.of == status.id).select("source", F.col("type_id").alias("relation"), "target", "status")

@@ -370,3 +370,51 @@ def test_vector_index_life_cycle(spark, tmp_path):
     index.root += "-new"
     index.rebuild(g)
     assert index.load().count() == 300 and index.version() == 1
+
+
+def test_stored_edges_are_walked_alike(spark, tmp_path, monkeypatch):
+    """Navigation over bucketed tables: the same results from few nodes and from many, and edges that aren't shuffled."""
+    import random
+
+    from graphloom.operators.adjacency import Adjacency
+
+    rng = random.Random(8)
+    nodes = [f"v{i}" for i in range(60)]
+    made = [edge(*rng.sample(nodes, 2), rng.choice("RS"), nth=k, deprecated=rng.random() < 0.1) for k in range(150)]
+    g = graph(spark, [node(i) for i in nodes], made)
+    stored = replace(g, adjacency=Adjacency.store(g.edges, "walked_alike", f"file://{tmp_path}/a", 4))
+    seeds = lambda x: retrieval.select_by_id(x, "v1")
+
+    def told(x):
+        paths = [sorted(map(str, navigation.path_find(x, "v1", t, mode=m).collect())) for t in ("v2", "v30", "v1", "none") for m in ("shortest", "last_hop")]
+        near = [sorted(r["id"] for r in navigation.expand(x, seeds(x), rel, 3, way).df.collect()) for rel in (None, ["R"]) for way in ("out", "in", "both")]
+        return paths, near, sorted(r["id"] for r in navigation.traverse(x, seeds(x), "R", "both").df.collect()), sorted(r["id"] for r in navigation.subgraph(x, "v1")[1].collect())
+
+    plain = told(g)
+    assert any(plain[0][0]) and told(stored) == plain
+    monkeypatch.setattr(navigation, "FEW", 0)
+    assert told(stored) == plain
+    monkeypatch.setattr(navigation, "SMALL_FRONTIER", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = navigation.Level.of(spark.range(50).select(F.concat(F.lit("v"), "id").alias("id"))).edges(stored, None, "out")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    edges, frontier = sorted(plan.split("SortMergeJoin")[1].split("Sort ")[1:], key=lambda side: "Exchange" in side)
+    assert "Exchange" not in edges and "Bucketed: true" in edges and "Exchange" in frontier
+    few = stored.adjacency.edges("out", None, ["v1"])._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount: 1 out of 4" in few
+
+
+def test_a_hubs_edges_are_numbered_in_pieces(spark, monkeypatch):
+    from graphloom.operators import dataset
+
+    monkeypatch.setattr(dataset, "NUMBERED", 50)
+    edges = spark.range(1000).select(F.when(F.col("id") < 900, "hub").otherwise(F.concat(F.lit("s"), F.col("id") % 10)).alias("source"), F.col("id").cast("string").alias("target"), F.lit("R").alias("relation"), F.concat(F.lit("e"), "id").alias("edge"))
+    numbered, degrees = dataset.numbered_edges(edges)
+    got: dict = {}
+    for r in numbered.collect():
+        got.setdefault(r["source"], []).append(r["nth"])
+    assert {s: len(n) for s, n in got.items()} == {r["source"]: r["degree"] for r in degrees.collect()} and len(got) == 11
+    assert all(sorted(n) == list(range(len(n))) for n in got.values())

@@ -73,4 +73,4 @@ def op13_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity_nnpu, op2_unigram_token_counts, op3_license_templates, op4_line_templates, op5_parity_sketch_join, op6_epsilon_grid_join, op7_bpe_forced_boundaries, op8_media_columns, op9_best_fit_packing, op10_crf_language_id, op11_embedding_whitening, op12_hash_suffix_dedup, op13_dual_tree_lloyd)}
 
-ORACLE_SQL = {"op4_line_templates": line_templates.ORACLE_SQL, "op5_parity_sketch_join": near_duplicates.ORACLE_SQL, "op6_epsilon_grid_join": embeddings.ORACLE_SQL, "op13_dual_tree_lloyd": centroids.oracle_sql()}
+ORACLE_SQL = {"op4_line_templates": line_templates.ORACLE_SQL, "op5_parity_sketch_join": near_duplicates.ORACLE_SQL, "op6_epsilon_grid_join": embeddings.ORACLE_SQL, "op12_hash_suffix_dedup": suffixes.ORACLE_SQL, "op13_dual_tree_lloyd": centroids.oracle_sql()}

@@ -454,3 +454,18 @@ def drop_repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds)), pa.array(np.diff(total)), spans, pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
     return arrow_map(both, run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
+
+
+ORACLE_SQL = """
+with t as (select doc_id, hex(encode(coalesce(text, ''))) as x, octet_length(encode(coalesce(text, ''))) as n from documents),
+s as (select doc_id, unnest(range(0, n - 49)) as i, x from t where n >= 50),
+w as (select doc_id, i, substr(x, 2 * i + 1, 100) as w from s),
+f as (select w, min(doc_id) as first from w group by w),
+g as (select doc_id, i from w join f using (w) where first < doc_id),
+r as (select doc_id, i, max(i) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding) as before from g),
+b as (select doc_id, i, sum(case when before is null or before + 50 < i then 1 else 0 end) over (partition by doc_id order by i) as k from r),
+p as (select doc_id, k, min(i) as lo, max(i) + 50 as hi from b group by doc_id, k),
+q as (select doc_id, lo, hi, coalesce(lag(hi) over (partition by doc_id order by k), 0) as prev from p),
+c as (select q.doc_id, count(*) as n_spans, sum(hi - lo) as n_removed, string_agg(substr(x, 2 * prev + 1, 2 * (lo - prev)), '' order by lo) as head, max(hi) as last from q join t using (doc_id) group by q.doc_id)
+select doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) as kept_sha256 from t left join c using (doc_id)
+"""

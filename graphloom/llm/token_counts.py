@@ -1,9 +1,9 @@
 """Count-only Viterbi segmentation by a unigram vocabulary.
 
 Per text only the number of pieces is wanted, so no lattice and no ids are kept. An
-Aho-Corasick automaton over the vocabulary lists every piece that ends at each
-character; dynamic programming carries two numbers per position, the best score and
-the pieces on that path. Ties go as in the unigram tokenizer: candidates at an end
+Aho-Corasick automaton over the vocabulary yields every piece that ends at each
+character in turn; dynamic programming carries two numbers per position, the best score and
+the pieces on that path, and keeps them for as many positions as a piece may be long. Ties go as in the unigram tokenizer: candidates at an end
 position are taken in order of their start, and only a strictly better score replaces
 one, so the longest of equals stays. A character that no piece of its own covers costs
 the vocabulary's lowest score less 10; neighbouring unknowns fuse, and with byte pieces
@@ -30,6 +30,8 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words whose counts a worker remembers before it starts anew.
 CACHE = 800_000
+#: Places that are let go of at once.
+KEPT = 4096
 
 
 class UnigramCounter:
@@ -48,7 +50,7 @@ class UnigramCounter:
             self.automaton.add_word(piece, (len(piece), score))
         if scores:
             self.automaton.make_automaton()
-        self.empty = not scores
+        self.empty, self.longest = not scores, max(map(len, scores), default=1)
         self.unknown = (min(scores.values(), default=0.0) if lowest is None else lowest) - UNKNOWN_PENALTY
         self.byte_pieces = byte_pieces
         pairs = [p for p in scores if any(b == MARK and a != MARK for a, b in zip(p, p[1:]))]
@@ -57,24 +59,37 @@ class UnigramCounter:
 
     def count_marked(self, text: str) -> int:
         """Pieces of a text in which spaces are marks already."""
-        n, lowest = len(text), float("-inf")
-        best, pieces, start = [lowest] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        unknown = [False] * (n + 1)
-        best[0] = 0.0
-        # Candidates of one end come from the automaton with the longest, so the earliest start, first.
-        ends = {} if self.empty else _by_end(self.automaton, text)
-        for end in range(1, n + 1):
-            single = False
-            for length, score in ends.get(end, ()):
-                total = best[end - length] + score
-                single |= length == 1
-                if total > best[end]:
-                    best[end], pieces[end], start[end], unknown[end] = total, pieces[end - length] + 1, end - length, False
-            if not single and (total := best[end - 1] + self.unknown) > best[end]:
-                fused = not self.byte_pieces and unknown[end - 1]
+        lowest = float("-inf")
+        # Of the places before `base`, which no piece reaches back to, nothing is kept.
+        best, pieces, unknown, base = [0.0], [0], [False], 0
+        found = iter(()) if self.empty else self.automaton.iter(text)
+        last, match = next(found, (-1, None))
+        for end in range(1, len(text) + 1):
+            score, count, fused_here, single = lowest, 0, False, False
+            here = end - base
+            if last + 1 == end:
+                matches = []
+                while last + 1 == end:
+                    matches.append(match)
+                    last, match = next(found, (-1, None))
+                if len(matches) > 1:
+                    matches.sort(reverse=True)  # the longest, so the earliest start, first
+                for length, worth in matches:
+                    total = best[here - length] + worth
+                    single |= length == 1
+                    if total > score:
+                        score, count = total, pieces[here - length] + 1
+            if not single and (total := best[here - 1] + self.unknown) > score:
+                fused = not self.byte_pieces and unknown[here - 1]
                 add = len(text[end - 1].encode("utf-8", "replace")) if self.byte_pieces else 0 if fused else 1
-                best[end], pieces[end], start[end], unknown[end] = total, pieces[end - 1] + add, end - 1, True
-        return pieces[n]
+                score, count, fused_here = total, pieces[here - 1] + add, True
+            best.append(score)
+            pieces.append(count)
+            unknown.append(fused_here)
+            if here >= KEPT + self.longest:
+                del best[:KEPT], pieces[:KEPT], unknown[:KEPT]
+                base += KEPT
+        return pieces[-1]
 
     def count(self, text: str | None) -> int:
         """Pieces of a whole text."""
@@ -117,16 +132,6 @@ class UnigramCounter:
         return n
 
 
-def _by_end(automaton, text: str) -> dict[int, list[tuple[int, float]]]:
-    out: dict[int, list[tuple[int, float]]] = {}
-    for last, match in automaton.iter(text):
-        out.setdefault(last + 1, []).append(match)
-    for matches in out.values():
-        if len(matches) > 1:
-            matches.sort(reverse=True)
-    return out
-
-
 @lru_cache(maxsize=2)
 def counter(path: str) -> UnigramCounter:
     """A counter over the pieces and scores of the sentencepiece model file at path."""

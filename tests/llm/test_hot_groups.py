@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import embeddings, near_duplicates, toxicity
+from graphloom.llm import embeddings, near_duplicates, token_counts, toxicity
+from graphloom.llm.queries import PIECES
 
 
 def test_repeated_rows_are_verified_once(spark, monkeypatch):
@@ -92,3 +93,18 @@ def test_scores_are_those_of_a_plain_fit(n, positives):
     ours = model.score(np.concatenate(pos + unl), first)
     plain = 1 / (1 + np.exp(-(x @ w + b)))
     assert np.mean((ours >= 0.5) == (plain >= 0.5)) > 0.97 and np.corrcoef(ours, plain)[0, 1] > 0.95
+
+
+def test_a_long_word_keeps_no_lattice():
+    """Counting a word of a million characters takes little more memory than the word."""
+    import tracemalloc
+
+    counter = token_counts.counter(PIECES)
+    rng = random.Random(3)
+    word = "".join(rng.choice("abcdefgh") for _ in range(300_000))
+    part = counter.count_marked(word[:2000])
+    tracemalloc.start()
+    n = counter.count_marked(word)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3 << 20 and 0.9 * part * 150 < n < 1.1 * part * 150

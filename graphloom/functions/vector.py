@@ -80,6 +80,10 @@ def _best(pairs: DataFrame, k: int, threshold: float, older: bool) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "other", "score")
 
 
+#: Ranges of seq at most: each is a literal of the plan, and large ones are cut into blocks anyway.
+RANGES = 64
+
+
 def nearest_older(vectors: DataFrame, k: int, threshold: float, block: int = 2048) -> DataFrame:
     """For every vector (id, seq, embedding) the k nearest among those of smaller seq, at or over the threshold.
 
@@ -88,7 +92,7 @@ def nearest_older(vectors: DataFrame, k: int, threshold: float, block: int = 204
     becomes a row of its own. Of equal seq the smaller id is older. Rows (id, older, score); ties go to the smaller id.
     """
     vectors = vectors.where("embedding is not null").select("id", "seq", "embedding")
-    n = max(1, -(-vectors.count() // block))
+    n = max(1, min(RANGES, -(-vectors.count() // block)))
     cuts = sorted(set(vectors.approxQuantile("seq", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
     ranged = vectors.withColumn("b", F.array_size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("seq"))) if cuts else F.lit(0))
     parts = ranged.groupBy("b").agg(F.ceil(F.count("*") / block).alias("parts"))

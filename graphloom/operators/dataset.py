@@ -76,8 +76,7 @@ def split(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
 
     Ranks come from counts per hash range, so no task sorts all rows.
     """
-    ranges = 4096
-    hashed = rows.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).withColumn("_r", F.pmod(F.shiftrightunsigned("_h", 52), F.lit(ranges)))
+    hashed = rows.withColumn("_h", drawn(F.col(key).cast("string"), F.lit(str(seed)))).withColumn("_r", F.shiftright("_h", 48))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over 4096 rows
     offsets = hashed.groupBy("_r").agg(F.count("*").alias("_n")).select("_r", before.alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_all"))
     nth = F.row_number().over(Window.partitionBy("_r").orderBy("_h", key)) + F.col("_before")

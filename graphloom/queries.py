@@ -879,16 +879,17 @@ def walk_invariants(spark, sf):
     return rows.agg(F.count("*").alias("walks"), F.bool_and(F.coalesce("alive", F.lit(False))).alias("from_live_nodes"), F.bool_and(F.col("off").isNull()).alias("along_edges"), F.bool_and((F.size("relations") <= 3) & (F.size("path") == F.size("relations") + 1)).alias("short"), F.bool_and(steps == F.size("relations") + 2).alias("plans_fit"))
 
 
-@query("with n as (select count(*) as n from orders) select 'train' as part, floor(n * 0.7)::bigint as n from n union all select 'val', floor(n * 0.15)::bigint from n union all select 'test', n - floor(n * 0.7)::bigint - floor(n * 0.15)::bigint from n")
-def dataset_split_counts(spark, sf):
-    return dataset.split(table(spark, sf, "orders"), "o_orderkey", 7).groupBy("part").agg(F.count("*").alias("n"))
-
-
-# The walks in SQL: the same draws, hop by hop.
 def drawn_sql(*parts: str) -> str:
     return f"('0x' || substr(md5({" || '|' || ".join(parts)}), 1, 15))::bigint"
 
 
+@query(f"""with n as (select count(*) as n from orders), o as (select o_orderkey, row_number() over (order by {drawn_sql("o_orderkey", "'7'")}, o_orderkey) as nth from orders)
+select o_orderkey, case when nth <= floor(n * 0.7) then 'train' when nth <= floor(n * 0.7) + floor(n * 0.15) then 'val' else 'test' end as part from o, n""")
+def dataset_split(spark, sf):
+    return dataset.split(table(spark, sf, "orders"), "o_orderkey", 7).select("o_orderkey", "part")
+
+
+# The walks in SQL: the same draws, hop by hop.
 def walks_sql(seed: int) -> str:
     hop = lambda k: f"""w{k + 1} as (select w.walk, w.label, case when e.target is null then w.path else list_append(w.path, e.target) end as path, case when e.target is null then w.relations else list_append(w.relations, e.relation) end as relations, want
 from w{k} w left join g d on d.source = w.path[-1] and len(w.path) = {k + 1} and want > {k} left join e on e.source = d.source and e.nth = {drawn_sql("walk", f"'{seed}'", f"'{k}'")} % d.degree)"""

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from graphloom import store_queries  # noqa: F401 (registers its queries)
 from graphloom.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

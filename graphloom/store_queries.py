@@ -51,10 +51,10 @@ def indexed(spark, sf):
     return g
 
 
-@query(f"with s as ({SCORED}) select 'vector:' || vec_id as id, round(score, 4) as score from s order by s.score desc, 'vector:' || vec_id limit 10")
+@query(f"with s as ({SCORED}) select 'vector:' || vec_id as id, round(score, 4) as score from s order by s.score desc, 'vector:' || vec_id limit 25")
 def vector_index(spark, sf):
-    """The ten nearest by an index, which reads the cells that may hold them."""
-    return indexed(spark, sf).index.query(first_vector(spark, sf), 10, exact=True).select("id", F.round("score", 4).alias("score"))
+    """The 25 nearest by an index, which reads the cells that may hold them."""
+    return indexed(spark, sf).index.query(first_vector(spark, sf), 25, exact=True).select("id", F.round("score", 4).alias("score"))
 
 
 @query("select 20 as queries, true as recall_reached, true as few_vectors_read")

@@ -41,4 +41,5 @@ class PythonSymbols:
 
 
 def register(spark: SparkSession) -> None:
-    spark.udtf.register("python_symbols", udtf(PythonSymbols, useArrow=True))
+    # Not by Arrow, which makes a table of its own for each row of a lateral join.
+    spark.udtf.register("python_symbols", udtf(PythonSymbols, useArrow=False))

@@ -24,6 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tasks for each core that `spread` deals rows to.
+WAVES = 4
+
+
+def spread(rows: DataFrame, *key: str) -> DataFrame:
+    """rows dealt by key over all cores: a file of one row group is read by one task, which would do all work on it."""
+    return rows.repartition(WAVES * rows.sparkSession.sparkContext.defaultParallelism, *key)
+
+
 def _nodes(df: DataFrame, type_id: str, key: Column, node_id: Column, label: Column, properties: dict[str, Column], at: Column | None = None, embedding: Column | None = None, prefix: str | None = None, number: str | None = None) -> TypeSource:
     """prefix, number: where an id is the prefix before that column."""
     at = F.lit(AS_OF).cast("timestamp_ntz") if at is None else at

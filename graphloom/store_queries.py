@@ -12,7 +12,7 @@ from .operators.state import shared_root
 from .queries import SCORED, conf, first_vector, live, live_edge, query, walked, walks_sql
 from .sources import files, jsonl, sqlite, transcripts
 from .sources.store import GraphStore
-from .sources.tables import AS_OF, load, table
+from .sources.tables import AS_OF, load, spread, table
 from .streaming import turns
 
 
@@ -142,7 +142,7 @@ def python_symbols_lateral(spark, sf):
     """A Python file for each part; its symbols by a table function in SQL."""
     tables.register(spark)
     texts = F.get(F.array(*map(F.lit, SHAPES)), F.col("p_partkey") % len(SHAPES))
-    table(spark, sf, "part").select("p_partkey", F.replace(texts, F.lit("#"), F.col("p_partkey").cast("string")).cast("binary").alias("content")).createOrReplaceTempView("python_files")
+    spread(table(spark, sf, "part").select("p_partkey"), "p_partkey").select("p_partkey", F.replace(texts, F.lit("#"), F.col("p_partkey").cast("string")).cast("binary").alias("content")).createOrReplaceTempView("python_files")
     return spark.sql("select p_partkey, s.kind, s.name, s.line, s.inside, s.is_async from python_files, lateral python_symbols(content, true) s")
 
 

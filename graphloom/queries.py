@@ -22,7 +22,7 @@ from .plans import catalog, verify
 from .plans.executor import Executor
 from .plans.plan import Plan, default_plan
 from .sources import files
-from .sources.tables import AS_OF, NODES, load, table
+from .sources.tables import AS_OF, NODES, load, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -478,6 +478,7 @@ def project(spark, sf) -> DataFrame:
     """A directory tree as files.read_files gives it: a Python file for each part, which imports its neighbours, a
     document for each nation, a settings file for each region."""
     p, n, r = (table(spark, sf, t) for t in ("part", "nation", "region"))
+    p = spread(p.select("p_partkey"), "p_partkey")
     key = F.col("p_partkey") + 1
     code = F.concat(F.lit("import pkg.m"), key - 1, F.lit("\nfrom m"), key + 1, F.lit(" import f\n\ndef f"), key, F.lit("():\n    def inner(): pass\n\nasync def g"), key, F.lit("(): pass\n"))
     made = [

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector
 from ..graph import NODE_NAMES
+from .tables import spread
 
 # What an extension is, its content format and language.
 EXTENSIONS = {
@@ -127,15 +128,16 @@ def imports(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """IMPORTS edges: a module a.b is the file a/b.py, else the first path, in order, that ends with b.py.
 
     Both are equi-joins: the ending is looked up by the text after every place it can begin,
-    so no pair of module and path is compared.
+    so no pair of module and path is compared. All sides are dealt over all cores: packed, they are so small that
+    adaptive execution would put very many rows in one task. An ending names a module, so it is longer than `.py`.
     """
-    wanted = symbols.where("kind = 'import'").select("path", "name").distinct().withColumn("exact", F.concat(F.replace("name", F.lit("."), F.lit("/")), F.lit(".py"))).withColumn("ending", F.concat(F.element_at(F.split("name", r"\."), -1), F.lit(".py")))
+    wanted = spread(symbols.where("kind = 'import'").select("path", "name"), "name").distinct().withColumn("exact", F.concat(F.replace("name", F.lit("."), F.lit("/")), F.lit(".py"))).withColumn("ending", F.concat(F.element_at(F.split("name", r"\."), -1), F.lit(".py")))
     py = files.where("language = 'python'").select(F.col("path").alias("target"))
-    found = wanted.join(py, wanted.exact == py.target, "left")
+    found = spread(wanted, "exact").join(spread(py, "target"), F.col("exact") == F.col("target"), "left")
     file_name = F.element_at(F.split("target", "/"), -1)
-    endings = py.select("target", F.explode(F.transform(F.sequence(F.lit(1), F.length(file_name)), lambda i: F.substr(file_name, i))).alias("ending"))
-    first = endings.groupBy("ending").agg(F.min("target").alias("fallback"))
-    resolved = found.join(first, "ending", "left").withColumn("to", F.coalesce("target", "fallback")).where("to is not null")
+    endings = py.select("target", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(file_name) - 3, F.lit(1))), lambda i: F.substr(file_name, i))).alias("ending"))
+    first = spread(endings, "ending").groupBy("ending").agg(F.min("target").alias("fallback"))
+    resolved = spread(found, "ending").join(first, "ending", "left").withColumn("to", F.coalesce("target", "fallback")).where("to is not null")
     return _edge(resolved, F.concat(F.lit("file:"), F.col("path")), F.concat(F.lit("file:"), F.col("to")), "IMPORTS", F.lit(0.9))
 
 

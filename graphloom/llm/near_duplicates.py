@@ -17,7 +17,7 @@ Equal sets meet first: keys carry the set's own hash, so copies count once. Cand
 are compared in rounds: each set first with one pivot of its key groups, then with
 another, and only what key groups hold across components so far with all the others,
 pruned by a bit sketch whose Hamming distance is a lower bound of the symmetric
-difference. What remains is verified on the whole sets.
+difference. What remains is verified on the whole sets, the last round's where they meet.
 
 Cases: null, empty and blank texts have no shingles and link with nothing; fewer than
 five words are one shingle; rows with equal ids are one vertex; a null id has a null
@@ -44,8 +44,8 @@ CELL_BITS, RANGES = 23, 64
 BUCKET_KEYS, FLUSH_KEYS = 3_000_000, 500_000
 #: Bits of the sketch that prunes candidates.
 SKETCH_BITS = 1024
-#: Sets of one part of a place where groups are compared.
-CELL_SETS = 1024
+#: Sets of one part of a place where groups are compared, and their shingles.
+CELL_SETS, CELL_SHINGLES = 1024, 2_000_000
 #: Seeds beside the first, and rounds in which a set meets one pivot.
 LEVELS, ROUNDS = 4, 2
 #: Bits of a table of wanted documents, at most.
@@ -438,19 +438,30 @@ def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return arrow_map(both.select("a", "b", "m", "x", "n", "y"), near, "a long, b long")
 
 
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets, sorted, link."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return 100 * both >= 80 * (len(x) + len(y) - both)
+
+
 def across(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets of different components that share a group and may link, by their sketches.
+    """Links (a, b) that join the components whose sets share a group and link.
 
     Groups with the same smallest set mostly hold the same sets. They are compared in one place, so that a set travels
     once for all of them and a pair of sets is looked at once. A place with many sets is split into a grid of cells
-    of 2 * CELL_SETS sets at most; pairs that sketches rule out never become rows.
+    of some 2 * CELL_SETS sets and 2 * CELL_SHINGLES shingles. Pairs are verified where they meet, unless a cell's links
+    have joined their components already, and a cell returns fewer links than it has sets: pairs never become rows.
     """
     pivots = groups.groupBy("g").agg(F.min("s").alias("p"))
     rows = groups.join(pivots, "g").groupBy("p", "s", "c").agg(F.collect_list("g").alias("gs"))  # the keys of one set
-    parts = rows.groupBy("p").agg(F.ceil(F.count("*") / CELL_SETS).alias("q"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("p", "q")
+    sized = rows.select("p", "s", "c").join(sets.select("s", "n"), "s")
+    parts = sized.groupBy("p").agg(F.greatest(F.ceil(F.count("*") / CELL_SETS), F.ceil(F.sum("n") / CELL_SHINGLES)).alias("q"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("p", "q")
     dealt = rows.join(parts, "p").withColumn("r", F.pmod(F.xxhash64("s"), F.col("q"))).withColumn("o", F.explode(F.expr("sequence(0L, q - 1)")))
-    cells = dealt.select("p", F.least("r", "o").alias("i"), F.greatest("r", "o").alias("j"), "r", "s", "c", "gs").join(sets.select("s", "n", "sketch"), "s")
-    placed = cells.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j").select("p", "i", "j", "r", "s", "c", "n", "sketch", "gs")
+    cells = dealt.select("p", F.least("r", "o").alias("i"), F.greatest("r", "o").alias("j"), "r", "s", "c", "gs").join(sets, "s")
+    placed = cells.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j").select("p", "i", "j", "r", "s", "c", "n", "sketch", "gs", "shingles")
 
     def compare(it):
         held: list[pa.RecordBatch] = []
@@ -472,11 +483,16 @@ def across(groups: DataFrame, sets: DataFrame) -> DataFrame:
                 share[np.ix_(member[x:y], member[x:y])] = True
             share &= (c[:, None] < c[None, :]) & ((side[:, None] != side[None, :]) | (i == j))
             share &= 4 * np.maximum(n[:, None], n[None, :]) <= 5 * np.minimum(n[:, None], n[None, :])
-            out = []
+            out, root = [], c.copy()
+            whole = [np.frombuffer(v.as_buffer(), U64) for v in t.column(9).combine_chunks()]
             for x in np.flatnonzero(share.any(1)):
-                y = np.flatnonzero(share[x])
-                y = y[9 * np.bitwise_count(lean[x] ^ lean[y]).sum(1, dtype=np.int64) <= n[x] + n[y]]
-                out += [(s[x], s[k]) for k in y if plausible(n[x], words[x], n[k], words[k])]
+                y = np.flatnonzero(share[x] & (root != root[x]))
+                apart = np.bitwise_count(lean[x] ^ lean[y]).sum(1, dtype=np.int64)
+                y, apart = (v[9 * apart <= n[x] + n[y]] for v in (y, apart))
+                for k in y[np.argsort(apart, kind="stable")]:
+                    if root[k] != root[x] and plausible(n[x], words[x], n[k], words[k]) and linked(whole[x], whole[k]):
+                        out.append((s[x], s[k]))
+                        root[root == root[k]] = root[x]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out)], names=["a", "b"])
 
@@ -501,12 +517,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for b in it:
             keep = np.zeros(b.num_rows, bool)
             for i in range(b.num_rows):
-                x, y = (np.frombuffer(b.column(c)[i].as_buffer(), U64) for c in (2, 3))
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                keep[i] = 100 * both >= 80 * (len(x) + len(y) - both)
+                keep[i] = linked(*(np.frombuffer(b.column(c)[i].as_buffer(), U64) for c in (2, 3)))
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
@@ -534,10 +545,9 @@ def links_between_sets(docs: DataFrame, read: DataFrame, total: int, rows: int)
             break
         if k < ROUNDS:  # each set and one pivot
             pivots = groups.where("c <> v.pc").groupBy("s").agg(F.min("v").alias("v"))
-            pairs = likely(pivots.select(F.least("s", "v.p").alias("a"), F.greatest("s", "v.p").alias("b")).distinct(), sets)
+            found = verify(likely(pivots.select(F.least("s", "v.p").alias("a"), F.greatest("s", "v.p").alias("b")).distinct(), sets), sets)
         else:
-            pairs = across(groups, sets).distinct()
-        found = verify(pairs, sets)
+            found = across(groups, sets)
         links = settled(found if links is None else links.union(found))
         groups = groups.select("g", "s")
         if k < ROUNDS:

@@ -36,11 +36,11 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     return files.withColumn("rel", rel).where(inside).withColumn("kind", kind).where("kind is not null").select(F.col("rel").alias("path"), "content", "kind.*", F.col("modificationTime").cast("timestamp_ntz").alias("modified"))
 
 
-def contents(files: DataFrame) -> DataFrame:
-    """Content rows; the id and hash are the SHA-256 of the bytes and path, and of the bytes."""
+def contents(files: DataFrame, *keep: str) -> DataFrame:
+    """Content rows, with these columns of files; the id and hash are the SHA-256 of the bytes and path, and of the bytes."""
     return files.select(
         F.sha2(F.concat(F.encode("path", "UTF-8"), F.col("content")), 256).alias("id"), "format", F.col("content").alias("data"), F.sha2("content", 256).alias("hash"), F.lit("utf-8").alias("encoding"), F.col("path").alias("source_uri"),
-        F.col("modified").alias("extracted_at"), F.array().cast("array<string>").alias("chunks"),
+        F.col("modified").alias("extracted_at"), F.array().cast("array<string>").alias("chunks"), *keep,
     )
 
 

@@ -21,6 +21,12 @@ def scratch(spark, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def folders_of_text(rows, key: str, folder: str) -> None:
+    """A folder of text for each key. Tasks move their own files to their places (names are of their own), not the driver
+    one after another."""
+    rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(key).text(folder)
+
+
 # SQLite files
 
 
@@ -220,13 +226,12 @@ def directory_walk(spark, sf):
     """A folder with a text for each supplier, in folders of their own, beside folders that are passed over and files of
     unknown kinds; what the walk finds."""
     root, s = scratch(spark, "project"), table(spark, sf, "supplier")
-    s.select("s_suppkey", "s_name").write.partitionBy("s_suppkey").text(f"{root}/docs")
+    folders_of_text(spread(s.select("s_suppkey", "s_name"), "s_suppkey"), "s_suppkey", f"{root}/docs")
     for name in ("node_modules", "docs/build", "__pycache__"):
         s.select("s_name").coalesce(1).write.text(f"{root}/{name}")
     s.select("s_suppkey").coalesce(1).write.parquet(f"{root}/tables")
-    found = files.contents(files.read_files(spark, root)).select("source_uri", "format", "hash")
-    kinds = files.read_files(spark, root).select(F.col("path").alias("source_uri"), "type_id")
-    return found.join(kinds, "source_uri").select(F.regexp_extract("source_uri", r"^docs/s_suppkey=(\d+)/part-", 1).cast("long").alias("s_suppkey"), "type_id", "format", "hash")
+    found = files.contents(files.read_files(spark, root), "type_id")
+    return found.select(F.regexp_extract("source_uri", r"^docs/s_suppkey=(\d+)/part-", 1).cast("long").alias("s_suppkey"), "type_id", "format", "hash")
 
 
 @query(f"with {walks_sql(5)} select case when len(relations) > 0 then 'how is ' || w.label || ' related to ' || b.label || '?' else 'what is ' || w.label || '?' end as query, (len(relations) + 2)::int as steps from w3 w join n b on b.id = w.path[-1]")

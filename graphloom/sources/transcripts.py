@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # The counters whose sum is the context in use, and characters of a user's text that are kept.
 COUNTERS = ("cache_read_input_tokens", "cache_creation_input_tokens", "input_tokens", "output_tokens")
@@ -54,6 +55,15 @@ def context_in_use(messages: DataFrame, limit: int) -> DataFrame:
     return last.select("file", F.floor(F.coalesce("tokens", F.lit(0)) * 100 / limit).cast("long").alias("percent"))
 
 
+def last_messages_in_context(messages: DataFrame, limit: int, chars: int = USER_CHARS) -> DataFrame:
+    """(file, kind, text, percent): last_messages with their file's context_in_use, from one pass over the messages."""
+    told = F.when(F.col("tokens") > 0, F.struct("seq", "tokens"))
+    last = messages.groupBy("file", "kind").agg(F.max_by("text", F.when(F.col("text") != "", F.col("seq"))).alias("text"), F.max(told).alias("told"))
+    last = last.withColumn("tokens", F.coalesce(F.max("told").over(Window.partitionBy("file"))["tokens"], F.lit(0)))
+    cut = F.when(F.col("kind") == "user", F.substring("text", 1, chars)).otherwise(F.col("text"))
+    return last.where("kind is not null and text is not null").select("file", "kind", cut.alias("text"), F.floor(F.col("tokens") * 100 / limit).cast("long").alias("percent"))
+
+
 def write_transcripts(turns: DataFrame, path: str) -> None:
     """turns (session_id, turn_index, role, text, usage: a struct of counters or null) as a folder of lines for each session,
     in order; the text becomes one block."""

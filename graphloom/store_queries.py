@@ -102,9 +102,8 @@ def transcript_messages(spark, sf):
     as_text = F.to_json(F.struct(message.alias("m"))).substr(F.lit(6), F.length(F.to_json(F.struct(message.alias("m")))) - 6)  # a message as JSON text
     line = F.concat(F.lit('{"type":"'), F.col("role"), F.lit('","message":'), F.when(F.col("turn") % 3 == 0, as_text).otherwise(message), F.lit("}"))
     lines = t.select("conv_id", "turn", F.explode(F.array(line, F.lit('{"type":"user","message":{"content":"cut off'), F.lit('{"type":"user","message":[1]}'))).alias("value"))
-    lines.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "value").write.partitionBy("conv_id").text(folder)
-    read = transcripts.read_messages(spark, folder)
-    both = transcripts.last_messages(read).join(transcripts.context_in_use(read, 5000), "file")
+    folders_of_text(spread(lines, "conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "value"), "conv_id", folder)
+    both = transcripts.last_messages_in_context(transcripts.read_messages(spark, folder), 5000)
     return both.select(F.regexp_extract("file", r"conv_id=(\d+)", 1).cast("long").alias("conv_id"), "kind", "text", "percent")
 
 

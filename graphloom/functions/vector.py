@@ -65,8 +65,9 @@ def _best(pairs: DataFrame, k: int, threshold: float, older: bool) -> DataFrame:
                 score = xm @ ym.T
                 out_of_question = score < threshold - 1e-9
                 if older:
-                    names = np.array(xi, object)[:, None], np.array(yi, object)[None, :]
-                    out_of_question |= (ys[None, :] > xs[:, None]) | (ys[None, :] == xs[:, None]) & (names[1] >= names[0])
+                    out_of_question |= ys[None, :] > xs[:, None]
+                    i, j = np.nonzero(ys[None, :] == xs[:, None])  # names are slow to compare
+                    out_of_question[i, j] |= np.array(yi, object)[j] >= np.array(xi, object)[i]
                 score[out_of_question] = -np.inf
                 top = min(k, score.shape[1])
                 best = np.argpartition(-score, top - 1, 1)[:, :top] if top else np.empty((len(xi), 0), int)

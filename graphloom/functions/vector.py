@@ -46,35 +46,61 @@ def _blocks(vectors: DataFrame, parts: DataFrame, by: list[str], name: str) -> D
     return dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).groupBy(*by, "part").agg(F.collect_list(F.struct("id", "seq", "embedding")).alias(name))
 
 
+#: Rows of a block that are multiplied out at once, and near ties that are scored again at once.
+ROWS, AGAIN = 256, 4096
+
+
+def _unit(side, order: np.ndarray | None = None) -> np.ndarray:
+    """A block's vectors divided by their norms, a zero norm counting as 1."""
+    m = side.field("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(side), -1)
+    norm = np.sqrt((m * m).sum(1, keepdims=True))
+    m /= np.where(norm == 0, 1, norm)
+    return m if order is None else m[order]
+
+
+def _best_of_blocks(xs, ys, k: int, threshold: float, older: bool):
+    """Batches (id, other, score): for each of the block xs at most k of the block ys, smaller ids first among equal
+    scores. What may be among the k best is scored pair by pair once more: a matrix product gives equal
+    vectors slightly different scores at different places."""
+    import pyarrow as pa
+
+    names = np.array(xs.field("id").to_pylist() + ys.field("id").to_pylist(), object)
+    place = np.unique(names, return_inverse=True)[1] if len(names) else np.empty(0, np.int64)  # names are slow to compare
+    x_place, y_place = place[: len(xs)], place[len(xs) :]
+    order = np.argsort(y_place, kind="stable")
+    y_place, xm, ym = y_place[order], _unit(xs), _unit(ys, order)
+    x_names, y_names = xs.field("id"), ys.field("id").take(pa.array(order))
+    x_seq, y_seq = xs.field("seq").to_numpy(zero_copy_only=False), ys.field("seq").to_numpy(zero_copy_only=False)[order]
+    top = min(k, len(ys))
+    for at in range(0, len(xs) if top else 0, ROWS):
+        rows = slice(at, at + ROWS)
+        score = xm[rows] @ ym.T
+        out_of_question = ~(score >= threshold - 1e-9)
+        if older:
+            seq, name = x_seq[rows, None], x_place[rows, None]
+            out_of_question |= (y_seq > seq) | ((y_seq == seq) & (y_place >= name))
+        score[out_of_question] = -np.inf
+        edge = -np.partition(-score, top - 1, 1)[:, top - 1 : top]
+        i, j = np.nonzero((score >= edge - 1e-9) & ~out_of_question)
+        found = np.empty(len(i))
+        for n in range(0, len(i), AGAIN):
+            found[n : n + AGAIN] = np.einsum("ij,ij->i", xm[at + i[n : n + AGAIN]], ym[j[n : n + AGAIN]])
+        best = np.lexsort((j, -found, i))
+        i, j, found = i[best], j[best], found[best]
+        kept = np.arange(len(i)) - np.searchsorted(i, i) < top
+        if kept.any():
+            yield pa.RecordBatch.from_arrays([x_names.take(pa.array(at + i[kept])), y_names.take(pa.array(j[kept])), pa.array(found[kept])], names=["id", "other", "score"])
+
+
 def _best(pairs: DataFrame, k: int, threshold: float, older: bool) -> DataFrame:
     """(id, other, score) from pairs of blocks (xs, ys): for each of xs the k best of ys at or over the threshold,
-    with `older` of those alone that come before it by (seq, id)."""
+    with `older` of those alone that come before it by (seq, id). A worker holds the pairs that Spark sends at once
+    (spark.sql.execution.arrow.maxBytesPerBatch) and ROWS rows of scores, however many rows there are."""
 
     def multiply(it):
-        import pyarrow as pa
-
         for batch in it:
             for row in range(batch.num_rows):
-                sides = []
-                for side in (batch.column(0)[row].values, batch.column(1)[row].values):
-                    e = side.field("embedding")
-                    m = e.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(side), -1)
-                    norm = np.sqrt((m * m).sum(1, keepdims=True))
-                    sides.append((side.field("id").to_pylist(), np.array(side.field("seq").to_pylist()), m / np.where(norm == 0, 1, norm)))
-                (xi, xs, xm), (yi, ys, ym) = sides
-                score = xm @ ym.T
-                out_of_question = score < threshold - 1e-9
-                if older:
-                    out_of_question |= ys[None, :] > xs[:, None]
-                    i, j = np.nonzero(ys[None, :] == xs[:, None])  # names are slow to compare
-                    out_of_question[i, j] |= np.array(yi, object)[j] >= np.array(xi, object)[i]
-                score[out_of_question] = -np.inf
-                top = min(k, score.shape[1])
-                best = np.argpartition(-score, top - 1, 1)[:, :top] if top else np.empty((len(xi), 0), int)
-                edge = np.take_along_axis(score, best, 1).min(1) if top else np.empty(0)
-                out = [(xi[i], yi[j], float(score[i, j])) for i in range(len(xi)) for j in np.flatnonzero((score[i] >= edge[i]) & np.isfinite(score[i]))]  # ties of the k-th stay
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["id", "other", "score"])
+                yield from _best_of_blocks(batch.column(0)[row].values, batch.column(1)[row].values, k, threshold, older)
 
     found = pairs.mapInArrow(multiply, "id string, other string, score double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
@@ -111,5 +137,5 @@ def nearest_of(queries: DataFrame, vectors: DataFrame, k: int, threshold: float,
         parts = max(1, -(-side.count() // block))
         sides.append((_blocks(side, side.sparkSession.range(1).select(F.lit(parts).alias("parts")), [], name), parts))
     (xs, _), (ys, n) = sides
-    left = xs.select("xs", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"))
+    left = xs.select("xs", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part")).repartition(n, "part")  # packed, all of it would be one task's
     return _best(left.join(ys, "part").select("xs", "ys"), k, threshold, False)

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 #: Rows and bytes that a Python worker takes at once: working memory is some fifty times the bytes. Only a row that
 #: is longer by itself is more. Spark bounds what it sends by spark.sql.execution.arrow.maxBytesPerBatch.
 BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
+SENT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 U64 = np.uint64
 
@@ -38,7 +39,11 @@ def bounded(batches, size: int = BATCH_BYTES):
 
 
 def arrow_map(df: DataFrame, fn: Callable, schema: str | T.StructType, size: int = BATCH_BYTES) -> DataFrame:
-    """mapInArrow with batches small enough for long texts."""
+    """mapInArrow with batches small enough for long texts. Unless the session has a number of its own, Spark sends it
+    BATCH_ROWS rows at once from here on: its 10,000 of long texts lie in the executor's JVM and again in Python."""
+    conf = df.sparkSession.conf
+    if conf.get(SENT_ROWS, None) is None:
+        conf.set(SENT_ROWS, BATCH_ROWS)
     return df.mapInArrow(lambda it: fn(bounded(it, size)), schema)
 
 

@@ -99,14 +99,16 @@ def marginals(emit: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> t
     """Each word's label probabilities, and the expected transitions summed over all texts.
 
     Texts are stepped together, the longest first, so that at every step the running
-    ones are a prefix; values are scaled at each step.
+    ones are a prefix; values are scaled at each step. Going back, each step's
+    probabilities take the place of what the way forward left there.
     """
     lengths = np.diff(first)
     order = np.argsort(-lengths, kind="stable")
     lengths, begin = lengths[order], first[:-1][order]
-    psi = np.exp(emit - emit.max(1, keepdims=True)) if len(emit) else emit
+    psi = emit - emit.max(1, keepdims=True) if len(emit) else emit
+    np.exp(psi, out=psi)
     move = np.exp(transitions)
-    alpha, gamma = np.empty_like(psi), np.empty_like(psi)
+    alpha = np.empty_like(psi)
     moved = np.zeros_like(transitions)
     steps = int(lengths[0]) if len(lengths) else 0
     running = np.searchsorted(-lengths, -np.arange(steps), "left") if steps else []  # texts longer than t
@@ -121,14 +123,14 @@ def marginals(emit: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> t
         rows = begin[:n] + t
         both = alpha[rows] * beta[:n]
         both /= both.sum(1, keepdims=True)
-        gamma[rows] = both
+        alpha[rows] = both
         if t:
             ahead = psi[rows] * beta[:n]
             back = ahead @ move.T
             norm = (alpha[rows - 1] * back).sum(1, keepdims=True)
             moved += move * (alpha[rows - 1].T @ (ahead / norm))
             beta[:n] = back / back.sum(1, keepdims=True)
-    return gamma, moved
+    return alpha, moved
 
 
 def fit_crf(texts: list[str], langs: list[str], epochs: int = 3, batch: int = 100, rate: float = 0.3, decay: float = 1e-6, seed: int = 5) -> Crf:
@@ -202,10 +204,12 @@ def label(docs: DataFrame, crf: Crf, keep: list[str] | None = None) -> DataFrame
         names, score, switched = ["und"] * len(counts), np.zeros(len(counts)), np.zeros(len(counts), np.int64)
         if crf.languages and len(t.hashes):
             gamma, _ = marginals(crf.emissions(t), t.first, crf.transitions)
-            sums = np.concatenate((np.zeros((1, gamma.shape[1])), np.cumsum(gamma, 0)))
+            leading = gamma.argmax(1)
+            sums = np.zeros((len(gamma) + 1, gamma.shape[1]))
+            np.cumsum(gamma, 0, out=sums[1:])
             mass = sums[t.first[1:]] - sums[t.first[:-1]]
             best = mass.argmax(1)
-            odd = np.concatenate(([0], np.cumsum(gamma.argmax(1) != np.repeat(best, counts))))
+            odd = np.concatenate(([0], np.cumsum(leading != np.repeat(best, counts))))
             switched = odd[t.first[1:]] - odd[t.first[:-1]]
             score = np.clip(mass.max(1) / np.maximum(counts, 1), 0, 1)
             names = [crf.languages[k] if ok else "und" for k, ok in zip(best, lettered)]

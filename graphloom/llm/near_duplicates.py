@@ -42,6 +42,8 @@ WORDS = 5
 CELL_BITS, RANGES = 23, 64
 #: Keys that one grouping task is meant to get, and that a task holds before it sends them on.
 BUCKET_KEYS, FLUSH_KEYS = 3_000_000, 500_000
+#: Bytes of text whose shingles a worker makes at once.
+LOT_BYTES = 1 << 19
 #: Bits of the sketch that prunes candidates.
 SKETCH_BITS = 1024
 #: Sets of one part of a place where groups are compared, and their shingles.
@@ -137,7 +139,7 @@ def read_sets(docs: DataFrame) -> DataFrame:
             none = pa.nulls(RANGES, pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(RANGES), pa.int32()), pa.array(cells, pa.binary())], names=["doc_id", "n", "s", "part", "cells"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n long, s long, part int, cells binary")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n long, s long, part int, cells binary", LOT_BYTES)
 
 
 def hot_cells(read: DataFrame, total: int, rows: int) -> np.ndarray:
@@ -420,7 +422,7 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             parts = [h[first[i] : first[i + 1]] for i in new]
             yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)[new]), pa.array([len(x) for x in parts], pa.int64()), pa.array([bit_sketch(x).tobytes() for x in parts], pa.binary()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["s", "n", "sketch", "shingles"])
 
-    found = arrow_map(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), run, "s long, n long, sketch binary, shingles binary")
+    found = arrow_map(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), run, "s long, n long, sketch binary, shingles binary", LOT_BYTES)
     return found.dropDuplicates(["s"])
 
 

@@ -29,6 +29,8 @@ from .common import LOWER, NOT_WORD, U64, arrow_map, hash_words, joined, leading
 
 BITS = 20
 PREFIXES = (4, 5, 6, 7, 8)
+#: Bytes of text whose features a worker makes at once: six hashes and more of each word.
+LOT_BYTES = 1 << 19
 
 
 def word_features(column) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +169,7 @@ def training_texts(docs: DataFrame, labels: DataFrame, train, positives: int, un
             slots, first = word_features(b.column(2))
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([slots[i:j].tobytes() for i, j in zip(first, first[1:])], pa.binary())], names=["id", "confirmed", "slots"])
 
-    made = arrow_map(docs.join(chosen, docs.doc_id == chosen.id).select(chosen.id, chosen.confirmed, docs.text.cast("string").alias("text")), features, "id long, confirmed boolean, slots binary")
+    made = arrow_map(docs.join(chosen, docs.doc_id == chosen.id).select(chosen.id, chosen.confirmed, docs.text.cast("string").alias("text")), features, "id long, confirmed boolean, slots binary", LOT_BYTES)
     return made.dropDuplicates(["id", "confirmed", "slots"]).select("confirmed", "slots")  # repeated rows count once
 
 
@@ -236,4 +238,4 @@ def scores(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         found = small.score(slots, first)
         return [pa.array(np.where(np.diff(told) > 0, found, np.minimum(found, SILENT)), pa.float64())]
 
-    return with_text_columns(docs, keep, score, "score double")
+    return with_text_columns(docs, keep, score, "score double", LOT_BYTES)

@@ -23,9 +23,16 @@ from ..graph import Graph
 SLICES = 64
 
 
-def slice_of(at: Column, cuts: list) -> Column:
-    """Which slice a time lies in: how many cuts aren't after it."""
-    return F.size(F.filter(F.array(*cuts), lambda c: c <= at)) if cuts else F.lit(0)
+def slice_of(at: Column, cuts: list, first: int = 0) -> Column:
+    """Which slice a time lies in: first, and how many of the sorted cuts aren't after it (a null time: first).
+
+    Branches that halve the cuts, no lambda over them: Spark renumbers a lambda's variables from 0 to compare expressions
+    and takes them out of its references by number, with them a captured column of such an id, as a session's first
+    plan has it."""
+    if not cuts:
+        return F.lit(first)
+    half = len(cuts) // 2
+    return F.when(at >= cuts[half], slice_of(at, cuts[half + 1 :], first + half + 1)).otherwise(slice_of(at, cuts[:half], first))
 
 
 def cuts_of(rows: DataFrame, slices: int) -> list[Column]:

@@ -2,8 +2,12 @@
 
 import bisect
 import random
+import subprocess
+import sys
 from datetime import date, datetime, timedelta
+from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from test_graph import edge, graph, node
@@ -55,6 +59,31 @@ def test_a_hot_key_is_split(spark):
     assert sum(sizes) == 4000 and max(sizes) < 600
 
 
+def test_asof_versions_is_the_first_query_of_its_session(tmp_path):
+    """Column ids start at 0 in a new session, where a lambda that captures the time made the plan fail."""
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", {str(tmp_path)!r}).getOrCreate()
+import __spark_entry__
+__spark_entry__.queries()["asof_versions"](spark, "/root/testdata/sf0.001").write.parquet({str(tmp_path / "out")!r})
+"""
+    run = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-3000:]
+    events = duckdb.sql("select event_id, ts, user_id, event_type, value from '/root/testdata/sf0.001/events.parquet'").fetchall()
+    want = plain([(i, user, at) for i, at, user, kind, _ in events if kind != "purchase"], [(user, at, i, value) for i, at, user, kind, value in events if kind == "purchase"])
+    got = duckdb.sql(f"select event_id, user_id, ts, since, version_event, balance from '{tmp_path}/out/*.parquet'").fetchall()
+    assert sorted(got, key=str) == want
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 63])
+def test_slices_of_times(spark, n):
+    """How many cuts aren't after a time, by branches; null times lie in the first slice."""
+    cuts = [3 * i for i in range(n)]
+    rows = spark.range(-2, 3 * n + 2).select("id", asof.slice_of(F.col("id"), [F.lit(c) for c in cuts]).alias("s")).collect()
+    assert [r["s"] for r in rows] == [bisect.bisect_right(cuts, r["id"]) for r in rows]
+    assert spark.range(1).select(asof.slice_of(F.lit(None).cast("long"), [F.lit(c) for c in cuts]).alias("s")).first()["s"] == 0
+
+
 def test_graph_as_of(spark):
     def version(i, n, day, until=None, **more):
         row = list(node(i, **more))
